@@ -59,4 +59,28 @@ from j
 """
 
 
-ORACLES = {"op2_line_dedup": OP2, "op8_quality_rules": _op8()}
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP6 = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
+wins as (
+  select item, list_slice(w, i, i + 9) as win, 10 as n from (select item, w, unnest(range(1, len(w) - 8)) as i from b where len(w) >= 10)
+  union all select item, w, len(w) from b where len(w) between 1 and 9
+), u as (select win, n, list(distinct item) as items from wins group by all),
+sizes as (select distinct n from u),
+hits as (
+  select doc_id, i, x.n, u.items from (
+    select doc_id, n, i, list_slice(w, i, i + n - 1) as win from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)
+  ) x join u on u.win = x.win
+), pos as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by 1
+), it as (
+  select doc_id, list_sort(list_distinct(flatten(list(items)))) as items from hits group by 1
+)
+select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(len(items), 0) as bigint) as n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join pos using (doc_id) left join it using (doc_id)
+"""
+
+ORACLES = {"op2_line_dedup": OP2, "op6_prefix_decontamination": OP6, "op8_quality_rules": _op8()}

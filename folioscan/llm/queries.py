@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import decontaminate, line_dedup, packing, quality_rules, sharding, token_output
+from folioscan.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules, sharding, token_output
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op6_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), "contaminated")
 
 
+def op7_probminhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class of near duplicates (0.8 or more on shingles of five words) and the first document with its text."""
+    return near_dedup.classes(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rule_report(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_shouts", "n_stop_words"
@@ -58,5 +63,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_rendezvous_shards": op4_rendezvous_shards,
     "op5_vector_packing": op5_vector_packing,
     "op6_prefix_decontamination": op6_prefix_decontamination,
+    "op7_probminhash_classes": op7_probminhash_classes,
     "op8_quality_rules": op8_quality_rules,
 }

@@ -43,17 +43,17 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, limits: Limi
     most = min(limits.tokens, limits.loss_tokens)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        enc = encoder(tokenizer, end_id)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in slices(text_sizes(texts), CHUNK):
-                rows = []
-                for key, x in zip(doc_ids[a:b], enc.encode(texts.slice(a, b - a).to_pylist()), strict=True):
-                    x += end
-                    n = len(x) // 4
+                flat, counts = enc.encode(texts.slice(a, b - a).to_pylist())
+                raw, rows, at = memoryview(flat.astype("<u4").tobytes()), [], 0
+                for key, n in zip(doc_ids[a:b], counts.tolist(), strict=True):
                     for s in range(0, n, most):
                         m = min(most, n - s)
-                        rows.append((key, s, m, m - (s == 0), zlib.crc32(x[4 * s : 4 * (s + m)]), n))
+                        rows.append((key, s, m, m - (s == 0), zlib.crc32(raw[4 * (at + s) : 4 * (at + s + m)]), n))
+                    at += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=pa.schema(_PIECE))
 
     return docs.select("doc_id", "text").mapInArrow(cut, _PIECE_DDL)

@@ -24,7 +24,7 @@ from folioscan.llm.common import stage_path
 from folioscan.llm.elias_fano import Segment, write_segment
 from folioscan.llm.tokens import encoder, slices, text_sizes
 
-#: Characters encoded at once, and ids in a segment (one larger document may exceed it).
+#: Bytes of text encoded at once, and ids in a segment (what is encoded at once stays together and may exceed it).
 CHUNK, SEGMENT_IDS = 2_000_000, 2_000_000
 NO_ID = -(1 << 63)
 
@@ -35,28 +35,27 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, pa
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, ordinal, start = TaskContext.get().partitionId(), 0, 0, 0
-        keys, ids, held = [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
+        keys, ids, lengths, held = [], [], [], 0
 
         def flush():
-            nonlocal seq, ordinal, start, keys, ids, held
-            lengths = np.array([len(x) // 4 for x in ids], np.int64)
-            image = write_segment(ordinal, start, np.array(keys, np.int64), lengths, np.frombuffer(b"".join(ids), "<u4"))
-            row = {"part": [part], "seq": [seq], "n_docs": [len(keys)], "n_ids": [int(lengths.sum())], "image": [image]}
-            seq, ordinal, start, keys, ids, held = seq + 1, ordinal + len(keys), start + int(lengths.sum()), [], [], 0
+            nonlocal seq, ordinal, start, keys, ids, lengths, held
+            n = np.concatenate(lengths)
+            image = write_segment(ordinal, start, np.array(keys, np.int64), n, np.concatenate(ids))
+            row = {"part": [part], "seq": [seq], "n_docs": [len(keys)], "n_ids": [int(n.sum())], "image": [image]}
+            seq, ordinal, start, keys, ids, lengths, held = seq + 1, ordinal + len(keys), start + int(n.sum()), [], [], [], 0
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("image", pa.binary())]))
 
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, end_id)
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in slices(text_sizes(texts), CHUNK):
-                for key, x in zip(doc_ids[a:b], enc.encode(texts.slice(a, b - a).to_pylist()), strict=True):
-                    x += end
-                    if keys and held + len(x) // 4 > SEGMENT_IDS:
-                        yield flush()
-                    keys.append(NO_ID if key is None else key)
-                    ids.append(x)
-                    held += len(x) // 4
+                flat, n = enc.encode(texts.slice(a, b - a).to_pylist())
+                if keys and held + len(flat) > SEGMENT_IDS:
+                    yield flush()
+                keys += [NO_ID if key is None else key for key in doc_ids[a:b]]
+                ids.append(flat)
+                lengths.append(n)
+                held += len(flat)
         if keys:
             yield flush()
 

@@ -1,86 +1,245 @@
-"""Whole texts to token ids with the tokenizers library, at the price of the distinct words only.
+"""Whole texts to token ids with the tokenizers library, at the price of the distinct units only.
 
-Both tokenizers here split a text before they merge, and never across the place between a non-space character and a
-single following space. A text is cut at those places; each distinct piece is encoded once per worker and a text's
-ids are the concatenation of its pieces' ids. A text with a piece that is empty or begins or ends with white space
-(where that argument doesn't hold) is encoded whole.
+Such a tokenizer splits a text into units before it merges, and never across the place between a non-space character
+and a single following space. A text is cut at those places into words, a word into the units that the tokenizer's own
+splitting pattern gives, and every distinct unit is encoded by the library once in a worker's memory; a text's ids are
+its units' ids in a row. Where the argument doesn't hold, the library gets more: a word with characters outside
+Latin-1, or with a special token's text, is encoded whole; a text with a word that is empty or begins or ends with
+white space is encoded whole; under a tokenizer of unknown splitting, words are the units.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import os
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
-#: Pieces in the young generation of a worker's memory; the old one holds as many at most.
-REMEMBERED = 350_000
+#: Words and units remembered by a worker; a memory is emptied beyond it.
+WORDS, UNITS = 500_000, 1_000_000
+#: Stands between words while they are split; white space to the patterns, and words that have it are encoded whole.
+SEPARATOR = "\v"
+#: Fixed value: the splitting pattern of byte-level BPE.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class _Memory(dict):
-    """piece -> its ids' bytes, or None where the piece can't be encoded alone. Two generations; what is used stays."""
+class _Numbers(dict):
+    """Numbers words in the order in which they are met; -1 for one that can't be encoded by itself."""
 
-    def __init__(self, lead: str, raw):
+    def __init__(self, lead: str, new: list[str], first: int):
         super().__init__()
-        self.lead, self.raw, self.old = lead, raw, {}
+        self.lead, self.new, self.base = lead, new, first
 
-    def learn(self, pieces: set[str]) -> None:
-        new = [p for p in pieces if p not in self]
-        if not new:
-            return
-        if len(self) > REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-            new = list(pieces)
-        unknown = []
-        for p in new:
-            if p in self.old:
-                self[p] = self.old[p]
-            elif p and not p[0].isspace() and not p[-1].isspace():
-                unknown.append(p)
-            else:
-                self[p] = None
-        self.update(zip(unknown, self.raw([self.lead + p for p in unknown]), strict=True))
+    def __missing__(self, word: str) -> int:
+        if not word or word[0].isspace() or word[-1].isspace():
+            n = -1
+        else:
+            n = self.base + len(self.new)
+            self.new.append(self.lead + word)
+        self[word] = n
+        return n
 
 
-class Encoder:
-    """ids of texts as little-endian unsigned 32-bit bytes."""
+class _Units(dict):
+    """Numbers distinct units; the separator is -1."""
+
+    def __init__(self):
+        super().__init__({SEPARATOR: -1})
+        self.fresh = []
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = n = len(self) - 1
+        self.fresh.append(unit)
+        return n
+
+
+class _Ranges:
+    """Numbered sequences of integers, one after the other in one array."""
+
+    def __init__(self):
+        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
+        self.start, self.count, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), 0
+
+    def add(self, values: np.ndarray, counts: np.ndarray) -> None:
+        while self.used + len(values) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        while self.n + len(counts) > len(self.start):
+            self.start, self.count = (np.concatenate((x, np.empty_like(x))) for x in (self.start, self.count))
+        self.flat[self.used : self.used + len(values)] = values
+        self.start[self.n : self.n + len(counts)] = self.used + np.cumsum(counts) - counts
+        self.count[self.n : self.n + len(counts)] = counts
+        self.used, self.n = self.used + len(values), self.n + len(counts)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(the sequences of these numbers in a row, their lengths)."""
+        counts = self.count[numbers]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        return self.flat[np.repeat(self.start[numbers] - (ends - counts), counts) + np.arange(total)], counts
+
 
-    def __init__(self, path: str):
+def _splitting(spec: dict) -> tuple[regex.Pattern | None, bool]:
+    """(the pattern of a tokenizer's units, whether it lower-cases first), or (None, False)."""
+    norm, pre = spec.get("normalizer"), spec.get("pre_tokenizer") or {}
+    steps = pre.get("pretokenizers", [pre])
+    if norm is None and len(steps) == 1 and steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex", True) and not steps[0].get("add_prefix_space"):
+        return regex.compile(BYTE_LEVEL), False
+    kinds = [x["type"] for x in (norm or {}).get("normalizers", [])]
+    if kinds == ["NFC", "Replace", "Lowercase"] and [s.get("type") for s in steps] == ["Split", "ByteLevel"] and steps[0].get("invert") and not steps[1].get("use_regex", True):
+        return regex.compile(steps[0]["pattern"]["Regex"]), True
+    return None, False
+
+
+class Encoder:
+    def __init__(self, path: str, end_id: int | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.first, self.later = _Memory("", self._raw), _Memory(" ", self._raw)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pattern, self.lower = _splitting(spec)
+        self.splitter = pattern and regex.compile(f"{SEPARATOR}|{pattern.pattern}")
+        self.special = regex.compile("|".join(regex.escape(x["content"].lower()) for x in spec.get("added_tokens", [])) or "(?!)")
+        self.plain = regex.compile(f"[\\t\\n\\r{SEPARATOR} -~¡-ÿ]*")
+        suffix, vocab = spec.get("model", {}).get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids that end a unit, where the vocabulary tells
+        self.last[[n for token, n in vocab.items() if suffix and token.endswith(suffix)]] = True
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if not suffix and len(line) == 1 else None
+        self.end = np.array([] if end_id is None else [end_id], np.uint32)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.units, self.unit_ids = _Units(), _Ranges()
+        self._forget_words()
+
+    def _forget_words(self) -> None:
+        self.words, self.new = _Ranges(), []
+        self.first, self.later = _Numbers("", self.new, 2), _Numbers(" ", self.new, 2)
+        self.first[""] = 1  # a text that is empty or begins with one space
+        self.words.add(self.end, np.array([len(self.end), 0]))  # 0: the end of a text, 1: nothing
 
-    def _raw(self, texts: list[str]) -> list[bytes]:
+    def raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's own ids: (all in a row, how many of each text)."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), "<u4", int(lengths.sum())).tobytes()
-        ends = (np.cumsum(lengths) * 4).tolist()
-        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(counts.sum())), counts
+
+    def _bulk(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As raw, for units: many in one text, where their ends can be told again from the ids."""
+        cut = [] if self.splitter is None or self.line is None and not self.last.any() else [i for i, u in enumerate(units) if not u.isspace() and not self.special.search(u.lower())]
+        if len(cut) < 50:
+            return self.raw(units)
+        by = " " if self.line is None else "\n"
+        flat, _ = self.raw([by.join(units[i] for i in cut[k : k + 1000]) + by * (self.line is not None) for k in range(0, len(cut), 1000)])
+        mark = np.flatnonzero(self.last[flat] if self.line is None else flat == self.line)
+        if len(mark) != len(cut):
+            return self.raw(units)
+        counts = np.diff(mark, prepend=-1) - (self.line is not None)
+        if self.line is not None:
+            flat = flat[flat != self.line]
+        if len(cut) == len(units):
+            return flat, counts
+        parts = np.empty(len(units), object)
+        rest = np.setdiff1d(np.arange(len(units)), cut)
+        for at, (ids, n) in ((cut, (flat, counts)), (rest, self.raw([units[i] for i in rest]))):
+            for i, x in zip(at, np.split(ids, np.cumsum(n)[:-1]), strict=True):
+                parts[i] = x
+        return np.concatenate(list(parts)), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def _split(self, words: list[str]) -> tuple[list[str], list[str]]:
+        """(words whose units the pattern gives, words that are units themselves)."""
+        if self.splitter is None:
+            return [], words
+        text = SEPARATOR.join(words)
+        if self.plain.fullmatch(text) and text.count(SEPARATOR) == len(words) - 1 and not self.special.search(text.lower()):
+            return words, []
+        good = [SEPARATOR not in w and bool(self.plain.fullmatch(w)) and not self.special.search(w.lower()) for w in words]
+        return list(itertools.compress(words, good)), [w for w, g in zip(words, good, strict=True) if not g]
+
+    def _learn(self) -> None:
+        if not self.new:
+            return
+        split, whole = self._split(self.new)
+        numbers, sizes = [], []
+        if split:
+            text = SEPARATOR.join(split)
+            units = self.splitter.findall(text.lower() if self.lower else text)
+            n = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+            ends = np.append(np.flatnonzero(n < 0), len(n))
+            numbers.append(n[n >= 0])
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+        if whole:
+            numbers.append(np.fromiter(map(self.units.__getitem__, whole), np.int64, len(whole)))
+            sizes.append(np.ones(len(whole), np.int64))
+        if self.units.fresh:
+            self.unit_ids.add(*self._bulk(self.units.fresh))
+            self.units.fresh = []
+        ids, counts = self.unit_ids.take(np.concatenate(numbers))
+        sizes = np.concatenate(sizes)
+        total, ends = np.concatenate(([0], np.cumsum(counts))), np.cumsum(sizes)
+        counts = total[ends] - total[ends - sizes]
+        if split and whole:  # back to the words' own order
+            at = {w: i for i, w in enumerate(split + whole)}
+            order = [at[w] for w in self.new]
+            starts = np.cumsum(counts) - counts
+            ids = np.concatenate([ids[starts[i] : starts[i] + counts[i]] for i in order])
+            counts = counts[order]
+        self.words.add(ids, counts)
+        self.new.clear()
+        self.first.base = self.later.base = self.words.n
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """None counts as the empty text."""
-        cut = [(t or "").split(" ") for t in texts]
-        self.first.learn({c[0] for c in cut})
-        self.later.learn(set().union(*(c[1:] for c in cut)))
-        out = []
-        for t, c in zip(texts, cut, strict=True):
-            ids = [self.first[c[0]], *map(self.later.__getitem__, c[1:])]
-            out.append(b"".join(ids) if None not in ids else self._raw([t or ""])[0])
-        return out
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, how many of each), the end id behind each text if there is one. None counts as empty."""
+        if len(self.units) > UNITS:
+            self._forget()
+        elif len(self.later) + len(self.first) > WORDS:
+            self._forget_words()
+        words, sizes, heads = [], [], []
+        for t in texts:
+            cut = (t or "").split(" ")
+            heads.append(cut[0])
+            cut.append("")
+            words += cut
+            sizes.append(len(cut))
+        ends = np.cumsum(np.array(sizes, np.int64))
+        begins = ends - sizes
+        for b in begins.tolist():
+            words[b] = ""  # heads have numbers of their own
+        number = np.fromiter(map(self.later.__getitem__, words), np.int64, len(words))
+        if len(texts):
+            number[begins] = np.fromiter(map(self.first.__getitem__, heads), np.int64, len(heads))
+            number[ends - 1] = 0
+        self._learn()
+        alone = number < 0
+        number[alone] = 1
+        ids, counts = self.words.take(number)
+        total = np.concatenate(([0], np.cumsum(counts)))
+        at, n = total[begins], total[ends] - total[begins]
+        if alone.any():
+            bad = np.unique(np.searchsorted(ends, np.flatnonzero(alone), "right"))
+            flat, k = self.raw([texts[i] for i in bad])
+            out = np.split(ids, at[1:])
+            for i, x in zip(bad.tolist(), np.split(flat, np.cumsum(k)[:-1]), strict=True):
+                out[i] = np.concatenate((x, self.end))
+            n[bad] = k + len(self.end)
+            ids = np.concatenate(out)
+        return ids, n
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, end_id: int | None = None) -> Encoder:
     """One encoder per tokenizer file and worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 def slices(sizes: list[int], most: int) -> list[tuple[int, int]]:

@@ -57,3 +57,21 @@ def gapless(df: DataFrame, groups: list[str], order: list[str], out: str, parts:
     inner = Window.partitionBy(*groups, "_b").orderBy(*order)
     numbered = dealt.withColumn("_r", F.row_number().over(inner) - 1)
     return numbered.join(starts, [*groups, "_b"]).withColumn(out, (F.col("_start") + F.col("_r")).cast("long")).drop("_b", "_r", "_start")
+
+
+def ordinals(df: DataFrame, order: list[str], size: str, parts: int | None = None) -> DataFrame:
+    """df, staged, with `ordinal` (0, 1, ... in the given order over all rows) and `offset` (the sum of size before the row).
+
+    Rows are dealt into ranges of the order columns, numbered inside their range, and shifted by what precedes the
+    range: one total per range, of which there are `parts`.
+    """
+    n = parts or max(8, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    ranged = stage(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ordinals")
+    inner = Window.partitionBy("_p").orderBy(*order)
+    ahead = inner.rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.sum(size).alias("_s"))
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"))
+    local = ranged.withColumn("_r", F.row_number().over(inner) - 1).withColumn("_o", F.coalesce(F.sum(size).over(ahead), F.lit(0)))
+    placed = local.join(F.broadcast(starts), "_p")  # a row per range: `parts` rows at most
+    return placed.select(*df.columns, (F.col("_n0") + F.col("_r")).cast("long").alias("ordinal"), (F.col("_s0") + F.col("_o")).cast("long").alias("offset"))

@@ -83,4 +83,22 @@ select d.doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as
 from d left join pos using (doc_id) left join it using (doc_id)
 """
 
-ORACLES = {"op2_line_dedup": OP2, "op6_prefix_decontamination": OP6, "op8_quality_rules": _op8()}
+OP9 = """
+with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
+replicas as (
+  select page_id, url, html as h, 1 as replica from p
+  union all
+  select page_id, url, case when page_id % 97 = 5 then '?' || substr(html, 2) when page_id % 193 = 7 then left(html, greatest(length(html) - 1, 0)) else html end, 2
+  from p where page_id % 389 <> 11
+), r as (
+  select page_id, replica, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
+    || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(h) || chr(13) || chr(10) || chr(13) || chr(10) || h || chr(13) || chr(10) || chr(13) || chr(10) as record from replicas
+), a as (
+  select page_id, row_number() over (order by page_id) - 1 as ordinal, cast(coalesce(sum(strlen(record)) over (order by page_id rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset",
+    cast(strlen(record) as bigint) as length, sha256(record) as sha256 from r where replica = 1
+)
+select a.*, sha256(b.record) as replica_sha256, case when b.record is null then 'missing' when sha256(b.record) <> a.sha256 then 'corrupt' else 'intact' end as status
+from a left join (select * from r where replica = 2) b using (page_id)
+"""
+
+ORACLES = {"op9_merkle_fixity": OP9, "op2_line_dedup": OP2, "op6_prefix_decontamination": OP6, "op8_quality_rules": _op8()}

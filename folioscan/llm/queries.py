@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules, sharding, token_output
+from folioscan.llm import decontaminate, line_dedup, near_dedup, packing, pairwise_quality, quality_rules, sharding, token_output, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,17 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of all pages against a replica with known faults."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return warc_fixity.audit(pages, warc_fixity.with_faults(pages))
+
+
+def op10_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pairwise_quality.score(docs, pairwise_quality.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_token_segments": op3_token_segments,
@@ -65,4 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_prefix_decontamination": op6_prefix_decontamination,
     "op7_probminhash_classes": op7_probminhash_classes,
     "op8_quality_rules": op8_quality_rules,
+    "op9_merkle_fixity": op9_merkle_fixity,
+    "op10_bradley_terry_quality": op10_bradley_terry_quality,
 }

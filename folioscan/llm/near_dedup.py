@@ -8,11 +8,13 @@ documents. Banding. 16 bands of 4 registers: a pair at 0.8 shares a band with pr
 Verification. A pair is a link if the probability Jaccard similarity or the plain Jaccard similarity of its shingles,
 computed from the sets themselves, is at least 0.8.
 
-No bucket is paired out. Its members are compared with one of them, the centre; both measures are metrics, so a member
-linked to the centre and nearer to it by more than 0.2 than every member that isn't, can have no link to those: it
-leaves. The others, the centre excepted, form the bucket of the next round, until none is left: every link of the
-bucket is between two documents that end in one class. Texts that are equal are one document from the start. The
-links' components are found by alternating large-star and small-star steps.
+No bucket is paired out. In the first round one member of each bucket, the centre, is compared with the others. The
+links found so far make components; a bucket whose members are all in one component is done, as no further link could
+change the classes. In a bucket that isn't, the next members outside its largest component become centres (1, then 16,
+64, 256, ...) and are compared with the members of other components, pairs judged before excepted; then they leave. So
+every pair of a bucket is either judged or in one component, while a group of copies costs a comparison or two a
+member. Texts that are equal are one document from the start. Components are found by alternating large-star and
+small-star steps.
 
 Defined results. Null text: as the empty text. Texts without words: linked to equal texts only. Texts of one to four
 words: a single shingle of them all. Repeated rows and equal texts: one class. Null doc_id: a row without a say in its
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.llm.common import stage
@@ -178,24 +180,35 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     active = stage(rows.join(crowded, "key"), "bucket-rows")
     wanted = active.select(F.col("id").alias("doc_id")).distinct()
     sets = stage(texts.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_pack_sets, "id long, items binary"), "shingle-sets")
-    found = []
+    judged, found, n_centres = None, None, 1
     while True:
-        centres = active.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        members = active.join(centres, "key").filter("id <> centre")
-        pairs = members.select("centre", "id").distinct()
-        carried = pairs.join(sets.withColumnsRenamed({"id": "centre", "items": "x"}), "centre").join(sets.withColumnRenamed("items", "y"), "id").select("centre", "id", "x", "y")
-        judged = stage(carried.mapInArrow(_verify, "centre long, id long, plain double, prob double").withColumn("link", (F.col("plain") >= threshold) | (F.col("prob") >= threshold)), "verified")
-        found.append(judged.filter("link").select(F.col("centre").alias("a"), F.col("id").alias("b")))
-        if judged.filter("not link").isEmpty():
+        if found is None:
+            rooted = active.withColumn("root", F.col("id"))
+        else:
+            rooted = active.join(components(found), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+        largest = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", (-F.col("root")).alias("minus"))).alias("top")).filter("parts > 1").select("key", (-F.col("top.minus")).alias("big"))
+        rooted = stage(rooted.join(largest, "key"), "bucket-rows")
+        # the smallest ids outside the largest component: a bounded list per bucket, aggregated before the shuffle
+        outside = rooted.filter("root <> big")
+        if found is None:
+            centres = rooted.groupBy("key").agg(F.min("id").alias("centre")).withColumn("centre_root", F.col("centre"))
+        else:
+            order = Window.partitionBy("key").orderBy("id")
+            centres = outside.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n_centres).select("key", F.col("id").alias("centre"), F.col("root").alias("centre_root"))
+        pairs = rooted.join(centres, "key").filter("root <> centre_root").select(F.least("centre", "id").alias("centre"), F.greatest("centre", "id").alias("id")).distinct()
+        if judged is not None:
+            pairs = pairs.join(judged.select("centre", "id"), ["centre", "id"], "left_anti")
+        pairs = stage(pairs, "pairs")
+        if pairs.isEmpty() and rooted.isEmpty():
             break
-        scored = members.join(judged, ["centre", "id"])
-        edge = scored.filter("not link").groupBy("key").agg(F.max("plain").alias("_p"), F.max("prob").alias("_q"))
-        slack = 1 - threshold
-        active = stage(scored.join(edge, "key").filter(~F.col("link") | (F.col("plain") <= F.col("_p") + slack) | (F.col("prob") <= F.col("_q") + slack)).select("key", "id"), "bucket-rows")
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    return signed, every
+        carried = pairs.join(sets.withColumnsRenamed({"id": "centre", "items": "x"}), "centre").join(sets.withColumnRenamed("items", "y"), "id").select("centre", "id", "x", "y")
+        now = stage(carried.mapInArrow(_verify, "centre long, id long, plain double, prob double").withColumn("link", (F.col("plain") >= threshold) | (F.col("prob") >= threshold)), "verified")
+        judged = now if judged is None else judged.unionByName(now)
+        found = judged.filter("link").select(F.col("centre").alias("a"), F.col("id").alias("b"))
+        active = rooted.join(centres.select("key", F.col("centre").alias("id")), ["key", "id"], "left_anti").select("key", "id")
+        n_centres = n_centres * 4 if n_centres > 1 else 16
+    return signed, found if found is not None else active.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -66,22 +66,40 @@ def pack_vectors(demands: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, n
     order = np.argsort(of, kind="stable")
     left = np.bincount(of, minlength=len(classes))
     nxt = np.concatenate(([0], np.cumsum(left)[:-1]))
-    scaled = classes / limits
     bins, places = np.empty(len(of), np.int64), np.empty(len(of), np.int64)
-    n_bin, todo = -1, len(of)
+    number = np.arange(len(classes))
+    columns = [np.ascontiguousarray(c) for c in classes.T]
+    scaled = [c / m for c, m in zip(columns, limits.tolist(), strict=True)]
+    falling, spent, n_bin, todo = -columns[0], 0, -1, len(of)
     while todo:
-        n_bin, room, place = n_bin + 1, limits.astype(np.int64).copy(), 0
-        # what fits now bounds what fits later in this bin: the candidates only shrink
-        live = np.flatnonzero(left)
-        while len(live):
-            best = live[np.argmax(scaled[live] @ (room / limits))]
-            item = order[nxt[best]]
-            nxt[best] += 1
-            left[best] -= 1
+        if 2 * spent > len(number):  # leave out the classes that are used up
+            some = left[number] > 0
+            number, spent = number[some], 0
+            columns, scaled = [c[some] for c in columns], [c[some] for c in scaled]
+            falling = -columns[0]
+        here = left[number] > 0
+        n_bin, place, room = n_bin + 1, 0, limits.tolist()
+        while True:
+            low = int(np.searchsorted(falling, -room[0]))  # smaller ones fit in the first dimension
+            fits = here[low:].copy()
+            score = scaled[0][low:] * (room[0] / limits[0])
+            for c, x, r, m in zip(columns[1:], scaled[1:], room[1:], limits[1:], strict=True):
+                fits &= c[low:] <= r
+                score += x[low:] * (r / m)
+            if not fits.any():
+                break
+            score[~fits] = -1
+            best = low + int(score.argmax())
+            k = number[best]
+            item = order[nxt[k]]
+            nxt[k] += 1
+            left[k] -= 1
+            if not left[k]:
+                here[best] = False
+                spent += 1
             bins[item], places[item] = n_bin, place
             place, todo = place + 1, todo - 1
-            room -= classes[best]
-            live = live[(classes[live] <= room).all(axis=1) & (left[live] > 0)]
+            room = [r - int(c[best]) for r, c in zip(room, columns, strict=True)]
     return bins, places
 
 

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Words and units remembered by a worker; a memory is emptied beyond it.
-WORDS, UNITS = 500_000, 1_000_000
+WORDS, UNITS = 700_000, 1_000_000
 #: Stands between words while they are split; white space to the patterns, and words that have it are encoded whole.
 SEPARATOR = "\v"
 #: Fixed value: the splitting pattern of byte-level BPE.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import decontaminate, line_dedup, near_dedup, packing, pairwise_quality, quality_rules, sharding, token_output, warc_fixity
+from folioscan.llm import decontaminate, line_dedup, near_dedup, packing, pairwise_quality, quality_rules, sharding, substring_dedup, token_output, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,12 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.cut_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return cut.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many went as later repeats, and what is left of its text."""
     out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -69,6 +75,7 @@ def op10_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_line_dedup": op2_line_dedup,
     "op3_token_segments": op3_token_segments,
     "op4_rendezvous_shards": op4_rendezvous_shards,

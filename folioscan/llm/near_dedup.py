@@ -5,16 +5,18 @@ Signatures. Every shingle is a Poisson process whose rate is its weight; each ar
 which keeps the shingle that arrived first. A document's processes end as soon as the next arrivals come later than
 the latest register (early termination). Two registers agree with the probability Jaccard similarity of the two
 documents. Banding. 16 bands of 4 registers: a pair at 0.8 shares a band with probability 0.9998.
-Verification. A pair is a link if the probability Jaccard similarity or the plain Jaccard similarity of its shingles,
-computed from the sets themselves, is at least 0.8.
-
-No bucket is paired out. In the first round one member of each bucket, the centre, is compared with the others. The
-links found so far make components; a bucket whose members are all in one component is done, as no further link could
-change the classes. In a bucket that isn't, the next members outside its largest component become centres (1, then 16,
-64, 256, ...) and are compared with the members of other components, pairs judged before excepted; then they leave. So
-every pair of a bucket is either judged or in one component, while a group of copies costs a comparison or two a
-member. Texts that are equal are one document from the start. Components are found by alternating large-star and
-small-star steps.
+Verification. A pair is a link if the plain Jaccard similarity of its shingles, computed from the sets themselves, is
+at least 0.8.
+
+No bucket is paired out. In the first round the most popular member of each bucket (the one whose buckets are fullest,
+as the original of a group of copies is) is its centre and is compared with the others. The links found so far make
+components; a bucket whose members are all in one component is done, as no further link could change the classes. In
+a bucket that isn't, the next members outside its largest component become centres (64, then 1024, 16384, ...) and are
+compared with members of other components, pairs judged before excepted; then they leave. From here on pairs that
+cannot be links are left out by an exact bound: an odd sketch holds, for each of 2048 bits, the parity of the shingles
+that fall on it, so two sketches differ in no more bits than the sets differ in shingles. So every pair of a bucket is
+judged, in one component, or ruled out, while a group of copies costs a comparison or two a member. Texts that are
+equal are one document from the start. Components are found by alternating large-star and small-star steps.
 
 Defined results. Null text: as the empty text. Texts without words: linked to equal texts only. Texts of one to four
 words: a single shingle of them all. Repeated rows and equal texts: one class. Null doc_id: a row without a say in its
@@ -23,6 +25,8 @@ class's id. Class id: the smallest doc_id of the class. Empty table: no rows. Ex
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +40,7 @@ from folioscan.llm.words import mix, shingles, words_of
 
 SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS, BAND = 64, 4
+SKETCH = 2048
 CHUNK = 1_000_000
 _MASK = np.uint64((1 << 48) - 1)
 
@@ -98,27 +103,12 @@ def _weights(times: np.ndarray) -> np.ndarray:
     return 1.0 + np.log(times)
 
 
-def similarities(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """(plain, probability) Jaccard similarity of two packed sets (times << 48 | shingle, ascending by shingle)."""
-    ka, kb = a & _MASK, b & _MASK
-    both, ia, ib = np.intersect1d(ka, kb, assume_unique=True, return_indices=True)
-    union = len(a) + len(b) - len(both)
-    if not union:
-        return 0.0, 0.0
-    plain = len(both) / union
-    ta, tb = a >> np.uint64(48), b >> np.uint64(48)
-    if not len(both) or (ta.max() == 1 and tb.max() == 1):
-        return plain, plain
-    wa, wb = _weights(ta.astype(float)), _weights(tb.astype(float))
-    rest = np.ones(len(a), bool), np.ones(len(b), bool)
-    rest[0][ia], rest[1][ib] = False, False
-    only_a, only_b = wa[rest[0]].sum(), wb[rest[1]].sum()
-    xa, xb = wa[ia], wb[ib]
-    pairs, n = np.unique(np.stack([xa, xb]), axis=1, return_counts=True)
-    prob = 0.0
-    for (va, vb), k in zip(pairs.T, n, strict=True):
-        prob += k / (only_a / va + only_b / vb + (np.maximum(pairs[0] / va, pairs[1] / vb) * n).sum())
-    return plain, prob
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two ascending arrays of distinct shingles."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    shared = int((both[1:] == both[:-1]).sum())
+    return shared / max(len(both) - shared, 1)
 
 
 _SIG_DDL = "doc_id long, digest binary, bands array<long>"
@@ -138,19 +128,28 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def odd_sketches(n: int, doc: np.ndarray, element: np.ndarray) -> np.ndarray:
+    """(n, SKETCH / 64) integers: for each bit, whether an odd number of the document's elements fall on it."""
+    bit = (mix(element.copy()) % np.uint64(SKETCH)).astype(np.int64)
+    odd = (np.bincount(doc * SKETCH + bit, minlength=n * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, SKETCH), axis=1, bitorder="little").view(np.int64)
+
+
 def _pack_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in slices(text_sizes(batch.column(1)), CHUNK):
-            doc, element, times = weighted_sets(batch.column(1).slice(a, b - a))
-            packed = element | (np.minimum(times, 65535).astype(np.uint64) << np.uint64(48))
+            doc, element, _ = weighted_sets(batch.column(1).slice(a, b - a))
             cut = np.searchsorted(doc, np.arange(b - a + 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([packed[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary())], names=["id", "items"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).slice(a, b - a), pa.array([element[i:j].tobytes() for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()), pa.array(np.diff(cut).astype(np.int64)), pa.array(list(odd_sketches(b - a, doc, element)), pa.list_(pa.int64()))],
+                names=["id", "items", "size", "sketch"],
+            )
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sims = [similarities(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s for s, _ in sims], pa.float64()), pa.array([s for _, s in sims], pa.float64())], names=["centre", "id", "plain", "prob"])
+        sims = [similarity(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["centre", "id", "similarity"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,36 +178,33 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     crowded = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     active = stage(rows.join(crowded, "key"), "bucket-rows")
     wanted = active.select(F.col("id").alias("doc_id")).distinct()
-    sets = stage(texts.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_pack_sets, "id long, items binary"), "shingle-sets")
-    judged, found, n_centres = None, None, 1
+    sets = stage(texts.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_pack_sets, "id long, items binary, size long, sketch array<long>"), "shingle-sets")
+    items, sketches = sets.select("id", "items"), sets.select("id", "size", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH // 64)])
+    popular = active.join(active.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("id").agg(F.sum("n").alias("popular"))
+    first = active.join(popular, "id").groupBy("key").agg(F.max(F.struct("popular", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("centre"))
+    pairs = active.join(first, "key").filter("id <> centre")
+    judged, n_centres = None, 64
     while True:
-        if found is None:
-            rooted = active.withColumn("root", F.col("id"))
-        else:
-            rooted = active.join(components(found), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        pairs = stage(pairs.select(F.least("centre", "id").alias("centre"), F.greatest("centre", "id").alias("id")).distinct(), "pairs")
+        carried = pairs.join(items.withColumnsRenamed({"id": "centre", "items": "x"}), "centre").join(items.withColumnRenamed("items", "y"), "id").select("centre", "id", "x", "y")
+        now = stage(carried.mapInArrow(_verify, "centre long, id long, similarity double"), "verified")
+        judged = now if judged is None else judged.unionByName(now)
+        found = judged.filter(F.col("similarity") >= threshold).select(F.col("centre").alias("a"), F.col("id").alias("b"))
+        rooted = active.join(components(found), "id", "left").withColumn("root", F.coalesce("root", "id"))
         parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
         largest = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", (-F.col("root")).alias("minus"))).alias("top")).filter("parts > 1").select("key", (-F.col("top.minus")).alias("big"))
         rooted = stage(rooted.join(largest, "key"), "bucket-rows")
-        # the smallest ids outside the largest component: a bounded list per bucket, aggregated before the shuffle
-        outside = rooted.filter("root <> big")
-        if found is None:
-            centres = rooted.groupBy("key").agg(F.min("id").alias("centre")).withColumn("centre_root", F.col("centre"))
-        else:
-            order = Window.partitionBy("key").orderBy("id")
-            centres = outside.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n_centres).select("key", F.col("id").alias("centre"), F.col("root").alias("centre_root"))
-        pairs = rooted.join(centres, "key").filter("root <> centre_root").select(F.least("centre", "id").alias("centre"), F.greatest("centre", "id").alias("id")).distinct()
-        if judged is not None:
-            pairs = pairs.join(judged.select("centre", "id"), ["centre", "id"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        if pairs.isEmpty() and rooted.isEmpty():
-            break
-        carried = pairs.join(sets.withColumnsRenamed({"id": "centre", "items": "x"}), "centre").join(sets.withColumnRenamed("items", "y"), "id").select("centre", "id", "x", "y")
-        now = stage(carried.mapInArrow(_verify, "centre long, id long, plain double, prob double").withColumn("link", (F.col("plain") >= threshold) | (F.col("prob") >= threshold)), "verified")
-        judged = now if judged is None else judged.unionByName(now)
-        found = judged.filter("link").select(F.col("centre").alias("a"), F.col("id").alias("b"))
-        active = rooted.join(centres.select("key", F.col("centre").alias("id")), ["key", "id"], "left_anti").select("key", "id")
-        n_centres = n_centres * 4 if n_centres > 1 else 16
-    return signed, found if found is not None else active.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        if rooted.isEmpty():
+            return signed, found
+        order = Window.partitionBy("key").orderBy("id")
+        chosen = rooted.filter("root <> big").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n_centres)
+        centres = chosen.join(sketches, "id").select(F.col("key").alias("_k"), F.col("id").alias("centre"), F.col("root").alias("centre_root"), F.col("size").alias("size_c"), *[F.col(f"s{i}").alias(f"c{i}") for i in range(SKETCH // 64)])
+        apart = functools.reduce(operator.add, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(SKETCH // 64)])
+        possible = (F.col("root") != F.col("centre_root")) & (apart * (1 + threshold) <= (F.col("size") + F.col("size_c")) * (1 - threshold) + 1e-6)
+        pairs = rooted.join(sketches, "id").join(centres, (F.col("key") == F.col("_k")) & possible).select("centre", "id").distinct()
+        pairs = pairs.select(F.least("centre", "id").alias("centre"), F.greatest("centre", "id").alias("id")).join(judged.select("centre", "id"), ["centre", "id"], "left_anti")
+        active = rooted.join(chosen.select("key", "id"), ["key", "id"], "left_anti").select("key", "id")
+        n_centres *= 16
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -11,7 +11,8 @@ strings with one fingerprint is a piece.
    by fingerprint. A piece whose fingerprint is crowded is cut into its single strings, dealt by their own hash, so
    that a passage in much of the corpus meets itself in many shards; blocks have aggregated it before it travels.
 3. Each shard joins its distinct pieces into one text, sorts its suffixes by induction, computes the permuted common
-   prefixes, and takes the smallest doc_id of each run of suffixes that agree in LENGTH bytes. Strings whose smallest
+   prefixes, and takes the smallest doc_id of each run of suffixes that agree in LENGTH bytes; strings
+   that occur once there (their hash tells) stay out of the text. Strings whose smallest
    doc_id is smaller than the sender's are marked.
 4. Each block removes the marked spans from its documents.
 
@@ -211,27 +212,70 @@ def _send_pieces(docs: pa.Table, shared: pa.Table, shards: int) -> pa.Table:
         rows.append((-1 - block, block, b"", _blob(spans), b"", b""))
     for shard, items in sent.items():
         where = np.array([d for _, d, _ in items])
-        rows.append((shard, block, _blob(np.array([len(p) for p, _, _ in items], np.int64)), b"".join(p for p, _, _ in items), _blob(keys[where]), _blob(np.array([x for _, _, x in items]) - offsets[where])))
+        rows.append((shard, block, _blob(np.array([len(p) for p, _, _ in items], np.uint32)), b"".join(p for p, _, _ in items), _blob(keys[where]), _blob((np.array([x for _, _, x in items]) - offsets[where]).astype(np.uint32))))
     return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, _PIECE_SCHEMA, strict=True)], schema=_PIECE_SCHEMA)
 
 
+def _string_hashes(text: np.ndarray) -> np.ndarray:
+    """Hashes of all strings of LENGTH bytes (50 = 32 + 16 + 2), by doubling."""
+    n = len(text) - LENGTH + 1
+    out = np.empty(max(n, 0), np.uint64)
+    for lo in range(0, n, _STEP):
+        hi = min(n, lo + _STEP)
+        two = _BYTE[text[lo : hi + LENGTH - 1]]
+        two = two[:-1] * _ODD[1] + two[1:]
+        h = two
+        for reach, odd in ((2, _ODD[2]), (4, _ODD[3]), (8, _ODD[4])):
+            h = h[:-reach] * odd + h[reach:]
+        long = h[:-16] * _ODD[5] + h[16:]
+        out[lo:hi] = mix(long[: hi - lo] * _ODD[1] + h[32 : 32 + hi - lo] * _ODD[2] + two[48 : 48 + hi - lo])
+    return out
+
+
 def smallest_owners(pieces: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
-    """For each piece and each of its strings of LENGTH bytes, the smallest owner of an equal string in any piece."""
+    """For each of the distinct pieces and each of its strings of LENGTH bytes, the smallest owner of an equal string in any piece.
+
+    Strings whose hash is met once have no equal and aren't sorted; what is left of the pieces is.
+    """
     sizes = np.array([len(p) for p in pieces], np.int64)
     text = np.frombuffer(bytes([SEPARATOR]).join(pieces), np.uint8)
     starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    sa = suffix_array(text, 256)
-    common = permuted_common_prefixes(text, sa, LENGTH)
-    piece_of = np.repeat(np.arange(len(pieces)), sizes + 1)[: len(text)]
-    whole = np.arange(len(text)) + LENGTH <= (starts + sizes)[piece_of]
+    counts = sizes - LENGTH + 1
+    ends = np.cumsum(counts)
+    piece_of = np.repeat(np.arange(len(pieces)), counts)
+    place = np.arange(int(ends[-1])) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
+    out = owners[piece_of]
+    h = _string_hashes(text)[place]
+    ranked = np.sort(h)
+    met = ranked[1:][ranked[1:] == ranked[:-1]]
+    if len(met):
+        met = met[np.concatenate(([True], met[1:] != met[:-1]))]
+        again = np.flatnonzero(met[np.minimum(np.searchsorted(met, h), len(met) - 1)] == h)
+        _sort_strings(text, place, again, out)
+    return np.split(out, ends[:-1])
+
+
+def _sort_strings(text: np.ndarray, place: np.ndarray, again: np.ndarray, out: np.ndarray) -> None:
+    """Give the strings numbered `again` (at `place` in text) the smallest owner among equal ones, by a suffix array of their runs."""
+    new = np.ones(len(again), bool)
+    new[1:] = (np.diff(again) != 1) | (np.diff(place[again]) != 1)
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, len(again)))
+    size = length + LENGTH  # with the separator
+    stop = np.cumsum(size)
+    source = np.arange(int(stop[-1])) + np.repeat(place[again[first]] - (stop - size), size)
+    part = text[np.minimum(source, len(text) - 1)].copy()
+    part[stop - 1] = SEPARATOR
+    at = np.arange(len(again)) - np.repeat(first, length) + np.repeat(stop - size, length)  # the strings' places in part
+    string = np.full(len(part), -1)
+    string[at] = again
+    sa = suffix_array(part, 256)
+    common = permuted_common_prefixes(part, sa, LENGTH)
     group = np.cumsum(common[sa] < LENGTH)
-    keep = whole[sa]
-    at, group = sa[keep], group[keep]
-    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
-    least = np.minimum.reduceat(owners[piece_of[at]], first)
-    out = np.zeros(len(text), np.int64)
-    out[at] = np.repeat(least, np.diff(np.append(first, len(at))))
-    return [out[s : s + n - LENGTH + 1] for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    keep = string[sa] >= 0
+    which, group = string[sa][keep], group[keep]
+    head = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    out[which] = np.repeat(np.minimum.reduceat(out[which], head), np.diff(np.append(head, len(which))))
 
 
 def _sort_shard(table: pa.Table) -> pa.Table:
@@ -242,7 +286,7 @@ def _sort_shard(table: pa.Table) -> pa.Table:
     for r in range(table.num_rows):
         body, at = table.column("bytes")[r].as_buffer().to_pybytes(), 0
         keys = _array(table.column("docs")[r], np.int64)
-        for n, key in zip(_array(table.column("lengths")[r], np.int64).tolist(), keys.tolist(), strict=True):
+        for n, key in zip(_array(table.column("lengths")[r], np.uint32).tolist(), keys.tolist(), strict=True):
             k = distinct.setdefault(body[at : at + n], len(distinct))
             if k == len(owners):
                 owners.append(key)
@@ -251,7 +295,7 @@ def _sort_shard(table: pa.Table) -> pa.Table:
             number.append(k)
             at += n
         docs.append(keys)
-        starts.append(_array(table.column("starts")[r], np.int64))
+        starts.append(_array(table.column("starts")[r], np.uint32).astype(np.int64))
         origin.append(np.full(len(keys), table.column("block")[r].as_py()))
     number, docs, starts, origin = np.array(number), np.concatenate(docs), np.concatenate(starts), np.concatenate(origin)
     owners = np.array(owners, np.int64)

@@ -1,4 +1,27 @@
-"""Queries and their SQL, side by side."""
+"""Queries and their SQL, side by side: @query(sql) registers a function (spark, sf_dir) under its name."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    for name in ("q_layout", "q_text", "q_outliers"):
+        importlib.import_module(f"folioscan.plans.{name}")

@@ -1,0 +1 @@
+"""Readers of payload files."""

@@ -33,7 +33,7 @@ class Limits:
     loss_tokens: int = 1024
 
 
-CHUNK = 2_000_000
+CHUNK = 4_000_000
 _PIECE = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("loss", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())]
 _PIECE_DDL = "doc_id long, start long, length long, loss long, ids_crc32 long, doc_tokens long"
 
@@ -47,7 +47,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, limits: Limi
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in slices(text_sizes(texts), CHUNK):
-                flat, counts = enc.encode(texts.slice(a, b - a).to_pylist())
+                flat, counts = enc.encode(texts.slice(a, b - a))
                 raw, rows, at = memoryview(flat.astype("<u4").tobytes()), [], 0
                 for key, n in zip(doc_ids[a:b], counts.tolist(), strict=True):
                     for s in range(0, n, most):
@@ -71,6 +71,13 @@ def pack_vectors(demands: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, n
     columns = [np.ascontiguousarray(c) for c in classes.T]
     scaled = [c / m for c, m in zip(columns, limits.tolist(), strict=True)]
     falling, spent, n_bin, todo = -columns[0], 0, -1, len(of)
+    full = columns[0] == limits[0]  # these fill a bin each
+    if full.any():
+        which = np.flatnonzero(np.isin(of, np.flatnonzero(full)))
+        bins[which], places[which] = np.arange(len(which)), 0
+        n_bin, todo = len(which) - 1, todo - len(which)
+        left[full] = 0
+        spent = len(number)
     while todo:
         if 2 * spent > len(number):  # leave out the classes that are used up
             some = left[number] > 0
@@ -80,6 +87,8 @@ def pack_vectors(demands: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, n
         here = left[number] > 0
         n_bin, place, room = n_bin + 1, 0, limits.tolist()
         while True:
+            if room[0] < -falling[-1]:
+                break
             low = int(np.searchsorted(falling, -room[0]))  # smaller ones fit in the first dimension
             fits = here[low:].copy()
             score = scaled[0][low:] * (room[0] / limits[0])

@@ -25,7 +25,7 @@ from folioscan.llm.elias_fano import Segment, write_segment
 from folioscan.llm.tokens import encoder, slices, text_sizes
 
 #: Bytes of text encoded at once, and ids in a segment (what is encoded at once stays together and may exceed it).
-CHUNK, SEGMENT_IDS = 2_000_000, 2_000_000
+CHUNK, SEGMENT_IDS = 4_000_000, 2_000_000
 NO_ID = -(1 << 63)
 
 
@@ -49,7 +49,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, pa
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for a, b in slices(text_sizes(texts), CHUNK):
-                flat, n = enc.encode(texts.slice(a, b - a).to_pylist())
+                flat, n = enc.encode(texts.slice(a, b - a))
                 if keys and held + len(flat) > SEGMENT_IDS:
                     yield flush()
                 keys += [NO_ID if key is None else key for key in doc_ids[a:b]]

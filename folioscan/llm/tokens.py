@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 import regex
 
 #: Words and units remembered by a worker; a memory is emptied beyond it.
-WORDS, UNITS = 700_000, 1_000_000
+WORDS, UNITS = 1_000_000, 1_500_000
 #: Stands between words while they are split; white space to the patterns, and words that have it are encoded whole.
 SEPARATOR = "\v"
 #: Fixed value: the splitting pattern of byte-level BPE.
@@ -100,6 +100,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # units come once; the library's own memory of them only costs
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pattern, self.lower = _splitting(spec)
@@ -194,28 +196,29 @@ class Encoder:
         self.new.clear()
         self.first.base = self.later.base = self.words.n
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, how many of each), the end id behind each text if there is one. None counts as empty."""
         if len(self.units) > UNITS:
             self._forget()
         elif len(self.later) + len(self.first) > WORDS:
             self._forget_words()
-        words, sizes, heads = [], [], []
-        for t in texts:
-            cut = (t or "").split(" ")
-            heads.append(cut[0])
-            cut.append("")
-            words += cut
-            sizes.append(len(cut))
-        ends = np.cumsum(np.array(sizes, np.int64))
-        begins = ends - sizes
-        for b in begins.tolist():
-            words[b] = ""  # heads have numbers of their own
-        number = np.fromiter(map(self.later.__getitem__, words), np.int64, len(words))
-        if len(texts):
-            number[begins] = np.fromiter(map(self.first.__getitem__, heads), np.int64, len(heads))
-            number[ends - 1] = 0
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        cut = pc.split_pattern(texts, " ")
+        stops = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
+        words = cut.flatten()
+        heads = words.take(pa.array(stops[:-1])).to_pylist()
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        known = np.fromiter(map(self.later.__getitem__, distinct), np.int64, len(distinct))
+        first = np.fromiter(map(self.first.__getitem__, heads), np.int64, len(heads))
         self._learn()
+        number = known[coded.indices.to_numpy()]
+        number[stops[:-1]] = first  # heads have numbers of their own
+        number = np.insert(number, stops[1:], 0)
+        ends = stops[1:] + np.arange(1, len(texts) + 1)
+        begins = np.concatenate(([0], ends[:-1]))
         alone = number < 0
         number[alone] = 1
         ids, counts = self.words.take(number)
@@ -223,7 +226,7 @@ class Encoder:
         at, n = total[begins], total[ends] - total[begins]
         if alone.any():
             bad = np.unique(np.searchsorted(ends, np.flatnonzero(alone), "right"))
-            flat, k = self.raw([texts[i] for i in bad])
+            flat, k = self.raw([texts[i].as_py() for i in bad])
             out = np.split(ids, at[1:])
             for i, x in zip(bad.tolist(), np.split(flat, np.cumsum(k)[:-1]), strict=True):
                 out[i] = np.concatenate((x, self.end))

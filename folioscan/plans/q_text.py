@@ -158,7 +158,11 @@ def _candidates(spark, d) -> DataFrame:
     ascii = F.regexp_replace(F.lower("text"), "[^ -~]", "?")  # the SQL engine counts an edit in bytes
     c = v.cells(spark, d).select("doc_id", "page_ix", "line_no", "w", ascii.alias("a"), *[F.col(k) for k in ("x0", "y0", "x1", "y1")])
     o = v.visible(spark, d).select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"), F.col("w").alias("vw"), ascii.alias("b"), *[F.col(k).alias(f"{k}_v") for k in ("x0", "y0", "x1", "y1")])
-    j = c.join(o, (F.col("doc_id") == F.col("_d")) & (F.col("line_no") == F.col("_l")) & g.meets(g.box(), g.box(suffix="_v")))
+    # lines can be long: cells meet in bins of 60 points, a pair where its intersection begins
+    c = c.withColumn("gx", F.explode(F.sequence(F.floor(F.col("x0") / 60), F.floor(F.col("x1") / 60))))
+    o = o.withColumn("gx_v", F.explode(F.sequence(F.floor(F.col("x0_v") / 60), F.floor(F.col("x1_v") / 60))))
+    here = (F.col("gx") == F.col("gx_v")) & (F.floor(F.greatest("x0", "x0_v") / 60) == F.col("gx"))
+    j = c.join(o, (F.col("doc_id") == F.col("_d")) & (F.col("line_no") == F.col("_l")) & here & g.meets(g.box(), g.box(suffix="_v")))
     return j.withColumn("iou", g.iou(g.box(), g.box(suffix="_v"))).withColumn("sim", tx.levenshtein_similarity(F.col("a"), F.col("b")))
 
 

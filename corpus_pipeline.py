@@ -10,37 +10,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
-from folioscan.llm.common import stage
+from folioscan.llm.common import pick, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that every quality rule keeps."""
-    return quality_rules.apply_rules(docs).select(*COLUMNS)
+    return quality_rules.apply_rules(pick(docs, *COLUMNS))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later repeated runs of lines; a document of which nothing is left goes."""
-    cut = line_dedup.dedup_lines(docs).filter("_n_removed = 0 or _n_removed < _n_lines")
+    cut = line_dedup.dedup_lines(pick(docs, *COLUMNS)).filter("_n_removed = 0 or _n_removed < _n_lines")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near duplicates, the one with the smallest doc_id."""
-    return near_dedup.distinct(docs).select(*COLUMNS)
+    return near_dedup.distinct(pick(docs, *COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of any benchmark item."""
-    return decontaminate.clean(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+    return decontaminate.clean(pick(docs, *COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of at most 1024 ids."""
     import public_tokenizers
 
-    packed = packing.pack_documents(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    packed = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 

@@ -38,9 +38,24 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def columns_of(docs: DataFrame, *names: str) -> DataFrame:
-    """Only the named columns; columns that a caller added beside them can't clash with an operator's own."""
-    return docs.select(*[docs[n] for n in names])
+def pick(docs: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns, by exact name; columns beside them can't clash, whatever their names or letter case."""
+    at = docs.toDF(*[f"__fs_{i}" for i in range(len(docs.columns))])
+    return at.select(*[F.col(f"__fs_{docs.columns.index(n)}").alias(n) for n in names])
+
+
+def carry(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and the whole row as `__fs_row`; unload() gives the rows back."""
+    at = docs.toDF(*[f"__fs_{i}" for i in range(len(docs.columns))])
+    row = F.struct(*[F.col(f"__fs_{i}") for i in range(len(docs.columns))])
+    return at.select(*[F.col(f"__fs_{docs.columns.index(n)}").alias(n) for n in names], row.alias("__fs_row"))
+
+
+def unload(carried: DataFrame, docs: DataFrame, replaced: dict[str, Column] | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """The rows as they came in, with some columns replaced and some added."""
+    columns = [(replaced or {}).get(n, F.col("__fs_row")[f"__fs_{i}"]).alias(f"__fs_{i}") for i, n in enumerate(docs.columns)]
+    added = [c.alias(f"__fs_{len(columns) + k}") for k, c in enumerate((more or {}).values())]
+    return carried.select(*columns, *added).toDF(*docs.columns, *(more or {}))
 
 
 def gapless(df: DataFrame, groups: list[str], order: list[str], out: str, parts: int | None = None) -> DataFrame:

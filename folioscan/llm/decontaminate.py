@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import pick
 from folioscan.llm.tokens import slices, text_sizes
 from folioscan.llm.words import Words, shingles, words_of
 
@@ -143,13 +144,13 @@ def _frequencies(docs: DataFrame, windows: Windows, shingle: int) -> dict[int, i
             some = totals[k] > 0
             yield pa.RecordBatch.from_pydict({"gram": v[some].astype(np.int64), "n": totals[k][some]})
 
-    found = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    found = pick(docs, "text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     return {r.gram & ((1 << 64) - 1): r.n for r in found}
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> Iterator[Index]:
     """One index a block of the benchmark."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
     for k in range(n):
@@ -182,7 +183,7 @@ def _scan(docs: DataFrame, index: Index, spans: bool) -> DataFrame:
                     schema=pa.schema(_FIELDS),
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row")).mapInArrow(scan, "doc_id long, row long, n_words long, spans array<long>, n_hit long, items array<string>")
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("row")).mapInArrow(scan, "doc_id long, row long, n_words long, spans array<long>, n_hit long, items array<string>")
 
 
 def _merge(parts: list[DataFrame]) -> DataFrame:
@@ -216,7 +217,9 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> DataFrame:
     """The documents without any benchmark window, with all their columns; one filtering pass a block, no shuffle."""
-    left, at = docs, docs.columns.index("text")
+    # columns go by position, so names may repeat in any letter case
+    left, at = docs.toDF(*[f"__fs_{i}" for i in range(len(docs.columns))]), docs.columns.index("text")
+    schema = left.schema
     for index in indexes(docs, benchmark, window, shingle):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -228,8 +231,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
                     pure[doc] = False
                     yield batch.slice(a, b - a).filter(pa.array(pure))
 
-        left = left.mapInArrow(keep, docs.schema)
-    return left
+        left = left.mapInArrow(keep, schema)
+    return left.toDF(*docs.columns)
 
 
 def items_digest(items: list[str]) -> str:

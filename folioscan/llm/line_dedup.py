@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import let
+from folioscan.llm.common import carry, let, pick, unload
 
 WINDOW = 2
 SPACE = " \t\x0b\f\r"
@@ -40,18 +40,19 @@ def _windows(h: Column, window: int) -> Column:
     """For each window: its fingerprint, the offset of that from the window's start, the hash of the whole window and its first line."""
 
     def one(_, i: Column) -> Column:
-        fp = F.least(*[F.get(h, i + j)["h"] for j in range(window)])
+        hashes = [F.get(h, i + j)["h"] for j in range(window)]
+        fp = F.least(*hashes) if window > 1 else hashes[0]
         offset = F.lit(0)
         for j in range(window):
-            offset = F.when(F.get(h, i + j)["h"] == fp, F.lit(j)).otherwise(offset)
-        return F.struct(fp.alias("fp"), offset.alias("left"), F.xxhash64(*[F.get(h, i + j)["h"] for j in range(window)]).alias("ext"), i.alias("at"), F.array(*[F.get(h, i + j)["i"] for j in range(window)]).alias("lines"))
+            offset = F.when(hashes[j] == fp, F.lit(j)).otherwise(offset)
+        return F.struct(fp.alias("fp"), offset.alias("left"), F.xxhash64(*hashes).alias("ext"), i.alias("at"), F.array(*[F.get(h, i + j)["i"] for j in range(window)]).alias("lines"))
 
     return F.when(F.size(h) < window, F.array().cast("array<struct<fp:bigint,left:int,ext:bigint,at:int,lines:array<int>>>")).otherwise(F.transform(F.slice(h, 1, F.greatest(F.size(h) - (window - 1), F.lit(0))), one))
 
 
 def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, _row, lines array<int>): numbers of a document's lines that are to be deleted."""
-    hashed = docs.select("doc_id", F.xxhash64("text").alias("_row"), _hashes(_split(F.col("text"))).alias("h"))
+    hashed = pick(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("_row"), _hashes(_split(F.col("text"))).alias("h"))
     placed = hashed.select("doc_id", "_row", F.explode(let(F.col("h"), lambda h: _windows(h, window))).alias("w")).select("doc_id", "_row", "w.*")
     place = F.struct("doc_id", "_row", "at")
     seen = placed.groupBy("fp", "left", "ext").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).drop("last")
@@ -62,15 +63,14 @@ def removals(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with `text` without the later runs, and _n_lines, _n_removed (of non-blank lines)."""
-    gone = removals(docs, window).withColumnsRenamed({"doc_id": "_d", "_row": "_r", "lines": "_gone"})
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_d"]) & (F.xxhash64(docs["text"]) == gone["_r"]), "left")
+    gone = removals(docs, window).toDF("_d", "_r", "_gone")
+    whole = carry(docs, "doc_id", "text")
+    joined = whole.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_r")), "left")
+    lines = _split(F.col("text"))
 
-    def kept(lines: Column) -> Column:
-        def left(x: Column) -> Column:
-            return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n")
+    def left(x: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_gone")), lambda i: F.get(x, i)), "\n")
 
-        return let(lines, left)
-
-    text = F.when(F.col("_gone").isNull(), docs["text"]).otherwise(kept(_split(docs["text"])))
-    n_lines = F.size(F.filter(_split(docs["text"]), lambda x: F.btrim(x, F.lit(SPACE)) != ""))
-    return joined.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], n_lines.cast("long").alias("_n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("_n_removed"))
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(let(lines, left))
+    n_lines = F.size(F.filter(lines, lambda x: F.btrim(x, F.lit(SPACE)) != "")).cast("long")
+    return unload(joined, docs, {"text": text}, {"_n_lines": n_lines, "_n_removed": F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")})

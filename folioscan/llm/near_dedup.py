@@ -19,8 +19,9 @@ judged, in one component, or ruled out, while a group of copies costs a comparis
 equal are one document from the start. Components are found by alternating large-star and small-star steps.
 
 Defined results. Null text: as the empty text. Texts without words: linked to equal texts only. Texts of one to four
-words: a single shingle of them all. Repeated rows and equal texts: one class. Null doc_id: a row without a say in its
-class's id. Class id: the smallest doc_id of the class. Empty table: no rows. Extra columns: kept by `distinct`.
+words: a single shingle of them all. Repeated rows and equal texts (by a 64-bit hash): one class. Equal doc_ids with
+different texts: classes of their own. Null doc_id: a row without a say in its class's id. Class id: the smallest
+doc_id of the class, null if there is none. Empty table: no rows. Extra columns: kept by `distinct`.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import stage
+from folioscan.llm.common import carry, pick, stage, unload
 from folioscan.llm.tokens import slices, text_sizes
 from folioscan.llm.words import mix, shingles, words_of
 
@@ -111,7 +112,7 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / max(len(both) - shared, 1)
 
 
-_SIG_DDL = "doc_id long, digest binary, bands array<long>"
+_SIG_DDL = "doc_id long, id long, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +125,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             width = keys.shape[1]
             ends = np.concatenate(([0], np.cumsum(has * width))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[has].ravel()))], names=["doc_id", "digest", "bands"]
+                [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[has].ravel()))], names=["doc_id", "id", "bands"]
             )
 
 
@@ -171,14 +172,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(signed, links): the documents' signatures with text digests, and verified pairs (a, b) of representatives."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
+    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("id"))
     signed = stage(texts.mapInArrow(_sign, _SIG_DDL), "signatures")
-    reps = signed.filter("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"))
+    reps = signed.groupBy("id").agg(F.first("bands").alias("bands"))
     rows = reps.select("id", F.explode("bands").alias("key"))
     crowded = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     active = stage(rows.join(crowded, "key"), "bucket-rows")
-    wanted = active.select(F.col("id").alias("doc_id")).distinct()
-    sets = stage(texts.select("doc_id", "text").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_pack_sets, "id long, items binary, size long, sketch array<long>"), "shingle-sets")
+    wanted = active.select("id").distinct()
+    sets = stage(texts.select("id", "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_pack_sets, "id long, items binary, size long, sketch array<long>"), "shingle-sets")
     items, sketches = sets.select("id", "items"), sets.select("id", "size", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH // 64)])
     popular = active.join(active.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("id").agg(F.sum("n").alias("popular"))
     first = active.join(popular, "id").groupBy("key").agg(F.max(F.struct("popular", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("centre"))
@@ -207,15 +208,25 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
         n_centres *= 16
 
 
+def _roots(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(signed, (id, text_rep, root) of every text)."""
+    signed, found = links(docs, threshold)
+    texts = signed.groupBy("id").agg(F.min("doc_id").alias("text_rep"))
+    return signed, stage(texts.join(components(found), "id", "left").withColumn("root", F.coalesce("root", "id")), "roots")
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id, and text_rep, the smallest doc_id with an equal text."""
-    signed, found = links(docs, threshold)
-    roots = components(found).withColumnRenamed("id", "text_rep")
-    reps = signed.groupBy("digest").agg(F.min("doc_id").alias("text_rep"))
-    return signed.select("doc_id", "digest").join(reps, "digest").join(roots, "text_rep", "left").select("doc_id", F.coalesce("root", "text_rep").alias("class_id"), "text_rep")
+    signed, rooted = _roots(docs, threshold)
+    named = rooted.groupBy("root").agg(F.min("text_rep").alias("class_id"))
+    return signed.select("doc_id", "id").join(rooted.join(named, "root").select("id", "class_id", "text_rep"), "id").select("doc_id", "class_id", "text_rep")
 
 
 def distinct(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One document of each class, the one with the smallest doc_id, with all its columns."""
-    kept = classes(docs, threshold).filter("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    """One document of each class, the one with the smallest doc_id, with all its columns (of equal rows any)."""
+    _, rooted = _roots(docs, threshold)
+    first = F.min(F.struct(F.col("text_rep").isNull(), "text_rep", "id"))
+    kept = rooted.groupBy("root").agg(first.alias("m")).select(F.col("m.text_rep").alias("_d"), F.col("m.id").alias("_t"))
+    whole = carry(docs, "doc_id", "text").withColumn("_x", F.xxhash64(F.coalesce("text", F.lit(""))))
+    one = whole.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_t")), "left_semi").dropDuplicates(["doc_id", "_x"])
+    return unload(one, docs)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import pick
 from folioscan.llm.tokens import encoder, slices, text_sizes
 
 
@@ -56,7 +57,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, limits: Limi
                     at += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=pa.schema(_PIECE))
 
-    return docs.select("doc_id", "text").mapInArrow(cut, _PIECE_DDL)
+    return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(cut, _PIECE_DDL)
 
 
 def pack_vectors(demands: np.ndarray, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import pick
 from folioscan.llm.tokens import slices, text_sizes
 from folioscan.llm.words import flat, shingles, words_of
 
@@ -131,7 +132,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs: int = PAIRS) -> Ranking:
-    chosen = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q")).orderBy(F.xxhash64("_id"), "_q").limit(sample)
+    chosen = pick(labels, "doc_id", "quality").filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q")).orderBy(F.xxhash64("_id"), "_q").limit(sample)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs: int =
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "q", "x"])
 
     # at most `sample` small rows on either side of the wire
-    labelled = docs.select("doc_id", "text").join(F.broadcast(chosen), docs["doc_id"] == F.col("_id")).select(F.col("_id").cast("long"), F.col("_q").cast("long"), "text")
+    labelled = pick(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("_id").cast("long"), F.col("_q").cast("long"), "text")
     rows = sorted(labelled.mapInArrow(describe, "id long, q long, x array<double>").limit(4 * sample).collect())
     return fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.q == 1 for r in rows], bool), pairs)
 
@@ -155,4 +156,4 @@ def score(docs: DataFrame, ranking: Ranking) -> DataFrame:
                 s = shared.value.score(features(batch.column(2).slice(a, b - a)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(rate, "doc_id long, held_out boolean, score double, predicted int")
+    return pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(rate, "doc_id long, held_out boolean, score double, predicted int")

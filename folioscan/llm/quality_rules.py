@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import let
+from folioscan.llm.common import carry, let, pick, unload
 
 WORD_SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "[#*$%&|<>]"
@@ -128,21 +128,21 @@ def compile_rules(stats: dict[str, Column], rules=RULES) -> Column:
     return verdict
 
 
-def _judged(docs: DataFrame, rules) -> tuple[DataFrame, dict[str, Column], Column, Column]:
-    s = F.col("_stats")
+def _judged(s: Column, rules) -> tuple[dict[str, Column], Column, Column]:
+    """(statistics by name, base_failed, kept) of a struct of statistics."""
     stats = {n: s["w"][n] for n in ("n_words", "word_chars", "n_repeat_words", "n_stop_words")} | {n: s[n] for n in ("n_symbols", "n_shouts")} | {n: s["l"][n] for n in ("n_lines", "n_dup_lines")}
     failed = (stats["n_words"] < 50) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
-    return docs.withColumn("_stats", statistics(F.col("text"))), stats, failed, ~failed & compile_rules(stats, rules)
+    return stats, failed, ~failed & compile_rules(stats, rules)
 
 
 def rule_report(docs: DataFrame, rules=RULES) -> DataFrame:
     """One row per document: its counts, base_failed and kept."""
-    judged, stats, failed, kept = _judged(docs.select("doc_id", "text"), rules)
+    stats, failed, kept = _judged(F.col("s"), rules)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouts", "n_stop_words")
-    return judged.select("doc_id", *[stats[n].alias(n) for n in names], failed.alias("base_failed"), kept.alias("kept"))
+    return pick(docs, "doc_id", "text").select("doc_id", statistics(F.col("text")).alias("s")).select("doc_id", *[stats[n].alias(n) for n in names], failed.alias("base_failed"), kept.alias("kept"))
 
 
 def apply_rules(docs: DataFrame, rules=RULES) -> DataFrame:
     """The rows that every rule keeps, with all their columns."""
-    judged, _, _, kept = _judged(docs, rules)
-    return judged.filter(kept).select(*[docs[c] for c in docs.columns])
+    whole = carry(docs, "text")
+    return unload(whole.filter(let(statistics(F.col("text")), lambda s: _judged(s, rules)[2])), docs)

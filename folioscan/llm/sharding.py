@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import gapless, let
+from folioscan.llm.common import gapless, let, pick
 
 RECORD_OVERHEAD = 16
 
@@ -46,7 +46,7 @@ def assign(docs: DataFrame, n_shards: int = 40, weights: Sequence[float] | None
     w = list(weights or [1.0] * n_shards)
     grown = [*w, sum(w) / len(w)]
     text = F.coalesce(F.col("text"), F.lit(""))
-    slim = docs.select(
+    slim = pick(docs, "doc_id", "text").select(
         "doc_id",
         (F.octet_length(text) + RECORD_OVERHEAD).cast("long").alias("size"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),

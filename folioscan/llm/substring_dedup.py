@@ -26,7 +26,6 @@ no rows. Extra columns: ignored by `cut_repeats`.
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 
 import numpy as np
@@ -34,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.llm.common import pick
 from folioscan.llm.suffix_array import permuted_common_prefixes, suffix_array
 from folioscan.llm.words import flat, mix
 
@@ -114,7 +114,7 @@ def _array(x: pa.Scalar, kind) -> np.ndarray:
 
 _FP_SCHEMA = pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("prints", pa.binary()), ("sizes", pa.binary())])
 _SHARED_SCHEMA = pa.schema([("block", pa.int64()), ("prints", pa.binary())])
-_PIECE_SCHEMA = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("lengths", pa.binary()), ("bytes", pa.binary()), ("docs", pa.binary()), ("starts", pa.binary())])
+_PIECE_SCHEMA = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("lengths", pa.binary()), ("bytes", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary()), ("starts", pa.binary())])
 _MARK_SCHEMA = pa.schema([("block", pa.int64()), ("marks", pa.binary())])
 _OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 
@@ -198,7 +198,7 @@ def _send_pieces(docs: pa.Table, shared: pa.Table, shards: int) -> pa.Table:
         for x, y in spans:
             piece = raw[x : y + LENGTH]
             owner = seen.setdefault(piece, keys[d])
-            if owner == keys[d]:  # the smallest doc_id of the block with it: documents come in ascending order
+            if owner == keys[d]:  # the smallest doc_id of the block with it, as documents come in ascending order
                 target = (zlib.crc32(piece) if many else h >> 1) % shards
                 sent.setdefault(target, []).append((piece, d, x))
             else:
@@ -208,12 +208,11 @@ def _send_pieces(docs: pa.Table, shared: pa.Table, shards: int) -> pa.Table:
     rows = []
     if home:
         spans = _merge_spans(np.array(home), np.array(home_start), np.array(home_stop))
-        spans[:, 0] = keys[spans[:, 0]]
-        rows.append((-1 - block, block, b"", _blob(spans), b"", b""))
+        rows.append((-1 - block, block, b"", _blob(spans), b"", b"", b""))
     for shard, items in sent.items():
         where = np.array([d for _, d, _ in items])
-        rows.append((shard, block, _blob(np.array([len(p) for p, _, _ in items], np.uint32)), b"".join(p for p, _, _ in items), _blob(keys[where]), _blob((np.array([x for _, _, x in items]) - offsets[where]).astype(np.uint32))))
-    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 6, _PIECE_SCHEMA, strict=True)], schema=_PIECE_SCHEMA)
+        rows.append((shard, block, _blob(np.array([len(p) for p, _, _ in items], np.uint32)), b"".join(p for p, _, _ in items), _blob(keys[where]), _blob(where.astype(np.uint32)), _blob((np.array([x for _, _, x in items]) - offsets[where]).astype(np.uint32))))
+    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, _PIECE_SCHEMA, strict=True)], schema=_PIECE_SCHEMA)
 
 
 def _string_hashes(text: np.ndarray) -> np.ndarray:
@@ -282,7 +281,7 @@ def _sort_shard(table: pa.Table) -> pa.Table:
     if table.column("shard")[0].as_py() < 0:  # marks on their way home
         return pa.Table.from_arrays([table.column("block"), table.column("bytes")], schema=_MARK_SCHEMA)
     distinct: dict[bytes, int] = {}
-    number, docs, starts, origin, owners = [], [], [], [], []
+    number, docs, places, starts, origin, owners = [], [], [], [], [], []
     for r in range(table.num_rows):
         body, at = table.column("bytes")[r].as_buffer().to_pybytes(), 0
         keys = _array(table.column("docs")[r], np.int64)
@@ -295,9 +294,10 @@ def _sort_shard(table: pa.Table) -> pa.Table:
             number.append(k)
             at += n
         docs.append(keys)
+        places.append(_array(table.column("rows")[r], np.uint32).astype(np.int64))
         starts.append(_array(table.column("starts")[r], np.uint32).astype(np.int64))
         origin.append(np.full(len(keys), table.column("block")[r].as_py()))
-    number, docs, starts, origin = np.array(number), np.concatenate(docs), np.concatenate(starts), np.concatenate(origin)
+    number, docs, places, starts, origin = np.array(number), *map(np.concatenate, (docs, places, starts, origin))
     owners = np.array(owners, np.int64)
     least = smallest_owners(list(distinct), owners)
     counts = np.array([len(x) for x in least])
@@ -311,7 +311,7 @@ def _sort_shard(table: pa.Table) -> pa.Table:
     out = []
     for b in np.unique(origin[row]):
         mine = origin[row] == b
-        out.append((int(b), _blob(_merge_spans(docs[row[mine]], start[mine], start[mine] + LENGTH))))
+        out.append((int(b), _blob(_merge_spans(places[row[mine]], start[mine], start[mine] + LENGTH))))
     return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True) if out else [[]] * 2, _MARK_SCHEMA, strict=True)], schema=_MARK_SCHEMA)
 
 
@@ -323,7 +323,7 @@ def _remove(docs: pa.Table, marks: pa.Table) -> pa.Table:
     rows = [_array(x, np.int64).reshape(-1, 3) for x in marks.column("marks")] if marks.num_rows else []
     rows = np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
     spans = _merge_spans(rows[:, 0], rows[:, 1], rows[:, 2])
-    low, high = np.searchsorted(spans[:, 0], keys, "left"), np.searchsorted(spans[:, 0], keys, "right")
+    low, high = (np.searchsorted(spans[:, 0], np.arange(len(keys)), side) for side in ("left", "right"))  # marks name a document by its place in the block
     n, cut, kept = [], [], []
     for a, b, i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), low.tolist(), high.tolist(), strict=True):
         mine = [(s, min(e, b - a)) for s, e in spans[i:j, 1:].tolist() if s < b - a]
@@ -341,13 +341,9 @@ def _remove(docs: pa.Table, marks: pa.Table) -> pa.Table:
 def cut_repeats(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (start and stop of each removed run, flat), kept (what remains, as bytes)."""
     n = blocks or max(8, 2 * docs.rdd.getNumPartitions())
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n))).repartition(n, "block")
+    dealt = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n))).repartition(n, "block")
     prints = dealt.groupBy("block").applyInArrow(lambda t: _send_prints(t, n), "owner long, block long, prints binary, sizes binary")
     shared = prints.repartition(n, "owner").groupBy("owner").applyInArrow(_answer_prints, "block long, prints binary").repartition(n, "block")
-    pieces = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda a, b: _send_pieces(a, b, 2 * n), "shard long, block long, lengths binary, bytes binary, docs binary, starts binary")
+    pieces = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda a, b: _send_pieces(a, b, 2 * n), "shard long, block long, lengths binary, bytes binary, docs binary, rows binary, starts binary")
     marks = pieces.repartition(2 * n, "shard").groupBy("shard").applyInArrow(_sort_shard, "block long, marks binary").repartition(n, "block")
     return dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove, "doc_id long, n_bytes long, spans array<long>, kept binary")
-
-
-def sha256(b: bytes) -> str:
-    return hashlib.sha256(b).hexdigest()

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import stage_path
+from folioscan.llm.common import pick, stage_path
 from folioscan.llm.elias_fano import Segment, write_segment
 from folioscan.llm.tokens import encoder, slices, text_sizes
 
@@ -59,7 +59,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, pa
         if keys:
             yield flush()
 
-    ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("_h")).repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
+    ranged = pick(docs, "doc_id", "text").withColumn("_h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "_h").sortWithinPartitions("doc_id", "_h").select("doc_id", "text")
     ranged.mapInArrow(pack, "part int, seq int, n_docs long, n_ids long, image binary").write.option("compression", "zstd").option("parquet.block.size", str(32 << 20)).parquet(path)
 
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import gapless, ordinals, stage
+from folioscan.llm.common import gapless, ordinals, pick, stage
 
 FANOUT = 16
 
@@ -41,7 +41,7 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
 def digests(pages: DataFrame) -> DataFrame:
     """(key, nth, length, sha256) of every record; nth tells the records of one key apart."""
     record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
-    slim = pages.select(F.col("page_id").cast("string").alias("key"), "page_id", record.alias("_r")).select(
+    slim = pick(pages, "page_id", "url", "html").select(F.col("page_id").cast("string").alias("key"), "page_id", record.alias("_r")).select(
         F.coalesce("key", F.lit("null")).alias("key"), "page_id", F.octet_length("_r").cast("long").alias("length"), F.sha2("_r", 256).alias("sha256")
     )
     return stage(gapless(stage(slim, "digests"), ["key"], ["sha256"], "nth"), "digests")
@@ -99,4 +99,5 @@ def with_faults(pages: DataFrame) -> DataFrame:
     """A second replica with known faults, for drills: every 97th page altered in its first character, every 193rd cut by one, every 389th lost."""
     html = F.coalesce("html", F.lit(""))
     altered = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("?"), F.substring(html, 2, 2_000_000_000))).when(F.col("page_id") % 193 == 7, F.expr("left(coalesce(html, ''), greatest(length(coalesce(html, '')) - 1, 0))")).otherwise(html)
+    pages = pick(pages, "page_id", "url", "html")
     return pages.filter(F.col("page_id").isNull() | (F.col("page_id") % 389 != 11)).select("page_id", "url", altered.alias("html"))

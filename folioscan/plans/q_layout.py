@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as g
-from folioscan.operators import kernels, spatial
+from folioscan.operators import alignment, kernels, spatial
 from folioscan.plans import views as v
 from folioscan.plans.registry import query
 
@@ -510,3 +510,24 @@ def label_value_search(spark, d):
     c = b.select(F.col("page_ix").alias("_p"), F.col("box_id").alias("_id"), F.col("x0").alias("_x0"), F.col("y0").alias("_y0"))
     after = (F.col("page_ix") == F.col("_p")) & (F.col("_id") > F.col("box_id")) & (F.abs(F.col("_y0") - F.col("y0")) <= 3) & (F.col("_x0") > F.col("x0")) & (F.col("_x0") - F.col("x1") <= 75)
     return b.join(c, after, "left").groupBy("page_ix", "box_id").agg(F.min("_id").alias("value_box"))
+
+
+def _column_of_amounts(spark, d) -> DataFrame:
+    """Amounts that end at 500 points, every eleventh customer's a little farther right."""
+    f = v.forms(spark, d).join(v.table(spark, d, "orders").select(F.col("o_orderkey").alias("pair_id"), "o_custkey"), "pair_id")
+    x1 = F.when(F.col("o_custkey") % 11 == 0, 512.3).otherwise(500.0)
+    y0 = (F.col("pair_id") % 40 * 11).cast("double")
+    return f.select("page_ix", F.col("pair_id").alias("box_id"), F.col("value").alias("text"), (x1 - 6 * F.length("value")).alias("x0"), y0.alias("y0"), x1.alias("x1"), (y0 + 9).alias("y1"))
+
+
+@query()
+def block_alignment(spark, d):
+    """Alignment of the blocks of iterative splitting."""
+    blocked = alignment.assign_blocks(_column_of_amounts(spark, d), ["page_ix"], "box_id")
+    return alignment.block_alignment(blocked, ["page_ix"], "box_id").select("page_ix", "block_id", "cells", "alignment", "baseline", "confidence")
+
+
+@query()
+def alignment_anomalies(spark, d):
+    """The whole alignment pipeline over columns of amounts."""
+    return alignment.anomalies(_column_of_amounts(spark, d), ["page_ix"], "box_id")

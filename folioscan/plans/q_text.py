@@ -342,3 +342,70 @@ def clip_walk(spark, d):
 
     e = v.table(spark, d, "events").select((F.col("user_id") % 200).alias("page"), "event_id", "event_type")
     return kernels.per_page(e, ["page"], kernel, "page long, event_id long, has_clip boolean")
+
+
+@query()
+def hidden_text(spark, d):
+    """Cells of one rendering that the other hides, with the kinds of matching.hidden_text; a document and line make a page."""
+    from folioscan.operators import matching
+
+    def page(df: DataFrame) -> DataFrame:
+        ascii = F.regexp_replace("text", "[^ -~]", "?")
+        return df.select("doc_id", F.col("line_no").alias("page_ix"), F.col("w").alias("cell_index"), ascii.alias("text"), "x0", "y0", "x1", "y1")
+
+    return matching.hidden_text(page(v.cells(spark, d)), page(v.visible(spark, d)), mode="word")
+
+
+@query("select cast(l_orderkey // 200 as bigint) as doc_id, count(*) as n_findings, count(distinct l_returnflag || l_linestatus) as kinds from lineitem where l_quantity > 45 group by 1")
+def report_per_document(spark, d):
+    """Findings gathered into one row per document."""
+    from folioscan.operators import report
+
+    t = v.table(spark, d, "lineitem").filter("l_quantity > 45").select(F.floor(F.col("l_orderkey") / 200).cast("long").alias("doc_id"), F.concat("l_returnflag", "l_linestatus").alias("kind"), F.col("l_partkey").alias("item"))
+    return report.per_document(t).select("doc_id", "n_findings", F.size(F.array_distinct(F.transform("findings", lambda x: x["kind"]))).cast("long").alias("kinds"))
+
+
+@query("""with f as (select cast(l_orderkey // 200 as bigint) as doc_id, 'item ' || l_partkey || ' ' || l_suppkey || ' ' || l_orderkey || ' ' || l_linenumber as text, case when l_quantity > 49 then 'HIGH' else 'LOW' end as severity from lineitem where l_quantity > 48),
+r as (select *, count(*) over (partition by doc_id) as n, row_number() over (partition by doc_id order by case severity when 'HIGH' then 0 else 2 end, text) as k from f)
+select doc_id, cast(k + 2 as integer) as line_no, '- [' || severity || '] ' || left(text, 60) as line from r where k <= 20
+union all select doc_id, 1, '# Document ' || doc_id from r where k = 1 union all select doc_id, 2, n || ' findings' from r where k = 1""")
+def report_markdown(spark, d):
+    """Lines of a report: a heading, a count and the 20 gravest findings of each document."""
+    from folioscan.operators import report
+
+    t = v.table(spark, d, "lineitem").filter("l_quantity > 48")
+    f = t.select(F.floor(F.col("l_orderkey") / 200).cast("long").alias("doc_id"), F.concat_ws(" ", F.lit("item"), "l_partkey", "l_suppkey", "l_orderkey", "l_linenumber").alias("text"), F.when(F.col("l_quantity") > 49, "HIGH").otherwise("LOW").alias("severity"))
+    return report.markdown(f)
+
+
+@query("""with f as (select o_orderkey % 500 as doc_id, case when o_totalprice > 400000 then 'HIGH' when o_totalprice > 390000 then 'MEDIUM' else 'LOW' end as severity from orders where o_totalprice > 380000), p as (
+  select doc_id, count(*) filter (severity = 'HIGH') as h, count(*) filter (severity = 'MEDIUM') as m, count(*) filter (severity = 'LOW') as l from f group by 1), dd as (select distinct o_orderkey % 500 as doc_id from orders)
+select count(*) as documents, count(h) as with_findings, cast(coalesce(sum(h), 0) as bigint) as high, cast(coalesce(sum(m), 0) as bigint) as medium, cast(coalesce(sum(l), 0) as bigint) as low from dd left join p using (doc_id)""")
+def report_summary(spark, d):
+    from folioscan.operators import report
+
+    o = v.table(spark, d, "orders").withColumn("doc_id", F.col("o_orderkey") % 500)
+    severity = F.when(F.col("o_totalprice") > 400000, "HIGH").when(F.col("o_totalprice") > 390000, "MEDIUM").otherwise("LOW")
+    return report.summary(o.filter("o_totalprice > 380000").select("doc_id", severity.alias("severity")), o.select("doc_id").distinct())
+
+
+@query(f"with {v.FORMS} select page_ix, pair_id, label || value as text, strpos(label || value, ':') as colon from forms where strpos(label || value, ':') > 1 and value <> ''")
+def inline_colon_pairs(spark, d):
+    """Cells that hold a label and a value around a colon."""
+    from folioscan.operators import pairs
+
+    f = v.forms(spark, d).select("page_ix", "pair_id", F.concat("label", F.lit(" "), "value").alias("text"), F.lit(40.0).alias("x0"), F.col("value_x1").alias("x1"))
+    p = pairs.inline_pairs(f)
+    return p.select("page_ix", "pair_id", F.concat("label", F.lit(":"), "value").alias("text"), (F.length("label") + 1).alias("colon"))
+
+
+@query(f"with {v.FORMS} select page_ix, pair_id, rtrim(label, ':') as label, value, value_x0 - label_x1 as spacing, value_x1 from forms")
+def chained_colon_pairs(spark, d):
+    """Labels and the cells after them, in payload order."""
+    from folioscan.operators import pairs
+
+    f = v.forms(spark, d)
+    label = f.select("page_ix", (F.col("pair_id") * 2).alias("cell"), F.col("label").alias("text"), F.lit(40.0).alias("x0"), F.col("label_x1").alias("x1"), "y0")
+    value = f.select("page_ix", (F.col("pair_id") * 2 + 1).alias("cell"), F.col("value").alias("text"), F.col("value_x0").alias("x0"), F.col("value_x1").alias("x1"), "y0")
+    p = pairs.chained_pairs(label.unionByName(value), ["page_ix"], "cell")
+    return p.select("page_ix", (F.col("cell") / 2).cast("long").alias("pair_id"), "label", "value", "spacing", "value_x1")

@@ -31,12 +31,13 @@ def listing(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFra
 
 
 def stem(path: Column) -> Column:
-    return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    """The name without folder and extension; Spark gives names percent-encoded."""
+    return F.regexp_extract(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), r"([^/]+?)(?:\.[^./]*)?$", 1)
 
 
 def read(spark: SparkSession, path: str, schema: str = PAYLOAD) -> DataFrame:
     """A row per payload file, with doc_id from its name and _error where it isn't JSON of this shape."""
-    raw = spark.read.text(path, wholetext=True).withColumn("doc_id", stem(F.col("_metadata.file_path"))).withColumn("_size", F.col("_metadata.file_size"))
+    raw = spark.read.text(path, wholetext=True).withColumn("doc_id", stem(F.col("_metadata.file_name"))).withColumn("_size", F.col("_metadata.file_size"))
     parsed = raw.withColumn("p", F.from_json("value", f"{schema}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     return parsed.select("doc_id", F.col("_size").alias("file_size"), "p.*").withColumn("_error", F.when(F.col("_corrupt").isNotNull(), "malformed")).drop("_corrupt")
 
@@ -113,7 +114,7 @@ def spans(payloads: DataFrame) -> DataFrame:
 def ocr_cells(payloads: DataFrame) -> DataFrame:
     """Lines of an OCR result, inches to points; confidence is the mean of the words', 0 without words."""
     p = payloads.select("doc_id", F.explode("pages").alias("p")).select("doc_id", (F.col("p.page_number") - 1).alias("page_ix"), F.posexplode("p.lines").alias("cell_index", "l"))
-    xs, ys = (F.filter("l.polygon", lambda x, i, k=k: i % 2 == k) for k in (0, 1))
+    xs, ys = F.filter("l.polygon", lambda x, i: i % 2 == 0), F.filter("l.polygon", lambda x, i: i % 2 == 1)
     n = F.size("l.words")
     confidence = F.when(n > 0, F.aggregate("l.words", F.lit(0.0), lambda s, w: s + w["confidence"]) / n).otherwise(0.0)
     return p.select("doc_id", "page_ix", "cell_index", F.col("l.content").alias("text"), (F.array_min(xs) * 72).alias("x0"), (F.array_min(ys) * 72).alias("y0"), (F.array_max(xs) * 72).alias("x1"), (F.array_max(ys) * 72).alias("y1"), confidence.alias("confidence"))

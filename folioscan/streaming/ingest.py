@@ -11,7 +11,7 @@ from folioscan.sources import payload
 
 def payload_stream(spark: SparkSession, folder: str, schema: str = payload.PAYLOAD) -> DataFrame:
     """Payloads as they are dropped into a folder."""
-    raw = spark.readStream.format("text").option("wholetext", True).load(folder).select("value", payload.stem(F.col("_metadata.file_path")).alias("doc_id"))
+    raw = spark.readStream.format("text").option("wholetext", True).load(folder).select("value", payload.stem(F.col("_metadata.file_name")).alias("doc_id"))
     return raw.select("doc_id", F.from_json("value", schema).alias("p")).select("doc_id", "p.*")
 
 

@@ -19,29 +19,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Words and units remembered by a worker; a memory is emptied beyond it.
-WORDS, UNITS = 1_000_000, 1_500_000
+#: Units remembered by a worker; the memory is emptied beyond it.
+UNITS = 1_000_000
 #: Stands between words while they are split; white space to the patterns, and words that have it are encoded whole.
 SEPARATOR = "\v"
 #: Fixed value: the splitting pattern of byte-level BPE.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they are met; -1 for one that can't be encoded by itself."""
-
-    def __init__(self, lead: str, new: list[str], first: int):
-        super().__init__()
-        self.lead, self.new, self.base = lead, new, first
-
-    def __missing__(self, word: str) -> int:
-        if not word or word[0].isspace() or word[-1].isspace():
-            n = -1
-        else:
-            n = self.base + len(self.new)
-            self.new.append(self.lead + word)
-        self[word] = n
-        return n
+#: Words that can't be encoded by themselves: empty, or white space at either end.
+_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_APART = f"^$|^{_SPACES}|{_SPACES}$"
 
 
 class _Units(dict):
@@ -118,13 +106,6 @@ class Encoder:
 
     def _forget(self) -> None:
         self.units, self.unit_ids = _Units(), _Ranges()
-        self._forget_words()
-
-    def _forget_words(self) -> None:
-        self.words, self.new = _Ranges(), []
-        self.first, self.later = _Numbers("", self.new, 2), _Numbers(" ", self.new, 2)
-        self.first[""] = 1  # a text that is empty or begins with one space
-        self.words.add(self.end, np.array([len(self.end), 0]))  # 0: the end of a text, 1: nothing
 
     def raw(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The library's own ids: (all in a row, how many of each text)."""
@@ -164,11 +145,10 @@ class Encoder:
         good = [SEPARATOR not in w and bool(self.plain.fullmatch(w)) and not self.special.search(w.lower()) for w in words]
         return list(itertools.compress(words, good)), [w for w, g in zip(words, good, strict=True) if not g]
 
-    def _learn(self) -> None:
-        if not self.new:
-            return
-        split, whole = self._split(self.new)
-        numbers, sizes = [], []
+    def _ids_of(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of these words in a row, how many of each)."""
+        split, whole = self._split(words)
+        numbers, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         if split:
             text = SEPARATOR.join(split)
             units = self.splitter.findall(text.lower() if self.lower else text)
@@ -188,40 +168,44 @@ class Encoder:
         counts = total[ends] - total[ends - sizes]
         if split and whole:  # back to the words' own order
             at = {w: i for i, w in enumerate(split + whole)}
-            order = [at[w] for w in self.new]
+            order = np.array([at[w] for w in words])
             starts = np.cumsum(counts) - counts
             ids = np.concatenate([ids[starts[i] : starts[i] + counts[i]] for i in order])
             counts = counts[order]
-        self.words.add(ids, counts)
-        self.new.clear()
-        self.first.base = self.later.base = self.words.n
+        return ids, counts
 
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, how many of each), the end id behind each text if there is one. None counts as empty."""
         if len(self.units) > UNITS:
             self._forget()
-        elif len(self.later) + len(self.first) > WORDS:
-            self._forget_words()
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         cut = pc.split_pattern(texts, " ")
         stops = cut.offsets.to_numpy().astype(np.int64) - cut.offsets[0].as_py()
         words = cut.flatten()
-        heads = words.take(pa.array(stops[:-1])).to_pylist()
-        coded = words.dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        known = np.fromiter(map(self.later.__getitem__, distinct), np.int64, len(distinct))
-        first = np.fromiter(map(self.first.__getitem__, heads), np.int64, len(heads))
-        self._learn()
-        number = known[coded.indices.to_numpy()]
-        number[stops[:-1]] = first  # heads have numbers of their own
+        # numbers 0: the end of a text, 1: nothing, then the distinct words with a space before them, then the texts' first words
+        table, number = _Ranges(), np.zeros(0, np.int64)
+        table.add(self.end, np.array([len(self.end), 0]))
+        for some, lead in ((words, " "), (words.take(pa.array(stops[:-1])), "")):
+            coded = some.dictionary_encode()
+            apart = pc.match_substring_regex(coded.dictionary, _APART).to_numpy(zero_copy_only=False)
+            good = np.flatnonzero(~apart)
+            of = np.full(len(apart), -1, np.int64)
+            of[good] = table.n + np.arange(len(good))
+            if len(good):
+                table.add(*self._ids_of([lead + w for w in coded.dictionary.take(pa.array(good)).to_pylist()]))
+            if lead:
+                number = of[coded.indices.to_numpy()]
+            else:
+                of[pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False)] = 1  # a text that is empty or begins with one space
+                number[stops[:-1]] = of[coded.indices.to_numpy()]
         number = np.insert(number, stops[1:], 0)
         ends = stops[1:] + np.arange(1, len(texts) + 1)
         begins = np.concatenate(([0], ends[:-1]))
         alone = number < 0
         number[alone] = 1
-        ids, counts = self.words.take(number)
+        ids, counts = table.take(number)
         total = np.concatenate(([0], np.cumsum(counts)))
         at, n = total[begins], total[ends] - total[begins]
         if alone.any():

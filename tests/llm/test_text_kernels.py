@@ -22,9 +22,8 @@ def test_encoder_equals_the_library(name, end, monkeypatch):
         flat, n = e.encode(texts)
         assert n.tolist() == [len(x) for x in ids]
         assert flat.tolist() == [i for x in ids for i in x]
-    monkeypatch.setattr(tokens, "WORDS", 5)
     monkeypatch.setattr(tokens, "UNITS", 9)
-    for _ in range(4):  # memories are emptied on the way
+    for _ in range(4):  # the memory is emptied on the way
         flat, _ = e.encode(ODD)
         assert flat.tolist() == [i for x in want for i in x]
 

@@ -147,7 +147,7 @@ def top_buckets_per_side(spark, d):
     return c.withColumn("rank", F.row_number().over(Window.partitionBy("page_ix", "side").orderBy(F.desc("n"), "bucket"))).filter("rank <= 20")
 
 
-_ISLANDS = """i as (select *, sum(case when gap > {eps} or gap is null then 1 else 0 end) over (partition by {keys} order by c, box_id) as island from (
+_ISLANDS = """i as (select *, cast(sum(case when gap > {eps} or gap is null then 1 else 0 end) over (partition by {keys} order by c, box_id) as bigint) as island from (
   select *, c - lag(c) over (partition by {keys} order by c, box_id) as gap from {source}))"""
 
 
@@ -176,7 +176,7 @@ def islands_horizontal_in_band(spark, d):
 @query(f"""with {v.BOXES}, b as (select *, (y0 + y1) / 2 as c from boxes), {_ISLANDS.format(eps=12, keys="page_ix", source="b")},
 big as (select *, count(*) over (partition by page_ix, island) as size from i),
 b2 as (select page_ix, island as band, box_id, (x0 + x1) / 2 as c, x0, y0, x1, y1 from big where size >= 2),
-j as (select *, sum(case when gap > 40 or gap is null then 1 else 0 end) over (partition by page_ix, band order by c, box_id) as block from (select *, c - lag(c) over (partition by page_ix, band order by c, box_id) as gap from b2))
+j as (select *, cast(sum(case when gap > 40 or gap is null then 1 else 0 end) over (partition by page_ix, band order by c, box_id) as bigint) as block from (select *, c - lag(c) over (partition by page_ix, band order by c, box_id) as gap from b2))
 select page_ix, band, block, count(*) as cell_count, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from j group by 1, 2, 3 having count(*) >= 2""")
 def two_stage_blocks(spark, d):
     """Bands of centres along y, then groups along x in each band."""
@@ -366,7 +366,7 @@ def baseline_first_within(spark, d):
 
 @query(f"""with {v.BOXES}, s as (
   select *, case when x0 - max(x1) over (partition by page_ix, y1 order by x0, x1, box_id rows between unbounded preceding and 1 preceding) <= 14 then 0 else 1 end as new from boxes
-), r as (select *, sum(new) over (partition by page_ix, y1 order by x0, x1, box_id) as segment from s)
+), r as (select *, cast(sum(new) over (partition by page_ix, y1 order by x0, x1, box_id) as bigint) as segment from s)
 select page_ix, y1, segment, count(*) as cells, string_agg(text, ' ' order by x0, x1, box_id) as text, min(x0) as x0, max(x1) as x1 from r group by 1, 2, 3
 having length(replace(string_agg(text, ' ' order by x0, x1, box_id), ' ', '')) >= 5 and count(*) >= 2""")
 def baseline_intrusion_segments(spark, d):

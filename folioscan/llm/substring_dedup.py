@@ -2,7 +2,7 @@
 
 A byte goes if a string of LENGTH bytes that covers it also starts in a document with a smaller doc_id. Documents are
 dealt into blocks by a hash. Each string of LENGTH bytes has a fingerprint, the smallest hash of the GRAM-byte strings
-inside it, so equal strings have equal fingerprints, and neighbouring strings mostly share theirs: the maximal run of
+inside it, mixed again, so equal strings have equal fingerprints, and neighbouring strings mostly share theirs: the maximal run of
 strings with one fingerprint is a piece.
 
 1. Each block sends its distinct fingerprints to their owners, which send back those that two documents have.
@@ -71,7 +71,7 @@ def fingerprints(b: np.ndarray) -> np.ndarray:
         while 2 * reach <= width:
             g = np.minimum(g[:-reach], g[reach:])
             reach *= 2
-        out[lo:hi] = np.minimum(g[: hi - lo], g[width - reach : width - reach + hi - lo])
+        out[lo:hi] = mix(np.minimum(g[: hi - lo], g[width - reach : width - reach + hi - lo]))  # minima lie low: spread them
     return out
 
 

@@ -18,7 +18,6 @@ Empty tables: no rows, or no hits. Extra columns: ignored by `report`, kept by `
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -233,7 +232,3 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle:
 
         left = left.mapInArrow(keep, schema)
     return left.toDF(*docs.columns)
-
-
-def items_digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

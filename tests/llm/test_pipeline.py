@@ -41,3 +41,15 @@ def test_queries_of_the_package_run_at_the_smallest_scale(spark):
 def test_nothing_else_imports_the_package():
     code = "import sys, json; import folioscan.plans.registry as r; r.load(); import folioscan.sources.payload, folioscan.streaming.ingest; print(json.dumps([m for m in sys.modules if m.startswith('folioscan.llm')]))"
     assert json.loads(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) == []
+
+
+def test_release_deletes_what_was_staged(spark, tmp_path):
+    import os
+
+    from folioscan.llm import common
+
+    common.stage(spark.range(3).toDF("x"), "t")
+    folder = f"{common.shared_dir(spark)}/folioscan/{spark.sparkContext.applicationId}".removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(folder)
+    common.release(spark)
+    assert not os.path.exists(folder)

@@ -531,3 +531,33 @@ def block_alignment(spark, d):
 def alignment_anomalies(spark, d):
     """The whole alignment pipeline over columns of amounts."""
     return alignment.anomalies(_column_of_amounts(spark, d), ["page_ix"], "box_id")
+
+
+@query(f"""with {v.BOXES} select page_ix, cast(floor(x0 / 100) as bigint) as column_ix, count(*) as cells, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, left(string_agg(text, ' ' order by y0, box_id), 50) as text from boxes group by 1, 2""")
+def table_columns(spark, d):
+    """Columns of a page's grid as layout blocks: the union of their cells and the first 50 characters."""
+    b = v.boxes(spark, d).withColumn("column_ix", F.floor(F.col("x0") / 100).cast("long"))
+    text = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("y0", "box_id", "text"))), lambda s: s["text"]), " ")
+    return b.groupBy("page_ix", "column_ix").agg(F.count("*").alias("cells"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))], F.left(text, F.lit(50)).alias("text"))
+
+
+@query(f"""with {v.BOXES}, {v.STRUCTURE} select b.page_ix, b.box_id, count(*) as items from boxes b join structure s on b.page_ix = s.page_ix and b.y0 <= s.sy1 + 5 and s.sy0 <= b.y1 + 5 group by 1, 2""")
+def vertical_overlap(spark, d):
+    """How many structural items share a box's rows, give or take five points."""
+    s = v.structure(spark, d).select(F.col("page_ix").alias("_p"), *[F.col(c) for c in ("sx0", "sy0", "sx1", "sy1")])
+    j = v.boxes(spark, d).join(s, (F.col("page_ix") == F.col("_p")) & g.overlap_vertically(g.box(), [F.col(c) for c in ("sx0", "sy0", "sx1", "sy1")]))
+    return j.groupBy("page_ix", "box_id").agg(F.count("*").alias("items"))
+
+
+@query()
+def dbscan_blocks(spark, d):
+    """Blocks by density in the plane of (0.2 centre x, centre y); noise is left out."""
+    from folioscan.operators import outliers
+
+    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("box_id").reset_index(drop=True)
+        label = outliers.dbscan_2d(((p[["x0", "y0"]].to_numpy() + p[["x1", "y1"]].to_numpy()) / 2) * [0.2, 1.0])
+        p = p.assign(block_id=label)[label >= 0]
+        return p.groupby(["page_ix", "block_id"], as_index=False).agg(cell_count=("box_id", "size"), x0=("x0", "min"), y0=("y0", "min"), x1=("x1", "max"), y1=("y1", "max"))
+
+    return kernels.per_page(v.boxes(spark, d), ["page_ix"], kernel, "page_ix long, block_id long, cell_count long, x0 double, y0 double, x1 double, y1 double")

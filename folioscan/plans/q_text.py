@@ -319,11 +319,11 @@ def latest_version_scan(spark, d):
     return e.select("doc", "latest", "value", F.from_json("p", "k int")["k"].alias("k"), "versions")
 
 
-@query("""with s as (select s_suppkey as font_id, s_name as name, 'Supplier#' || lpad(cast(s_suppkey as varchar), 9, '0') as key from supplier), e as (select l_orderkey, l_linenumber, l_suppkey, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as n from lineitem)
+@query("""with s as (select s_suppkey as font_id, s_name as name, 'Supplier#' || lpad(cast(s_suppkey as varchar), 9, '0') as key from supplier), e as (select l_orderkey, l_linenumber, l_suppkey, row_number() over (partition by l_orderkey % 50 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as n from lineitem)
 select l_orderkey % 50 as page, s.name as font, count(*) as spans, bool_or(n % 4 = 0) as has_clip from e join s on l_suppkey = font_id and (contains(s.name, s.key) or contains(s.key, s.name)) group by 1, 2""")
 def font_elements(spark, d):
     """Spans joined with their fonts by names that hold each other, and the clip flags of their events united."""
-    w = Window.orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    w = Window.partitionBy(F.col("l_orderkey") % 50).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     e = v.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", F.row_number().over(w).alias("n"))
     s = v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("font_id"), F.col("s_name").alias("font"), F.concat(F.lit("Supplier#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("key"))
     j = e.join(s, (F.col("l_suppkey") == F.col("font_id")) & (F.col("font").contains(F.col("key")) | F.col("key").contains(F.col("font"))))
@@ -409,3 +409,23 @@ def chained_colon_pairs(spark, d):
     value = f.select("page_ix", (F.col("pair_id") * 2 + 1).alias("cell"), F.col("value").alias("text"), F.col("value_x0").alias("x0"), F.col("value_x1").alias("x1"), "y0")
     p = pairs.chained_pairs(label.unionByName(value), ["page_ix"], "cell")
     return p.select("page_ix", (F.col("cell") / 2).cast("long").alias("pair_id"), "label", "value", "spacing", "value_x1")
+
+
+@query("""with recursive e as (select n_nationkey as id, case when n_nationkey >= 3 then n_nationkey // 3 end as parent, case when n_nationkey % 4 = 0 then n_regionkey end as page from nation),
+t as (select id, parent, page, 0 as depth from e where parent is null union all select e.id, e.parent, coalesce(e.page, t.page), t.depth + 1 from e join t on e.parent = t.id) select * from t""")
+def element_tree(spark, d):
+    """Nested elements flattened, a page inherited from the parent."""
+    from folioscan.sources import payload
+
+    n = v.table(spark, d, "nation")
+    parent = F.when(F.col("n_nationkey") >= 3, F.floor(F.col("n_nationkey") / 3).cast("int"))
+    rows = n.select(F.lit("doc").alias("doc_id"), F.col("n_nationkey").alias("id"), parent.alias("parent"), F.when(F.col("n_nationkey") % 4 == 0, F.col("n_regionkey")).alias("page"))
+    return payload.flatten_elements(rows).drop("doc_id")
+
+
+@query(f"with {v.CELLS}, f as (select doc_id, line_no, w from cells where (doc_id + line_no + w) % 17 = 0), g as (select doc_id, line_no, w from cells where w % 34 = 0) select * from f except select * from g")
+def except_detected(spark, d):
+    """Findings that an earlier detector hasn't reported."""
+    c = v.cells(spark, d).select("doc_id", "line_no", "w")
+    found = c.filter((F.col("doc_id") + F.col("line_no") + F.col("w")) % 17 == 0)
+    return found.join(c.filter("w % 34 = 0").toDF("doc_id", "line_no", "w"), ["doc_id", "line_no", "w"], "left_anti").distinct()

@@ -81,7 +81,7 @@ def normalize(text: Column) -> Column:
 
 def normalize_clip(text: Column) -> Column:
     """No-break spaces as spaces, white space collapsed, case kept."""
-    return F.trim(F.regexp_replace(F.translate(text, " ", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(text, "\u00a0", " "), r"\s+", " "))
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:

@@ -42,3 +42,18 @@ def test_geometry_cases(spark):
     got = df.select(g.iou(a, b).alias("i"), g.overlap_score(a, b, "min").alias("m")).collect()
     for r, (_, _, iou, least) in zip(got, rows, strict=True):
         assert r.i == pytest.approx(iou) and r.m == pytest.approx(least)
+
+
+def test_text_functions(spark):
+    from pyspark.sql import functions as F
+
+    from folioscan.functions import text as tx
+
+    ops = spark.createDataFrame([("Tj", ["a"]), ("'", ["b"]), ('"', ["0", "0", "c"]), ("TJ", ["d", "-20.5", "e"]), ("re", ["1"])], "op string, operands array<string>")
+    assert [r.t for r in ops.select(tx.shown_text(F.col("op"), F.col("operands")).alias("t")).collect()] == ["a", "b", "c", "de", None]
+    texts = spark.createDataFrame([("A  b  C",), ("",)], "t string")
+    assert [r.t for r in texts.select(tx.normalize_clip(F.col("t")).alias("t")).collect()] == ["A b C", ""]
+    pair = spark.createDataFrame([("", ""), ("", "ab"), ("ab", "ab")], "a string, b string")
+    assert [r.s for r in pair.select(tx.levenshtein_ratio(F.col("a"), F.col("b")).alias("s")).collect()] == [1.0, 0.0, 1.0]
+    packed = spark.createDataFrame([(0x102030,)], "c int").select(*[c.alias(n) for c, n in zip(g.unpack_color(F.col("c")), "rgb", strict=True)]).first()
+    assert tuple(packed) == (16, 32, 48)

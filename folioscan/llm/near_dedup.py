@@ -11,9 +11,9 @@ at least 0.8.
 No bucket is paired out. In the first round the most popular member of each bucket (the one whose buckets are fullest,
 as the original of a group of copies is) is its centre and is compared with the others. The links found so far make
 components; a bucket whose members are all in one component is done, as no further link could change the classes. In
-a bucket that isn't, the next members outside its largest component become centres (64, then 1024, 16384, ...) and are
-compared with members of other components, pairs judged before excepted; then they leave. From here on pairs that
-cannot be links are left out by an exact bound: an odd sketch holds, for each of 2048 bits, the parity of the shingles
+a bucket that isn't, the next members outside its largest component become centres (4096, then 65,536, ...) and are
+compared with members of other components, pairs judged before excepted; then they leave. Pairs that cannot be links
+are left out by an exact bound before their sets are fetched: an odd sketch holds, for each of 2048 bits, the parity of the shingles
 that fall on it, so two sketches differ in no more bits than the sets differ in shingles. So every pair of a bucket is
 judged, in one component, or ruled out, while a group of copies costs a comparison or two a member. Texts that are
 equal are one document from the start. Components are found by alternating large-star and small-star steps.
@@ -184,7 +184,12 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     popular = active.join(active.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("id").agg(F.sum("n").alias("popular"))
     first = active.join(popular, "id").groupBy("key").agg(F.max(F.struct("popular", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("centre"))
     pairs = active.join(first, "key").filter("id <> centre")
-    judged, n_centres = None, 64
+    width = SKETCH // 64
+    apart = functools.reduce(operator.add, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(width)])
+    possible = apart * (1 + threshold) <= (F.col("size") + F.col("size_c")) * (1 - threshold) + 1e-6
+    of_centre = sketches.select(F.col("id").alias("centre"), F.col("size").alias("size_c"), *[F.col(f"s{i}").alias(f"c{i}") for i in range(width)])
+    pairs = pairs.select("centre", "id").distinct().join(of_centre, "centre").join(sketches, "id").filter(possible).select("centre", "id")
+    judged, n_centres = None, 4096
     while True:
         pairs = stage(pairs.select(F.least("centre", "id").alias("centre"), F.greatest("centre", "id").alias("id")).distinct(), "pairs")
         carried = pairs.join(items.withColumnsRenamed({"id": "centre", "items": "x"}), "centre").join(items.withColumnRenamed("items", "y"), "id").select("centre", "id", "x", "y")
@@ -199,10 +204,8 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
             return signed, found
         order = Window.partitionBy("key").orderBy("id")
         chosen = rooted.filter("root <> big").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n_centres)
-        centres = chosen.join(sketches, "id").select(F.col("key").alias("_k"), F.col("id").alias("centre"), F.col("root").alias("centre_root"), F.col("size").alias("size_c"), *[F.col(f"s{i}").alias(f"c{i}") for i in range(SKETCH // 64)])
-        apart = functools.reduce(operator.add, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(SKETCH // 64)])
-        possible = (F.col("root") != F.col("centre_root")) & (apart * (1 + threshold) <= (F.col("size") + F.col("size_c")) * (1 - threshold) + 1e-6)
-        pairs = rooted.join(sketches, "id").join(centres, (F.col("key") == F.col("_k")) & possible).select("centre", "id").distinct()
+        centres = chosen.select(F.col("key").alias("_k"), F.col("id").alias("centre"), F.col("root").alias("centre_root")).join(of_centre, "centre")
+        pairs = rooted.join(sketches, "id").join(centres, (F.col("key") == F.col("_k")) & (F.col("root") != F.col("centre_root")) & possible).select("centre", "id").distinct()
         pairs = pairs.select(F.least("centre", "id").alias("centre"), F.greatest("centre", "id").alias("id")).join(judged.select("centre", "id"), ["centre", "id"], "left_anti")
         active = rooted.join(chosen.select("key", "id"), ["key", "id"], "left_anti").select("key", "id")
         n_centres *= 16

@@ -156,22 +156,21 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id of each component of edges (a, b). Alternating stars; nothing is gathered."""
     now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
-    before = None
     while True:
+        # done when every node hangs on one root and no root hangs on another node
+        parents = now.groupBy("u").agg(F.count("*").alias("n"))
+        if parents.filter("n > 1").isEmpty() and now.join(now.select(F.col("u").alias("v")).distinct(), "v", "left_semi").isEmpty():
+            return now.select(F.col("u").alias("id"), F.col("v").alias("root"))
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
         now = stage(small, "stars")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return now.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("id"), "root")
-        before = state
 
 
 def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(signed, links): the documents' signatures with text digests, and verified pairs (a, b) of representatives."""
+    """(signed, roots): the documents' signatures and text numbers, and (id, root) of every text that a verified link joins to another."""
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("id"))
     signed = stage(texts.mapInArrow(_sign, _SIG_DDL), "signatures")
     reps = signed.groupBy("id").agg(F.first("bands").alias("bands"))
@@ -196,12 +195,13 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
         now = stage(carried.mapInArrow(_verify, "centre long, id long, similarity double"), "verified")
         judged = now if judged is None else judged.unionByName(now)
         found = judged.filter(F.col("similarity") >= threshold).select(F.col("centre").alias("a"), F.col("id").alias("b"))
-        rooted = active.join(components(found), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        roots = components(found)
+        rooted = active.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
         parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
         largest = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", (-F.col("root")).alias("minus"))).alias("top")).filter("parts > 1").select("key", (-F.col("top.minus")).alias("big"))
         rooted = stage(rooted.join(largest, "key"), "bucket-rows")
         if rooted.isEmpty():
-            return signed, found
+            return signed, roots
         order = Window.partitionBy("key").orderBy("id")
         chosen = rooted.filter("root <> big").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n_centres)
         centres = chosen.select(F.col("key").alias("_k"), F.col("id").alias("centre"), F.col("root").alias("centre_root")).join(of_centre, "centre")
@@ -213,9 +213,9 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
 
 def _roots(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(signed, (id, text_rep, root) of every text)."""
-    signed, found = links(docs, threshold)
+    signed, roots = links(docs, threshold)
     texts = signed.groupBy("id").agg(F.min("doc_id").alias("text_rep"))
-    return signed, stage(texts.join(components(found), "id", "left").withColumn("root", F.coalesce("root", "id")), "roots")
+    return signed, stage(texts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "roots")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

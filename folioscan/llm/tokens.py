@@ -13,14 +13,15 @@ from __future__ import annotations
 import itertools
 import json
 import os
+import threading
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-#: Units remembered by a worker; the memory is emptied beyond it.
-UNITS = 1_000_000
+#: Units remembered by a worker; the memory is emptied beyond it, and after so many idle seconds.
+UNITS, IDLE = 1_000_000, 1.5
 #: Stands between words while they are split; white space to the patterns, and words that have it are encoded whole.
 SEPARATOR = "\v"
 #: Fixed value: the splitting pattern of byte-level BPE.
@@ -102,8 +103,15 @@ class Encoder:
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.line = line[0] if not suffix and len(line) == 1 else None
         self.end = np.array([] if end_id is None else [end_id], np.uint32)
+        self.busy, self.timer = threading.Lock(), None
         self._forget()
 
+    def _rest(self) -> None:
+        """An idle worker of a later stage shouldn't hold what only this one needs."""
+        with self.busy:
+            self._forget()
+        pa.default_memory_pool().release_unused()
+
     def _forget(self) -> None:
         self.units, self.unit_ids = _Units(), _Ranges()
 
@@ -176,6 +184,16 @@ class Encoder:
 
     def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, how many of each), the end id behind each text if there is one. None counts as empty."""
+        if self.timer:
+            self.timer.cancel()
+        with self.busy:
+            found = self._encode(texts)
+        self.timer = threading.Timer(IDLE, self._rest)
+        self.timer.daemon = True
+        self.timer.start()
+        return found
+
+    def _encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.units) > UNITS:
             self._forget()
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")

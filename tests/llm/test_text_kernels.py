@@ -127,3 +127,16 @@ def test_weighted_sets_count_shingles():
     doc, item, times = near_dedup.weighted_sets(pa.array(["a b c d e a b c d e", "x y", "", "one two three four five"]))
     assert collections.Counter(doc.tolist()) == {0: 5, 1: 1, 3: 1}
     assert sorted(times.tolist()) == [1, 1, 1, 1, 1, 1, 2]
+
+
+def test_an_idle_encoder_forgets(monkeypatch):
+    import time
+
+    monkeypatch.setattr(tokens, "IDLE", 0.05)
+    e = tokens.Encoder(P.path("byte_bpe_50k.json"))
+    flat, _ = e.encode(["some words"])
+    assert len(e.units) > 1
+    time.sleep(0.5)
+    assert len(e.units) == 1
+    again, _ = e.encode(["some words"])
+    assert again.tolist() == flat.tolist()

@@ -21,8 +21,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without later repeated runs of lines; a document of which nothing is left goes."""
-    cut = line_dedup.dedup_lines(pick(docs, *COLUMNS)).filter("_n_removed = 0 or _n_removed < _n_lines")
+    """Texts without later copies of lines, single ones too; a document of which nothing is left goes."""
+    cut = line_dedup.dedup_lines(pick(docs, *COLUMNS), window=1).filter("_n_removed = 0 or _n_removed < _n_lines")
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

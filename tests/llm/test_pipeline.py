@@ -30,6 +30,14 @@ def test_stages_on_odd_rows(spark):
         step(spark, docs.limit(0), SF).collect()
 
 
+def test_single_lines_between_unlike_neighbours_go(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n {long}\nd"), (3, "one line"), (4, "one line"), (5, f"e\n\nf\n{long}")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
+    assert got == {1: (rows[0][1], len(rows[0][1])), 2: ("c\nd", 3), 3: ("one line", 8), 5: ("e\n\nf", 4)}
+
+
 def test_queries_of_the_package_run_at_the_smallest_scale(spark):
     from folioscan.llm.queries import QUERIES
 

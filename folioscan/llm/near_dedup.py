@@ -1,10 +1,13 @@
 """Near-duplicate detection: ProbMinHash signatures, banding, verification and connected components.
 
-A document is the weighted set of its shingles of five words, a shingle that occurs n times having weight 1 + ln n.
+A document is the set of its shingles of five words, taken twice: with all weights 1, and, where shingles repeat, with
+weight 1 + ln n for a shingle that occurs n times.
 Signatures. Every shingle is a Poisson process whose rate is its weight; each arrival falls on one of 64 registers,
 which keeps the shingle that arrived first. A document's processes end as soon as the next arrivals come later than
 the latest register (early termination). Two registers agree with the probability Jaccard similarity of the two
-documents. Banding. 16 bands of 4 registers: a pair at 0.8 shares a band with probability 0.9998.
+documents, which for weights of 1 is the plain one. Banding. 16 bands of 4 registers for the weights of 1: a pair at
+plain 0.8 shares a band with probability 0.9998, however often its shingles repeat. The bands of the weighted set come
+on top where they differ; alone they would miss pairs whose differing part is repeated text.
 Verification. A pair is a link if the plain Jaccard similarity of its shingles, computed from the sets themselves, is
 at least 0.8.
 
@@ -112,6 +115,18 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return shared / max(len(both) - shared, 1)
 
 
+def candidate_keys(n: int, doc: np.ndarray, element: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, keep): the bands of each document for weights of 1, then those for its weights, and which of them count."""
+    plain = bands_of(signatures(n, doc, element, np.ones(len(element))))
+    repeats, has = np.zeros(n, bool), np.zeros(n, bool)
+    repeats[doc[times > 1]] = True
+    has[doc] = True
+    part, number = repeats[doc], np.cumsum(repeats) - 1
+    weighted = plain.copy()
+    weighted[repeats] = bands_of(signatures(int(repeats.sum()), number[doc[part]], element[part], _weights(times[part])))
+    return np.concatenate((plain, weighted), axis=1), np.concatenate((np.broadcast_to(has[:, None], plain.shape), weighted != plain), axis=1)
+
+
 _SIG_DDL = "doc_id long, id long, bands array<long>"
 
 
@@ -119,13 +134,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b in slices(text_sizes(batch.column(1)), CHUNK):
             doc, element, times = weighted_sets(batch.column(1).slice(a, b - a))
-            keys = bands_of(signatures(b - a, doc, element, _weights(times)))
-            has = np.zeros(b - a, bool)
-            has[doc] = True
-            width = keys.shape[1]
-            ends = np.concatenate(([0], np.cumsum(has * width))).astype(np.int32)
+            keys, keep = candidate_keys(b - a, doc, element, times)
+            ends = np.concatenate(([0], np.cumsum(keep.sum(axis=1)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[has].ravel()))], names=["doc_id", "id", "bands"]
+                [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[keep]))], names=["doc_id", "id", "bands"]
             )
 
 

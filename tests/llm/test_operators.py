@@ -274,6 +274,16 @@ def test_near_dedup_of_a_hot_group(frame):
     assert got == _near_brute(rows)
 
 
+def test_near_dedup_where_the_differing_part_is_repeated(frame):
+    """Pairs at plain 0.8: 100 shared shingles and 25 of a footer that is repeated."""
+    rows = []
+    for g in range(20):
+        base, footer = [f"b{g}x{i}" for i in range(104)], [f"f{g}x{i}" for i in range(21)]
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base + footer * (10, 50, 100)[g % 3]))]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(frame(rows)).collect()}
+    assert got == {k: k - k % 2 for k, _ in rows}
+
+
 def test_empty_tables(frame):
     empty = frame([])
     assert near_dedup.classes(empty).count() == 0

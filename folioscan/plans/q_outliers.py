@@ -104,7 +104,7 @@ def isolation_scores(spark, d):
         p = p.sort_values("id")
         return p[["doc", "id"]].assign(score=outliers.isolation_scores(outliers.matrix(p.x)))
 
-    return _per_document(v.features(spark, d), kernel, "doc long, id long, score double")
+    return _per_document(v.features(spark, d, whole=True), kernel, "doc long, id long, score double")
 
 
 @query()
@@ -114,7 +114,7 @@ def yeo_johnson(spark, d):
         y, lambdas = outliers.yeo_johnson(outliers.matrix(p.x))
         return p[["doc", "id"]].assign(y=list(y), lambdas=[lambdas] * len(p))
 
-    return _per_document(v.features(spark, d), kernel, "doc long, id long, y array<double>, lambdas array<double>")
+    return _per_document(v.features(spark, d, whole=True), kernel, "doc long, id long, y array<double>, lambdas array<double>")
 
 
 @query()
@@ -122,7 +122,7 @@ def hopkins(spark, d):
     def kernel(p: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"doc": [p.doc.iloc[0]], "hopkins": [outliers.hopkins(outliers.matrix(p.sort_values("id").x))]})
 
-    return _per_document(v.features(spark, d), kernel, "doc long, hopkins double")
+    return _per_document(v.features(spark, d, whole=True), kernel, "doc long, hopkins double")
 
 
 @query()
@@ -134,7 +134,7 @@ def kmeans_labels(spark, d):
         labels, k, score = outliers.best_kmeans(outliers.matrix(p.x))
         return p[["doc", "id"]].assign(label=labels, k=k, silhouette=score)
 
-    return _per_document(v.features(spark, d), kernel, "doc long, id long, label long, k long, silhouette double")
+    return _per_document(v.features(spark, d, whole=True), kernel, "doc long, id long, label long, k long, silhouette double")
 
 
 @query()
@@ -145,7 +145,7 @@ def ensemble_vote(spark, d):
         p = p.sort_values("id")
         return p[["doc", "id"]].assign(**outliers.vote(outliers.matrix(p.x)))
 
-    return _per_document(v.features(spark, d), kernel, "doc long, id long, forest boolean, lof boolean, noise boolean, votes long, is_anomaly boolean")
+    return _per_document(v.features(spark, d, whole=True), kernel, "doc long, id long, forest boolean, lof boolean, noise boolean, votes long, is_anomaly boolean")
 
 
 @query()

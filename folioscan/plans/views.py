@@ -106,10 +106,11 @@ STRUCTURE = """structure as (
     case when box_id % 14 = 0 then 'column_header' when box_id % 21 = 0 then 'section_header' else 'body' end as kind from boxes where box_id % 7 = 0)"""
 
 
-def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Feature rows of documents: eight numbers each."""
+def features(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Feature rows of documents: the first eight numbers, as in FEATURES, or the whole vector."""
     t = table(spark, sf_dir, "embeddings")
-    return t.select(F.floor(F.col("vec_id") / 100).cast("long").alias("doc"), F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("x"), F.col("label").alias("cluster"))
+    x = F.col("embedding") if whole else F.slice("embedding", 1, 8)
+    return t.select(F.floor(F.col("vec_id") / 100).cast("long").alias("doc"), F.col("vec_id").alias("id"), F.transform(x, lambda x: x.cast("double")).alias("x"), F.col("label").alias("cluster"))
 
 
 FEATURES = """features as (

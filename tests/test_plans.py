@@ -25,6 +25,14 @@ def test_query_without_sql_runs(spark, name):
     assert registry.QUERIES[name](spark, SF).count() > 0
 
 
+def test_outlier_kernels_read_the_whole_vector(spark, tmp_path):
+    rows = [(i, i % 2, [0.5] * 8 + [float(i == 7)] * 56) for i in range(40)]
+    spark.createDataFrame(rows, "vec_id long, label long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    scores = {r.id: r.score for r in registry.QUERIES["isolation_scores"](spark, str(tmp_path)).collect()}
+    assert max(scores, key=scores.get) == 7 and scores[7] > scores[0]
+    assert {len(r.y) for r in registry.QUERIES["yeo_johnson"](spark, SF).collect()} == {64}
+
+
 def test_exact_containment_equals_the_join_here(spark):
     a = {tuple(r) for r in registry.QUERIES["containment_consolidate"](spark, SF).collect()}
     assert a == {tuple(r) for r in registry.QUERIES["containment_consolidate_exact"](spark, SF).collect()}

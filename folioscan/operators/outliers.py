@@ -118,6 +118,15 @@ def yeo_johnson(x: np.ndarray) -> tuple[np.ndarray, list[float]]:
     return np.stack([transform(v, p) for v, p in zip(x.T, powers, strict=True)], axis=1), powers
 
 
+def transformed_scores(x: np.ndarray) -> np.ndarray:
+    """Yeo-Johnson, then standard scores with the population deviation; a constant feature has scale 1, a single row stays as it is."""
+    if len(x) < 2:
+        return x
+    y, _ = yeo_johnson(x)
+    s = y.std(axis=0)
+    return (y - y.mean(axis=0)) / np.where(np.ptp(x, axis=0) == 0, 1.0, np.where(s == 0, 1.0, s))
+
+
 def hopkins(x: np.ndarray, seed: int = SEED) -> float:
     """About 0.5 for evenly spread rows, near 1 for clustered ones."""
     n, d = x.shape

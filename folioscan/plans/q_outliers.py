@@ -139,11 +139,11 @@ def kmeans_labels(spark, d):
 
 @query()
 def ensemble_vote(spark, d):
-    """Rows that at least two of isolation forest, local outlier factor and density noise find unusual."""
+    """Rows that at least two of isolation forest, local outlier factor and density noise find unusual, on transformed standard scores."""
 
     def kernel(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("id")
-        return p[["doc", "id"]].assign(**outliers.vote(outliers.matrix(p.x)))
+        return p[["doc", "id"]].assign(**outliers.vote(outliers.transformed_scores(outliers.matrix(p.x))))
 
     return _per_document(v.features(spark, d, whole=True), kernel, "doc long, id long, forest boolean, lof boolean, noise boolean, votes long, is_anomaly boolean")
 

@@ -33,6 +33,19 @@ def test_outlier_kernels_read_the_whole_vector(spark, tmp_path):
     assert {len(r.y) for r in registry.QUERIES["yeo_johnson"](spark, SF).collect()} == {64}
 
 
+def test_votes_do_not_hang_on_the_scale_of_a_feature(spark, tmp_path):
+    import random
+
+    rng, flags = random.Random(6), []
+    x = [[rng.gauss(0, 1) for _ in range(8)] for _ in range(60)]
+    x[7] = [9.0, 9.0, 9.0, 9.0, 9.0, 9.0, 9.0, 0.0]
+    for scale in (1.0, 1e5):
+        rows = [(i, 0, [*v[:7], v[7] * scale]) for i, v in enumerate(x)]
+        spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>").write.parquet(f"{tmp_path}/{scale}/embeddings.parquet")
+        flags.append({r.id for r in registry.QUERIES["ensemble_vote"](spark, f"{tmp_path}/{scale}").collect() if r.is_anomaly})
+    assert 7 in flags[0] and 7 in flags[1]
+
+
 def test_exact_containment_equals_the_join_here(spark):
     a = {tuple(r) for r in registry.QUERIES["containment_consolidate"](spark, SF).collect()}
     assert a == {tuple(r) for r in registry.QUERIES["containment_consolidate_exact"](spark, SF).collect()}

@@ -81,7 +81,7 @@ def write_segment(ordinal: int, start: int, doc_ids: np.ndarray, lengths: np.nda
 
 
 class Segment:
-    """A segment read back. Offsets come from select; no table of 64-bit offsets is made."""
+    """A segment read back. Single offsets come from select (span); ends.all() unpacks them all into 64-bit integers."""
 
     def __init__(self, image: bytes):
         magic, self.ordinal, self.start, self.n, self.total, packed, *sizes = _HEAD.unpack_from(image)

@@ -1,12 +1,11 @@
-"""Line dedup by winnowing over line hashes, in built-in functions only.
+"""Line dedup by hashing every window of lines, in built-in functions only.
 
-The non-blank lines of a document are hashed. In every window of `window` lines the smallest hash is selected, so two
-documents that share `window` lines in a row share a selected fingerprint. Fingerprints are joined with their
-positions over all documents; those met at one position only are dropped. Around the others the match is extended to
-the left and right inside the windows that the fingerprint stands for: an extension (offset to the left, hash of the
-window's lines) belongs to the earliest place (doc_id, line) that has it. Lines inside an extension whose earliest
+The non-blank lines of a document are hashed, and so is every window of `window` lines (`ext`; its smallest line hash
+and the offset of that, `fp` and `left`, follow from it and select nothing). Windows are grouped over all documents;
+one met at one position only is dropped, any other belongs to the earliest place (doc_id, line) that has it.
+Lines inside a window whose earliest
 place is not their own are deleted: what remains of every run of `window` or more repeated lines is its first
-occurrence. Extensions are pre-aggregated before they shuffle and never paired, so a line in a third of all documents
+occurrence. Windows are pre-aggregated before they shuffle and never paired, so a line in a third of all documents
 costs one row for each of its occurrences and no more.
 
 Defined results. Null or empty text: no lines, nothing removed, kept as it is. Blank lines: never matched or counted,

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where that is unset (a local session) a temporary folder is set in its stead.
+    Only where that is unset and the master is local, a temporary folder is set in its stead; a cluster must name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="folioscan-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -58,10 +60,33 @@ def carry(docs: DataFrame, *names: str) -> DataFrame:
 
 
 def unload(carried: DataFrame, docs: DataFrame, replaced: dict[str, Column] | None = None, more: dict[str, Column] | None = None) -> DataFrame:
-    """The rows as they came in, with some columns replaced and some added."""
+    """The rows as they came in, with some columns replaced and some added.
+
+    An incoming column with the name of an added one, letter case aside, gets "_in" appended until it has none.
+    """
     columns = [(replaced or {}).get(n, F.col("__fs_row")[f"__fs_{i}"]).alias(f"__fs_{i}") for i, n in enumerate(docs.columns)]
     added = [c.alias(f"__fs_{len(columns) + k}") for k, c in enumerate((more or {}).values())]
-    return carried.select(*columns, *added).toDF(*docs.columns, *(more or {}))
+    taken, names = {n.lower() for n in more or {}}, []
+    for n in docs.columns:
+        while n.lower() in taken:
+            n += "_in"
+        names.append(n)
+    return carried.select(*columns, *added).toDF(*names, *(more or {}))
+
+
+def salted(rows: DataFrame, groups: DataFrame, on: list[str], size: str, spread: Column, most: int = 1000, each: int = 500) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(rows, groups, keys): both sides ready for an equi-join on keys in which no key's rows land in one task.
+
+    The `most` groups of the largest `size` get a salt for every `each` of their rows (4096 at most); their rows are
+    dealt over the salts by the hash of `spread`, and the group's row is repeated once a salt. The table of salts is
+    broadcast: it has `most` rows at most. Any other group is smaller than one part in `most` of all rows. groups
+    should be staged, as it is read twice.
+    """
+    hot = groups.orderBy(F.desc(size), *on).limit(most).filter(F.col(size) >= 2 * each)
+    hot = hot.select(*on, F.least(F.lit(4096), F.floor(F.col(size) / each)).cast("int").alias("_salts"))
+    wide = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64(spread), F.coalesce("_salts", F.lit(1))).cast("int")).drop("_salts")
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    return wide, groups.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(copies)).drop("_salts"), [*on, "_salt"]
 
 
 def gapless(df: DataFrame, groups: list[str], order: list[str], out: str, parts: int | None = None) -> DataFrame:
@@ -80,8 +105,8 @@ def gapless(df: DataFrame, groups: list[str], order: list[str], out: str, parts:
     return numbered.join(starts, [*groups, "_b"]).withColumn(out, (F.col("_start") + F.col("_r")).cast("long")).drop("_b", "_r", "_start")
 
 
-def ordinals(df: DataFrame, order: list[str], size: str, parts: int | None = None) -> DataFrame:
-    """df, staged, with `ordinal` (0, 1, ... in the given order over all rows) and `offset` (the sum of size before the row).
+def ordinals(df: DataFrame, order: list[str], sizes: dict[str, str], parts: int | None = None) -> DataFrame:
+    """df, staged, with `ordinal` (0, 1, ... in the given order over all rows) and, for each column of sizes, its sum before the row.
 
     Rows are dealt into ranges of the order columns, numbered inside their range, and shifted by what precedes the
     range: one total per range, of which there are `parts`.
@@ -90,9 +115,9 @@ def ordinals(df: DataFrame, order: list[str], size: str, parts: int | None = Non
     ranged = stage(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ordinals")
     inner = Window.partitionBy("_p").orderBy(*order)
     ahead = inner.rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("_p").agg(F.count("*").alias("_n"), F.sum(size).alias("_s"))
+    totals = ranged.groupBy("_p").agg(F.count("*").alias("_n"), *[F.sum(c).alias(f"_s_{c}") for c in sizes])
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s0"))
-    local = ranged.withColumn("_r", F.row_number().over(inner) - 1).withColumn("_o", F.coalesce(F.sum(size).over(ahead), F.lit(0)))
+    starts = totals.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in sizes])
+    local = ranged.withColumn("_r", F.row_number().over(inner) - 1).withColumns({f"_o_{c}": F.coalesce(F.sum(c).over(ahead), F.lit(0)) for c in sizes})
     placed = local.join(F.broadcast(starts), "_p")  # a row per range: `parts` rows at most
-    return placed.select(*df.columns, (F.col("_n0") + F.col("_r")).cast("long").alias("ordinal"), (F.col("_s0") + F.col("_o")).cast("long").alias("offset"))
+    return placed.select(*df.columns, (F.col("_n0") + F.col("_r")).cast("long").alias("ordinal"), *[(F.col(f"_s_{c}") + F.col(f"_o_{c}")).cast("long").alias(out) for c, out in sizes.items()])

@@ -3,7 +3,7 @@
 Every statistic is an expression over the whole text; nothing shuffles, nothing is a user function.
 
 Defined results. Null text: as the empty text (0 words, base_failed, not kept). Empty text: the same. Repeated rows
-and ties: each row is judged by itself. Extra columns: ignored by `rule_report`, kept by `apply_rules`. Words are
+and ties: each row is judged by itself. Texts of any length are judged whole, none is too long. Extra columns: ignored by `rule_report`, kept by `apply_rules`. Words are
 maximal runs of characters other than space and U+0009-U+000D; three-word windows are compared by a 64-bit hash.
 """
 
@@ -40,7 +40,7 @@ class Rule:
 
 #: The threshold table. Numerators and denominators name statistics of `statistics`.
 RULES = (
-    Rule("words", "n_words", None, low=50, high=2_000_000),
+    Rule("words", "n_words", None, low=50),
     Rule("mean_word_length", "word_chars", "n_words", low=2, high=14),
     Rule("symbols_per_word", "n_symbols", "n_words", high=0.1),
     Rule("shouts_per_word", "n_shouts", "n_words", high=0.3),

@@ -6,7 +6,8 @@ and a changed weight moves records only to or from that shard.
 
 Defined results. Null key: hashed as the string "null", so all such rows share a shard. Null text: size 16, crc32 of
 no bytes (0). Equal keys, equal texts and repeated rows: each row has its own slot; rows with one key share a shard.
-Equal scores: the lower shard number. Empty table: no rows. Extra columns: kept by `place`, absent from `assign`.
+Equal scores: the lower shard number. Empty table: no rows. Extra columns: kept by `place` (one that is already called
+as the new column gets "_in" appended), absent from `assign`. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import gapless, let, pick
+from folioscan.llm.common import carry, gapless, let, pick, stage, unload
 
 RECORD_OVERHEAD = 16
 
@@ -34,13 +35,13 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
 
 def place(records: DataFrame, key: str, weights: Sequence[float], out: str = "shard") -> DataFrame:
     """records with their shard; `records.write.partitionBy(out)` then writes one folder a shard."""
-    return records.withColumn(out, shard_of(F.col(key), weights))
+    return unload(carry(records, key), records, more={out: shard_of(F.col(key), weights)})
 
 
 def assign(docs: DataFrame, n_shards: int = 40, weights: Sequence[float] | None = None) -> DataFrame:
     """One row per document: size, checksum, shard, its slot there, and the shard it would have with one shard more.
 
-    The text never shuffles: only sizes and checksums do. Slots are numbered by (shard, hash bucket), so a shard that
+    Texts are read once and never shuffle: sizes and checksums are staged and do. Slots are numbered by (shard, hash bucket), so a shard that
     holds much of the table is numbered by many tasks.
     """
     w = list(weights or [1.0] * n_shards)
@@ -57,4 +58,4 @@ def assign(docs: DataFrame, n_shards: int = 40, weights: Sequence[float] | None
         ).alias("_s"),
     ).select("doc_id", "size", "text_crc32", "law", "_s.shard", "_s.grown_shard")
     n = max(8, 2 * docs.sparkSession.sparkContext.defaultParallelism)
-    return gapless(slim, ["shard"], ["doc_id", "text_crc32", "size"], "slot", n).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return gapless(stage(slim, "shards"), ["shard"], ["doc_id", "text_crc32", "size"], "slot", n).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

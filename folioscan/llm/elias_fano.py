@@ -2,7 +2,8 @@
 
 n values below u take n * (2 + log2(u / n)) bits or so: each value's low bits stand in an array, its high bits as a
 one in a unary bit vector, at high + index. select1(i) finds the i-th one: a sampled directory gives the bit position
-of every 256th one, and the rest is counted in the bytes after it.
+of every 256th one, and the rest is counted in the bytes after it. block(j) decodes the 256 values from one directory
+entry to the next, so a scan holds 256 values at a time and never a table of them all.
 """
 
 from __future__ import annotations
@@ -12,9 +13,10 @@ import struct
 import numpy as np
 
 SAMPLE = 256
-MAGIC = b"FSEG0001"
-#: magic; documents and ids before the segment in its part; documents and ids in it; low bits and width flag; sizes of low, high, samples, doc ids
-_HEAD = struct.Struct("<8sQQQQB3xIIII")
+MAGIC = b"FSEG0002"
+#: magic; documents and ids before the segment in its part; documents, ids and null doc_ids in it; the smallest doc_id; low bits of ends
+#: and doc_ids, whether ids take 4 bytes; sizes of low, high and samples of ends, then of doc_ids
+_HEAD = struct.Struct("<8sQQQQQqBBBx6I")
 
 
 def encode(values: np.ndarray, universe: int) -> tuple[int, bytes, bytes, bytes]:
@@ -60,44 +62,66 @@ class Sequence:
             low = raw >> (first & 7) & ((1 << self.width) - 1)
         return ((self.select(i) - i) << self.width) | low
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64)
-        if not self.width:
-            return high.astype(np.int64)
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.width].reshape(self.n, self.width).astype(np.uint64)
-        return ((high << np.uint64(self.width)) | (bits << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)).astype(np.int64)
-
-
-def write_segment(ordinal: int, start: int, doc_ids: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """One segment: header, Elias-Fano coded ends of the documents, their doc_ids, and the ids in 2 bytes (4 if any needs them)."""
+    def block(self, j: int) -> np.ndarray:
+        """Values j * SAMPLE up to the next block's, as unsigned 64-bit integers."""
+        first, last = j * SAMPLE, min(self.n, (j + 1) * SAMPLE)
+        start = int(self.samples[j])
+        stop = int(self.samples[j + 1]) if j + 1 < len(self.samples) else 8 * len(self.high)
+        bits = np.unpackbits(self.high[start >> 3 : (stop + 7) >> 3], bitorder="little")[start & 7 :]
+        ones = np.flatnonzero(bits)[: last - first] + start
+        values = (ones - np.arange(first, last)).astype(np.uint64) << np.uint64(self.width)
+        if self.width:  # SAMPLE values take a whole number of bytes
+            raw = np.frombuffer(self.low, np.uint8)[first * self.width >> 3 : (last * self.width + 7) >> 3]
+            low = np.unpackbits(raw, bitorder="little")[: (last - first) * self.width].reshape(-1, self.width).astype(np.uint64)
+            values |= (low << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        return values
+
+    def __iter__(self):
+        for j in range(-(-self.n // SAMPLE)):
+            yield from self.block(j).tolist()
+
+
+def write_segment(ordinal: int, start: int, doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """One segment: header, Elias-Fano codes of the documents' ends and of their doc_ids (nulls first, then ascending), and the ids in 2 bytes (4 if any needs them)."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    width, low, high, samples = encode(ends, total)
+    keys = np.array([k for k in doc_ids if k is not None], np.int64)
+    base = int(keys[0]) if len(keys) else 0
+    width, *offsets = encode(ends, total)
+    key_width, *numbers = encode(keys.view(np.uint64) - np.uint64(base & (1 << 64) - 1), int(keys[-1]) - base if len(keys) else 0)
     wide = bool(len(ids)) and int(ids.max()) >= 1 << 16
-    keys = doc_ids.astype("<i8").tobytes()
-    head = _HEAD.pack(MAGIC, ordinal, start, len(doc_ids), total, width | wide << 7, len(low), len(high), len(samples), len(keys))
-    return b"".join((head, low, high, samples, keys, ids.astype("<u4" if wide else "<u2").tobytes()))
+    head = _HEAD.pack(MAGIC, ordinal, start, len(doc_ids), total, len(doc_ids) - len(keys), base, width, key_width, wide, *map(len, (*offsets, *numbers)))
+    return b"".join((head, *offsets, *numbers, ids.astype("<u4" if wide else "<u2").tobytes()))
 
 
 class Segment:
-    """A segment read back. Single offsets come from select (span); ends.all() unpacks them all into 64-bit integers."""
+    """A segment read back: single offsets and doc_ids by select (span, doc_id), all of them in order by spans, a block at a time."""
 
     def __init__(self, image: bytes):
-        magic, self.ordinal, self.start, self.n, self.total, packed, *sizes = _HEAD.unpack_from(image)
+        magic, self.ordinal, self.start, self.n, self.total, self.nulls, self.base, width, key_width, wide, *sizes = _HEAD.unpack_from(image)
         if magic != MAGIC:
             raise ValueError("not a token segment")
         parts, at = [], _HEAD.size
         for size in sizes:
             parts.append(bytes(image[at : at + size]))
             at += size
-        self.ends = Sequence(self.n, packed & 127, *parts[:3])
-        self.doc_ids = np.frombuffer(parts[3], "<i8")
-        self.ids = np.frombuffer(image, "<u4" if packed >> 7 else "<u2", offset=at)
+        self.ends = Sequence(self.n, width, *parts[:3])
+        self.keys = Sequence(self.n - self.nulls, key_width, *parts[3:])
+        self.ids = np.frombuffer(image, "<u4" if wide else "<u2", offset=at)
+
+    def doc_id(self, i: int) -> int | None:
+        return None if i < self.nulls else self.base + self.keys[i - self.nulls]
 
     def span(self, i: int) -> tuple[int, int]:
         return (self.ends[i - 1] if i else 0), self.ends[i]
 
+    def spans(self):
+        """(doc_id, begin, end) of every document."""
+        begin, keys = 0, iter(self.keys)
+        for i, end in enumerate(self.ends):
+            yield (None if i < self.nulls else self.base + next(keys)), begin, end
+            begin = end
+
     def __getitem__(self, i: int) -> np.ndarray:
         a, b = self.span(i)
         return self.ids[a:b]

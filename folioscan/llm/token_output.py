@@ -5,12 +5,13 @@ part, documents and ids in it, and its image (see elias_fano.write_segment). Par
 order; a segment's header says what precedes it in its part, so only one total per part is needed to place it.
 
 Defined results. Null text: as the empty text, the end id alone. Empty table: no segments. Very long texts: a segment
-of their own. Equal doc_ids: adjacent, in the order of the hash of their text. Null doc_id: first, stored as the
-lowest 64-bit integer and read back as null. Extra columns: ignored.
+of their own. Equal doc_ids: adjacent, in the order of the hash of their text. Null doc_id: first. Extra columns:
+ignored.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,8 @@ from folioscan.llm.tokens import encoder, slices, text_sizes
 
 #: Bytes of text encoded at once, and ids in a segment (what is encoded at once stays together and may exceed it).
 CHUNK, SEGMENT_IDS = 4_000_000, 2_000_000
-NO_ID = -(1 << 63)
+#: Documents in a batch that is read back.
+READ = 4096
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, parts: int | None = None) -> None:
@@ -40,7 +42,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, pa
         def flush():
             nonlocal seq, ordinal, start, keys, ids, lengths, held
             n = np.concatenate(lengths)
-            image = write_segment(ordinal, start, np.array(keys, np.int64), n, np.concatenate(ids))
+            image = write_segment(ordinal, start, keys, n, np.concatenate(ids))
             row = {"part": [part], "seq": [seq], "n_docs": [len(keys)], "n_ids": [int(n.sum())], "image": [image]}
             seq, ordinal, start, keys, ids, lengths, held = seq + 1, ordinal + len(keys), start + int(n.sum()), [], [], [], 0
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("image", pa.binary())]))
@@ -52,7 +54,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, pa
                 flat, n = enc.encode(texts.slice(a, b - a))
                 if keys and held + len(flat) > SEGMENT_IDS:
                     yield flush()
-                keys += [NO_ID if key is None else key for key in doc_ids[a:b]]
+                keys += doc_ids[a:b]
                 ids.append(flat)
                 lengths.append(n)
                 held += len(flat)
@@ -64,7 +66,10 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end_id: int = 1, pa
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids_crc32 and, if asked for, the ids."""
+    """doc_id, start (ids of all documents before), n_tokens, ids_crc32 and, if asked for, the ids.
+
+    Offsets and doc_ids are decoded from one select directory entry to the next; no table of offsets is made.
+    """
     segments = spark.read.parquet(path)
     totals = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,18 +83,19 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
         for batch in batches:
             for part_start, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 s = Segment(image.as_buffer())
-                ends = s.ends.all()
-                begins = np.concatenate(([0], ends[:-1])).astype(np.int64)
-                docs = [s.ids[a:b].astype("<u4") for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
-                columns = [
-                    pa.array(s.doc_ids.astype(np.int64), mask=s.doc_ids == NO_ID),
-                    pa.array(begins + part_start + s.start),
-                    pa.array(ends - begins),
-                    pa.array([zlib.crc32(x.tobytes()) for x in docs], pa.int64()),
-                ]
-                if with_ids:
-                    columns.append(pa.array([x.astype(np.int32) for x in docs], pa.list_(pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+                spans = s.spans()
+                while some := list(itertools.islice(spans, READ)):
+                    docs = [s.ids[a:b].astype("<u4") for _, a, b in some]
+                    keys, begins, ends = zip(*some, strict=True)
+                    columns = [
+                        pa.array(keys, pa.int64()),
+                        pa.array([a + part_start + s.start for a in begins], pa.int64()),
+                        pa.array([b - a for a, b in zip(begins, ends, strict=True)], pa.int64()),
+                        pa.array([zlib.crc32(x.tobytes()) for x in docs], pa.int64()),
+                    ]
+                    if with_ids:
+                        columns.append(pa.array([x.astype(np.int32) for x in docs], pa.list_(pa.int32())))
+                    yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
 
     return placed.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 

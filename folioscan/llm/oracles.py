@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folioscan.llm.line_dedup import MIN_CHARS, WINDOW
 from folioscan.llm.quality_rules import STOP_WORDS
 
 _WS = r"[\x20\x09-\x0D]"
@@ -10,13 +11,18 @@ OP2 = rf"""
 with lines as (
   select doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as i, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents
 ), solid as (
-  select doc_id, i, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as t from lines where trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''
-), pairs as (
-  select doc_id, i, t, lead(i) over w as i2, lead(t) over w as t2 from solid window w as (partition by doc_id order by i)
+  select doc_id, i, t, length(t) as n, row_number() over w as p, sum(length(t)) over w as c
+  from (select doc_id, i, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) as t from lines) where t <> '' window w as (partition by doc_id order by i)
+), spans as (
+  select a.doc_id, a.p as lo, b.p as hi from solid a join solid b on a.doc_id = b.doc_id and b.p between a.p and a.p + {WINDOW - 1} and (b.c - a.c + a.n >= {MIN_CHARS} or b.p = a.p + {WINDOW - 1})
+), wins as (
+  select doc_id, lo, min(hi) as hi from spans group by 1, 2 union select doc_id, max(lo), hi from spans group by doc_id, hi
+), texts as (
+  select w.doc_id, w.lo, w.hi, list(s.t order by s.p) as body from wins w join solid s on s.doc_id = w.doc_id and s.p between w.lo and w.hi group by 1, 2, 3
 ), marked as (
-  select *, row_number() over (partition by t, t2 order by doc_id, i) as nth from pairs where i2 is not null
+  select *, row_number() over (partition by body order by doc_id, lo) as nth from texts
 ), gone as (
-  select doc_id, i from marked where nth > 1 union select doc_id, i2 from marked where nth > 1
+  select distinct s.doc_id, s.i from marked m join solid s on s.doc_id = m.doc_id and s.p between m.lo and m.hi where nth > 1
 ), kept as (
   select l.doc_id, count(s.i) as n_lines, count(g.i) as n_removed, coalesce(string_agg(case when g.i is null then l.line end, chr(10) order by l.i), '') as text
   from lines l left join solid s using (doc_id, i) left join gone g using (doc_id, i) group by l.doc_id
@@ -52,7 +58,7 @@ w as (
   select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, greatest(n_words, 1)::double as nw from t
 )
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and n_words between 50 and 2000000 and word_chars / nw between 2 and 14 and n_symbols / nw <= 0.1 and n_shouts / nw <= 0.3
+  not base_failed and n_words >= 50 and word_chars / nw between 2 and 14 and n_symbols / nw <= 0.1 and n_shouts / nw <= 0.3
     and n_stop_words / nw >= 0.02 and n_dup_lines / greatest(n_lines, 1)::double <= 0.5 as kept,
   n_lines, n_shouts, n_stop_words
 from j
@@ -85,20 +91,21 @@ from d left join pos using (doc_id) left join it using (doc_id)
 
 OP9 = """
 with p as (select page_id, coalesce(url, '') as url, coalesce(html, '') as html from pages),
-replicas as (
-  select page_id, url, html as h, 1 as replica from p
-  union all
-  select page_id, url, case when page_id % 97 = 5 then '?' || substr(html, 2) when page_id % 193 = 7 then left(html, greatest(length(html) - 1, 0)) else html end, 2
-  from p where page_id % 389 <> 11
+faulty as (
+  select page_id, url, case when page_id % 97 = 5 then '?' || substr(html, 2) when page_id % 193 = 7 then left(html, greatest(length(html) - 1, 0)) else html end as h from p where page_id % 389 <> 11
+), replicas as (
+  select page_id, url, html as h, 1 as replica from p union all select page_id, url, h, 2 from faulty union all select -page_id - 1, url, h, 2 from faulty where page_id % 211 = 13
 ), r as (
   select page_id, replica, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10)
     || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' || strlen(h) || chr(13) || chr(10) || chr(13) || chr(10) || h || chr(13) || chr(10) || chr(13) || chr(10) as record from replicas
-), a as (
-  select page_id, row_number() over (order by page_id) - 1 as ordinal, cast(coalesce(sum(strlen(record)) over (order by page_id rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset",
-    cast(strlen(record) as bigint) as length, sha256(record) as sha256 from r where replica = 1
+), u as (
+  select coalesce(a.page_id, b.page_id) as page_id, cast(strlen(a.record) as bigint) as length, sha256(a.record) as sha256, sha256(b.record) as replica_sha256
+  from (select * from r where replica = 1) a full join (select * from r where replica = 2) b on a.page_id = b.page_id
+), o as (
+  select *, row_number() over (order by page_id) - 1 as ordinal, cast(coalesce(sum(length) over (order by page_id rows between unbounded preceding and 1 preceding), 0) as bigint) as before from u
 )
-select a.*, sha256(b.record) as replica_sha256, case when b.record is null then 'missing' when sha256(b.record) <> a.sha256 then 'corrupt' else 'intact' end as status
-from a left join (select * from r where replica = 2) b using (page_id)
+select page_id, ordinal, case when sha256 is not null then before end as "offset", length, sha256, replica_sha256,
+  case when sha256 is null then 'extra' when replica_sha256 is null then 'missing' when sha256 <> replica_sha256 then 'corrupt' else 'intact' end as status from o
 """
 
 ORACLES = {"op9_merkle_fixity": OP9, "op2_line_dedup": OP2, "op6_prefix_decontamination": OP6, "op8_quality_rules": _op8()}

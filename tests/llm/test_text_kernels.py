@@ -51,15 +51,30 @@ def test_elias_fano_round_trip(gaps):
     total = int(ends[-1]) if gaps else 0
     width, low, high, samples = elias_fano.encode(ends, total)
     s = elias_fano.Sequence(len(gaps), width, low, high, samples)
-    assert s.all().tolist() == ends.tolist()
+    assert list(s) == ends.tolist()
     assert [s[i] for i in range(len(gaps))] == ends.tolist()
     assert 8 * (len(low) + len(high)) <= len(gaps) * (3 + max(0, np.log2(max(total, 1) / max(len(gaps), 1)))) + 64
 
 
 def test_segment_offsets_and_wide_ids():
     ids = np.arange(70_000, dtype=np.uint32)
-    s = elias_fano.Segment(elias_fano.write_segment(7, 11, np.array([3, 9]), np.array([0, 70_000]), ids))
-    assert (s.ordinal, s.start, s[0].tolist(), s[1].tolist() == ids.tolist(), s.doc_ids.tolist()) == (7, 11, [], True, [3, 9])
+    s = elias_fano.Segment(elias_fano.write_segment(7, 11, [3, 9], np.array([0, 70_000]), ids))
+    assert (s.ordinal, s.start, s[0].tolist(), s[1].tolist() == ids.tolist(), [s.doc_id(0), s.doc_id(1)]) == (7, 11, [], True, [3, 9])
+
+
+@pytest.mark.parametrize("keys", [[-(1 << 63), (1 << 63) - 1], [None, None], [], [5, 5, 5], [None, -7, 1 << 40], [0]])
+def test_segments_of_extreme_doc_ids(keys):
+    s = elias_fano.Segment(elias_fano.write_segment(0, 0, keys, np.ones(len(keys), np.int64), np.arange(len(keys), dtype=np.uint32)))
+    assert list(s.spans()) == [(k, i, i + 1) for i, k in enumerate(keys)]
+    assert [s.doc_id(i) for i in range(len(keys))] == keys
+
+
+def test_boundaries_take_few_bytes():
+    """Ends and doc_ids of a million ids in 5,000 documents: about 10 and 4 bits each, with select directories."""
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(100, 300, 5000)
+    image = elias_fano.write_segment(0, 0, np.sort(rng.choice(50_000, 5000, replace=False)).tolist(), lengths, np.zeros(int(lengths.sum()), np.uint32))
+    assert len(image) - 2 * int(lengths.sum()) < 2.2 * 5000
 
 
 @settings(max_examples=120, deadline=None)

@@ -1,4 +1,8 @@
-"""Queries and their SQL, side by side: @query(sql) registers a function (spark, sf_dir) under its name."""
+"""Queries and their SQL, side by side: @query(sql) registers a function (spark, sf_dir) under its name.
+
+The SQL is registered as a materialized table expression: DuckDB 1.x can wait forever on a LIMIT around a query whose
+last step joins a table expression with itself, and a caller may add one.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +20,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql
+            ORACLES[f.__name__] = f"with answer as materialized ({sql}) select * from answer"
         return f
 
     return add

@@ -19,10 +19,12 @@ compared with members of other components, pairs judged before excepted; then th
 are left out by an exact bound before their sets are fetched: an odd sketch holds, for each of 2048 bits, the parity of the shingles
 that fall on it, so two sketches differ in no more bits than the sets differ in shingles. So every pair of a bucket is
 judged, in one component, or ruled out, while a group of copies costs a comparison or two a member. Texts that are
-equal are one document from the start. Components are found by alternating large-star and small-star steps.
+equal are one document from the start. Components are found by alternating large-star and small-star steps. Rows of
+the fullest buckets are salted, centres repeated once a salt, so no task holds a bucket of a third of all documents.
 
 Defined results. Null text: as the empty text. Texts without words: linked to equal texts only. Texts of one to four
-words: a single shingle of them all. Repeated rows and equal texts (by a 64-bit hash): one class. Equal doc_ids with
+words: a single shingle of them all. Very long texts: read whole. Repeated rows and equal texts (by 128 bits of hash;
+shingles are compared by 48 bits, inside a pair only): one class. Equal doc_ids with
 different texts: classes of their own. Null doc_id: a row without a say in its class's id. Class id: the smallest
 doc_id of the class, null if there is none. Empty table: no rows. Extra columns: kept by `distinct`.
 """
@@ -38,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import carry, pick, stage, unload
+from folioscan.llm.common import carry, pick, salted, stage, unload
 from folioscan.llm.tokens import slices, text_sizes
 from folioscan.llm.words import mix, shingles, words_of
 
@@ -46,6 +48,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 REGISTERS, BAND = 64, 4
 SKETCH = 2048
 CHUNK = 1_000_000
+#: Texts with candidates, up to which their numbers are broadcast, so that other texts needn't move; beyond, all move once.
+BROADCAST = 500_000
 _MASK = np.uint64((1 << 48) - 1)
 
 
@@ -127,7 +131,7 @@ def candidate_keys(n: int, doc: np.ndarray, element: np.ndarray, times: np.ndarr
     return np.concatenate((plain, weighted), axis=1), np.concatenate((np.broadcast_to(has[:, None], plain.shape), weighted != plain), axis=1)
 
 
-_SIG_DDL = "doc_id long, id long, bands array<long>"
+_SIG_DDL = "doc_id long, h long, g long, bands array<long>"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +141,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, keep = candidate_keys(b - a, doc, element, times)
             ends = np.concatenate(([0], np.cumsum(keep.sum(axis=1)))).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[keep]))], names=["doc_id", "id", "bands"]
+                [*(batch.column(c).slice(a, b - a) for c in (0, 2, 3)), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[keep]))], names=["doc_id", "h", "g", "bands"]
             )
 
 
@@ -181,20 +185,27 @@ def components(edges: DataFrame) -> DataFrame:
         now = stage(small, "stars")
 
 
-def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(signed, roots): the documents' signatures and text numbers, and (id, root) of every text that a verified link joins to another."""
-    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.xxhash64("text").alias("id"))
+def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signed, reps, roots): the documents' text hashes, every distinct text with its number and smallest doc_id, and
+    (id, root) of every text that a verified link joins to another."""
+    hashes = [F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g")]
+    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *hashes)
     signed = stage(texts.mapInArrow(_sign, _SIG_DDL), "signatures")
-    reps = signed.groupBy("id").agg(F.first("bands").alias("bands"))
+    # numbers are given once, as the table is written
+    reps = stage(signed.groupBy("h", "g").agg(F.first("bands").alias("bands"), F.min("doc_id").alias("text_rep")).withColumn("id", F.monotonically_increasing_id()), "texts")
     rows = reps.select("id", F.explode("bands").alias("key"))
-    crowded = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
-    active = stage(rows.join(crowded, "key"), "bucket-rows")
-    wanted = active.select("id").distinct()
-    sets = stage(texts.select("id", "text").join(wanted, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_pack_sets, "id long, items binary, size long, sketch array<long>"), "shingle-sets")
+    crowded = stage(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    wide, groups, on = salted(rows, crowded, ["key"], "n", F.col("id"))
+    active = stage(wide.join(groups, on).select("key", "_salt", "id", "n"), "bucket-rows")
+    wanted = stage(active.select("id").distinct().join(reps.select("id", "h", "g"), "id"), "candidates")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST else wanted
+    sets = stage(texts.select("h", "g", "text").join(few, ["h", "g"]).select("id", "text").dropDuplicates(["id"]).mapInArrow(_pack_sets, "id long, items binary, size long, sketch array<long>"), "shingle-sets")
     items, sketches = sets.select("id", "items"), sets.select("id", "size", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH // 64)])
-    popular = active.join(active.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("id").agg(F.sum("n").alias("popular"))
-    first = active.join(popular, "id").groupBy("key").agg(F.max(F.struct("popular", (-F.col("id")).alias("minus"))).alias("top")).select("key", (-F.col("top.minus")).alias("centre"))
-    pairs = active.join(first, "key").filter("id <> centre")
+    popular = active.groupBy("id").agg(F.sum("n").alias("popular"))
+    salts = F.explode(F.sequence(F.lit(0), "_last")).alias("_salt")
+    first = active.join(popular, "id").groupBy("key").agg(F.max(F.struct("popular", (-F.col("id")).alias("minus"))).alias("top"), F.max("_salt").alias("_last")).select("key", (-F.col("top.minus")).alias("centre"), salts)
+    pairs = active.join(first, ["key", "_salt"]).filter("id <> centre")
+    active = active.drop("n")
     width = SKETCH // 64
     apart = functools.reduce(operator.add, [F.bit_count(F.col(f"s{i}").bitwiseXOR(F.col(f"c{i}"))) for i in range(width)])
     possible = apart * (1 + threshold) <= (F.col("size") + F.col("size_c")) * (1 - threshold) + 1e-6
@@ -209,39 +220,41 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
         found = judged.filter(F.col("similarity") >= threshold).select(F.col("centre").alias("a"), F.col("id").alias("b"))
         roots = components(found)
         rooted = active.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-        largest = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", (-F.col("root")).alias("minus"))).alias("top")).filter("parts > 1").select("key", (-F.col("top.minus")).alias("big"))
-        rooted = stage(rooted.join(largest, "key"), "bucket-rows")
+        parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.max("_salt").alias("_last"))
+        largest = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", (-F.col("root")).alias("minus"))).alias("top"), F.max("_last").alias("_last")).filter("parts > 1")
+        largest = largest.select("key", (-F.col("top.minus")).alias("big"), "_last", salts)
+        rooted = stage(rooted.join(largest, ["key", "_salt"]), "bucket-rows")
         if rooted.isEmpty():
-            return signed, roots
-        order = Window.partitionBy("key").orderBy("id")
-        chosen = rooted.filter("root <> big").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= n_centres)
-        centres = chosen.select(F.col("key").alias("_k"), F.col("id").alias("centre"), F.col("root").alias("centre_root")).join(of_centre, "centre")
-        pairs = rooted.join(sketches, "id").join(centres, (F.col("key") == F.col("_k")) & (F.col("root") != F.col("centre_root")) & possible).select("centre", "id").distinct()
+            return signed.select("doc_id", "h", "g"), reps.drop("bands"), roots
+        # each salt gives its share of the centres, so nothing ranks a whole bucket
+        order = Window.partitionBy("key", "_salt").orderBy("id")
+        chosen = rooted.filter("root <> big").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= F.ceil(n_centres / (F.col("_last") + 1)))
+        centres = chosen.select(F.col("key").alias("_k"), F.explode(F.sequence(F.lit(0), "_last")).alias("_s"), F.col("id").alias("centre"), F.col("root").alias("centre_root")).join(of_centre, "centre")
+        pairs = rooted.join(sketches, "id").join(centres, (F.col("key") == F.col("_k")) & (F.col("_salt") == F.col("_s")) & (F.col("root") != F.col("centre_root")) & possible).select("centre", "id").distinct()
         pairs = pairs.select(F.least("centre", "id").alias("centre"), F.greatest("centre", "id").alias("id")).join(judged.select("centre", "id"), ["centre", "id"], "left_anti")
-        active = rooted.join(chosen.select("key", "id"), ["key", "id"], "left_anti").select("key", "id")
+        active = rooted.join(chosen.select("key", "_salt", "id"), ["key", "_salt", "id"], "left_anti").select("key", "_salt", "id")
         n_centres *= 16
 
 
 def _roots(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(signed, (id, text_rep, root) of every text)."""
-    signed, roots = links(docs, threshold)
-    texts = signed.groupBy("id").agg(F.min("doc_id").alias("text_rep"))
-    return signed, stage(texts.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "roots")
+    """(signed, (h, g, id, text_rep, root) of every text)."""
+    signed, reps, roots = links(docs, threshold)
+    return signed, stage(reps.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "roots")
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, class_id, and text_rep, the smallest doc_id with an equal text."""
     signed, rooted = _roots(docs, threshold)
     named = rooted.groupBy("root").agg(F.min("text_rep").alias("class_id"))
-    return signed.select("doc_id", "id").join(rooted.join(named, "root").select("id", "class_id", "text_rep"), "id").select("doc_id", "class_id", "text_rep")
+    return signed.join(rooted.join(named, "root").select("h", "g", "class_id", "text_rep"), ["h", "g"]).select("doc_id", "class_id", "text_rep")
 
 
 def distinct(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class, the one with the smallest doc_id, with all its columns (of equal rows any)."""
     _, rooted = _roots(docs, threshold)
-    first = F.min(F.struct(F.col("text_rep").isNull(), "text_rep", "id"))
-    kept = rooted.groupBy("root").agg(first.alias("m")).select(F.col("m.text_rep").alias("_d"), F.col("m.id").alias("_t"))
-    whole = carry(docs, "doc_id", "text").withColumn("_x", F.xxhash64(F.coalesce("text", F.lit(""))))
-    one = whole.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_t")), "left_semi").dropDuplicates(["doc_id", "_x"])
+    first = F.min(F.struct(F.col("text_rep").isNull(), "text_rep", "h", "g"))
+    kept = rooted.groupBy("root").agg(first.alias("m")).select(F.col("m.text_rep").alias("_d"), F.col("m.h").alias("_h"), F.col("m.g").alias("_g"))
+    text = F.coalesce("text", F.lit(""))
+    whole = carry(docs, "doc_id", "text").withColumn("_x", F.xxhash64(text)).withColumn("_y", F.xxhash64(F.lit(1), text))
+    one = whole.join(kept, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_x") == F.col("_h")) & (F.col("_y") == F.col("_g")), "left_semi").dropDuplicates(["doc_id", "_x", "_y"])
     return unload(one, docs)

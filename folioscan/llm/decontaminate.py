@@ -7,9 +7,11 @@ meet is one token long: the window's rarest shingle. Documents' shingles are joi
 the shingle in its window bounds where the window starts, and start and length must lie inside the document; what
 passes is verified word by word.
 
-The benchmark is taken in blocks of at most BLOCK_BYTES, whose indexes are broadcast one at a time, so its size is not
-bounded by memory: each block is a pass over the documents, and a document's passes are merged. A benchmark of one
-block (the common case) needs no shuffle of documents.
+The benchmark is taken in blocks of at most BLOCK_BYTES of text (or one item, if that is longer), whose indexes are
+broadcast one at a time, so its size is not bounded by memory: each block is a pass over the documents, and a
+document's passes are merged. An index is flat arrays over the block's words, at most INDEX_BYTES for each byte of text,
+which is checked before it is broadcast. A benchmark of one block (the common case) needs no shuffle of documents; each
+further block costs one more scan of them, and with several blocks the documents' counts and hits shuffle once.
 
 Defined results. Null or empty text, text without words: 0 words, not contaminated; as an item: no windows. Repeated
 items and rows: each counts. Null item_id: its windows hit, it isn't listed. Texts of any length are read whole.
@@ -19,7 +21,6 @@ Empty tables: no rows, or no hits. Extra columns: ignored by `report`, kept by `
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,81 +32,124 @@ from folioscan.llm.tokens import slices, text_sizes
 from folioscan.llm.words import Words, shingles, words_of
 
 WINDOW, SHINGLE = 10, 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, INDEX_BYTES = 4 << 20, 64
 CHUNK = 2_000_000
 _FILTER_BITS = 20
 
 
-@dataclass
-class Windows:
-    """The distinct windows of a block of items."""
-
-    text: list[tuple[bytes, ...]]
-    items: list[list[str]]
-    hashes: list[np.ndarray]
-
-
-def windows_of(rows: list[tuple[str | None, str | None]], window: int = WINDOW) -> Windows:
-    found: dict[tuple[bytes, ...], tuple[list[str], np.ndarray]] = {}
-    w = words_of(pa.array([t for _, t in rows], pa.string()))
-    for k, (item, _) in enumerate(rows):
-        a, b = int(w.first[k]), int(w.first[k + 1])
-        size = min(window, b - a)
-        for s in range(a, b - size + 1) if size else ():
-            key = tuple(w.word(i) for i in range(s, s + size))
-            items, _ = found.setdefault(key, ([], w.hashes[s : s + size].copy()))
-            if item is not None and item not in items:
-                items.append(item)
-    return Windows(list(found), [x for x, _ in found.values()], [h for _, h in found.values()])
+def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(first place, number) of equal rows: the place where each distinct row comes first, and each row's number."""
+    order = np.lexsort(columns)
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[order][1:] != c[order][:-1]
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order, number
 
 
 class Index:
-    """prefix shingle -> (window, place of the shingle in it), for each shingle size in use."""
-
-    def __init__(self, windows: Windows, frequency: dict[int, int] | None = None, shingle: int = SHINGLE):
-        self.windows, self.shingle = windows, shingle
-        picked: dict[int, list[tuple[int, int, int]]] = {}
-        frequency = frequency or {}
-        for k, h in enumerate(windows.hashes):
-            size = min(shingle, len(h))
-            grams = shingles(h, size).tolist()
-            # rarest first; ties by the hash, then by place
-            _, gram, place = min((frequency.get(g, 0), g, i) for i, g in enumerate(grams))
-            picked.setdefault(size, []).append((gram, k, place))
-        self.by_size = {}
-        for size, rows in picked.items():
-            rows.sort()
-            gram = np.array([r[0] for r in rows], np.uint64)
+    """The distinct windows of a block of items as places in its words, and the prefix shingle of each.
+
+    words: the block's words. start, size: of each window, in words. first, items: the item numbers of window k are
+    items[first[k] : first[k + 1]], names their texts. prefix: for each shingle size in use the sorted prefix shingles
+    with the window and the shingle's place in it.
+    """
+
+    def __init__(self, rows: list[tuple[str | None, str | None]], window: int = WINDOW, shingle: int = SHINGLE):
+        self.shingle = shingle
+        self.words = w = words_of(pa.array([t for _, t in rows], pa.string()))
+        n = np.diff(w.first)
+        sizes = np.minimum(n, window)
+        count = np.where(n > 0, n - sizes + 1, 0)
+        item = np.repeat(np.arange(len(rows)), count)
+        start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(w.first[:-1], count)
+        size = sizes[item]
+        columns = [size]
+        for j in range(int(size.max()) if len(size) else 0):  # windows are equal if all their words are: their hashes, and below their bytes
+            columns.append(np.where(j < size, w.hashes[np.minimum(start + j, len(w.hashes) - 1)], np.uint64(0)))
+        at, number = _distinct(columns)
+        if len(at):  # two words of one hash: such windows stay apart
+            other = np.flatnonzero(at[number] != np.arange(len(number)))
+            unlike = [i for i in other.tolist() if self._bytes(start[i], size[i]) != self._bytes(start[at[number[i]]], size[i])]
+            number[unlike] = len(at) + np.arange(len(unlike))
+            at = np.concatenate((at, np.array(unlike, np.int64)))
+        self.start, self.size = start[at].astype(np.int32), size[at].astype(np.uint8)
+        names: dict[str, int] = {}
+        named = np.array([-1 if k is None else names.setdefault(k, len(names)) for k, _ in rows], np.int64)[item]
+        pair = np.unique(np.stack([number, named], axis=1)[named >= 0], axis=0)
+        self.names, self.items = list(names), pair[:, 1].astype(np.int32)
+        self.first = np.searchsorted(pair[:, 0], np.arange(len(at) + 1)).astype(np.int32)
+
+    def _bytes(self, start: int, size: int) -> bytes:
+        w = self.words
+        return b"\0".join(w.word(i) for i in range(int(start), int(start) + int(size)))
+
+    def grams(self) -> dict[int, np.ndarray]:
+        """The distinct shingles of all windows, ascending, by shingle size."""
+        return {k: np.unique(np.concatenate([g for _, _, g in some])) for k, some in self._shingles().items()}
+
+    def _shingles(self) -> dict[int, list[tuple[np.ndarray, int, np.ndarray]]]:
+        """By shingle size: (windows, place, hash) of each place of a shingle in its window."""
+        out: dict[int, list] = {}
+        for size in np.unique(self.size).tolist():
+            k, some = min(self.shingle, size), np.flatnonzero(self.size == size)
+            h = shingles(self.words.hashes, k)
+            for place in range(size - k + 1):
+                out.setdefault(k, []).append((some, place, h[self.start[some] + place]))
+        return out
+
+    def rank(self, frequency: dict[int, tuple[np.ndarray, np.ndarray]] | None = None) -> Index:
+        """Choose each window's prefix: its rarest shingle; of equal ones the smaller hash, then the earlier place."""
+        self.prefix = {}
+        for k, some in self._shingles().items():
+            window = np.concatenate([v for v, _, _ in some])
+            place = np.concatenate([np.full(len(v), p, np.uint8) for v, p, _ in some])
+            gram = np.concatenate([g for _, _, g in some])
+            n = np.zeros(len(gram), np.int64)
+            if frequency and len(frequency[k][0]):
+                known, times = frequency[k]
+                i = np.minimum(np.searchsorted(known, gram), len(known) - 1)
+                n = np.where(known[i] == gram, times[i], 0)
+            order = np.lexsort((place, gram, n, window))
+            best = order[np.concatenate(([True], window[order][1:] != window[order][:-1]))]
+            best = best[np.argsort(gram[best], kind="stable")]
             passes = np.zeros(1 << _FILTER_BITS, bool)
-            passes[gram >> np.uint64(64 - _FILTER_BITS)] = True
-            self.by_size[size] = (gram, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), passes)
-        lengths = [len(h) for h in windows.hashes]
-        self.lengths = np.array(lengths, np.int64)
-        self.table = np.zeros((len(lengths), max(lengths, default=0)), np.uint64)
-        for k, h in enumerate(windows.hashes):
-            self.table[k, : len(h)] = h
+            passes[gram[best] >> np.uint64(64 - _FILTER_BITS)] = True
+            self.prefix[k] = gram[best], window[best].astype(np.int32), place[best], passes
+        return self
+
+    def nbytes(self) -> int:
+        w = self.words
+        flat = (w.data, w.starts, w.ends, w.first, w.hashes, self.start, self.size, self.first, self.items)
+        return sum(x.nbytes for x in flat) + sum(x.nbytes for p in self.prefix.values() for x in p[:3]) + sum(len(x) + 64 for x in self.names)
 
     def matches(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, first word, window) of every verified occurrence."""
-        found = [(np.zeros(0, np.int64),) * 3]
-        for size, (gram, window, place, passes) in self.by_size.items():
+        found, mine = [(np.zeros(0, np.int64),) * 3], self.words
+        for size, (gram, window, place, passes) in self.prefix.items():
             h = shingles(w.hashes, size)
             at = np.flatnonzero(passes[h >> np.uint64(64 - _FILTER_BITS)])
             low, high = np.searchsorted(gram, h[at], "left"), np.searchsorted(gram, h[at], "right")
             at, low, n = at[high > low], low[high > low], (high - low)[high > low]
             entry = np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else low
-            start, k = np.repeat(at, n) - place[entry], window[entry]
+            k = window[entry]
+            start, length = np.repeat(at, n) - place[entry].astype(np.int64), self.size[k].astype(np.int64)
             doc = np.searchsorted(w.first, np.repeat(at, n), "right") - 1
-            ok = (start >= w.first[doc]) & (start + self.lengths[k] <= w.first[doc + 1])  # positional and length bounds
-            start, k, doc = start[ok], k[ok], doc[ok]
-            for j in range(self.table.shape[1]):
-                ok = (j >= self.lengths[k]) | (w.hashes[np.minimum(start + j, len(w.hashes) - 1)] == self.table[k, j])
-                start, k, doc = start[ok], k[ok], doc[ok]
-            exact = [tuple(w.word(i) for i in range(s, s + len(self.windows.text[v]))) == self.windows.text[v] for s, v in zip(start.tolist(), k.tolist(), strict=True)]
+            ok = (start >= w.first[doc]) & (start + length <= w.first[doc + 1])  # positional and length bounds
+            start, k, doc, length = start[ok], k[ok], doc[ok], length[ok]
+            for j in range(int(length.max()) if len(length) else 0):
+                ok = (j >= length) | (w.hashes[np.minimum(start + j, len(w.hashes) - 1)] == mine.hashes[np.minimum(self.start[k] + j, len(mine.hashes) - 1)])
+                start, k, doc, length = start[ok], k[ok], doc[ok], length[ok]
+            exact = [all(w.word(s + j) == mine.word(b + j) for j in range(m)) for s, b, m in zip(start.tolist(), self.start[k].tolist(), length.tolist(), strict=True)]
             ok = np.array(exact, bool)
-            found.append((doc[ok], start[ok], k[ok]))
+            found.append((doc[ok], start[ok], k[ok].astype(np.int64)))
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def items_of(self, k: int) -> list[str]:
+        return [self.names[i] for i in self.items[self.first[k] : self.first[k + 1]].tolist()]
+
 
 def _covered(w: Words, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     """For each text, the words inside any of the spans."""
@@ -116,13 +160,8 @@ def _covered(w: Words, start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return total[w.first[1:]] - total[w.first[:-1]]
 
 
-def _frequencies(docs: DataFrame, windows: Windows, shingle: int) -> dict[int, int]:
-    """Occurrences, over all documents, of the block's shingles. What reaches the driver is bounded by the block."""
-    grams: dict[int, np.ndarray] = {}
-    for h in windows.hashes:
-        size = min(shingle, len(h))
-        grams.setdefault(size, []).append(shingles(h, size))
-    grams = {k: np.unique(np.concatenate(v)) for k, v in grams.items()}
+def _frequencies(docs: DataFrame, grams: dict[int, np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By shingle size: (shingles, occurrences over all documents) of those that occur. What reaches the driver is bounded by the block."""
     shared = docs.sparkSession.sparkContext.broadcast(grams)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,10 +180,16 @@ def _frequencies(docs: DataFrame, windows: Windows, shingle: int) -> dict[int, i
                     totals[k] += np.bincount(i[v[i] == h], minlength=len(v))
         for k, v in shared.value.items():
             some = totals[k] > 0
-            yield pa.RecordBatch.from_pydict({"gram": v[some].astype(np.int64), "n": totals[k][some]})
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(int(some.sum()), k, np.int32)), pa.array(v[some].view(np.int64)), pa.array(totals[k][some])], names=["size", "gram", "n"])
 
-    found = pick(docs, "text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    return {r.gram & ((1 << 64) - 1): r.n for r in found}
+    found = pick(docs, "text").mapInArrow(count, "size int, gram long, n long").groupBy("size", "gram").agg(F.sum("n").alias("n")).toArrow()
+    size, gram, n = (np.array(found.column(c)) for c in ("size", "gram", "n"))
+    out = {}
+    for k in grams:
+        mine = gram[size == k].astype(np.int64).view(np.uint64)
+        order = np.argsort(mine)
+        out[k] = mine[order], n[size == k][order]
+    return out
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> Iterator[Index]:
@@ -154,9 +199,14 @@ def indexes(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle
     n = -(-size // BLOCK_BYTES) or 1
     for k in range(n):
         block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        windows = windows_of([(r.item_id, r.text) for r in block.collect()], window)
-        if windows.text or k == 0:
-            yield Index(windows, _frequencies(docs, windows, shingle) if windows.text else None, shingle)
+        rows = [(r.item_id, r.text) for r in block.collect()]  # about BLOCK_BYTES
+        index = Index(rows, window, shingle)
+        if len(index.start) or k == 0:
+            index.rank(_frequencies(docs, index.grams()) if len(index.start) else None)
+            text = sum(len((t or "").encode()) + len((i or "").encode()) + 32 for i, t in rows)
+            if index.nbytes() > INDEX_BYTES * text + (1 << 16):
+                raise ValueError(f"index of {index.nbytes()} bytes over {text} bytes of text")
+            yield index
 
 
 _FIELDS = [("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.int64())), ("n_hit", pa.int64()), ("items", pa.list_(pa.string()))]
@@ -174,11 +224,11 @@ def _scan(docs: DataFrame, index: Index, spans: bool) -> DataFrame:
                 items: list[set] = [set() for _ in range(b - a)]
                 runs: list[list[int]] = [[] for _ in range(b - a)]
                 for d, s, v in zip(doc.tolist(), start.tolist(), k.tolist(), strict=True):
-                    items[d].update(ix.windows.items[v])
+                    items[d].update(ix.items_of(v))
                     if spans:
-                        runs[d] += (s - int(w.first[d]), s - int(w.first[d]) + int(ix.lengths[v]))
+                        runs[d] += (s - int(w.first[d]), s - int(w.first[d]) + int(ix.size[v]))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(w.first)), pa.array(runs, pa.list_(pa.int64())), pa.array(_covered(w, start, ix.lengths[k])), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+                    [batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(np.diff(w.first)), pa.array(runs, pa.list_(pa.int64())), pa.array(_covered(w, start, ix.size[k].astype(np.int64))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
                     schema=pa.schema(_FIELDS),
                 )
 

@@ -1,15 +1,18 @@
 """Quality scores by Bradley-Terry ranking.
 
-A document's score is linear in statistics of its text. Preference pairs (a good document over a bad one) are drawn
+A document's score is linear in features of its text: statistics (lengths, shares of character classes, repetition)
+and the relative frequencies of hashed words, word pairs and four-byte strings, GRAMS buckets of each. Preference pairs (a good document over a bad one) are drawn
 from labelled rows; weights minimise the logistic loss on the pairs' feature differences with a small ridge. Training
-reads at most SAMPLE labelled rows, those with the smallest hash of their doc_id, and PAIRS pairs; both are
+reads at most SAMPLE labelled doc_ids, those with the smallest hash, one text each, and PAIRS pairs; both are
 parameters, and at most SAMPLE rows of features reach the driver. The threshold is the quantile of the training scores
 at the share of bad labels, midway between its neighbours; the reported score is the logistic function of the
 distance to it, so 0.5 is the threshold.
 
 Never features: labels, lang, source, doc_id. Defined results. Null or empty text: the features of an empty text,
-scored like any other. Null doc_id: not held out, never trained on. Labels of one class only, or none: every score
-0.5. Repeated rows: scored each. Texts of any length are read whole. Extra columns: ignored.
+scored like any other. Null doc_id: not held out, never trained on. A doc_id with labels of both kinds: left out of
+training. A doc_id with several texts: trained on the one of the smallest hash. Labels of one class only, or none:
+every score 0.5. Repeated rows: scored each. Empty tables: no rows. Texts of any length are read whole; a statistic
+that grows with the text is cut at a bound. Extra columns: ignored.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ from pyspark.sql import functions as F
 
 from folioscan.llm.common import pick
 from folioscan.llm.tokens import slices, text_sizes
-from folioscan.llm.words import flat, shingles, words_of
+from folioscan.llm.words import Words, flat, mix, shingles, words_of
 
-SAMPLE, PAIRS = 20_000, 100_000
+SAMPLE, PAIRS, GRAMS = 20_000, 40_000, 64
 CHUNK = 1_000_000
 FEATURES = ("log_words", "word_length", "upper", "digit", "symbol", "shout", "bar", "stop", "non_ascii", "distinct_words", "distinct_triples", "echo", "line_words", "short")
 _CLASSES = {"upper": range(65, 91), "letter": [*range(65, 91), *range(97, 123)], "digit": range(48, 58), "symbol": b"#*$%&<>", "shout": b"!?", "bar": b"|", "stop": b".,;:", "line": b"\n"}
@@ -48,16 +51,38 @@ def _distinct(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _hashed(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """(n, GRAMS): the square root of each bucket's share of the owner's hashes."""
+    bucket = (mix(hashes.copy()) >> np.uint64(32)).astype(np.int64) % GRAMS
+    counts = np.bincount(owner * GRAMS + bucket, minlength=n * GRAMS).reshape(n, GRAMS)
+    return np.sqrt(counts / np.maximum(counts.sum(axis=1, keepdims=True), 1))
+
+
 def features(texts: pa.Array) -> np.ndarray:
-    """(texts, len(FEATURES)); every entry is bounded whatever the text."""
+    """(texts, len(FEATURES) + 3 * GRAMS): statistics and hashed frequencies; every entry is bounded whatever the text."""
     data, offsets = flat(texts)
     n = len(offsets) - 1
+    width = np.diff(offsets)
+    four = data.astype(np.uint64)
+    four = four[:-3] | four[1:-2] << np.uint64(8) | four[2:-1] << np.uint64(16) | four[3:] << np.uint64(24)
+    writer = np.repeat(np.arange(n), width)[: len(four)]
+    inside = np.arange(len(four)) + 4 <= offsets[1:][writer]
+    w = words_of(texts)
+    owner = np.repeat(np.arange(n), np.diff(w.first))
+    two = shingles(w.hashes, 2)
+    both = owner[: len(two)] == owner[1:] if len(two) else np.zeros(0, bool)
+    grams = [_hashed(w.hashes, owner, n), _hashed(two[both], owner[: len(two)][both], n), _hashed(four[inside], writer[inside], n)]
+    return np.concatenate((_statistics(data, offsets, w), *grams), axis=1)
+
+
+def _statistics(data: np.ndarray, offsets: np.ndarray, w: Words) -> np.ndarray:
+    """(texts, len(FEATURES))."""
+    n = len(offsets) - 1
     count = {}
     for name, members in _CLASSES.items():
         table = np.zeros(256, bool)
         table[list(members)] = True
         count[name] = _per_text(table[data], offsets)
-    w = words_of(texts)
     words = np.diff(w.first)
     owner = np.repeat(np.arange(n), words)
     per_word = np.maximum(words, 1)
@@ -132,7 +157,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs: int = PAIRS) -> Ranking:
-    chosen = pick(labels, "doc_id", "quality").filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q")).orderBy(F.xxhash64("_id"), "_q").limit(sample)
+    usable = pick(labels, "doc_id", "quality").filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    agreed = usable.groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_q"), F.max("quality").alias("_other")).filter("_q = _other").drop("_other")
+    chosen = agreed.orderBy(F.xxhash64("_id"), "_id").limit(sample)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,10 +167,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, pairs: int =
                 x = features(batch.column(2).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "q", "x"])
 
-    # at most `sample` small rows on either side of the wire
+    # at most `sample` small rows are broadcast and as many rows of features come back
     labelled = pick(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select(F.col("_id").cast("long"), F.col("_q").cast("long"), "text")
-    rows = sorted(labelled.mapInArrow(describe, "id long, q long, x array<double>").limit(4 * sample).collect())
-    return fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.q == 1 for r in rows], bool), pairs)
+    one = labelled.groupBy("_id", "_q").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("_id", "_q", "t.text")
+    rows = one.mapInArrow(describe, "id long, q long, x array<double>").toArrow().combine_chunks().sort_by("id")
+    x = np.array(rows.column("x").combine_chunks().flatten(), np.float64) if rows.num_rows else np.zeros(0)
+    return fit(x.reshape(rows.num_rows, len(FEATURES) + 3 * GRAMS), np.array(rows.column("q")) == 1, pairs)
 
 
 def score(docs: DataFrame, ranking: Ranking) -> DataFrame:

@@ -85,13 +85,14 @@ def span_overlap_ratio(a: list[tuple[float, float]], b: list[tuple[float, float]
 
 def chain_merge(values: list[dict], tolerance: float = 3.0, min_overlap: float = 0.30) -> list[dict]:
     """Vertical baselines {side, value, count, spans}: in order of value, each is folded into the last kept one if that has
-    its side, is within tolerance and overlaps enough; the value is the mean weighted by counts."""
+    its side, is within tolerance and overlaps enough; the value is the mean weighted by counts, sums are added."""
     kept: list[dict] = []
     for v in sorted(values, key=lambda v: v["value"]):
         last = kept[-1] if kept else None
         if last and last["side"] == v["side"] and v["value"] - last["value"] <= tolerance and span_overlap_ratio(last["spans"], v["spans"]) >= min_overlap:
             n = last["count"] + v["count"]
-            kept[-1] = last | {"value": (last["value"] * last["count"] + v["value"] * v["count"]) / n, "count": n, "spans": last["spans"] + v["spans"]}
+            added = {k: last[k] + v[k] for k in ("block_support", "s0", "s1", "s2") if k in last}
+            kept[-1] = last | added | {"value": (last["value"] * last["count"] + v["value"] * v["count"]) / n, "count": n, "spans": last["spans"] + v["spans"], "merged": True}
         else:
             kept.append(v)
     return kept
@@ -122,20 +123,35 @@ def consolidate_exact(areas: np.ndarray, boxes: np.ndarray, texts: list[str], to
     return keep
 
 
-def merge_adjacent(blocks: list[dict], max_gap: float = 15.0, center_tolerance: float = 20.0) -> list[dict]:
-    """Blocks {bbox, alignment, table, cells, merged_from}: passes over neighbours in order of y0 until none merges.
+def box_overlap(a, b) -> tuple[float, float, float]:
+    """IoU and the shares of either box, to 3 places."""
+    w, h = (min(a[k + 2], b[k + 2]) - max(a[k], b[k]) for k in (0, 1))
+    shared = max(0.0, w) * max(0.0, h)
+    areas = [max(0.0, x[2] - x[0]) * max(0.0, x[3] - x[1]) for x in (a, b)]
+    ratios = [shared / below if below > 0 else 0.0 for below in (sum(areas) - shared, *areas)]
+    return tuple(round(r, 3) for r in ratios)
 
-    Two neighbours merge if both are left- or both right-aligned, the gap between them is 0 to max_gap, they are in one
-    table or none, and their centres differ by center_tolerance at most.
+
+def table_of(box, tables: list, min_iou: float = 0.5) -> int | None:
+    """The place of the first table that the box covers."""
+    return next((k for k, t in enumerate(tables) if box_overlap(box, t)[0] >= min_iou), None)
+
+
+def merge_adjacent(blocks: list[dict], max_gap: float = 15.0, center_tolerance: float = 20.0, tables: list = ()) -> list[dict]:
+    """Blocks {bbox, alignment, cells, merged_from}: passes over neighbours in order of y0 until none merges.
+
+    Two neighbours merge if both are left- or both right-aligned, the gap between them is 0 to max_gap, they cover one
+    table or none, and their centres differ by center_tolerance at most. A merged block keeps what else the first one
+    has, but for its confidence.
     """
     blocks = sorted(blocks, key=lambda b: b["bbox"][1])
     while True:
         out, i, merged = [], 0, False
         while i < len(blocks):
             a, b = blocks[i], blocks[i + 1] if i + 1 < len(blocks) else None
-            if b and _mergeable(a, b, max_gap, center_tolerance):
+            if b and _mergeable(a, b, max_gap, center_tolerance, tables):
                 box = tuple(f(p, q) for f, p, q in zip((min, min, max, max), a["bbox"], b["bbox"], strict=True))
-                out.append(a | {"bbox": box, "cells": a["cells"] + b["cells"], "merged_from": a["merged_from"] + b["merged_from"]})
+                out.append(a | {"bbox": box, "cells": a["cells"] + b["cells"], "merged_from": a["merged_from"] + b["merged_from"], "confidence": None})
                 merged, i = True, i + 2
             else:
                 out.append(a)
@@ -145,32 +161,47 @@ def merge_adjacent(blocks: list[dict], max_gap: float = 15.0, center_tolerance:
             return blocks
 
 
-def _mergeable(a: dict, b: dict, max_gap: float, center_tolerance: float) -> bool:
+def _mergeable(a: dict, b: dict, max_gap: float, center_tolerance: float, tables: list) -> bool:
     gap = b["bbox"][1] - a["bbox"][3]
     centers = [(x["bbox"][0] + x["bbox"][2]) / 2 for x in (a, b)]
-    return a["alignment"] == b["alignment"] and a["alignment"] in ("left", "right") and 0 <= gap <= max_gap and a["table"] == b["table"] and abs(centers[0] - centers[1]) <= center_tolerance
+    alike = a["alignment"] == b["alignment"] and a["alignment"] in ("left", "right") and 0 <= gap <= max_gap and abs(centers[0] - centers[1]) <= center_tolerance
+    return alike and table_of(a["bbox"], tables) == table_of(b["bbox"], tables)
+
+
+def block_confidence(box, cells: int, alignment: float, tables: list = ()) -> float:
+    """Cells, alignment, density, cells by height and a table's support in one number, to 3 places."""
+    w, h = box[2] - box[0], box[3] - box[1]
+    dense = min(cells / (w * h) / 5e-4, 1.0) if w * h > 0 else 0.0
+    tall = min(cells / h / 0.1, 1.0) if h > 0 else 0.0
+    return round(0.25 * min(cells / 20, 1.0) + 0.25 * alignment + 0.15 * dense + 0.15 * tall + (0.2 if table_of(box, tables, 0.7) is not None else 0.0), 3)
 
 
 def drop_nested(boxes: np.ndarray, confidence: np.ndarray, overlap_ratio: float = 0.8, area_ratio: float = 0.5, difference: float = 0.2) -> np.ndarray:
-    """Kept blocks: the smaller of a pair goes if it mostly lies in the other, is much smaller and less certain."""
+    """Kept blocks: the smaller of a pair goes if it mostly lies in the other, is much smaller and less certain.
+
+    Pairs are taken in order; a block that has gone is compared no more, but its own round goes on to the end.
+    """
     keep = np.ones(len(boxes), bool)
-    areas = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1]) if len(boxes) else np.zeros(0)
+    areas = [(b[2] - b[0]) * (b[3] - b[1]) for b in boxes]
     for i in range(len(boxes)):
+        if not keep[i]:
+            continue
         for j in range(len(boxes)):
-            if not keep[i]:
-                break
-            if i == j or not keep[j]:
+            if i == j or not keep[j] or max(box_overlap(boxes[i], boxes[j])[1:]) < overlap_ratio:
                 continue
-            w, h = (min(boxes[i][k + 2], boxes[j][k + 2]) - max(boxes[i][k], boxes[j][k]) for k in (0, 1))
             small, large = (i, j) if areas[i] < areas[j] else (j, i)
-            if w <= 0 or h <= 0 or areas[small] <= 0:
-                continue
-            share = max(w * h / areas[i], w * h / areas[j])
-            if share >= overlap_ratio and areas[small] / areas[large] < area_ratio and confidence[large] - confidence[small] >= difference:
+            if (areas[small] / areas[large] if areas[large] > 0 else 0.0) < area_ratio and confidence[large] - confidence[small] >= difference:
                 keep[small] = False
     return keep
 
 
+def drop_weak(boxes: list, cells: list[int], min_strength: float = 0.05, max_iou: float = 0.3) -> np.ndarray:
+    """Kept blocks: one of few cells for its height goes if it overlaps one of more."""
+    strength = np.array([n / (b[3] - b[1]) if b[3] > b[1] else 0.0 for b, n in zip(boxes, cells, strict=True)])
+    strong = [b for b, s in zip(boxes, strength, strict=True) if s >= min_strength]
+    return np.array([s >= min_strength or all(box_overlap(b, x)[0] <= max_iou for x in strong) for b, s in zip(boxes, strength, strict=True)], bool)
+
+
 def greedy_match(candidates: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
     """One-to-one: in order of the left index, the free right one of the strictly highest score; of equals the first."""
     best: dict[int, list[tuple[int, float]]] = {}

@@ -1,18 +1,20 @@
 """Spatial joins of boxes on a page.
 
-The default is an equi-join on the page with range predicates: a page holds tens to thousands of boxes. Pages that are
-much larger take the grid: boxes are dealt into square bins and joined bin by bin; a pair is judged in one bin only (the
-one with the upper left corner of its intersection), so no distinct is needed and the answer is the same.
+Joins go by bins: boxes are dealt into rectangles of `bins` points (width, height) and joined bin by bin; a pair is
+judged in one bin only, the one in which its intersection begins, so no distinct is needed and the answer is that of
+the join on the page. bins=None joins on the page alone. Neighbourhoods (spacing, clusters) follow the page's own grid,
+whose cells are as large as the page's median box.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as g
 
 COORDS = ("x0", "y0", "x1", "y1")
+BINS = (72.0, 24.0)
 
 
 def _sides(boxes: DataFrame, keys: list[str], ident: str) -> tuple[DataFrame, DataFrame]:
@@ -29,97 +31,132 @@ def _same(keys: list[str]) -> Column:
     return same
 
 
-def overlapping_pairs(boxes: DataFrame, threshold: float = 0.25, mode: str = "iou", keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id", grid: float | None = None) -> DataFrame:
+def _dealt(side: DataFrame, box: g.Box, bins: tuple[float, float], name: str) -> DataFrame:
+    for axis, size, lo, hi in (("x", bins[0], box[0], box[2]), ("y", bins[1], box[1], box[3])):
+        side = side.withColumn(f"_{axis}_{name}", F.explode(F.sequence(F.floor(lo / size), F.floor(hi / size))))
+    return side
+
+
+def overlap_join(a: DataFrame, b: DataFrame, box_a: g.Box, box_b: g.Box, keys: list[str], condition: Column | None = None, bins: tuple[float, float] | None = BINS) -> DataFrame:
+    """Rows of a and of b (keys named _key there) whose boxes overlap strictly, each pair once."""
+    met = _same(keys) & g.meets(box_a, box_b)
+    if condition is not None:
+        met = met & condition
+    if bins is None:
+        return a.join(b, met)
+    here = (F.col("_x_a") == F.col("_x_b")) & (F.col("_y_a") == F.col("_y_b"))
+    begins = (F.floor(F.greatest(box_a[0], box_b[0]) / bins[0]) == F.col("_x_a")) & (F.floor(F.greatest(box_a[1], box_b[1]) / bins[1]) == F.col("_y_a"))
+    return _dealt(a, box_a, bins, "a").join(_dealt(b, box_b, bins, "b"), here & met & begins).drop("_x_a", "_y_a", "_x_b", "_y_b")
+
+
+def overlapping_pairs(boxes: DataFrame, threshold: float = 0.25, mode: str = "iou", keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id", bins: tuple[float, float] | None = BINS) -> DataFrame:
     """(keys, a, b, score) of pairs a < b that overlap strictly with score >= threshold."""
     ks = list(keys)
     a, b = _sides(boxes, ks, ident)
     ba, bb = g.box(suffix="_a"), g.box(suffix="_b")
-    near = g.meets(ba, bb) & (F.col(f"{ident}_a") < F.col(f"{ident}_b"))
-    if grid is None:
-        joined = a.join(b, _same(ks) & near)
-    else:
-
-        def bins(side: DataFrame, s: str) -> DataFrame:
-            of = [F.sequence(F.floor(F.col(f"{lo}{s}") / grid), F.floor(F.col(f"{hi}{s}") / grid)) for lo, hi in (("x0", "x1"), ("y0", "y1"))]
-            return side.withColumn(f"gx{s}", F.explode(of[0])).withColumn(f"gy{s}", F.explode(of[1]))
-
-        first = (F.floor(F.greatest("x0_a", "x0_b") / grid) == F.col("gx_a")) & (F.floor(F.greatest("y0_a", "y0_b") / grid) == F.col("gy_a"))
-        joined = bins(a, "_a").join(bins(b, "_b"), _same(ks) & (F.col("gx_a") == F.col("gx_b")) & (F.col("gy_a") == F.col("gy_b")) & near & first)
-    scored = joined.select(*ks, F.col(f"{ident}_a").alias("a"), F.col(f"{ident}_b").alias("b"), g.overlap_score(ba, bb, mode).alias("score"))
-    return scored.filter(F.col("score") >= threshold)
+    joined = overlap_join(a, b, ba, bb, ks, F.col(f"{ident}_a") < F.col(f"{ident}_b"), bins)
+    return joined.select(*ks, F.col(f"{ident}_a").alias("a"), F.col(f"{ident}_b").alias("b"), g.overlap_score(ba, bb, mode).alias("score")).filter(F.col("score") >= threshold)
 
 
-def pair_scores(boxes: DataFrame, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id") -> DataFrame:
+def pair_scores(boxes: DataFrame, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id", bins: tuple[float, float] | None = BINS) -> DataFrame:
     """Every strictly overlapping pair with its scores in all modes and its metrics."""
     ks = list(keys)
     a, b = _sides(boxes, ks, ident)
     ba, bb = g.box(suffix="_a"), g.box(suffix="_b")
-    joined = a.join(b, _same(ks) & g.meets(ba, bb) & (F.col(f"{ident}_a") < F.col(f"{ident}_b")))
+    joined = overlap_join(a, b, ba, bb, ks, F.col(f"{ident}_a") < F.col(f"{ident}_b"), bins)
     scores = [g.overlap_score(ba, bb, m).alias(f"score_{m}") for m in ("min", "iou", "a", "b")]
     return joined.select(*ks, F.col(f"{ident}_a").alias("a"), F.col(f"{ident}_b").alias("b"), *scores, *[c.alias(n) for n, c in g.overlap_metrics(ba, bb).items()])
 
 
-def consolidate(boxes: DataFrame, tolerance: float = 0.5, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id") -> DataFrame:
+def consolidate(boxes: DataFrame, tolerance: float = 0.5, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id", bins: tuple[float, float] = BINS) -> DataFrame:
     """Boxes that don't lie inside a larger one (of equal ones: an earlier one) whose text has theirs, letter case aside.
 
-    A box inside a removed box lies, but for the tolerance, inside what removed that one too; consolidate_exact follows
-    the chain itself.
+    A box meets the others in the bin of its upper left corner. A box inside a removed box lies, but for the tolerance,
+    inside what removed that one too; consolidate_exact follows the chain itself.
     """
     ks = list(keys)
     outer = boxes.select(*[F.col(k).alias(f"_{k}") for k in ks], F.col(ident).alias("_id"), *[F.col(c).alias(f"{c}_o") for c in COORDS], F.col("text").alias("_text"))
     ba, bo = g.box(), g.box(suffix="_o")
+    outer = _dealt(outer, [bo[0] - tolerance, bo[1] - tolerance, bo[2] + tolerance, bo[3] + tolerance], bins, "b")
+    here = (F.floor(ba[0] / bins[0]) == F.col("_x_b")) & (F.floor(ba[1] / bins[1]) == F.col("_y_b"))
     larger = (g.area(bo) > g.area(ba)) | ((g.area(bo) == g.area(ba)) & (F.col("_id") < F.col(ident)))
-    inside = _same(ks) & g.contains(bo, ba, tolerance) & larger & F.lower("_text").contains(F.lower("text"))
+    inside = _same(ks) & here & g.contains(bo, ba, tolerance) & larger & F.lower("_text").contains(F.lower("text"))
     return boxes.join(outer, inside, "left_anti")
 
 
-def best_match(boxes: DataFrame, items: DataFrame, min_iou: float = 0.6, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id", item: str = "item_id") -> DataFrame:
+def best_match(boxes: DataFrame, items: DataFrame, min_iou: float = 0.6, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id", item: str = "item_id", bins: tuple[float, float] | None = BINS) -> DataFrame:
     """Each box with the item (sx0, sy0, sx1, sy1) of the largest IoU >= min_iou, the first of equals; null without one."""
     ks = list(keys)
     s = items.select(*[F.col(k).alias(f"_{k}") for k in ks], F.col(item).alias("_item"), "sx0", "sy0", "sx1", "sy1")
     bs = [F.col(c) for c in ("sx0", "sy0", "sx1", "sy1")]
-    value = g.iou(g.box(), bs)
-    hits = boxes.join(s, _same(ks) & g.meets(g.box(), bs)).withColumn("_v", value).filter(F.col("_v") >= min_iou)
+    hits = overlap_join(boxes.select(*ks, ident, *COORDS), s, g.box(), bs, ks, bins=bins).withColumn("_v", g.iou(g.box(), bs)).filter(F.col("_v") >= min_iou)
     best = hits.groupBy(*ks, ident).agg(F.max(F.struct("_v", (-F.col("_item")).alias("_m"))).alias("_b"))
     return boxes.join(best, [*ks, ident], "left").withColumn(item, -F.col("_b._m")).withColumn("match_iou", F.col("_b._v")).drop("_b")
 
 
-def suppress_headers(boxes: DataFrame, items: DataFrame, kinds: tuple[str, ...] = ("column_header", "row_header", "section_header"), **kw) -> DataFrame:
+def suppress_headers(boxes: DataFrame, items: DataFrame, kinds: tuple[str, ...] = ("column_header", "row_header", "section_header"), keys: tuple[str, ...] = ("page_ix",), **kw) -> DataFrame:
     """Boxes whose best match isn't a header."""
-    matched = best_match(boxes, items, **kw)
-    headers = items.filter(F.col("kind").isin(*kinds)).select("page_ix", "item_id")
-    return matched.join(headers, ["page_ix", "item_id"], "left_anti")
+    matched = best_match(boxes, items, keys=keys, **kw)
+    headers = items.filter(F.col("kind").isin(*kinds)).select(*keys, "item_id").toDF(*keys, "item_id")
+    return matched.join(headers, [*keys, "item_id"], "left_anti")
 
 
-def table_membership(boxes: DataFrame, tables: DataFrame, table_cells: DataFrame, tolerance: float = 2.0, min_iou: float = 0.5) -> DataFrame:
+def suppress_overlaps(boxes: DataFrame, hidden: DataFrame, max_iou: float = 0.05, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id", bins: tuple[float, float] | None = BINS) -> DataFrame:
+    """Boxes that share no more than max_iou with any hidden one (sx0, sy0, sx1, sy1)."""
+    ks = list(keys)
+    h = hidden.select(*[F.col(k).alias(f"_{k}") for k in ks], "sx0", "sy0", "sx1", "sy1")
+    bs = [F.col(c) for c in ("sx0", "sy0", "sx1", "sy1")]
+    hit = overlap_join(boxes.select(*ks, ident, *COORDS), h, g.box(), bs, ks, g.iou(g.box(), bs) > max_iou, bins).select(*ks, ident)
+    return boxes.join(hit.toDF(*ks, ident), [*ks, ident], "left_anti")
+
+
+def table_membership(boxes: DataFrame, tables: DataFrame, table_cells: DataFrame, tolerance: float = 2.0, min_iou: float = 0.5, bins: tuple[float, float] | None = BINS) -> DataFrame:
     """Boxes inside a table (page_ix, table_id, tx0..ty1), the first that holds them, with the table cell of best IoU > min_iou."""
     bt = [F.col(c) for c in ("tx0", "ty0", "tx1", "ty1")]
     t = tables.select(F.col("page_ix").alias("_page_ix"), "table_id", "tx0", "ty0", "tx1", "ty1")
     inside = boxes.join(t, _same(["page_ix"]) & g.contains(bt, g.box(), tolerance)).groupBy("page_ix", "box_id", *COORDS).agg(F.min("table_id").alias("table_id"))
     bc = [F.col(c) for c in ("sx0", "sy0", "sx1", "sy1")]
     c = table_cells.select(F.col("page_ix").alias("_page_ix"), F.col("table_id").alias("_table_id"), F.col("item_id").alias("cell_id"), "sx0", "sy0", "sx1", "sy1")
-    hits = inside.join(c, _same(["page_ix", "table_id"]) & g.meets(g.box(), bc)).withColumn("_v", g.iou(g.box(), bc)).filter(F.col("_v") > min_iou)
+    hits = overlap_join(inside, c, g.box(), bc, ["page_ix", "table_id"], bins=bins).withColumn("_v", g.iou(g.box(), bc)).filter(F.col("_v") > min_iou)
     return hits.groupBy("page_ix", "table_id", "box_id").agg(F.max(F.struct("_v", (-F.col("cell_id")).alias("_m"))).alias("_b")).select("page_ix", "table_id", "box_id", (-F.col("_b._m")).alias("cell_id"), F.col("_b._v").alias("iou"))
 
 
-def typical_spacing(boxes: DataFrame, vertical: bool = True, align_fraction: float = 0.15, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id") -> DataFrame:
-    """Median, over a page's boxes, of the nearest positive gap to a box that overlaps enough on the other axis."""
-    ks = list(keys)
-    a, b = _sides(boxes, ks, ident)
-    lo, hi, p, q = ("y0", "y1", "x0", "x1") if vertical else ("x0", "x1", "y0", "y1")
-    gap = F.col(f"{lo}_b") - F.col(f"{hi}_a")
-    shared = g.span_overlap(F.col(f"{p}_a"), F.col(f"{q}_a"), F.col(f"{p}_b"), F.col(f"{q}_b"))
-    enough = shared >= align_fraction * F.least(F.col(f"{q}_a") - F.col(f"{p}_a"), F.col(f"{q}_b") - F.col(f"{p}_b"))
-    near = a.join(b, _same(ks) & (gap > 0) & (shared > 0) & enough).groupBy(*ks, f"{ident}_a").agg(F.min(gap).alias("gap"))
-    return near.groupBy(*ks).agg(F.median("gap").alias("spacing"), F.count("*").alias("n"))
+def neighbours(boxes: DataFrame, vertical: bool = True, align_fraction: float = 0.15, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id", radius: int = 1) -> DataFrame:
+    """(keys, a, b, gap), both ways, of boxes whose cells in the page's grid lie at most `radius` apart and that overlap
+    enough on the other axis; gap is 0 where they overlap on this one too. Boxes without width (or height) have none.
 
-
-def adjacency(boxes: DataFrame, cutoff: float, vertical: bool = True, align_fraction: float = 0.15, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id") -> DataFrame:
-    """Edges a < b between boxes that overlap enough on one axis and lie at most cutoff apart on the other."""
+    Boxes meet row of cells by row of cells; a pair is judged in the first row that both reach.
+    """
     ks = list(keys)
-    a, b = _sides(boxes, ks, ident)
+    page = Window.partitionBy(*ks)
+    placed = boxes.select(*ks, ident, *COORDS)
+    for axis, lo, hi in (("x", "x0", "x1"), ("y", "y0", "y1")):
+        size, least = F.median(F.greatest(F.lit(1e-12), F.col(hi) - F.col(lo))).over(page), F.min(lo).over(page)
+        placed = placed.withColumn(f"_s{axis}", size).withColumn(f"_m{axis}", least)
+        placed = placed.withColumn(f"c{axis}0", F.floor((F.col(lo) - F.col(f"_m{axis}")) / F.col(f"_s{axis}"))).withColumn(f"c{axis}1", F.floor((F.col(hi) - F.col(f"_m{axis}")) / F.col(f"_s{axis}"))).drop(f"_s{axis}", f"_m{axis}")
+    cells = ("cx0", "cx1", "cy0", "cy1")
+    a = placed.select(*ks, *[F.col(c).alias(f"{c}_a") for c in (ident, *COORDS, *cells)]).withColumn("_row", F.explode(F.sequence(F.col("cy0_a") - radius, F.col("cy1_a") + radius)))
+    b = placed.select(*[F.col(k).alias(f"_{k}") for k in ks], *[F.col(c).alias(f"{c}_b") for c in (ident, *COORDS, *cells)]).withColumn("_row_b", F.explode(F.sequence("cy0_b", "cy1_b")))
+    beside = (F.col("cx0_b") <= F.col("cx1_a") + radius) & (F.col("cx1_b") >= F.col("cx0_a") - radius)
+    here = (F.col("_row") == F.col("_row_b")) & (F.greatest(F.col("cy0_a") - radius, F.col("cy0_b")) == F.col("_row"))
     lo, hi, p, q = ("y0", "y1", "x0", "x1") if vertical else ("x0", "x1", "y0", "y1")
     gap = F.greatest(F.lit(0.0), F.col(f"{lo}_b") - F.col(f"{hi}_a"), F.col(f"{lo}_a") - F.col(f"{hi}_b"))
     shared = g.span_overlap(F.col(f"{p}_a"), F.col(f"{q}_a"), F.col(f"{p}_b"), F.col(f"{q}_b"))
-    enough = (shared > 0) & (shared >= align_fraction * F.least(F.col(f"{q}_a") - F.col(f"{p}_a"), F.col(f"{q}_b") - F.col(f"{p}_b")))
-    return a.join(b, _same(ks) & (F.col(f"{ident}_a") < F.col(f"{ident}_b")) & enough & (gap <= cutoff)).select(*ks, F.col(f"{ident}_a").alias("a"), F.col(f"{ident}_b").alias("b"))
+    narrow = F.least(F.col(f"{q}_a") - F.col(f"{p}_a"), F.col(f"{q}_b") - F.col(f"{p}_b"))
+    near = a.join(b, _same(ks) & here & beside & (F.col(f"{ident}_a") != F.col(f"{ident}_b")) & (narrow > 0) & (shared >= align_fraction * narrow))
+    return near.select(*ks, F.col(f"{ident}_a").alias("a"), F.col(f"{ident}_b").alias("b"), gap.alias("gap"))
+
+
+def typical_spacing(boxes: DataFrame, vertical: bool = True, align_fraction: float = 0.15, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id", radius: int = 1) -> DataFrame:
+    """Median, over a page's boxes, of the smallest positive gap to a neighbour, and how many boxes have one."""
+    near = neighbours(boxes, vertical, align_fraction, keys, ident, radius).filter("gap > 0").groupBy(*keys, "a").agg(F.min("gap").alias("gap"))
+    return near.groupBy(*keys).agg(F.median("gap").alias("spacing"), F.count("*").alias("n"))
+
+
+def adjacency(boxes: DataFrame, cutoff: float | None = None, vertical: bool = True, multiplier: float = 1.25, align_fraction: float = 0.15, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id", radius: int = 1) -> DataFrame:
+    """Edges a < b between neighbours at most cutoff apart; by default the page's typical spacing times the multiplier, any gap where there is none."""
+    near = neighbours(boxes, vertical, align_fraction, keys, ident, radius)
+    if cutoff is not None:
+        return near.filter((F.col("gap") <= cutoff) & (F.col("a") < F.col("b"))).select(*keys, "a", "b")
+    least = near.filter("gap > 0").groupBy(*keys, "a").agg(F.min("gap").alias("gap")).groupBy(*keys).agg(F.median("gap").alias("_t"))
+    return near.filter("a < b").join(least, list(keys), "left").filter(F.col("_t").isNull() | (F.col("gap") <= multiplier * F.col("_t"))).select(*keys, "a", "b")

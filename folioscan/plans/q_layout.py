@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as g
-from folioscan.operators import alignment, kernels, spatial
+from folioscan.operators import alignment, baselines, blocks, kernels, spatial
 from folioscan.plans import views as v
 from folioscan.plans.registry import query
 
@@ -24,7 +24,8 @@ def iou_overlap_pairs(spark, d):
 
 @query(_IOU_PAIRS)
 def grid_equals_theta(spark, d):
-    return spatial.overlapping_pairs(v.boxes(spark, d), 0.10, grid=60.0).withColumn("score", F.round("score", 6))
+    """The same pairs from other bins."""
+    return spatial.overlapping_pairs(v.boxes(spark, d), 0.10, bins=(30.0, 30.0)).withColumn("score", F.round("score", 6))
 
 
 @query(f"""with {v.BOXES}, p as (select a.page_ix, a.box_id as a, b.box_id as b, {_I} as i, {_A} as aa, {_B} as ab {_PAIR})
@@ -102,12 +103,12 @@ def header_suppression(spark, d):
     return spatial.suppress_headers(v.boxes(spark, d), v.structure(spark, d)).select("page_ix", "box_id")
 
 
-_TABLES = "tables as (select page_ix, 1 as table_id, 0.0 as tx0, 0.0 as ty0, 300.0 as tx1, 360.0 as ty1 from boxes group by 1 union all select page_ix, 2, 200.0, 100.0, 612.0, 792.0 from boxes group by 1)"
+_TABLES = "tables as (select page_ix, 1 as table_id, 0.0 as tx0, 0.0 as ty0, 300.0 as tx1, 360.0 as ty1 from boxes group by 1 union all select page_ix, 2, 200.0, 100.0, 612.0, 792.0 from boxes group by 1 union all select page_ix, 3, 190.0, 0.0, 370.0, 730.0 from boxes group by 1)"
 
 
 def _tables(spark, d) -> DataFrame:
     pages = v.boxes(spark, d).select("page_ix").distinct()
-    rows = F.array(*[F.struct(F.lit(k).alias("table_id"), *[F.lit(float(x)).alias(n) for n, x in zip(("tx0", "ty0", "tx1", "ty1"), box, strict=True)]) for k, box in ((1, (0, 0, 300, 360)), (2, (200, 100, 612, 792)))])
+    rows = F.array(*[F.struct(F.lit(k).alias("table_id"), *[F.lit(float(x)).alias(n) for n, x in zip(("tx0", "ty0", "tx1", "ty1"), box, strict=True)]) for k, box in ((1, (0, 0, 300, 360)), (2, (200, 100, 612, 792)), (3, (190, 0, 370, 730)))])
     return pages.select("page_ix", F.explode(rows).alias("t")).select("page_ix", "t.*")
 
 
@@ -217,24 +218,70 @@ def spacing_mode(spark, d):
     return c.withColumn("_r", F.row_number().over(Window.partitionBy("page_ix").orderBy(F.desc("n"), "spacing"))).filter("_r = 1").drop("_r")
 
 
-@query(f"""with {v.BOXES}, p as (
-  select a.page_ix, a.box_id, min(b.y0 - a.y1) as gap from boxes a join boxes b on a.page_ix = b.page_ix and b.y0 - a.y1 > 0
-    and least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0 and least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 0.15 * least(a.x1 - a.x0, b.x1 - b.x0) group by 1, 2)
-select page_ix, cast(median(gap) as double) as spacing, count(*) as n from p group by 1""")
+_NEAR = """g as (select page_ix, median(greatest(1e-12, x1 - x0)) as cw, median(greatest(1e-12, y1 - y0)) as ch, min(x0) as mx, min(y0) as my from boxes group by 1),
+c as (select b.*, floor((x0 - mx) / cw) as cx0, floor((x1 - mx) / cw) as cx1, floor((y0 - my) / ch) as cy0, floor((y1 - my) / ch) as cy1 from boxes b join g using (page_ix)),
+near as (select a.page_ix, a.box_id as a, b.box_id as b, greatest(0, b.y0 - a.y1, a.y0 - b.y1) as gap from c a join c b on a.page_ix = b.page_ix and a.box_id <> b.box_id
+  and b.cx0 <= a.cx1 + 1 and b.cx1 >= a.cx0 - 1 and b.cy0 <= a.cy1 + 1 and b.cy1 >= a.cy0 - 1
+  and least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0 and least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 0.15 * least(a.x1 - a.x0, b.x1 - b.x0)),
+typical as (select page_ix, median(gap) as spacing, count(*) as n from (select page_ix, a, min(gap) as gap from near where gap > 0 group by 1, 2) group by 1)"""
+
+
+@query(f"with {v.BOXES}, {_NEAR} select page_ix, cast(spacing as double) as spacing, n from typical")
 def typical_spacing(spark, d):
     return spatial.typical_spacing(v.boxes(spark, d))
 
 
-@query(f"""with recursive {v.BOXES}, e as (
-  select a.page_ix, a.box_id as a, b.box_id as b from boxes a join boxes b on a.page_ix = b.page_ix and a.box_id <> b.box_id
-    and least(a.x1, b.x1) - greatest(a.x0, b.x0) > 0 and least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 0.15 * least(a.x1 - a.x0, b.x1 - b.x0)
-    and greatest(0, b.y0 - a.y1, a.y0 - b.y1) <= 2),
-r as (select page_ix, box_id, box_id as seen from boxes union select r.page_ix, r.box_id, e.b from r join e on r.page_ix = e.page_ix and r.seen = e.a)
+@query(f"""with recursive {v.BOXES}, {_NEAR}, e as (select page_ix, a, b from near left join typical using (page_ix) where spacing is null or gap <= 1.25 * spacing),
+  r as (select page_ix, box_id, box_id as seen from boxes union select r.page_ix, r.box_id, e.b from r join e on r.page_ix = e.page_ix and r.seen = e.a)
 select page_ix, box_id, min(seen) as component from r group by 1, 2""")
 def text_clusters(spark, d):
-    """Connected components of boxes that line up and lie at most 2 points apart."""
+    """Connected components of boxes that line up and lie at most 1.25 times the page's typical spacing apart."""
     b = v.boxes(spark, d)
-    return kernels.components(b, spatial.adjacency(b, 2.0))
+    return kernels.components(b, spatial.adjacency(b))
+
+
+@query()
+def text_blocks(spark, d):
+    """Blocks of vertical runs, split into columns, over the page's first baselines."""
+    b = v.boxes(spark, d)
+    return blocks.identify(b, baselines.detect(b, ["page_ix"]), ["page_ix"])
+
+
+_EDGES = """e as (select page_ix, unnest(['left', 'right', 'top', 'bottom']) as side, unnest([x0, x1, y0, y1]) as edge, unnest([y0, y0, x0, x0]) as lo, unnest([y1, y1, x1, x1]) as hi,
+  unnest([(y0 + y1) / 2, (y0 + y1) / 2, (x0 + x1) / 2, (x0 + x1) / 2]) as centre from boxes),
+k as (select page_ix, side, round_even(edge, 0) as bucket, count(*) as n, avg(edge) as value, sqrt(greatest(0, sum(centre * centre) / count(*) - (sum(centre) / count(*)) * (sum(centre) / count(*)))) as spread
+  from e group by 1, 2, 3 having count(*) >= case when side in ('left', 'right') then 3 else 2 end),
+mm as (select *, round_even(edge, 0) as bucket, case when lo <= max(hi) over (partition by page_ix, side, round_even(edge, 0) order by lo, hi rows between unbounded preceding and 1 preceding) then 0 else 1 end as new from e),
+uu as (select *, sum(new) over (partition by page_ix, side, bucket order by lo, hi rows between unbounded preceding and current row) as run from mm),
+cv as (select page_ix, side, bucket, sum(len) as covered from (select page_ix, side, bucket, run, max(hi) - min(lo) as len from uu group by 1, 2, 3, 4) group by 1, 2, 3),
+w as (select k.*, case when side in ('left', 'right') then 612 else 792 end as across, round(least(1.0, covered / case when side in ('left', 'right') then 792.0 else 612.0 end), 3) as coverage from k join cv using (page_ix, side, bucket)),
+sc as (select *, round(greatest(0.0, 1 - spread / 50), 3) as consistency, case when side in ('left', 'right') then case when value < across * 0.25 then 'page_left' when value > across * 0.75 then 'page_right' else 'mid_page' end
+  else case when value < across * 0.25 then 'page_top' when value > across * 0.75 then 'page_bottom' else 'mid_page' end end as page_position, least(abs(value), abs(across - value)) as proximity from w),
+cf as (select *, cast(round(cast(0.4 * least(1.0, n / 10.0) + 0.3 * coverage + 0.2 * consistency + case when proximity <= 50 then 0.2 else 0 end as decimal(18, 9)), 3) as double) as confidence from sc)"""
+
+
+def _clusters(spark, d) -> DataFrame:
+    return baselines.clusters(v.boxes(spark, d), ["page_ix"])
+
+
+@query(f"with {v.BOXES}, {_EDGES} select page_ix, side, bucket, n as count, round(value, 6) as value, coverage, page_position from sc")
+def baseline_clusters(spark, d):
+    """Edges that enough boxes share, with their mean, coverage and place on the page."""
+    return _clusters(spark, d).select("page_ix", "side", "bucket", "count", F.round("value", 6).alias("value"), "coverage", "page_position")
+
+
+@query()
+def detect_baselines(spark, d):
+    """Baselines of each page, seeded by the blocks over its first baselines."""
+    b = v.boxes(spark, d)
+    seeds = blocks.identify(b, baselines.detect(b, ["page_ix"]), ["page_ix"])
+    return baselines.detect(b, ["page_ix"], seeds).drop("s0", "s1", "s2")
+
+
+@query()
+def refined_baselines(spark, d):
+    """Baselines scored, filtered and ordered by confidence."""
+    return baselines.refine(baselines.detect(v.boxes(spark, d), ["page_ix"]), ["page_ix"]).drop("s0", "s1", "s2")
 
 
 _COVER = "s as (select page_ix, round_even(x0, 0) as bucket, y0 as lo, y1 as hi, box_id from boxes)"
@@ -254,47 +301,36 @@ def baseline_coverage_union(spark, d):
     return c.groupBy("page_ix", "bucket").agg(F.sum("len").alias("covered"), F.round(F.least(F.lit(1.0), F.sum("len") / 720), 6).alias("coverage"), F.count("*").alias("runs"))
 
 
-_SUPPORT = """w as (select page_ix, round_even(x0, 0) as bucket, count(*) as n, sum(least(6, greatest(1, box_id % 7))) as weight,
-  sum(x0 * least(6, greatest(1, box_id % 7))) / sum(least(6, greatest(1, box_id % 7))) as value, stddev_pop(y0) as spread, least(abs(avg(x0)), abs(612 - avg(x0))) as edge from boxes group by 1, 2)"""
-
-
-@query(f"with {v.BOXES}, {_SUPPORT} select page_ix, bucket, n, cast(weight as bigint) as weight, round(value, 6) as value from w where weight >= 3")
-def baseline_weighted_mean(spark, d):
-    return _support(spark, d).filter("weight >= 3").select("page_ix", "bucket", "n", "weight", F.round("value", 6).alias("value"))
-
-
-def _support(spark, d) -> DataFrame:
-    weight = F.least(F.lit(6), F.greatest(F.lit(1), F.col("box_id") % 7))
-    return v.boxes(spark, d).groupBy("page_ix", F.bround("x0").alias("bucket")).agg(
-        F.count("*").alias("n"), F.sum(weight).alias("weight"), (F.sum(F.col("x0") * weight) / F.sum(weight)).alias("value"), F.stddev_pop("y0").alias("spread"), g.edge_proximity(F.avg("x0"), F.lit(612.0)).alias("edge")
-    )
-
-
-_CONFIDENCE = """round(0.4 * least(1.0, n / 10.0) + 0.3 * least(1.0, n * 10 / 720.0) + 0.2 * greatest(0.0, 1 - spread / 400) + case when edge <= 50 then 0.2 else 0 end, 3)"""
-
-
-@query(f"with {v.BOXES}, {_SUPPORT} select page_ix, bucket, round(case when n < 2 then 1.0 else greatest(0.0, 1 - spread / 400) end, 3) as consistency from w")
+@query(f"with {v.BOXES}, {_EDGES} select page_ix, side, bucket, consistency from sc")
 def baseline_consistency(spark, d):
-    return _support(spark, d).select("page_ix", "bucket", F.round(F.when(F.col("n") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.col("spread") / 400)), 3).alias("consistency"))
+    return _clusters(spark, d).select("page_ix", "side", "bucket", baselines.consistency().alias("consistency"))
 
 
-def _confident(spark, d) -> DataFrame:
-    value = 0.4 * F.least(F.lit(1.0), F.col("n") / 10) + 0.3 * F.least(F.lit(1.0), F.col("n") * 10 / 720) + 0.2 * F.greatest(F.lit(0.0), 1 - F.col("spread") / 400) + F.when(F.col("edge") <= 50, 0.2).otherwise(0.0)
-    return _support(spark, d).withColumn("confidence", F.round(value, 3))
-
-
-@query(f"with {v.BOXES}, {_SUPPORT} select page_ix, bucket, n, {_CONFIDENCE} as confidence from w")
+@query(f"with {v.BOXES}, {_EDGES} select page_ix, side, bucket, n as count, round(proximity, 2) as edge_proximity, confidence from cf")
 def baseline_confidence(spark, d):
     """Support, coverage, consistency and nearness to the page edge in one number (up to 1.1)."""
-    return _confident(spark, d).select("page_ix", "bucket", "n", "confidence")
+    return baselines.scored(_clusters(spark, d)).select("page_ix", "side", "bucket", "count", "edge_proximity", "confidence")
+
+
+#: Limits at which each of the four reasons is met; the defaults turn nothing down.
+_STRICT = baselines.Limits(min_confidence=0.3, min_support=3.0, mid_page_coverage=0.05, min_consistency=0.1)
 
 
-@query(f"""with {v.BOXES}, {_SUPPORT}, c as (select *, {_CONFIDENCE} as confidence from w),
-r as (select *, list_filter([case when confidence < 0.3 then 'low_confidence' end, case when n < 2 then 'low_support' end, case when edge > 50 and n * 10 / 720.0 < 0.02 then 'low_coverage' end], lambda x: x is not null) as reasons from c)
-select page_ix, bucket, confidence, len(reasons) = 0 as retained, array_to_string(reasons, ',') as reasons from r""")
+@query(f"""with {v.BOXES}, {_EDGES}, r as (select *, list_filter([case when confidence < 0.3 then printf('low_confidence (%.3f < 0.3)', confidence) end, case when n < 3 then printf('low_support (%d < 3.0)', n) end,
+  case when side in ('left', 'right') and page_position = 'mid_page' and coverage < 0.05 then printf('low_coverage_mid_page (%.3f < 0.05)', coverage) end,
+  case when consistency < 0.1 then printf('low_consistency (%.3f < 0.1)', consistency) end], lambda x: x is not null) as reasons from cf)
+select page_ix, side, bucket, confidence, len(reasons) = 0 as retained, array_to_string(reasons, ', ') as reasons from r""")
 def baseline_filter_reasons(spark, d):
-    reasons = F.array_compact(F.array(F.when(F.col("confidence") < 0.3, "low_confidence"), F.when(F.col("n") < 2, "low_support"), F.when((F.col("edge") > 50) & (F.col("n") * 10 / 720 < 0.02), "low_coverage")))
-    return _confident(spark, d).withColumn("r", reasons).select("page_ix", "bucket", "confidence", (F.size("r") == 0).alias("retained"), F.array_join("r", ",").alias("reasons"))
+    j = baselines.judged(_clusters(spark, d), t=_STRICT)
+    return j.select("page_ix", "side", "bucket", "confidence", "retained", F.array_join("reasons", ", ").alias("reasons"))
+
+
+@query(f"""with {v.BOXES}, {_EDGES}, r as (select *, row_number() over (partition by page_ix order by confidence desc, n desc, side, bucket) as rank from cf where confidence >= 0.03 and n >= 1)
+select page_ix, side, bucket, confidence, rank from r where rank <= 10""")
+def top_baselines(spark, d):
+    """The ten most certain edges of each page under the default limits."""
+    j = baselines.judged(_clusters(spark, d)).filter("retained")
+    return j.withColumn("rank", F.row_number().over(Window.partitionBy("page_ix").orderBy(F.desc("confidence"), F.desc("count"), "side", "bucket"))).filter("rank <= 10").select("page_ix", "side", "bucket", "confidence", "rank")
 
 
 @query()
@@ -311,23 +347,15 @@ def baseline_suppression(spark, d):
 @query()
 def baseline_chain_merge(spark, d):
     """Left and right baselines of a page, merged along their common list."""
-
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        values = [{"side": s, "value": x, "count": int(n), "spans": [(a, b) for a, b in zip(lo, hi, strict=True)]} for s, x, n, lo, hi in zip(p.side, p.value, p.n, p.lo, p.hi, strict=True)]
-        return pd.DataFrame([(p.page_ix.iloc[0], m["side"], m["value"], m["count"]) for m in kernels.chain_merge(values)], columns=["page_ix", "side", "value", "n"])
-
-    sides = F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("x0").alias("edge")), F.struct(F.lit("right").alias("side"), F.col("x1").alias("edge")))).alias("e")
-    b = v.boxes(spark, d).select("page_ix", "y0", "y1", sides).groupBy("page_ix", "e.side", F.bround("e.edge").alias("bucket"))
-    b = b.agg(F.avg("e.edge").alias("value"), F.count("*").alias("n"), F.collect_list("y0").alias("lo"), F.collect_list("y1").alias("hi")).filter("n >= 3")
-    return kernels.per_page(b, ["page_ix"], kernel, "page_ix long, side string, value double, n long")
+    return baselines.detect(v.boxes(spark, d), ["page_ix"]).filter("side in ('left', 'right')").select("page_ix", "side", "value", "count", "coverage")
 
 
-@query()
+@query(f"with {v.BOXES} select page_ix, box_id, cast(dense_rank() over (partition by page_ix order by y0) - 1 as bigint) as line from boxes")
 def fold_lines(spark, d):
-    """Lines of a page by running mean of centres."""
+    """Lines of a page by running mean of centres; rows of this layout lie 12 points apart, so each is a line."""
 
     def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.assign(c=(p.y0 + p.y1) / 2 + (p.box_id % 3) * 0.7).sort_values(["c", "box_id"], kind="stable")
+        p = p.assign(c=(p.y0 + p.y1) / 2).sort_values(["c", "box_id"], kind="stable")
         p["line"] = kernels.fold_lines(p.c.to_numpy())
         return p[["page_ix", "box_id", "line"]]
 
@@ -386,7 +414,7 @@ _BLOCKS = f"""blocks as (
       select *, round_even(x0, 0) as m, count(*) over (partition by page_ix, floor(x0 / 100), round_even(x0, 0)) as n from boxes)) group by page_ix, floor(x0 / 100), mode_x)"""
 
 
-def blocks(spark, d) -> DataFrame:
+def columns(spark, d) -> DataFrame:
     """Columns 100 points wide as blocks, with their most frequent left edge and the share of boxes on it."""
     key = F.floor(F.col("x0") / 100).cast("long")
     b = v.boxes(spark, d).withColumn("block", key).withColumn("m", F.bround("x0"))
@@ -396,22 +424,28 @@ def blocks(spark, d) -> DataFrame:
     return b.groupBy("page_ix", "block", "baseline").agg(F.count("*").alias("cells"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), aligned.alias("aligned"))
 
 
-_KIND = "case when aligned >= 0.7 then 'left' when aligned < 0.3 then 'center' else 'mixed' end"
+_TYPED = """m as (select *, cast(floor(x0 / 100) as bigint) as block, round_even(x0, 0) as ml, round_even(x1, 0) as mr from boxes),
+bl as (select page_ix, block, ml as lb from m group by 1, 2, 3 qualify row_number() over (partition by page_ix, block order by count(*) desc, ml) = 1), br as (select page_ix, block, mr as rb from m group by 1, 2, 3 qualify row_number() over (partition by page_ix, block order by count(*) desc, mr) = 1),
+sh as (select page_ix, block, lb, rb, count(*) as cells, avg(case when abs(x0 - lb) <= 5 then 1.0 else 0.0 end) as ls, avg(case when abs(x1 - rb) <= 5 then 1.0 else 0.0 end) as rs, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1
+  from m join bl using (page_ix, block) join br using (page_ix, block) group by 1, 2, 3, 4),
+ty as (select *, case when rs >= 0.7 then 'right' when ls >= 0.7 then 'left' when ls < 0.3 and rs < 0.3 then 'center' else 'mixed' end as alignment from sh),
+typed as (select *, case alignment when 'right' then rb when 'left' then lb end as baseline, round(case alignment when 'right' then rs when 'left' then ls else 0 end, 3) as share from ty)"""
 
 
-def _kind():
-    return F.when(F.col("aligned") >= 0.7, "left").when(F.col("aligned") < 0.3, "center").otherwise("mixed")
+def _typed(spark, d) -> DataFrame:
+    """Columns 100 points wide as blocks, with the alignment of their boxes."""
+    return alignment.block_alignment(v.boxes(spark, d).withColumn("block_id", F.floor(F.col("x0") / 100).cast("long")), ["page_ix"], "box_id")
 
 
-@query(f"with {v.BOXES}, {_BLOCKS} select page_ix, block, cells, baseline, round(aligned, 3) as confidence, {_KIND} as alignment from blocks")
+@query(f"with {v.BOXES}, {_TYPED} select page_ix, block, cells, baseline, share as confidence, alignment from typed")
 def alignment_type_by_block(spark, d):
-    return blocks(spark, d).select("page_ix", "block", "cells", "baseline", F.round("aligned", 3).alias("confidence"), _kind().alias("alignment"))
+    return _typed(spark, d).select("page_ix", F.col("block_id").alias("block"), "cells", "baseline", "confidence", "alignment")
 
 
 @query(f"""with {v.BOXES}, {_BLOCKS} select b.page_ix, b.box_id, k.block, k.baseline as expected, b.x0 as actual, round(b.x0 - k.baseline, 2) as deviation
 from boxes b join blocks k on b.page_ix = k.page_ix and floor(b.x0 / 100) = k.block where abs(b.x0 - k.baseline) > 5""")
 def alignment_deviations(spark, d):
-    j = v.boxes(spark, d).withColumn("block", F.floor(F.col("x0") / 100).cast("long")).select("page_ix", "block", "box_id", F.col("x0").alias("actual")).join(blocks(spark, d).select("page_ix", "block", "baseline"), ["page_ix", "block"])
+    j = v.boxes(spark, d).withColumn("block", F.floor(F.col("x0") / 100).cast("long")).select("page_ix", "block", "box_id", F.col("x0").alias("actual")).join(columns(spark, d).select("page_ix", "block", "baseline"), ["page_ix", "block"])
     return j.filter(F.abs(F.col("actual") - F.col("baseline")) > 5).select("page_ix", "box_id", "block", F.col("baseline").alias("expected"), "actual", F.round(F.col("actual") - F.col("baseline"), 2).alias("deviation"))
 
 
@@ -419,68 +453,93 @@ def alignment_deviations(spark, d):
   select k.page_ix, k.block, k.aligned, count(*) as n, max(abs(b.x0 - k.baseline)) as largest from boxes b join blocks k on b.page_ix = k.page_ix and floor(b.x0 / 100) = k.block where abs(b.x0 - k.baseline) > 5 group by 1, 2, 3)
 select page_ix, block, n, largest, case when largest > 10 or (n >= 2 and aligned >= 0.9) then 'HIGH' when largest > 5 then 'MEDIUM' else 'LOW' end as severity from dv where aligned >= 0.3""")
 def alignment_severity(spark, d):
-    j = v.boxes(spark, d).select("page_ix", F.floor(F.col("x0") / 100).cast("long").alias("block"), F.col("x0").alias("bx")).join(blocks(spark, d).filter("aligned >= 0.3").select("page_ix", "block", "baseline", "aligned"), ["page_ix", "block"])
+    j = v.boxes(spark, d).select("page_ix", F.floor(F.col("x0") / 100).cast("long").alias("block"), F.col("x0").alias("bx")).join(columns(spark, d).filter("aligned >= 0.3").select("page_ix", "block", "baseline", "aligned"), ["page_ix", "block"])
     off = F.abs(F.col("bx") - F.col("baseline"))
     s = j.filter(off > 5).groupBy("page_ix", "block", "aligned").agg(F.count("*").alias("n"), F.max(off).alias("largest"))
     severity = F.when((F.col("largest") > 10) | ((F.col("n") >= 2) & (F.col("aligned") >= 0.9)), "HIGH").when(F.col("largest") > 5, "MEDIUM").otherwise("LOW")
     return s.select("page_ix", "block", "n", "largest", severity.alias("severity"))
 
 
-_CONF = """round(0.25 * least(1.0, cells / 20.0) + 0.25 * aligned + 0.15 * least(1.0, cells / ((x1 - x0) * (y1 - y0)) / 5e-4) + 0.15 * least(1.0, cells / (y1 - y0) / 0.1)
-  + 0.2 * case when x0 >= 100 and x1 <= 400 then 1 else 0 end, 3)"""
+_IOU_BLOCKS = "(least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))"
+_IOU_TABLE = """it as (select page_ix, block, table_id, greatest(0, least(x1, tx1) - greatest(x0, tx0)) * greatest(0, least(y1, ty1) - greatest(y0, ty0)) as i, (x1 - x0) * (y1 - y0) + (tx1 - tx0) * (ty1 - ty0) as u from typed join tables using (page_ix)),
+of_table as (select page_ix, block, min(table_id) filter (round(i / (u - i), 3) >= 0.5) as table_id, bool_or(round(i / (u - i), 3) >= 0.7) as in_table from it group by 1, 2),
+c as (select t.*, o.table_id, o.in_table, round(0.25 * least(1.0, cells / 20.0) + 0.25 * share + 0.15 * case when (x1 - x0) * (y1 - y0) > 0 then least(1.0, cells / ((x1 - x0) * (y1 - y0)) / 5e-4) else 0 end
+  + 0.15 * case when y1 > y0 then least(1.0, cells / (y1 - y0) / 0.1) else 0 end + case when in_table then 0.2 else 0 end, 3) as confidence from typed t join of_table o using (page_ix, block))"""
 
 
-def _block_confidence(spark, d) -> DataFrame:
-    width, height = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    value = (
-        0.25 * F.least(F.lit(1.0), F.col("cells") / 20) + 0.25 * F.col("aligned") + 0.15 * F.least(F.lit(1.0), F.col("cells") / (width * height) / 5e-4)
-        + 0.15 * F.least(F.lit(1.0), F.col("cells") / height / 0.1) + 0.2 * F.when((F.col("x0") >= 100) & (F.col("x1") <= 400), 1.0).otherwise(0.0)
-    )
-    return blocks(spark, d).withColumn("confidence", F.round(value, 3))
+def _certain(spark, d) -> DataFrame:
+    c = blocks.with_tables(_typed(spark, d).withColumnsRenamed({"block_id": "block", "confidence": "share"}), _tables(spark, d), ["page_ix"])
+    return c.withColumn("confidence", blocks.confidence(F.col("cells"), F.col("share"), F.col("in_table"), g.box()))
 
 
-@query(f"with {v.BOXES}, {_BLOCKS} select page_ix, block, cells, {_CONF} as confidence from blocks")
+@query(f"with {v.BOXES}, {_TYPED}, {_TABLES}, {_IOU_TABLE} select page_ix, block, table_id, in_table from c")
+def block_table_membership(spark, d):
+    """The first table that a block covers, and whether it fits one closely."""
+    return _certain(spark, d).select("page_ix", "block", "table_id", "in_table")
+
+
+@query(f"with {v.BOXES}, {_TYPED}, {_TABLES}, {_IOU_TABLE} select page_ix, block, cells, confidence from c")
 def block_confidence(spark, d):
     """Cells, alignment, density, cells by height and a table's support in one number."""
-    return _block_confidence(spark, d).select("page_ix", "block", "cells", "confidence")
+    return _certain(spark, d).select("page_ix", "block", "cells", "confidence")
 
 
-_NEST = """(b.x1 - b.x0) * (b.y1 - b.y0) < (a.x1 - a.x0) * (a.y1 - a.y0) and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1
-  and (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) >= 0.8 * (b.x1 - b.x0) * (b.y1 - b.y0) and (b.x1 - b.x0) * (b.y1 - b.y0) < 0.5 * (a.x1 - a.x0) * (a.y1 - a.y0) and a.confidence - b.confidence >= 0.2"""
+_NEST = f"""(b.x1 - b.x0) * (b.y1 - b.y0) < (a.x1 - a.x0) * (a.y1 - a.y0) and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1
+  and {_IOU_BLOCKS} >= 0.8 * (b.x1 - b.x0) * (b.y1 - b.y0) and (b.x1 - b.x0) * (b.y1 - b.y0) < 0.5 * (a.x1 - a.x0) * (a.y1 - a.y0) and a.confidence - b.confidence >= 0.2"""
 
 
-@query(f"""with {v.BOXES}, {_BLOCKS}, c as (select *, {_CONF} as confidence from blocks)
+@query(f"""with {v.BOXES}, {_TYPED}, {_TABLES}, {_IOU_TABLE}
 select page_ix, block, confidence from c b where not exists (select 1 from c a where a.page_ix = b.page_ix and {_NEST})""")
 def nested_block_removal(spark, d):
-    c = _block_confidence(spark, d).select("page_ix", "block", "confidence", "x0", "y0", "x1", "y1")
+    c = _certain(spark, d).select("page_ix", "block", "confidence", "x0", "y0", "x1", "y1")
     o = c.select(F.col("page_ix").alias("_p"), F.col("confidence").alias("_c"), *[F.col(x).alias(f"{x}_o") for x in ("x0", "y0", "x1", "y1")])
     a, b = g.box(suffix="_o"), g.box()
     nested = (F.col("page_ix") == F.col("_p")) & g.meets(a, b) & (g.intersection(a, b) >= 0.8 * g.area(b)) & (g.area(b) < 0.5 * g.area(a)) & (F.col("_c") - F.col("confidence") >= 0.2)
     return c.join(o, nested, "left_anti").select("page_ix", "block", "confidence")
 
 
-@query(f"""with {v.BOXES}, {_BLOCKS}, c as (select *, cells / (y1 - y0) as strength from blocks)
-select page_ix, block, round(strength, 6) as strength from c b where b.strength >= 0.02 or not exists (select 1 from c a where a.page_ix = b.page_ix and a.strength >= 0.02 and a.block <> b.block
-  and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1 and (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))
-  > 0.05 * ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))))""")
+_BANDS = """bands as (select page_ix, cast(floor(y0 / 120) as bigint) || ':' || kind as block, count(*) as cells, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1
+  from (select *, unnest([text, '*']) as kind from boxes) group by page_ix, floor(y0 / 120), kind), st as (select *, case when y1 > y0 then cells / (y1 - y0) else 0 end as strength from bands)"""
+
+
+@query(f"""with {v.BOXES}, {_BANDS}
+select page_ix, block, round(strength, 6) as strength from st b where b.strength >= 0.05 or not exists (select 1 from st a where a.page_ix = b.page_ix and a.strength >= 0.05
+  and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1 and round({_IOU_BLOCKS} / ((a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) - {_IOU_BLOCKS}), 3) > 0.3)""")
 def weak_block_removal(spark, d):
-    c = blocks(spark, d).withColumn("strength", F.col("cells") / (F.col("y1") - F.col("y0"))).select("page_ix", "block", "strength", "x0", "y0", "x1", "y1")
-    strong = c.filter("strength >= 0.02").select(F.col("page_ix").alias("_p"), F.col("block").alias("_b"), *[F.col(x).alias(f"{x}_o") for x in ("x0", "y0", "x1", "y1")])
-    a, b = g.box(suffix="_o"), g.box()
-    weak = (F.col("page_ix") == F.col("_p")) & (F.col("block") != F.col("_b")) & (F.col("strength") < 0.02) & g.meets(a, b) & (g.iou(a, b) > 0.05)
-    return c.join(strong, weak, "left_anti").select("page_ix", "block", F.round("strength", 6).alias("strength"))
+    """Bands of a page, and in each the boxes of one text: the thin ones that lie over fuller ones go."""
+    b = v.boxes(spark, d).withColumn("kind", F.explode(F.array("text", F.lit("*"))))
+    bands = b.groupBy("page_ix", F.concat(F.floor(F.col("y0") / 120).cast("string"), F.lit(":"), "kind").alias("block")).agg(F.count("*").alias("cells"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
+    return blocks.drop_weak(bands, ["page_ix"], "block").select("page_ix", "block", F.round("strength", 6).alias("strength"))
+
+
+def _amount_blocks(spark, d) -> DataFrame:
+    cells = _column_of_amounts(spark, d)
+    typed = alignment.block_alignment(alignment.assign_blocks(cells, ["page_ix"], "box_id"), ["page_ix"], "box_id")
+    return typed.withColumnRenamed("confidence", "share")
+
+
+def _amount_tables(spark, d) -> DataFrame:
+    pages = _amount_blocks(spark, d).groupBy("page_ix").agg(F.max("y1").alias("ty1"))
+    return pages.select("page_ix", F.lit(1).alias("table_id"), F.lit(440.0).alias("tx0"), F.lit(0.0).alias("ty0"), F.lit(520.0).alias("tx1"), "ty1")
 
 
 @query()
 def merged_blocks(spark, d):
-    """Two-stage blocks merged with their neighbours."""
+    """Blocks of amounts merged with their neighbours."""
 
     def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        items = [{"bbox": (r.x0, r.y0, r.x1, r.y1), "alignment": "left", "table": None, "cells": int(r.cell_count), "merged_from": [int(r.band * 1000 + r.block)]} for r in p.sort_values(["y0", "x0", "band", "block"]).itertuples()]
+        items = [{"bbox": (r.x0, r.y0, r.x1, r.y1), "alignment": r.alignment, "cells": int(r.cells), "merged_from": [int(r.block_id)]} for r in p.sort_values("block_id").itertuples()]
         rows = [(p.page_ix.iloc[0], *m["bbox"], m["cells"], len(m["merged_from"])) for m in kernels.merge_adjacent(items)]
         return pd.DataFrame(rows, columns=["page_ix", "x0", "y0", "x1", "y1", "cells", "parts"])
 
-    return kernels.per_page(two_stage_blocks(spark, d), ["page_ix"], kernel, "page_ix long, x0 double, y0 double, x1 double, y1 double, cells long, parts long")
+    return kernels.per_page(_amount_blocks(spark, d), ["page_ix"], kernel, "page_ix long, x0 double, y0 double, x1 double, y1 double, cells long, parts long")
+
+
+@query()
+def refine_text_blocks(spark, d):
+    """Blocks of amounts scored, merged, freed of nested and weak ones, with counts by stage."""
+    r = blocks.refine(_amount_blocks(spark, d), _amount_tables(spark, d), ["page_ix"])
+    return r.select("page_ix", "block_id", "x0", "y0", "x1", "y1", "cells", "alignment", "confidence", F.size("merged_from").cast("long").alias("parts"), *[F.col("stages")[k].alias(k) for k in blocks.STAGES])
 
 
 @query(f"""with {v.BOXES} select page_ix, bucket, n, box_id from (select *, count(*) over (partition by page_ix, bucket) as n from (select page_ix, box_id, round_even(x1 * 0.67, 0) / 0.67 as bucket from boxes)) where n >= 2""")
@@ -498,9 +557,21 @@ def distinct_cells(spark, d):
 select page_ix, box_id from boxes b where not exists (select 1 from hidden h where h.page_ix = b.page_ix and x0 < sx1 and sx0 < x1 and y0 < sy1 and sy0 < y1
   and (least(x1, sx1) - greatest(x0, sx0)) * (least(y1, sy1) - greatest(y0, sy0)) > 0.05 * ((x1 - x0) * (y1 - y0) + (sx1 - sx0) * (sy1 - sy0) - (least(x1, sx1) - greatest(x0, sx0)) * (least(y1, sy1) - greatest(y0, sy0))))""")
 def suppress_overlaps_with_hidden(spark, d):
-    h = v.structure(spark, d).filter("kind = 'column_header'").select(F.col("page_ix").alias("_p"), "sx0", "sy0", "sx1", "sy1")
-    bs = [F.col(c) for c in ("sx0", "sy0", "sx1", "sy1")]
-    return v.boxes(spark, d).join(h, (F.col("page_ix") == F.col("_p")) & g.meets(g.box(), bs) & (g.iou(g.box(), bs) > 0.05), "left_anti").select("page_ix", "box_id")
+    hidden = v.structure(spark, d).filter("kind = 'column_header'")
+    return spatial.suppress_overlaps(v.boxes(spark, d), hidden).select("page_ix", "box_id")
+
+
+_CLASSIFIED = """lv as (select page_ix, list(value) filter (side = 'left' and n >= 3) as ls, list(value) filter (side = 'right' and n >= 3) as rs from k group by 1),
+near_edge as (select b.page_ix, b.box_id, b.x0, b.x1, list_min(list_transform(ls, lambda x: {'d': abs(b.x0 + 2 - x), 'v': x})) as l, list_min(list_transform(rs, lambda x: {'d': abs(b.x1 + 2 - x), 'v': x})) as r from boxes b left join lv on b.page_ix = lv.page_ix)"""
+
+
+@query(f"""with {v.BOXES}, {_EDGES}, {_CLASSIFIED} select page_ix, box_id, case when l.d <= 3 then 'left' when r.d <= 3 then 'right' else 'center' end as orientation,
+  round(case when l.d <= 3 then l.v when r.d <= 3 then r.v else (x0 + 2 + x1 + 2) / 2 end, 6) as baseline_value, round(case when l.d <= 3 then l.d when r.d <= 3 then r.d end, 6) as baseline_diff from near_edge""")
+def cell_alignment(spark, d):
+    """Boxes, moved by two points, by the nearest left edge of the page, else the nearest right one, else as centred."""
+    moved = v.boxes(spark, d).withColumns({"x0": F.col("x0") + 2, "x1": F.col("x1") + 2})
+    c = blocks.classify_cells(moved, _clusters(spark, d), ["page_ix"])
+    return c.select("page_ix", "box_id", "orientation", F.round("baseline_value", 6).alias("baseline_value"), F.round("baseline_diff", 6).alias("baseline_diff"))
 
 
 @query(f"""with {v.BOXES} select b.page_ix, b.box_id, min(c.box_id) as value_box from boxes b left join boxes c on b.page_ix = c.page_ix and c.box_id > b.box_id and abs(c.y0 - b.y0) <= 3 and c.x0 > b.x0 and c.x0 - b.x1 <= 75 group by 1, 2""")

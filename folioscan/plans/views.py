@@ -1,7 +1,7 @@
 """Layout views of the star-schema tables, each as a DataFrame and as the SQL of the same arithmetic.
 
 boxes: line items as positioned boxes, 20 orders to a page. cells: words of documents in a fixed-pitch layout, 40 lines
-to a page. forms: orders as label/value pairs. structure: structural items near some boxes. features: embeddings as
+to a page. forms: orders as label/value pairs. structure: structural items near the boxes. features: embeddings as
 feature rows, 100 to a document.
 """
 
@@ -58,6 +58,16 @@ CELLS = """cells as (
   where text <> '')"""
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A coarser rendering of the cells: whole lines."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "text"))
+    return t.filter(F.trim("text") != "")
+
+
+LINES = """lines as (
+  select doc_id, line_no, text from (select doc_id, generate_subscripts(ls, 1) - 1 as line_no, unnest(ls) as text from (select doc_id, string_split(text, chr(10)) as ls from documents)) where trim(text) <> '')"""
+
+
 def visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The other rendering of the cells: some lost, some with one letter changed."""
     k = F.col("doc_id") + F.col("line_no") + F.col("w")
@@ -95,26 +105,24 @@ FORMS = """forms as (
 
 
 def structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every seventh box, moved by two points, as a structural item."""
+    """Every box, moved by two points, as a structural item whose kind follows from its number."""
     kind = F.when(F.col("box_id") % 14 == 0, "column_header").when(F.col("box_id") % 21 == 0, "section_header").otherwise("body")
-    b = boxes(spark, sf_dir).filter("box_id % 7 = 0")
-    return b.select("page_ix", F.col("box_id").alias("item_id"), (F.col("x0") + 2).alias("sx0"), F.col("y0").alias("sy0"), (F.col("x1") + 2).alias("sx1"), F.col("y1").alias("sy1"), kind.alias("kind"))
+    return boxes(spark, sf_dir).select("page_ix", F.col("box_id").alias("item_id"), (F.col("x0") + 2).alias("sx0"), F.col("y0").alias("sy0"), (F.col("x1") + 2).alias("sx1"), F.col("y1").alias("sy1"), kind.alias("kind"))
 
 
 STRUCTURE = """structure as (
   select page_ix, box_id as item_id, x0 + 2 as sx0, y0 as sy0, x1 + 2 as sx1, y1 as sy1,
-    case when box_id % 14 = 0 then 'column_header' when box_id % 21 = 0 then 'section_header' else 'body' end as kind from boxes where box_id % 7 = 0)"""
+    case when box_id % 14 = 0 then 'column_header' when box_id % 21 = 0 then 'section_header' else 'body' end as kind from boxes)"""
 
 
-def features(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Feature rows of documents: the first eight numbers, as in FEATURES, or the whole vector."""
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feature rows of documents: whole embeddings, 64 numbers."""
     t = table(spark, sf_dir, "embeddings")
-    x = F.col("embedding") if whole else F.slice("embedding", 1, 8)
-    return t.select(F.floor(F.col("vec_id") / 100).cast("long").alias("doc"), F.col("vec_id").alias("id"), F.transform(x, lambda x: x.cast("double")).alias("x"), F.col("label").alias("cluster"))
+    return t.select(F.floor(F.col("vec_id") / 100).cast("long").alias("doc"), F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x"), F.col("label").alias("cluster"))
 
 
 FEATURES = """features as (
-  select cast(vec_id // 100 as bigint) as doc, vec_id as id, list_transform(embedding[1:8], lambda v: cast(v as double)) as x, label as cluster from embeddings)"""
+  select cast(vec_id // 100 as bigint) as doc, vec_id as id, list_transform(embedding, lambda v: cast(v as double)) as x, label as cluster from embeddings)"""
 
 
 def baselines(spark: SparkSession, sf_dir: str) -> DataFrame:

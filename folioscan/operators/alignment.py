@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from folioscan.functions import text as tx
-from folioscan.operators import kernels, spatial
+from folioscan.operators import baselines, blocks, kernels, spatial
+from folioscan.operators.lineage import cut
 
 
 @dataclass(frozen=True)
@@ -34,6 +35,9 @@ class Thresholds:
     interior_low: float = 0.3
     interior_high: float = 0.7
     gap_below: float = 4.0
+    min_offset: float = 2.5
+    max_offset_difference: float = 1.75
+    min_height: float = 2.0
 
 
 def assign_blocks(cells: DataFrame, keys: list[str], ident: str, t: Thresholds = Thresholds(), compat: bool = False) -> DataFrame:
@@ -88,13 +92,28 @@ def vertical_anomalies(anomalies: DataFrame, baselines: DataFrame, keys: list[st
     return numeric.filter(~F.coalesce(met, F.lit(False))).drop("left_edges", "right_edges")
 
 
-def horizontal_anomalies(cells: DataFrame, keys: list[str], ident: str, t: Thresholds = Thresholds()) -> DataFrame:
-    """Runs of cells through whose interior another line's baseline passes."""
-    lines = cells.groupBy(*keys, F.bround("y1").alias("line")).agg(F.count("*").alias("_n")).filter(F.col("_n") >= t.intrusion_count)
-    height = F.col("y1") - F.col("y0")
-    share = (F.col("line") - F.col("y0")) / height
-    inside = (F.col("line") > F.col("y0") + t.interior_margin) & (F.col("line") < F.col("y1") - t.interior_margin) & share.between(t.interior_low, t.interior_high)
-    hit = cells.filter(tx.any_like(F.col("text"), [r"[\p{L}\p{N}]"])).join(lines, keys).filter(inside)
+def horizontal_anomalies(cells: DataFrame, keys: list[str], ident: str, t: Thresholds = Thresholds(), found: DataFrame | None = None) -> DataFrame:
+    """Runs of cells through whose middle a baseline of other cells passes.
+
+    found: baselines (side, value, count); without them the page's own. A cell counts for the first bottom baseline, in
+    order of value, that many cells have, that lies in its interior and about as far from its top as from its bottom,
+    unless the next baseline below the cell is close.
+    """
+    found = baselines.detect(cells, keys) if found is None else found
+    values = F.sort_array(F.collect_list(F.struct("value", "count"))).alias("_lines")
+    lines = found.filter("side = 'bottom'").groupBy(*keys).agg(values)
+    y0, y1 = F.col("y0"), F.col("y1")
+    height = y1 - y0
+
+    def fits(x):
+        top, bottom = x["value"] - y0, y1 - x["value"]
+        share = lambda d: (d / height >= t.interior_low) & (d / height <= t.interior_high)
+        inside = (top > t.interior_margin) & (bottom > t.interior_margin) & (top >= t.min_offset) & (bottom >= t.min_offset)
+        return (x["count"] >= t.intrusion_count) & inside & share(top) & share(bottom) & (F.abs(top - bottom) <= t.max_offset_difference)
+
+    below = F.get(F.filter("_lines", lambda x: x["value"] >= y1 - 1e-6), F.lit(0))["value"]
+    hit = cells.filter(tx.any_like(F.col("text"), [r"[\p{L}\p{N}]"]) & (height > t.min_height)).join(lines, keys)
+    hit = hit.filter(below.isNull() | (below - y1 >= t.gap_below)).withColumn("line", F.round(F.get(F.filter("_lines", fits), F.lit(0))["value"], 2)).filter("line is not null").drop("_lines")
     w = Window.partitionBy(*keys, "line").orderBy("x0", "x1", ident)
     gap = F.col("x0") - F.lag("x1").over(w)
     runs = hit.withColumn("_s", F.when(gap <= t.intrusion_gap, 0).otherwise(1)).withColumn("segment", F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -115,11 +134,31 @@ def edge_lists(cells: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
     return out
 
 
-def anomalies(cells: DataFrame, keys: list[str], ident: str, t: Thresholds = Thresholds()) -> DataFrame:
-    """All findings of a page's alignment in one table: kind, text, severity."""
+def page_baselines(cells: DataFrame, keys: list[str], ident: str) -> DataFrame:
+    """Refined baselines of each page: detected, detected again with the blocks over the first ones, filtered and ordered by confidence."""
+    first = baselines.detect(cells, keys)
+    return baselines.refine(baselines.detect(cells, keys, blocks.identify(cells, first, keys, ident)), keys)
+
+
+def anomalies(cells: DataFrame, keys: list[str], ident: str, t: Thresholds = Thresholds(), items: DataFrame | None = None, tables: DataFrame | None = None, compat: bool = False) -> DataFrame:
+    """All findings of a page's alignment in one table: kind, text, severity, amount.
+
+    items: structural items (see spatial.best_match); cells that match a header take no part. tables: see blocks.refine;
+    with them, columns are judged in refined blocks only.
+    """
     kept = spatial.consolidate(cells, keys=tuple(keys), ident=ident)
-    blocked = assign_blocks(kept, keys, ident, t)
-    columns = column_anomalies(blocked, block_alignment(blocked, keys, ident, t), keys, ident, t)
-    vertical = vertical_anomalies(columns, edge_lists(kept, keys), keys).select(*keys, F.lit("vertical").alias("kind"), "text", "severity", F.col("deviation").alias("amount"))
-    horizontal = horizontal_anomalies(kept, keys, ident, t).select(*keys, F.lit("horizontal").alias("kind"), "text", "severity", F.col("cells").cast("double").alias("amount"))
+    if items is not None:
+        kept = spatial.suppress_headers(kept, items, keys=tuple(keys), ident=ident).select(*kept.columns)
+    kept = cut(kept)  # read by every step below
+    found = cut(page_baselines(kept, keys, ident))
+    blocked = cut(assign_blocks(kept, keys, ident, t, compat))
+    aligned = block_alignment(blocked, keys, ident, t)
+    if tables is not None:
+        refined = blocks.refine(aligned.withColumnRenamed("confidence", "share"), tables, keys, compat=compat)
+        left = refined.select(*keys, F.explode("merged_from").alias("block_id")).select(*keys, F.col("block_id").cast("int").alias("block_id"))
+        aligned = aligned.join(left, [*keys, "block_id"], "left_semi")
+    columns = column_anomalies(blocked, aligned, keys, ident, t)
+    edges = found.filter("side in ('left', 'right')").groupBy(*keys).agg(*[F.collect_list(F.when(F.col("side") == s, F.col("value"))).alias(f"{s}_edges") for s in ("left", "right")])
+    vertical = vertical_anomalies(columns, edges, keys).select(*keys, F.lit("vertical").alias("kind"), "text", "severity", F.col("deviation").alias("amount"))
+    horizontal = horizontal_anomalies(kept, keys, ident, t, found).select(*keys, F.lit("horizontal").alias("kind"), "text", "severity", F.col("cells").cast("double").alias("amount"))
     return vertical.unionByName(horizontal)

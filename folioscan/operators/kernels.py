@@ -253,9 +253,13 @@ def split_iteratively(cx: np.ndarray, cy: np.ndarray, v_eps: float = 12.0, h_eps
     return [b for b in blocks if len(b) >= 2]
 
 
-def walk_clip(operations: list[tuple[str, str | None]]) -> list[tuple[str | None, bool]]:
-    """(text, clipped) for each show operator: q saves and Q restores the clip flag (a stray Q clears it), W and W* set it."""
-    clipped, stack, out = False, [], []
+def walk_clip(operations: list[tuple[str, str | None]], forms: dict[str, list] | None = None, clipped: bool = False, _inside: tuple[str, ...] = ()) -> list[tuple[str | None, bool]]:
+    """(text, clipped) for each show operator: q saves and Q restores the clip flag (a stray Q clears it), W and W* set it.
+
+    Do walks the form it names, which begins with the flag as it stands and leaves it as it was; a form inside itself is
+    passed over.
+    """
+    stack, out = [], []
     for op, text in operations:
         if op == "q":
             stack.append(clipped)
@@ -265,4 +269,6 @@ def walk_clip(operations: list[tuple[str, str | None]]) -> list[tuple[str | None
             clipped = True
         elif op in ("Tj", "TJ", "'", '"'):
             out.append((text, clipped))
+        elif op == "Do" and text in (forms or {}) and text not in _inside:
+            out += walk_clip(forms[text], forms, clipped, (*_inside, text))
     return out

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as g
 from folioscan.functions import text as tx
-from folioscan.operators import spatial
+from folioscan.operators import kernels, spatial
 
 #: Similarity asked of words and of phrases: the strict and the lenient one.
 LIMITS = {"word": (0.92, 0.70), "phrase": (0.85, 0.60)}
@@ -28,6 +29,19 @@ def segmentation(original: DataFrame, visible: DataFrame, doc: str = "doc_id") -
     return j.select(doc, cells.alias("cell_ratio"), words.alias("words_ratio"), ((cells >= 1.40) & (words <= 0.75)).alias("problem"), F.when(F.col("o_word_level") & F.col("v_word_level"), "word").otherwise("phrase").alias("mode"))
 
 
+def _near(c: DataFrame, o: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs that share an interval of x and lie at most half the first box's height apart along y, with their _iou.
+
+    An IoU above 0 implies that, so it covers both ways to be near. Pairs meet in bins: the first box is taken half its
+    height (and a hair, as touching counts) taller on either side.
+    """
+    a, b = g.box(), g.box(suffix="_v")
+    half = 0.5 * F.greatest(F.lit(1e-6), a[3] - a[1])
+    gap = F.greatest(F.lit(0.0), b[1] - a[3], a[1] - b[3])
+    taller = [a[0], a[1] - half - 1e-6, a[2], a[3] + half + 1e-6]
+    return spatial.overlap_join(c, o, taller, b, keys, gap <= half).withColumn("_iou", g.iou(a, b))
+
+
 def find_visible(cells: DataFrame, visible: DataFrame, mode: str = "phrase", keys: tuple[str, ...] = ("doc_id", "page_ix"), ident: str = "cell_index", min_iou: float = 0.10) -> DataFrame:
     """(keys, ident, match, reason): the first visible cell, in order, that is near a cell and reads like it.
 
@@ -38,14 +52,7 @@ def find_visible(cells: DataFrame, visible: DataFrame, mode: str = "phrase", key
     ks = list(keys)
     c = cells.select(*ks, ident, "x0", "y0", "x1", "y1", tx.normalize(F.col("text")).alias("_a")).filter("_a <> ''")
     o = visible.select(*[F.col(k).alias(f"_{k}") for k in ks], F.col(ident).alias("match"), *[F.col(x).alias(f"{x}_v") for x in ("x0", "y0", "x1", "y1")], tx.normalize(F.col("text")).alias("_b")).filter("_b <> ''")
-    a, b = g.box(), g.box(suffix="_v")
-    same = F.lit(True)
-    for k in ks:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    gap = F.greatest(F.lit(0.0), b[1] - a[3], a[1] - b[3])
-    beside = (g.span_overlap(a[0], a[2], b[0], b[2]) > 0) & (gap <= 0.5 * F.greatest(F.lit(1e-6), a[3] - a[1]))
-    # an IoU above 0 implies an overlap along both axes, so this covers both ways to be near
-    near = c.join(o, same & beside).withColumn("_iou", g.iou(a, b)).withColumn("_s", tx.token_similarity(F.col("_a"), F.col("_b"), mode == "phrase"))
+    near = _near(c, o, ks).withColumn("_s", tx.token_similarity(F.col("_a"), F.col("_b"), mode == "phrase"))
     place = F.when(F.col("_iou") >= min_iou, "iou").otherwise("overlap")
     reason = F.concat(F.when(F.col("_s") >= strict, "primary_").otherwise("lenient_"), place)
     return near.filter(F.col("_s") >= lenient).groupBy(*ks, ident).agg(F.min(F.struct("match", reason.alias("reason"))).alias("m")).select(*ks, ident, "m.match", "m.reason")
@@ -66,13 +73,63 @@ def hidden_text(original: DataFrame, visible: DataFrame, mode: str = "phrase", k
     return gone.join(under.withColumn("_u", F.lit(True)), [*ks, ident], "left").select(*ks, ident, "text", kind.alias("kind"))
 
 
-def font_of(spans: DataFrame, fonts: DataFrame) -> DataFrame:
-    """The first font, by font_id, whose name holds a span's font name or is held by it."""
-    j = spans.join(fonts.select(F.col("doc_id").alias("_d"), "font_id", F.col("name").alias("font_name"), "embedded"), (F.col("doc_id") == F.col("_d")) & (F.col("font").contains(F.col("font_name")) | F.col("font_name").contains(F.col("font"))), "left")
-    keys = [c for c in spans.columns]
-    return j.groupBy(*keys).agg(F.min(F.struct("font_id", "font_name", "embedded")).alias("f")).select(*keys, "f.font_name", "f.embedded")
+def closest(cells: DataFrame, visible: DataFrame, mode: str = "phrase", keys: tuple[str, ...] = ("doc_id", "page_ix"), ident: str = "cell_index") -> DataFrame:
+    """(keys, ident, match, similarity, iou): of the visible cells near a cell the one that reads most like it, for those who ask why there is no match."""
+    ks = list(keys)
+    c = cells.select(*ks, ident, "x0", "y0", "x1", "y1", tx.normalize(F.col("text")).alias("_a")).filter("_a <> ''")
+    o = visible.select(*[F.col(k).alias(f"_{k}") for k in ks], F.col(ident).alias("match"), *[F.col(x).alias(f"{x}_v") for x in ("x0", "y0", "x1", "y1")], tx.normalize(F.col("text")).alias("_b")).filter("_b <> ''")
+    near = _near(c, o, ks).withColumn("_s", tx.token_similarity(F.col("_a"), F.col("_b"), mode == "phrase"))
+    best = near.groupBy(*ks, ident).agg(F.max(F.struct("_s", "_iou", (-F.col("match")).alias("_m"))).alias("_w"))
+    return best.select(*ks, ident, (-F.col("_w._m")).alias("match"), F.col("_w._s").alias("similarity"), F.col("_w._iou").alias("iou"))
+
+
+# --- cells and spans ------------------------------------------------------------------------------------------------------
+
 
+def method(similarity: Column, iou: Column) -> Column:
+    """How a cell and a span match, null if they don't."""
+    return F.when((similarity >= 0.85) & (iou >= 0.3), "text_based").when((iou >= 0.7) & (similarity >= 0.75), "spatial_based").when(iou >= 0.9, "combined")
 
-def events_of_spans(n_spans: int, n_events: int) -> list[tuple[int, int]]:
-    """The slice of clip events that belongs to each span when both run through a page at their own pace."""
-    return [(round(i * n_events / n_spans), round((i + 1) * n_events / n_spans)) for i in range(n_spans)]
+
+def candidates(cells: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_ix"), ident: str = "cell_index", bins: tuple[float, float] | None = spatial.BINS) -> DataFrame:
+    """(keys, cell, span, similarity, iou, score, match_method) of overlapping cells and spans that match in some way; texts are compared in lower case."""
+    ks = list(keys)
+    c = cells.select(*ks, F.col(ident).alias("cell"), "x0", "y0", "x1", "y1", F.lower("text").alias("_a"))
+    o = spans.select(*[F.col(k).alias(f"_{k}") for k in ks], F.col(ident).alias("span"), *[F.col(x).alias(f"{x}_v") for x in ("x0", "y0", "x1", "y1")], F.lower("text").alias("_b"))
+    a, b = g.box(), g.box(suffix="_v")
+    j = spatial.overlap_join(c, o, a, b, ks, bins=bins).withColumn("iou", g.iou(a, b)).withColumn("similarity", tx.levenshtein_similarity(F.col("_a"), F.col("_b")))
+    m = j.withColumn("match_method", method(F.col("similarity"), F.col("iou"))).filter("match_method is not null")
+    return m.select(*ks, "cell", "span", "similarity", "iou", (0.6 * F.col("similarity") + 0.4 * F.col("iou")).alias("score"), "match_method")
+
+
+def greedy(found: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_ix")) -> DataFrame:
+    """(keys, cell, span, score): one to one, in order of cells, each with the best span that is still free."""
+    ks, kinds = list(keys), dict(found.dtypes)
+
+    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+        pairs = kernels.greedy_match(list(zip(p.cell.tolist(), p.span.tolist(), p.score.tolist(), strict=True)))
+        return pd.DataFrame([(*(p[k].iloc[0] for k in ks), a, b, s) for a, b, s in pairs], columns=[*ks, "cell", "span", "score"])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in ks) + ", cell long, span long, score double"
+    return found.select(*ks, F.col("cell").cast("long").alias("cell"), F.col("span").cast("long").alias("span"), "score").groupBy(*ks).applyInPandas(kernel, schema)
+
+
+def match(cells: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_ix"), ident: str = "cell_index") -> DataFrame:
+    """The greedy matches of cells and spans with their method."""
+    found = candidates(cells, spans, keys, ident)
+    how = found.select(*keys, "cell", "span", "match_method")
+    return greedy(found, keys).join(how.toDF(*how.columns), [*keys, "cell", "span"])
+
+
+def match_statistics(cells: DataFrame, matched: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Per document: cells, matches by method, matched cells, and their share in percent."""
+    per = matched.groupBy(doc).agg(*[F.count_if(F.col("match_method") == k).alias(k) for k in ("text_based", "spatial_based", "combined")], F.count_distinct("page_ix", "cell").alias("matched"))
+    t = cells.groupBy(doc).agg(F.count("*").alias("cells")).join(per, doc, "left").fillna(0, ["text_based", "spatial_based", "combined", "matched"])
+    return t.withColumn("match_rate", 100.0 * F.col("matched") / F.col("cells"))
+
+
+def cell_summary(cells: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Per document: cells, words, cells of several words and their share, cells read by OCR."""
+    n = F.size(F.split(F.trim("text"), r"\s+"))
+    s = cells.filter(F.trim("text") != "").groupBy(doc).agg(F.count("*").alias("cells"), F.sum(n).alias("words"), F.count_if(n > 1).alias("multi_word_cells"), F.count_if(F.coalesce("from_ocr", F.lit(False))).alias("ocr_cells"))
+    return s.withColumn("multi_word_share", F.col("multi_word_cells") / F.col("cells"))

@@ -34,30 +34,73 @@ def standardize(features: DataFrame) -> DataFrame:
     return unpivot(features).withColumn("z", (F.col("v") - F.avg("v").over(w)) / F.when(s == 0, 1.0).otherwise(s)).select("doc", "id", "f", "z")
 
 
-def distances(features: DataFrame) -> DataFrame:
-    """(doc, a, b, dist) of all pairs of one document's rows, each with itself included."""
-    a = features.select("doc", F.col("id").alias("a"), F.col("x").alias("xa"))
-    b = features.select(F.col("doc").alias("_d"), F.col("id").alias("b"), F.col("x").alias("xb"))
-    squares = F.aggregate(F.zip_with("xa", "xb", lambda p, q: (p - q) * (p - q)), F.lit(0.0), lambda s, v: s + v)
-    return a.join(b, F.col("doc") == F.col("_d")).select("doc", "a", "b", F.sqrt(squares).alias("dist"))
+def _against_all(features: DataFrame, kernel, schema: str, extra: tuple[str, ...] = (), block: int = 2048) -> DataFrame:
+    """kernel(ids of a block, its rows, all ids, all rows, values of extra) over every block of every document.
 
+    A document's rows are dealt into blocks of about `block` rows, and its rows go to each block: a document of many
+    rows is many tasks, and no pair of rows is ever a row of a table.
+    """
+    sizes = features.groupBy("doc").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("long").alias("_n"))
+    sized = features.select("doc", "id", "x", *extra).join(sizes, "doc")
+    left = sized.withColumn("_b", F.pmod(F.xxhash64("id"), "_n")).select("doc", "_b", "id", "x", *extra)
+    right = sized.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).select("doc", "_b", "id", "x")
 
-def knn_eps(dist: DataFrame, k: int = 4, quantile: float = 0.9) -> DataFrame:
+    def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a):
+            return pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+        a, b = a.sort_values("id"), b.sort_values("id")
+        out = kernel(a["id"].to_numpy(), matrix(a.x), b["id"].to_numpy(), matrix(b.x), *[a[e].iloc[0] for e in extra])
+        return out.assign(doc=a["doc"].iloc[0])[[c.split()[0] for c in schema.split(", ")]]
+
+    return left.groupBy("doc", "_b").cogroup(right.groupBy("doc", "_b")).applyInPandas(one, schema)
+
+
+def _row_distances(v: np.ndarray, x: np.ndarray) -> np.ndarray:
+    d = x - v
+    return np.sqrt((d * d).sum(axis=1))
+
+
+def neighbours(features: DataFrame, k: int) -> DataFrame:
+    """(doc, a, b, dist, rank) of the k nearest other rows of each row, the smaller id first of equals."""
+
+    def kernel(ids, rows, all_ids, all_rows):
+        out = []
+        for i, v in zip(ids.tolist(), rows, strict=True):
+            d = _row_distances(v, all_rows)
+            d[np.searchsorted(all_ids, i)] = np.inf
+            near = np.argsort(d, kind="stable")[: min(k, len(d) - 1)]
+            out.append(pd.DataFrame({"a": i, "b": all_ids[near], "dist": d[near], "rank": np.arange(1, len(near) + 1)}))
+        return pd.concat(out)
+
+    return _against_all(features, kernel, "doc long, a long, b long, dist double, rank long")
+
+
+def within(features: DataFrame, eps: DataFrame) -> DataFrame:
+    """(doc, a, b) of rows at most the document's eps apart, each with itself included."""
+
+    def kernel(ids, rows, all_ids, all_rows, radius):
+        out = []
+        for i, v in zip(ids.tolist(), rows, strict=True):
+            near = all_ids[_row_distances(v, all_rows) <= radius]
+            out.append(pd.DataFrame({"a": np.full(len(near), i), "b": near}))
+        return pd.concat(out)
+
+    return _against_all(features.join(eps.select("doc", "eps"), "doc"), kernel, "doc long, a long, b long", ("eps",))
+
+
+def knn_eps(features: DataFrame, k: int = 4, quantile: float = 0.9) -> DataFrame:
     """The quantile of the distances to the k-th neighbour, oneself being the first."""
-    ranked = dist.withColumn("k", F.row_number().over(Window.partitionBy("doc", "a").orderBy("dist", "b"))).filter(F.col("k") == k)
-    return ranked.groupBy("doc").agg(F.percentile("dist", quantile).alias("eps"))
+    return neighbours(features, k - 1).filter(F.col("rank") == k - 1).groupBy("doc").agg(F.percentile("dist", quantile).alias("eps"))
 
 
-def core_points(dist: DataFrame, min_samples: int = 5) -> DataFrame:
-    near = dist.join(knn_eps(dist), "doc").filter("dist <= eps")
+def core_points(near: DataFrame, min_samples: int = 5) -> DataFrame:
     return near.groupBy("doc", F.col("a").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples)
 
 
 def dbscan(features: DataFrame, min_samples: int = 5) -> DataFrame:
     """(doc, id, label): the smallest core point of the cluster, -1 for noise; a border point takes the smallest label near it."""
-    dist = distances(features)
-    near = dist.join(knn_eps(dist), "doc").filter("dist <= eps").select("doc", "a", "b")
-    core = near.groupBy("doc", F.col("a").alias("id")).agg(F.count("*").alias("n")).filter(F.col("n") >= min_samples).select("doc", "id")
+    near = within(features, knn_eps(features))
+    core = core_points(near, min_samples).select("doc", "id")
     ca, cb = core.toDF("doc", "a"), core.toDF("doc", "b")
     edges = near.filter("a < b").join(ca, ["doc", "a"], "left_semi").join(cb, ["doc", "b"], "left_semi")
     labels = components(core, edges, keys=("doc",), ident="id").toDF("doc", "b", "label")
@@ -68,8 +111,7 @@ def dbscan(features: DataFrame, min_samples: int = 5) -> DataFrame:
 
 def local_outlier_factor(features: DataFrame, k: int = 20) -> DataFrame:
     """Neighbours are clipped to the rows there are; equal rows are kept apart by a small constant."""
-    dist = distances(features).filter("a <> b")
-    near = dist.withColumn("k", F.row_number().over(Window.partitionBy("doc", "a").orderBy("dist", "b"))).filter(F.col("k") <= k).drop("k")
+    near = neighbours(features, k).drop("rank")
     radius = near.groupBy("doc", F.col("a").alias("b")).agg(F.max("dist").alias("kdist")).toDF("doc", "b", "kdist")
     density = near.join(radius, ["doc", "b"]).groupBy("doc", "a").agg((1 / (F.avg(F.greatest("dist", "kdist")) + 1e-10)).alias("lrd"))
     others = density.toDF("doc", "b", "other")
@@ -241,12 +283,30 @@ def vote(x: np.ndarray, contamination: float = 0.03, min_samples: int = 5) -> di
     return flags | {"votes": votes, "is_anomaly": votes >= 2}
 
 
-def dbscan_2d(x: np.ndarray, eps: float = 12.0, min_samples: int = 3) -> np.ndarray:
-    """Labels by smallest core member, -1 for noise; for block detection on (centre x * 0.2, centre y)."""
-    close = pairwise(x) <= eps
+def cluster_analysis(x: np.ndarray, max_k: int = 4, contamination: float = 0.03) -> dict[str, object]:
+    """The chain for one document: power transform, standard scores, Hopkins, k-means by silhouette, DBSCAN, vote.
+
+    Fewer than two rows: nothing is transformed, one k-means cluster, all noise, no anomaly.
+    """
+    n = len(x)
+    z = transformed_scores(x)
+    if n < 2:
+        return {"z": z, "hopkins": 0.5, "kmeans": np.zeros(n, np.int64), "k": 1, "silhouette": 0.0, "dbscan": np.full(n, -1), "dbscan_silhouette": None, "eps": 0.5} | vote(z)
+    labels, k, score = best_kmeans(z, max_k)
+    d = pairwise(z)
+    eps = float(np.quantile(np.sort(d, axis=1)[:, min(3, n - 1)], 0.9))
+    dense = density_labels(d, eps, 5)
+    kept = dense >= 0
+    inner = silhouette(z[kept], dense[kept]) if len(np.unique(dense[kept])) > 1 else None
+    return {"z": z, "hopkins": hopkins(z), "kmeans": labels, "k": k, "silhouette": score, "dbscan": dense, "dbscan_silhouette": inner, "eps": eps} | vote(z, contamination)
+
+
+def density_labels(d: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
+    """DBSCAN over a matrix of distances: labels by smallest core member, -1 for noise."""
+    close = d <= eps
     core = close.sum(axis=1) >= min_samples
     at = np.flatnonzero(core)
-    label = np.full(len(x), -1)
+    label = np.full(len(d), -1)
     label[at] = at[find_components(len(at), list(zip(*np.nonzero(np.triu(close[np.ix_(at, at)], 1)), strict=True)))] if len(at) else []
     for i in np.flatnonzero(~core):
         if close[i, core].any():
@@ -254,64 +314,26 @@ def dbscan_2d(x: np.ndarray, eps: float = 12.0, min_samples: int = 3) -> np.ndar
     return label
 
 
-# --- rasters ------------------------------------------------------------------------------------------------------------
-
-RASTER_FEATURES = (
-    "fg_level", "bg_level", "text_to_bg_ratio", "mean_grad", "std_grad", "q1_grad", "median_grad", "q3_grad", "p95_grad", "p99_grad", "max_grad",
-    "high_freq", "low_freq", "high_to_low", "lap_mean", "lap_std", "lap_max", "lap_p95", "lap_zero_crossings", "lv_mean", "lv_std", "lv_max",
-)
-
-
-def _shifted(r: np.ndarray, dy: int, dx: int) -> np.ndarray:
-    p = np.pad(r, 1, mode="edge")
-    return p[1 + dy : 1 + dy + r.shape[0], 1 + dx : 1 + dx + r.shape[1]]
-
-
-def sobel(r: np.ndarray) -> np.ndarray:
-    """Gradient magnitude."""
-    gx = sum(w * (_shifted(r, dy, 1) - _shifted(r, dy, -1)) for dy, w in ((-1, 1), (0, 2), (1, 1)))
-    gy = sum(w * (_shifted(r, 1, dx) - _shifted(r, -1, dx)) for dx, w in ((-1, 1), (0, 2), (1, 1)))
-    return np.hypot(gx, gy)
-
-
-def laplacian(r: np.ndarray) -> np.ndarray:
-    return _shifted(r, -1, 0) + _shifted(r, 1, 0) + _shifted(r, 0, -1) + _shifted(r, 0, 1) - 4 * r
-
-
-def zero_crossings(r: np.ndarray) -> int:
-    s = np.sign(r)
-    return int((s[:, 1:] * s[:, :-1] < 0).sum() + (s[1:] * s[:-1] < 0).sum())
-
-
-def local_variance(r: np.ndarray, size: int = 5) -> np.ndarray:
-    h = size // 2
-    views = np.lib.stride_tricks.sliding_window_view(np.pad(r, h, mode="reflect"), (size, size))
-    return views.var(axis=(2, 3))
-
-
-def two_colors(r: np.ndarray) -> tuple[float, float, float]:
-    """(foreground, background, share of foreground): medians of two clusters; the foreground is one under a tenth, else the darker."""
-    v = r.reshape(-1, 1)
-    labels, _ = kmeans(v, 2)
-    parts = [v[labels == k] for k in (0, 1)]
-    if not all(len(p) for p in parts):
-        return float(np.median(v)), float(np.median(v)), 0.0
-    shares, levels = [len(p) / len(v) for p in parts], [float(np.median(p)) for p in parts]
-    small = int(np.argmin(shares))
-    fg = small if shares[small] < 0.1 else int(np.argmin(levels))
-    return levels[fg], levels[1 - fg], shares[fg] / shares[1 - fg]
-
-
-def raster_features(values) -> list[float]:
-    r = np.asarray(values, np.float64)
-    side = int(len(r) ** 0.5)
-    r = r[: side * side].reshape(side, side)
-    fg, bg, share = two_colors(r)
-    grad, lap, lv = sobel(r), laplacian(r), local_variance(r)
-    middle = np.median(grad)
-    high, low = float((grad[grad > middle] ** 2).sum()), float((grad[grad <= middle] ** 2).sum())
-    q = np.percentile(grad, [25, 50, 75, 95, 99])
-    return [
-        fg, bg, share, grad.mean(), grad.std(), *q, grad.max(), high, low, min(high / low, 1000.0) if low > 0 else 1000.0,
-        lap.mean(), lap.std(), lap.max(), np.percentile(lap, 95), float(zero_crossings(lap)), lv.mean(), lv.std(), lv.max(),
-    ]
+def dbscan_2d(x: np.ndarray, eps: float = 12.0, min_samples: int = 3) -> np.ndarray:
+    """Labels by smallest core member, -1 for noise; for block detection on (centre x * 0.2, centre y).
+
+    Points meet in squares of eps, so only neighbours are compared and memory follows their number.
+    """
+    cell = np.floor(x / eps).astype(np.int64) if len(x) else np.zeros((0, 2), np.int64)
+    squares: dict[tuple[int, int], list[int]] = {}
+    for i, (a, b) in enumerate(cell.tolist()):
+        squares.setdefault((a, b), []).append(i)
+    near = []
+    for i, (a, b) in enumerate(cell.tolist()):
+        some = np.array([j for p in (a - 1, a, a + 1) for q in (b - 1, b, b + 1) for j in squares.get((p, q), ())], np.int64)
+        near.append(np.sort(some[((x[some] - x[i]) ** 2).sum(axis=1) <= eps * eps]))
+    core = np.array([len(j) >= min_samples for j in near], bool)
+    at = np.flatnonzero(core)
+    label = np.full(len(x), -1)
+    edges = [(i, j) for i in at.tolist() for j in near[i].tolist() if j > i and core[j]]
+    label[at] = find_components(len(x), edges)[at]
+    for i in np.flatnonzero(~core):
+        mine = near[i][core[near[i]]]
+        if len(mine):
+            label[i] = label[mine].min()
+    return label

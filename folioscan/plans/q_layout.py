@@ -243,7 +243,7 @@ def text_clusters(spark, d):
 @query()
 def text_blocks(spark, d):
     """Blocks of vertical runs, split into columns, over the page's first baselines."""
-    b = v.boxes(spark, d)
+    b = v.tall_boxes(spark, d)
     return blocks.identify(b, baselines.detect(b, ["page_ix"]), ["page_ix"])
 
 
@@ -273,7 +273,7 @@ def baseline_clusters(spark, d):
 @query()
 def detect_baselines(spark, d):
     """Baselines of each page, seeded by the blocks over its first baselines."""
-    b = v.boxes(spark, d)
+    b = v.tall_boxes(spark, d)
     seeds = blocks.identify(b, baselines.detect(b, ["page_ix"]), ["page_ix"])
     return baselines.detect(b, ["page_ix"], seeds).drop("s0", "s1", "s2")
 

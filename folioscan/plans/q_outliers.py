@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.operators import outliers
+from folioscan.operators import appearance, explain, outliers
 from folioscan.plans import views as v
 from folioscan.plans.registry import query
 
@@ -21,22 +21,22 @@ def standardize(spark, d):
     return outliers.standardize(v.features(spark, d)).select("doc", "id", "f", F.round("z", 6).alias("z"))
 
 
-@query(f"with {v.FEATURES}, {_LONG}, m as (select doc, f, avg(v) as m, stddev_pop(v) as s from long_rows group by 1, 2), z as (select doc, id, f, (v - m) / case when s = 0 then 1 else s end as z from long_rows join m using (doc, f)) select doc, id, cast(f as integer) as f, round(z, 6) as z, rank from (select *, row_number() over (partition by doc, id order by abs(z) desc, f) as rank from z where abs(z) > 1.5) where rank <= 3")
+@query(f"with {v.FEATURES}, {_LONG}, m as (select doc, f, avg(v) as m, stddev_pop(v) as s from long_rows group by 1, 2), z as (select doc, id, f, (v - m) / case when s = 0 then 1 else s end as z from long_rows join m using (doc, f)) select doc, id, cast(f as integer) as f, round(z, 6) as z, rank from (select *, row_number() over (partition by doc, id order by abs(z) desc, f) as rank from z where abs(z) > 2.5) where rank <= 3")
 def top_features(spark, d):
-    """A row's three largest standard scores beyond 1.5."""
-    z = outliers.standardize(v.features(spark, d)).filter(F.abs("z") > 1.5)
+    """A row's three largest standard scores beyond 2.5."""
+    z = outliers.standardize(v.features(spark, d)).filter(F.abs("z") > 2.5)
     return z.withColumn("rank", F.row_number().over(Window.partitionBy("doc", "id").orderBy(F.desc(F.abs("z")), "f"))).filter("rank <= 3").select("doc", "id", "f", F.round("z", 6).alias("z"), "rank")
 
 
 @query(f"with {v.FEATURES}, {_DIST}, {_EPS} select doc, round(eps, 6) as eps from eps")
 def knn_eps(spark, d):
-    return outliers.knn_eps(outliers.distances(v.features(spark, d))).select("doc", F.round("eps", 6).alias("eps"))
+    return outliers.knn_eps(v.features(spark, d)).select("doc", F.round("eps", 6).alias("eps"))
 
 
 @query(f"with {v.FEATURES}, {_DIST}, {_EPS}, {_CORE} select f.doc, f.id, core.id is not null as is_core from features f left join core on f.doc = core.doc and f.id = core.id")
 def dbscan_core_flags(spark, d):
     f = v.features(spark, d)
-    core = outliers.core_points(outliers.distances(f)).withColumn("is_core", F.lit(True))
+    core = outliers.core_points(outliers.within(f, outliers.knn_eps(f))).withColumn("is_core", F.lit(True))
     return f.select("doc", "id").join(core.select("doc", "id", "is_core"), ["doc", "id"], "left").fillna(False, ["is_core"])
 
 
@@ -82,16 +82,31 @@ def feature_importance(spark, d):
     return t.filter("rank <= 3").select("doc", "id", "f", F.round("pct", 6).alias("pct"), "rank")
 
 
-_EXPLAIN = {0: "stroke contrast", 1: "edge strength", 2: "edge spread", 3: "sharpness", 4: "texture", 5: "local noise", 6: "background", 7: "fill ratio"}
+_SIGNS = "case t.f " + " ".join(f"when {k} then case when m > a then '{hi}' else '{lo}' end" for k, (_, hi, lo, _) in enumerate(explain.WORDS[n] for n in explain.NAMES)) + " end"
+_TITLES = "case t.f " + " ".join(f"when {k} then '{explain.WORDS[n][0]}'" for k, n in enumerate(explain.NAMES)) + " end"
 
 
-@query(f"with {v.FEATURES}, {_LONG}, m as (select doc, f, avg(v) as m from long_rows group by 1, 2) select doc, id, cast(l.f as integer) as f, case when v > m then 'higher ' else 'lower ' end || case l.f {' '.join(f'when {k} then {w!r}' for k, w in _EXPLAIN.items())} end || ' than usual' as explanation from long_rows l join m on l.doc = m.doc and l.f = m.f where abs(v - m) > 0.25".replace("select doc, id, cast(l.f", "select l.doc, id, cast(l.f"))
+@query(f"""with {v.FEATURES}, {_LONG}, {_CENTRES}, g as (select doc, f, avg(v) as a from long_rows where f < {len(explain.NAMES)} group by 1, 2), t as (select c.doc, c.cluster, c.f, c.m, g.a from c join g on c.doc = g.doc and c.f = g.f)
+select doc, cluster, cast(f as integer) as f, {_TITLES} as name, {_SIGNS} as finding from t""")
 def feature_explanations(spark, d):
-    """Words for the direction in which a feature is off, by lookup."""
-    names = F.create_map(*[F.lit(y) for kv in _EXPLAIN.items() for y in kv])
-    x = outliers.unpivot(v.features(spark, d))
-    j = x.join(x.groupBy("doc", "f").agg(F.avg("v").alias("m")), ["doc", "f"]).filter(F.abs(F.col("v") - F.col("m")) > 0.25)
-    return j.select("doc", "id", "f", F.concat(F.when(F.col("v") > F.col("m"), "higher ").otherwise("lower "), names[F.col("f")], F.lit(" than usual")).alias("explanation"))
+    """For each cluster and each of the 26 appearance features (the first 26 numbers stand for them) in which direction it is off the document, in words."""
+    x = outliers.unpivot(v.features(spark, d)).filter(F.col("f") < len(explain.NAMES))
+    j = x.groupBy("doc", "cluster", "f").agg(F.avg("v").alias("m")).join(x.groupBy("doc", "f").agg(F.avg("v").alias("a")), ["doc", "f"])
+    name = F.array(*[F.lit(n) for n in explain.NAMES])[F.col("f")]
+    told = explain.explain(j.withColumn("feature", name), "feature", F.col("m") > F.col("a"))
+    return told.select("doc", "cluster", "f", "name", "finding")
+
+
+@query()
+def cluster_analysis(spark, d):
+    """The whole chain over each document's rows: transform, standard scores, Hopkins, k-means, DBSCAN, vote."""
+
+    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("id")
+        r = outliers.cluster_analysis(outliers.matrix(p.x))
+        return p[["doc", "id"]].assign(**{k: r[k] for k in ("hopkins", "kmeans", "k", "silhouette", "dbscan", "eps", "votes", "is_anomaly")})
+
+    return _per_document(v.features(spark, d), kernel, "doc long, id long, hopkins double, kmeans long, k long, silhouette double, dbscan long, eps double, votes long, is_anomaly boolean")
 
 
 def _per_document(f: DataFrame, kernel, schema: str) -> DataFrame:
@@ -104,7 +119,7 @@ def isolation_scores(spark, d):
         p = p.sort_values("id")
         return p[["doc", "id"]].assign(score=outliers.isolation_scores(outliers.matrix(p.x)))
 
-    return _per_document(v.features(spark, d, whole=True), kernel, "doc long, id long, score double")
+    return _per_document(v.features(spark, d), kernel, "doc long, id long, score double")
 
 
 @query()
@@ -114,7 +129,7 @@ def yeo_johnson(spark, d):
         y, lambdas = outliers.yeo_johnson(outliers.matrix(p.x))
         return p[["doc", "id"]].assign(y=list(y), lambdas=[lambdas] * len(p))
 
-    return _per_document(v.features(spark, d, whole=True), kernel, "doc long, id long, y array<double>, lambdas array<double>")
+    return _per_document(v.features(spark, d), kernel, "doc long, id long, y array<double>, lambdas array<double>")
 
 
 @query()
@@ -122,7 +137,7 @@ def hopkins(spark, d):
     def kernel(p: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"doc": [p.doc.iloc[0]], "hopkins": [outliers.hopkins(outliers.matrix(p.sort_values("id").x))]})
 
-    return _per_document(v.features(spark, d, whole=True), kernel, "doc long, hopkins double")
+    return _per_document(v.features(spark, d), kernel, "doc long, hopkins double")
 
 
 @query()
@@ -134,7 +149,7 @@ def kmeans_labels(spark, d):
         labels, k, score = outliers.best_kmeans(outliers.matrix(p.x))
         return p[["doc", "id"]].assign(label=labels, k=k, silhouette=score)
 
-    return _per_document(v.features(spark, d, whole=True), kernel, "doc long, id long, label long, k long, silhouette double")
+    return _per_document(v.features(spark, d), kernel, "doc long, id long, label long, k long, silhouette double")
 
 
 @query()
@@ -145,16 +160,12 @@ def ensemble_vote(spark, d):
         p = p.sort_values("id")
         return p[["doc", "id"]].assign(**outliers.vote(outliers.transformed_scores(outliers.matrix(p.x))))
 
-    return _per_document(v.features(spark, d, whole=True), kernel, "doc long, id long, forest boolean, lof boolean, noise boolean, votes long, is_anomaly boolean")
+    return _per_document(v.features(spark, d), kernel, "doc long, id long, forest boolean, lof boolean, noise boolean, votes long, is_anomaly boolean")
 
 
 @query()
 def raster_statistics(spark, d):
-    """Foreground, gradient and texture statistics of small rasters (16 x 16 made of embeddings)."""
-
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        rows = [(r.doc, r.id, *outliers.raster_features(r.raster)) for r in p.sort_values("id").itertuples()]
-        return pd.DataFrame(rows, columns=["doc", "id", *outliers.RASTER_FEATURES])
-
-    t = v.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).cast("long").alias("doc"), F.col("vec_id").alias("id"), F.col("embedding").alias("raster"))
-    return _per_document(t, kernel, "doc long, id long, " + ", ".join(f"{c} double" for c in outliers.RASTER_FEATURES))
+    """The 26 appearance features of small rasters (8 x 8 grey pixels made of embeddings)."""
+    grey = F.transform("embedding", lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), 128 + 128 * x.cast("double"))))
+    t = v.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).cast("long").alias("doc"), F.col("vec_id").alias("id"), grey.alias("pixels"), F.lit(8).alias("height"), F.lit(8).alias("width"))
+    return appearance.features(t, ["doc", "id"])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as g
 from folioscan.functions import text as tx
-from folioscan.operators import kernels
+from folioscan.operators import elements, kernels, matching
 from folioscan.plans import views as v
 from folioscan.plans.registry import query
 
@@ -121,116 +123,109 @@ def colon_classification(spark, d):
 
 # --- two renderings of a document ----------------------------------------------------------------------------------------
 
-_STATS = """stat as (
-  select doc_id, 'original' as variant, count(*) as cells, count(*) filter (length(text) <= 6) as words, avg(length(text)) as mean, avg(case when length(text) <= 6 then 1.0 else 0.0 end) as share from cells group by 1
-  union all select doc_id, 'visible', count(*), count(*) filter (length(text) <= 6), avg(length(text)), avg(case when length(text) <= 6 then 1.0 else 0.0 end) from visible group by 1)"""
-
+_STATS = r"""n as (select doc_id, 'original' as variant, len(regexp_split_to_array(trim(text), '\s+')) as n from lines union all select doc_id, 'visible', len(regexp_split_to_array(trim(text), '\s+')) from visible where trim(text) <> ''),
+stat as (select doc_id, variant, count(*) as cells, cast(sum(n) as bigint) as words, avg(n) as mean, avg(case when n = 1 then 1.0 else 0.0 end) as single, avg(n) <= 1.30 and avg(case when n = 1 then 1.0 else 0.0 end) >= 0.65 as word_level from n group by 1, 2)"""
 
-def _granularity(spark, d) -> DataFrame:
-    both = v.cells(spark, d).withColumn("variant", F.lit("original")).unionByName(v.visible(spark, d).withColumn("variant", F.lit("visible")))
-    short = F.length("text") <= 6
-    return both.groupBy("doc_id", "variant").agg(F.count("*").alias("cells"), F.count_if(short).alias("words"), F.avg(F.length("text")).alias("mean"), F.avg(F.when(short, 1.0).otherwise(0.0)).alias("share"))
 
-
-@query(f"with {v.CELLS}, {v.VISIBLE}, {_STATS} select doc_id, variant, cells, words, round(mean, 6) as mean_length, round(share, 6) as short_share, mean <= 6.5 and share >= 0.6 as word_level from stat")
+@query(f"with {v.LINES}, {v.CELLS}, {v.VISIBLE}, {_STATS} select doc_id, variant, cells, words, round(mean, 6) as mean_words, round(single, 6) as single_share, word_level from stat")
 def granularity_stats(spark, d):
-    s = _granularity(spark, d)
-    return s.select("doc_id", "variant", "cells", "words", F.round("mean", 6).alias("mean_length"), F.round("share", 6).alias("short_share"), ((F.col("mean") <= 6.5) & (F.col("share") >= 0.6)).alias("word_level"))
+    """Words per cell of a rendering in lines and of one in words."""
+    both = [matching.granularity(r(spark, d)).withColumn("variant", F.lit(n)) for n, r in (("original", v.lines), ("visible", v.visible))]
+    s = both[0].unionByName(both[1])
+    return s.select("doc_id", "variant", "cells", "words", F.round("mean_words", 6).alias("mean_words"), F.round("single_share", 6).alias("single_share"), "word_level")
 
 
-@query(f"""with {v.CELLS}, {v.VISIBLE}, {_STATS} select o.doc_id, round(v.cells / o.cells::double, 6) as cell_ratio, round(v.mean / o.mean, 6) as length_ratio, v.cells / o.cells::double >= 1.4 and v.mean / o.mean <= 0.75 as problem,
-  case when o.mean <= 6.5 and o.share >= 0.6 and v.mean <= 6.5 and v.share >= 0.6 then 'word' else 'phrase' end as mode from stat o join stat v on o.doc_id = v.doc_id and o.variant = 'original' and v.variant = 'visible'""")
+@query(f"""with {v.LINES}, {v.CELLS}, {v.VISIBLE}, {_STATS} select o.doc_id, round(v.cells / o.cells::double, 6) as cell_ratio, round(v.mean / o.mean, 6) as words_ratio, v.cells / o.cells::double >= 1.40 and v.mean / o.mean <= 0.75 as problem,
+  case when o.word_level and v.word_level then 'word' else 'phrase' end as mode from stat o join stat v on o.doc_id = v.doc_id and o.variant = 'original' and v.variant = 'visible'""")
 def segmentation_ratio(spark, d):
     """How finely the two renderings are cut, and the mode in which they are to be matched."""
-    s = _granularity(spark, d).groupBy("doc_id").pivot("variant", ["original", "visible"]).agg(F.first("cells").alias("cells"), F.first("mean").alias("mean"), F.first("share").alias("share")).filter("original_cells > 0 and visible_cells > 0")
-    cells, length = F.col("visible_cells") / F.col("original_cells"), F.col("visible_mean") / F.col("original_mean")
-    fine = (F.col("original_mean") <= 6.5) & (F.col("original_share") >= 0.6) & (F.col("visible_mean") <= 6.5) & (F.col("visible_share") >= 0.6)
-    return s.select("doc_id", F.round(cells, 6).alias("cell_ratio"), F.round(length, 6).alias("length_ratio"), ((cells >= 1.4) & (length <= 0.75)).alias("problem"), F.when(fine, "word").otherwise("phrase").alias("mode"))
+    s = matching.segmentation(v.lines(spark, d), v.visible(spark, d))
+    return s.select("doc_id", F.round("cell_ratio", 6).alias("cell_ratio"), F.round("words_ratio", 6).alias("words_ratio"), "problem", "mode")
+
 
+@query(r"""with l as (select doc_id, len(regexp_split_to_array(trim(text), '\s+')) as n, line_no % 10 = 0 as ocr from (select doc_id, generate_subscripts(ls, 1) - 1 as line_no, unnest(ls) as text from (select doc_id, string_split(text, chr(10)) as ls from documents)) where trim(text) <> '')
+select doc_id, count(*) as cells, cast(sum(n) as bigint) as words, count(*) filter (n > 1) as multi_word_cells, count(*) filter (ocr) as ocr_cells, round(count(*) filter (n > 1) / count(*)::double, 6) as multi_word_share from l group by 1""")
+def cell_summary(spark, d):
+    """Cells, words, cells of several words, and cells read by OCR (every tenth line is taken for one)."""
+    return matching.cell_summary(v.lines(spark, d).withColumn("from_ocr", F.col("line_no") % 10 == 0)).withColumn("multi_word_share", F.round("multi_word_share", 6))
 
-_ROW = """j as (select c.doc_id, c.line_no, c.w, v.w as vw, regexp_replace(lower(c.text), '[^ -~]', '?', 'g') as a, regexp_replace(lower(v.text), '[^ -~]', '?', 'g') as b, c.x0, c.x1, (least(c.x1, v.x1) - greatest(c.x0, v.x0)) * 10 as i, 10 * (c.x1 - c.x0 + v.x1 - v.x0) as u
-  from cells c join visible v on c.doc_id = v.doc_id and c.line_no = v.line_no and c.x0 < v.x1 and v.x0 < c.x1)"""
+
+#: The SQL engine counts edits in bytes, so there every letter outside ASCII of these texts becomes a control character of its own.
+_FOLD = "translate(lower({}), 'äçèéêíñóöüß', " + " || ".join(f"chr({i})" for i in range(1, 12)) + ")"
+_ROW = f"""fc as materialized (select *, cast(line_no as bigint) * 1000000 + w as cell_index, {_FOLD.format("text")} as a from cells), fv as materialized (select *, cast(line_no as bigint) * 1000000 + w as cell_index, {_FOLD.format("text")} as a from visible),
+j as (select c.doc_id, c.page_ix, c.cell_index, v.cell_index as match, c.a, v.a as b, c.x0, c.x1, greatest(0, least(c.x1, v.x1) - greatest(c.x0, v.x0)) * greatest(0, least(c.y1, v.y1) - greatest(c.y0, v.y0)) as i, 10 * (c.x1 - c.x0 + v.x1 - v.x0) as u, c.line_no = v.line_no as same
+  from (select *, unnest([line_no - 1, line_no, line_no + 1]) as near from fc) c join fv v on c.doc_id = v.doc_id and c.page_ix = v.page_ix and c.near = v.line_no and c.x0 < v.x1 and v.x0 < c.x1)"""
 _SIM = _LEV.format(a="a", b="b")
 
 
-def _candidates(spark, d) -> DataFrame:
-    """Cells and visible cells that overlap: in this layout, in the same line."""
-    ascii = F.regexp_replace(F.lower("text"), "[^ -~]", "?")  # the SQL engine counts an edit in bytes
-    c = v.cells(spark, d).select("doc_id", "page_ix", "line_no", "w", ascii.alias("a"), *[F.col(k) for k in ("x0", "y0", "x1", "y1")])
-    o = v.visible(spark, d).select(F.col("doc_id").alias("_d"), F.col("line_no").alias("_l"), F.col("w").alias("vw"), ascii.alias("b"), *[F.col(k).alias(f"{k}_v") for k in ("x0", "y0", "x1", "y1")])
-    # lines can be long: cells meet in bins of 60 points, a pair where its intersection begins
-    c = c.withColumn("gx", F.explode(F.sequence(F.floor(F.col("x0") / 60), F.floor(F.col("x1") / 60))))
-    o = o.withColumn("gx_v", F.explode(F.sequence(F.floor(F.col("x0_v") / 60), F.floor(F.col("x1_v") / 60))))
-    here = (F.col("gx") == F.col("gx_v")) & (F.floor(F.greatest("x0", "x0_v") / 60) == F.col("gx"))
-    j = c.join(o, (F.col("doc_id") == F.col("_d")) & (F.col("line_no") == F.col("_l")) & here & g.meets(g.box(), g.box(suffix="_v")))
-    return j.withColumn("iou", g.iou(g.box(), g.box(suffix="_v"))).withColumn("sim", tx.levenshtein_similarity(F.col("a"), F.col("b")))
+def _cells(df: DataFrame) -> DataFrame:
+    """Cells of a page numbered in the order of its lines."""
+    return df.select("doc_id", "page_ix", (F.col("line_no").cast("long") * 1000000 + F.col("w")).alias("cell_index"), "text", "x0", "y0", "x1", "y1")
 
 
-_SEEN = f"""seen as (select doc_id, line_no, w, min(vw) as vw from (select *, {_SIM} as sim, i / (u - i) as iou from j) where iou >= 0.1 and sim >= 0.7 group by 1, 2, 3)"""
+_SEEN = f"""seen as (select doc_id, page_ix, cell_index, min(match) as match, arg_min(case when sim >= 0.92 then 'primary_' else 'lenient_' end || case when iou >= 0.1 then 'iou' else 'overlap' end, match) as reason
+  from (select *, {_SIM} as sim, i / (u - i) as iou from j) where sim >= 0.7 group by 1, 2, 3)"""
 
 
 @query(f"with {v.CELLS}, {v.VISIBLE}, {_ROW}, {_SEEN} select * from seen")
 def visible_semi_join(spark, d):
-    """The first visible cell, in order, that overlaps a cell and reads like it."""
-    return _candidates(spark, d).filter("iou >= 0.1 and sim >= 0.7").groupBy("doc_id", "line_no", "w").agg(F.min("vw").alias("vw"))
+    """The first visible cell, in order, that is near a cell and reads like it."""
+    return matching.find_visible(_cells(v.cells(spark, d)), _cells(v.visible(spark, d)), mode="word")
 
 
-@query(f"with {v.CELLS}, {v.VISIBLE}, {_ROW}, {_SEEN} select c.doc_id, c.line_no, c.w, c.text from cells c where not exists (select 1 from seen s where s.doc_id = c.doc_id and s.line_no = c.line_no and s.w = c.w) and lower(c.text) not in ('<unknown>', 'unknown')")
+@query(f"with {v.CELLS}, {v.VISIBLE}, {_ROW}, {_SEEN} select doc_id, page_ix, cell_index, text from fc c where not exists (select 1 from seen s where s.doc_id = c.doc_id and s.page_ix = c.page_ix and s.cell_index = c.cell_index) and lower(trim(c.text)) not in ('', '<unknown>', 'unknown')")
 def not_visible_anti_join(spark, d):
-    seen = visible_semi_join(spark, d).drop("vw").toDF("doc_id", "line_no", "w")
-    return v.cells(spark, d).filter(~F.lower("text").isin("<unknown>", "unknown")).join(seen, ["doc_id", "line_no", "w"], "left_anti").select("doc_id", "line_no", "w", "text")
+    hidden = matching.hidden_text(_cells(v.cells(spark, d)), _cells(v.visible(spark, d)), mode="word")
+    return hidden.select("doc_id", "page_ix", "cell_index", "text")
+
+
+@query(f"""with {v.CELLS}, {v.VISIBLE}, {_ROW}, best as (select doc_id, page_ix, cell_index, match, {_SIM} as sim, i / (u - i) as iou from j)
+select doc_id, page_ix, cell_index, match, round(sim, 6) as similarity, round(iou, 6) as iou from best qualify row_number() over (partition by doc_id, page_ix, cell_index order by round(sim, 9) desc, round(iou, 9) desc, match) = 1""")
+def closest_visible(spark, d):
+    """Of the visible cells near a cell the one that reads most like it."""
+    c = matching.closest(_cells(v.cells(spark, d)), _cells(v.visible(spark, d)), mode="word")
+    return c.select("doc_id", "page_ix", "cell_index", "match", F.round("similarity", 6).alias("similarity"), F.round("iou", 6).alias("iou"))
 
 
 _METHOD = "case when sim >= 0.85 and iou >= 0.3 then 'text_based' when iou >= 0.7 and sim >= 0.75 then 'spatial_based' when iou >= 0.9 then 'combined' end"
+_MATCHED = f"m as (select doc_id, page_ix, cell_index as cell, match as span, sim, iou, {_METHOD} as match_method from (select *, {_SIM} as sim, i / (u - i) as iou from j where same))"
 
 
-def _method():
-    return F.when((F.col("sim") >= 0.85) & (F.col("iou") >= 0.3), "text_based").when((F.col("iou") >= 0.7) & (F.col("sim") >= 0.75), "spatial_based").when(F.col("iou") >= 0.9, "combined")
+def _candidates(spark, d) -> DataFrame:
+    return matching.candidates(_cells(v.cells(spark, d)), _cells(v.visible(spark, d)))
 
 
-@query(f"with {v.CELLS}, {v.VISIBLE}, {_ROW}, m as (select doc_id, line_no, w, vw, sim, iou, {_METHOD} as match_method from (select *, {_SIM} as sim, i / (u - i) as iou from j)) select doc_id, line_no, w, vw, round(0.6 * sim + 0.4 * iou, 6) as score, match_method from m where match_method is not null")
+@query(f"with {v.CELLS}, {v.VISIBLE}, {_ROW}, {_MATCHED} select doc_id, page_ix, cell, span, round(0.6 * sim + 0.4 * iou, 6) as score, match_method from m where match_method is not null")
 def match_candidates(spark, d):
-    m = _candidates(spark, d).withColumn("match_method", _method()).filter("match_method is not null")
-    return m.select("doc_id", "line_no", "w", "vw", F.round(0.6 * F.col("sim") + 0.4 * F.col("iou"), 6).alias("score"), "match_method")
+    return _candidates(spark, d).select("doc_id", "page_ix", "cell", "span", F.round("score", 6).alias("score"), "match_method")
 
 
 @query()
 def greedy_match(spark, d):
-    """One-to-one assignment per line, in order of cells."""
-
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        found = kernels.greedy_match(list(zip(p.w.tolist(), p.vw.tolist(), p.score.tolist(), strict=True)))
-        return pd.DataFrame([(p.doc_id.iloc[0], p.line_no.iloc[0], a, b, s) for a, b, s in found], columns=["doc_id", "line_no", "w", "vw", "score"])
-
-    return kernels.per_page(match_candidates(spark, d).select("doc_id", "line_no", "w", "vw", "score"), ["doc_id", "line_no"], kernel, "doc_id long, line_no int, w int, vw int, score double")
+    """One-to-one assignment per page, in order of cells."""
+    return matching.greedy(_candidates(spark, d))
 
 
-@query(f"""with {v.CELLS}, {v.VISIBLE}, {_ROW}, m as (select doc_id, {_METHOD} as method, line_no, w from (select *, {_SIM} as sim, i / (u - i) as iou from j)), per as (select doc_id, count(*) filter (method = 'text_based') as text_based, count(*) filter (method = 'spatial_based') as spatial_based,
-  count(*) filter (method = 'combined') as combined, count(distinct (line_no, w)) filter (method is not null) as matched from m group by 1), t as (select doc_id, count(*) as cells from cells group by 1)
+@query(f"""with {v.CELLS}, {v.VISIBLE}, {_ROW}, {_MATCHED}, per as (select doc_id, count(*) filter (match_method = 'text_based') as text_based, count(*) filter (match_method = 'spatial_based') as spatial_based,
+  count(*) filter (match_method = 'combined') as combined, count(distinct cell) filter (match_method is not null) as matched from m group by 1), t as (select doc_id, count(*) as cells from cells group by 1)
 select t.doc_id, cells, coalesce(text_based, 0) as text_based, coalesce(spatial_based, 0) as spatial_based, coalesce(combined, 0) as combined, coalesce(matched, 0) as matched, round(100.0 * coalesce(matched, 0) / cells, 6) as match_rate from t left join per using (doc_id)""")
 def match_statistics(spark, d):
-    m = _candidates(spark, d).withColumn("method", _method())
-    per = m.groupBy("doc_id").agg(*[F.count_if(F.col("method") == k).alias(k) for k in ("text_based", "spatial_based", "combined")], F.count_distinct(F.when(F.col("method").isNotNull(), F.struct("line_no", "w"))).alias("matched"))
-    t = v.cells(spark, d).groupBy("doc_id").agg(F.count("*").alias("cells")).join(per, "doc_id", "left").fillna(0, ["text_based", "spatial_based", "combined", "matched"])
-    return t.select("doc_id", "cells", "text_based", "spatial_based", "combined", "matched", F.round(100.0 * F.col("matched") / F.col("cells"), 6).alias("match_rate"))
+    s = matching.match_statistics(_cells(v.cells(spark, d)), _candidates(spark, d))
+    return s.withColumn("match_rate", F.round("match_rate", 6))
 
 
-_HIDDEN = f"""p as (select a.page_ix, a.box_id as a, b.box_id as b, (a.box_id % 5 <> 0) as va, (b.box_id % 5 <> 0) as vb,
-  (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) as i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) as u
-  from boxes a join boxes b on a.page_ix = b.page_ix and a.box_id < b.box_id and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1)"""
+_HIDDEN = f"""vis as (select * from boxes where box_id % 5 <> 0), seen as (select distinct b.page_ix, b.box_id from boxes b join vis o on b.page_ix = o.page_ix and b.text = o.text and b.x0 < o.x1 and o.x0 < b.x1 and greatest(0, o.y0 - b.y1, b.y0 - o.y1) <= 0.5 * (b.y1 - b.y0)),
+gone as (select page_ix, box_id, text from boxes b where not exists (select 1 from seen s where s.page_ix = b.page_ix and s.box_id = b.box_id)),
+p as (select a.page_ix, a.box_id as a, b.box_id as b, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) as i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) as u
+  from boxes a join boxes b on a.page_ix = b.page_ix and a.box_id < b.box_id and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1),
+x as (select p.page_ix, case when sa.box_id is null then a else b end as box_id from p left join seen sa on sa.page_ix = p.page_ix and sa.box_id = a left join seen sb on sb.page_ix = p.page_ix and sb.box_id = b where i / (u - i) >= 0.1 and (sa.box_id is null) <> (sb.box_id is null))"""
 
 
-@query(f"with {v.BOXES}, {_HIDDEN} select page_ix, a, b, case when va then b else a end as hidden from p where i / (u - i) >= 0.1 and va <> vb")
+@query(f"with {v.BOXES}, {_HIDDEN} select g.page_ix, g.box_id, g.text, case when exists (select 1 from x where x.page_ix = g.page_ix and x.box_id = g.box_id) then 'overlap' else 'missing' end as kind from gone g")
 def hidden_overlap_xor(spark, d):
-    """Overlapping pairs of which exactly one box is seen in the other rendering (boxes divisible by 5 are not)."""
-    from folioscan.operators import spatial
-
+    """Boxes that another rendering (without every fifth box) lacks: under a box that it has, or by themselves."""
     b = v.boxes(spark, d)
-    seen = b.filter("box_id % 5 <> 0").select("page_ix", "box_id", F.lit(True).alias("v"))
-    pairs = spatial.overlapping_pairs(b, 0.10)
-    va, vb = (seen.toDF("page_ix", k, f"v_{k}") for k in ("a", "b"))
-    j = pairs.join(va, ["page_ix", "a"], "left").join(vb, ["page_ix", "b"], "left").fillna(False, ["v_a", "v_b"])
-    return j.filter("v_a <> v_b").select("page_ix", "a", "b", F.when(F.col("v_a"), F.col("b")).otherwise(F.col("a")).alias("hidden"))
+    return matching.hidden_text(b, b.filter("box_id % 5 <> 0"), mode="word", keys=("page_ix",), ident="box_id")
 
 
 # --- profiles and reports ------------------------------------------------------------------------------------------------
@@ -282,24 +277,28 @@ def blank_census(spark, d):
 
 _REASONS = f"""reasons as (
   select page_ix, box_id, text, 'wide' as reason from boxes where x1 - x0 > 60 union all select page_ix, box_id, text, 'page edge' from boxes where x0 < 50
-  union all select page_ix, box_id, text, 'top' from boxes where y0 < 60)"""
+  union all select page_ix, box_id, text, 'top' from boxes where y0 < 60 union all select page_ix, box_id, text, 'bottom' from boxes where y1 > 700
+  union all select page_ix, box_id, text, 'text NF' from boxes where text = 'NF' union all select page_ix, box_id, text, 'narrow' from boxes where x1 - x0 < 24)"""
+
+
+_SOURCES = (("x1 - x0 > 60", "wide"), ("x0 < 50", "page edge"), ("y0 < 60", "top"), ("y1 > 700", "bottom"), ("text = 'NF'", "text NF"), ("x1 - x0 < 24", "narrow"))
 
 
 @query(f"with {v.BOXES}, {_REASONS} select page_ix, box_id, text, string_agg(reason, '; ' order by reason) as reasons, count(*) as n from reasons group by 1, 2, 3")
 def annotation_reasons(spark, d):
     """Findings of several detectors united and gathered per box."""
     b = v.boxes(spark, d).select("page_ix", "box_id", "text", "x0", "x1", "y0")
-    parts = [b.filter(c).select("page_ix", "box_id", "text", F.lit(r).alias("reason")) for c, r in (("x1 - x0 > 60", "wide"), ("x0 < 50", "page edge"), ("y0 < 60", "top"))]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [b.filter(c).select("page_ix", "box_id", "text", F.lit(r).alias("reason")) for c, r in _SOURCES]
+    u = functools.reduce(DataFrame.unionByName, parts)
     return u.groupBy("page_ix", "box_id", "text").agg(F.array_join(F.sort_array(F.collect_list("reason")), "; ").alias("reasons"), F.count("*").alias("n"))
 
 
 @query(f"with {v.BOXES}, {_REASONS} select reason, count(*) as n, count(distinct page_ix) as pages from reasons where not exists (select 1 from boxes b where b.page_ix = reasons.page_ix and b.box_id = reasons.box_id and b.text = 'NO') group by 1")
 def severity_histogram(spark, d):
     b = v.boxes(spark, d)
-    parts = [b.filter(c).select("page_ix", "box_id", F.lit(r).alias("reason")) for c, r in (("x1 - x0 > 60", "wide"), ("x0 < 50", "page edge"), ("y0 < 60", "top"))]
+    parts = [b.filter(c).select("page_ix", "box_id", F.lit(r).alias("reason")) for c, r in _SOURCES]
     found = b.filter("text = 'NO'").select("page_ix", "box_id").toDF("page_ix", "box_id")
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).join(found, ["page_ix", "box_id"], "left_anti").groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("page_ix").alias("pages"))
+    return functools.reduce(DataFrame.unionByName, parts).join(found, ["page_ix", "box_id"], "left_anti").groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("page_ix").alias("pages"))
 
 
 @query("""select lang, count(*) as documents, count(*) filter (trim(text) <> '') as with_text, cast(sum(n_chars) as bigint) as chars, count(*) filter (n_chars < 200) as short, left(min(text), 200) as preview,
@@ -319,15 +318,52 @@ def latest_version_scan(spark, d):
     return e.select("doc", "latest", "value", F.from_json("p", "k int")["k"].alias("k"), "versions")
 
 
-@query("""with s as (select s_suppkey as font_id, s_name as name, 'Supplier#' || lpad(cast(s_suppkey as varchar), 9, '0') as key from supplier), e as (select l_orderkey, l_linenumber, l_suppkey, row_number() over (partition by l_orderkey % 50 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as n from lineitem)
-select l_orderkey % 50 as page, s.name as font, count(*) as spans, bool_or(n % 4 = 0) as has_clip from e join s on l_suppkey = font_id and (contains(s.name, s.key) or contains(s.key, s.name)) group by 1, 2""")
+_SPANS = """sp as (select l_orderkey // 200 as doc_id, cast(l_orderkey // 20 as bigint) as page_ix, row_number() over (partition by l_orderkey // 20 order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) as span_index, 'ABCDEF+' || s_name as font from lineitem join supplier on l_suppkey = s_suppkey),
+ev as (select page_ix, row_number() over (partition by page_ix order by o_orderkey) - 1 as k, o_orderstatus = 'F' and o_custkey % 3 = 0 as clip from (select cast(o_orderkey // 20 as bigint) as page_ix, * from orders)),
+n as (select page_ix, count(*) as s from sp group by 1), e as (select page_ix, count(*) as e from ev group by 1)"""
+
+
+def _spans(spark, d) -> DataFrame:
+    order = Window.partitionBy("page_ix").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    t = v.table(spark, d, "lineitem").join(v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name"), "l_suppkey").withColumn("page_ix", F.floor(F.col("l_orderkey") / 20).cast("long"))
+    return t.select(F.floor(F.col("l_orderkey") / 200).cast("long").alias("doc_id"), "page_ix", F.row_number().over(order).cast("long").alias("span_index"), F.concat("l_returnflag", "l_linestatus").alias("text"), F.concat(F.lit("ABCDEF+"), "s_name").alias("font"), F.col("l_quantity").alias("size"), F.lit(12.0).alias("line_height"), *[F.lit(0.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
+
+
+def _fonts(spark, d) -> DataFrame:
+    """Every supplier as a font of every document; the name is the part before the last figure, so some hold others."""
+    docs = _spans(spark, d).select("doc_id").distinct()
+    s = v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("font_id"), F.expr("left(s_name, length(s_name) - s_suppkey % 2)").alias("name"), (F.col("s_nationkey") % 2 == 0).alias("embedded"), F.lit("WinAnsi").alias("encoding"), F.lit("TrueType").alias("font_type"))
+    return docs.join(F.broadcast(s.limit(10000)), F.lit(True))
+
+
+def _clips(spark, d) -> DataFrame:
+    o = v.table(spark, d, "orders")
+    return o.select(F.floor(F.col("o_orderkey") / 200).cast("long").alias("doc_id"), F.floor(F.col("o_orderkey") / 20).cast("long").alias("page_ix"), F.col("o_orderkey").alias("event_id"), F.lit("x").alias("text"), ((F.col("o_orderstatus") == "F") & (F.col("o_custkey") % 3 == 0)).alias("has_clip"))
+
+
+@query(f"""with {_SPANS}, f as (select s_suppkey as font_id, left(s_name, length(s_name) - s_suppkey % 2) as name from supplier), names as (select distinct font from sp),
+m as (select font, min(font_id) as font_id from names join f on contains(name, font) or contains(font, name) group by 1) select page_ix, span_index, m.font_id, f.name as font_name from sp left join m using (font) left join f on f.font_id = m.font_id""")
+def span_fonts(spark, d):
+    """Spans with the first font whose name holds theirs or is held by it."""
+    return elements.font_of(_spans(spark, d), _fonts(spark, d)).select("page_ix", "span_index", "font_id", "font_name")
+
+
+@query(f"""with {_SPANS}, b as (select sp.page_ix, span_index, cast(round_even((span_index - 1) * e / s::double, 0) as bigint) as lo, cast(round_even(span_index * e / s::double, 0) as bigint) as hi from sp join n using (page_ix) left join e using (page_ix))
+select b.page_ix, b.span_index, coalesce(bool_or(clip), false) as has_clip from b left join ev on ev.page_ix = b.page_ix and ev.k >= lo and ev.k < greatest(hi, lo + 1) group by 1, 2""")
+def span_clips(spark, d):
+    """Spans with the clip flags of their share of the page's events united."""
+    return elements.clip_of(_spans(spark, d), _clips(spark, d)).select("page_ix", "span_index", "has_clip")
+
+
+@query(f"""with {_SPANS}, f as (select s_suppkey as font_id, left(s_name, length(s_name) - s_suppkey % 2) as name, s_nationkey % 2 = 0 as embedded from supplier), names as (select distinct font from sp),
+m as (select font, min(font_id) as font_id from names join f on contains(name, font) or contains(font, name) group by 1),
+b as (select sp.page_ix, span_index, font, cast(round_even((span_index - 1) * e / s::double, 0) as bigint) as lo, cast(round_even(span_index * e / s::double, 0) as bigint) as hi from sp join n using (page_ix) left join e using (page_ix)),
+c as (select b.page_ix, b.span_index, any_value(b.font) as font, coalesce(bool_or(clip), false) as has_clip from b left join ev on ev.page_ix = b.page_ix and ev.k >= lo and ev.k < greatest(hi, lo + 1) group by 1, 2)
+select c.page_ix, '//Document/P[' || c.page_ix || ']/StyleSpan' as path, coalesce(f.name, font) as font, string_split(coalesce(f.name, font), '+')[-1] as family, contains(coalesce(f.name, font), '+') as subset, f.embedded, has_clip, count(*) as spans from c left join m using (font) left join f on f.font_id = m.font_id group by all""")
 def font_elements(spark, d):
-    """Spans joined with their fonts by names that hold each other, and the clip flags of their events united."""
-    w = Window.partitionBy(F.col("l_orderkey") % 50).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    e = v.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", F.row_number().over(w).alias("n"))
-    s = v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("font_id"), F.col("s_name").alias("font"), F.concat(F.lit("Supplier#"), F.lpad(F.col("s_suppkey").cast("string"), 9, "0")).alias("key"))
-    j = e.join(s, (F.col("l_suppkey") == F.col("font_id")) & (F.col("font").contains(F.col("key")) | F.col("key").contains(F.col("font"))))
-    return j.groupBy((F.col("l_orderkey") % 50).alias("page"), "font").agg(F.count("*").alias("spans"), F.bool_or(F.col("n") % 4 == 0).alias("has_clip"))
+    """Elements of a page, spans with fonts and clip flags, counted by what they have."""
+    e = elements.assemble(_spans(spark, d), _fonts(spark, d), _clips(spark, d))
+    return e.select("page_ix", "path", F.col("font.name").alias("font"), F.col("font.family_name").alias("family"), F.col("font.subset").alias("subset"), F.col("font.embedded").alias("embedded"), "has_clip").groupBy("page_ix", "path", "font", "family", "subset", "embedded", "has_clip").agg(F.count("*").alias("spans"))
 
 
 @query()
@@ -346,14 +382,8 @@ def clip_walk(spark, d):
 
 @query()
 def hidden_text(spark, d):
-    """Cells of one rendering that the other hides, with the kinds of matching.hidden_text; a document and line make a page."""
-    from folioscan.operators import matching
-
-    def page(df: DataFrame) -> DataFrame:
-        ascii = F.regexp_replace("text", "[^ -~]", "?")
-        return df.select("doc_id", F.col("line_no").alias("page_ix"), F.col("w").alias("cell_index"), ascii.alias("text"), "x0", "y0", "x1", "y1")
-
-    return matching.hidden_text(page(v.cells(spark, d)), page(v.visible(spark, d)), mode="word")
+    """Cells of one rendering that the other hides, with the kinds of matching.hidden_text."""
+    return matching.hidden_text(_cells(v.cells(spark, d)), _cells(v.visible(spark, d)), mode="word")
 
 
 @query("select cast(l_orderkey // 200 as bigint) as doc_id, count(*) as n_findings, count(distinct l_returnflag || l_linestatus) as kinds from lineitem where l_quantity > 45 group by 1")
@@ -423,9 +453,9 @@ def element_tree(spark, d):
     return payload.flatten_elements(rows).drop("doc_id")
 
 
-@query(f"with {v.CELLS}, f as (select doc_id, line_no, w from cells where (doc_id + line_no + w) % 17 = 0), g as (select doc_id, line_no, w from cells where w % 34 = 0) select * from f except select * from g")
+@query(f"with {v.CELLS}, g as (select doc_id, line_no, w from cells where regexp_matches(text, '^[A-ZÄÉÈÖÜÓÍÑÊÇ]')) select doc_id, line_no, w from cells except select * from g")
 def except_detected(spark, d):
-    """Findings that an earlier detector hasn't reported."""
+    """Cells that an earlier detector (of capital letters) hasn't reported."""
     c = v.cells(spark, d).select("doc_id", "line_no", "w")
-    found = c.filter((F.col("doc_id") + F.col("line_no") + F.col("w")) % 17 == 0)
-    return found.join(c.filter("w % 34 = 0").toDF("doc_id", "line_no", "w"), ["doc_id", "line_no", "w"], "left_anti").distinct()
+    known = v.cells(spark, d).filter(F.col("text").rlike("^[A-ZÄÉÈÖÜÓÍÑÊÇ]")).select("doc_id", "line_no", "w")
+    return c.join(known.toDF("doc_id", "line_no", "w"), ["doc_id", "line_no", "w"], "left_anti").distinct()

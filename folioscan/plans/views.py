@@ -37,6 +37,11 @@ BOXES = """boxes as (
   from (select *, cast(l_orderkey // 20 as bigint) as page_ix, cast(l_partkey % 50 * 10 as double) as x0, cast(l_suppkey % 60 * 12 as double) as y0 from lineitem))"""
 
 
+def tall_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes, tall enough to overlap the rows below: blocks join lines that share a stretch of y."""
+    return boxes(spark, sf_dir).withColumn("y1", F.col("y1") + 6)
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     words = lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ", -1)).alias("w", "text"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as g
+from folioscan.operators.lineage import cut
 
 RECT = "struct<" + ", ".join(f"r_{c}{i}: double" for i in range(4) for c in "xy") + ", x0: double, y0: double, x1: double, y1: double, l: double, t: double, r: double, b: double, coord_origin: string>"
 CELL = f"struct<text: string, rect: {RECT}, bbox: array<double>, index: int, font_name: string, font_key: string, confidence: double, from_ocr: boolean>"
@@ -22,6 +23,28 @@ PAYLOAD = (
 )
 SPAN_PAYLOAD = "pages array<struct<page_no: int, blocks: array<struct<type: int, lines: array<struct<spans: array<struct<text: string, bbox: array<double>, font: string, size: double, color: int, flags: int>>>>>>>>"
 ELEMENT = "Path string, Page int, Text string, Font struct<embedded: boolean, encoding: string, family_name: string, name: string, font_type: string, monospaced: boolean, subset: boolean>, HasClip boolean, TextSize double, LineHeight double, BBox array<double>"
+_PLACED = "x0: double, top: double, x1: double, bottom: double"
+CHARS_PAYLOAD = (
+    f"source_file string, pages array<struct<page_number: int, width: double, height: double, rotation: int, text: string, chars: array<struct<text: string, fontname: string, size: double, {_PLACED}, upright: boolean>>, "
+    f"lines: array<struct<{_PLACED}, linewidth: double>>, rects: array<struct<{_PLACED}, linewidth: double, fill: boolean>>, curves: array<struct<{_PLACED}>>, images: array<struct<{_PLACED}, name: string>>, words: array<struct<text: string, {_PLACED}>>>>"
+)
+WORDS_PAYLOAD = f"source_file string, pages array<struct<page_number: int, width: double, height: double, rotation: int, text: string, words: array<struct<text: string, fontname: string, size: double, {_PLACED}>>, tables: array<struct<table_index: int, data: array<array<string>>>>>>"
+SPAN_PAGES = (
+    "source_file string, pages array<struct<page_number: int, page_no: int, width: double, height: double, rotation: int, text: string, "
+    "blocks: array<struct<type: int, lines: array<struct<bbox: array<double>, spans: array<struct<text: string, bbox: array<double>, font: string, size: double, color: int, flags: int>>>>>>, "
+    "text_blocks: array<array<string>>, words: array<array<string>>, images: array<struct<xref: int, width: int, height: int, bpc: int, colorspace: string, name: string>>, "
+    "links: array<struct<uri: string, kind: int>>, drawings: array<struct<type: string, width: double>>>>"
+)
+ELEMENTS_PAYLOAD = (
+    "elements array<struct<Path: string, Page: int, Text: string, Font: struct<embedded: boolean, encoding: string, family_name: string, name: string, font_type: string, monospaced: boolean, subset: boolean>, "
+    "HasClip: boolean, TextSize: double, LineHeight: double, BBox: string, attributes: struct<BBox: string>, Bounds: string>>"
+)
+_SUMMARY = "mean: double, std: double, q1: double, median: double, q3: double, p95: double, p99: double, max: double"
+ENHANCED_PAYLOAD = (
+    "elements array<struct<cell_data: struct<text: string>, pillow_analysis: struct<foreground_color: array<double>, background_color: array<double>, text_to_background_ratio: double>, "
+    f"edge_gradient_analysis: struct<full_bbox: struct<summary_stats: struct<{_SUMMARY}>, frequency_energy: struct<high_freq: double, low_freq: double, high_to_low_ratio: string>, "
+    "laplacian: struct<mean: double, std: double, max: double, p95: double, zero_crossings: double>, local_variance: struct<mean: double, std: double, max: double>, bilateral: struct<difference_mean: double, edge_preservation: double>>>>>"
+)
 OCR_PAYLOAD = "pages array<struct<page_number: int, width: double, height: double, lines: array<struct<content: string, polygon: array<double>, words: array<struct<content: string, confidence: double>>>>>>"
 
 
@@ -67,7 +90,7 @@ def cells(payloads: DataFrame) -> DataFrame:
     pages = payloads.select("doc_id", F.explode("parsed_pages").alias("key", "page")).select(
         "doc_id", F.coalesce("page.page_no", F.col("key").cast("int")).alias("page_ix"), F.coalesce("page.size.width", F.lit(612.0)).alias("width"), F.coalesce("page.size.height", F.lit(792.0)).alias("height"), F.posexplode("page.cells").alias("cell_index", "c")
     )
-    box = rect_box(F.col("c.rect"), F.col("c.bbox"))
+    box = rect_box(F.col("c.rect"), F.col("c.bbox"), F.col("height"))
     named = pages.select(
         "doc_id", "page_ix", "width", "height", "cell_index", F.trim("c.text").alias("text"), *[b.alias(n) for b, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)],
         F.coalesce("c.font_name", F.lit("Unknown")).alias("font_name"), F.coalesce("c.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("c.from_ocr", F.lit(False)).alias("from_ocr"),
@@ -80,12 +103,22 @@ def _page_ix(number: Column) -> Column:
     return F.when(number > 0, number - 1).otherwise(number)
 
 
-def table_cells(payloads: DataFrame) -> DataFrame:
-    """Grid cells of every table: doc_id, page_ix, table_id, rows and columns, box, text, kind."""
+def _heights(payloads: DataFrame) -> DataFrame:
+    """(doc_id, page_ix, _height) of the pages that say how high they are."""
+    pages = payloads.select("doc_id", F.explode("parsed_pages").alias("key", "page"))
+    return pages.select("doc_id", F.coalesce("page.page_no", F.col("key").cast("int")).alias("page_ix"), F.col("page.size.height").alias("_height")).dropDuplicates(["doc_id", "page_ix"])
+
+
+def _with_height(rows: DataFrame, payloads: DataFrame) -> DataFrame:
+    return rows.join(_heights(payloads), ["doc_id", "page_ix"], "left").withColumn("_height", F.coalesce("_height", F.lit(792.0)))
+
+
+def table_cells(payloads: DataFrame, compat: bool = False) -> DataFrame:
+    """Grid cells of every table: doc_id, page_ix, table_id, rows and columns, box (top left origin; compat: as given), text, kind."""
     t = payloads.select("doc_id", F.posexplode("docling_document.tables").alias("table_id", "t")).select("doc_id", "table_id", _page_ix(F.get(F.col("t.prov"), F.lit(0))["page_no"]).alias("page_ix"), F.explode(F.flatten("t.data.grid")).alias("c"))
     kind = F.when(F.col("c.column_header"), "column_header").when(F.col("c.row_header"), "row_header").otherwise("body")
-    box = rect_box(F.col("c.bbox"))
-    return t.select("doc_id", "page_ix", "table_id", F.col("c.start_row_offset_idx").alias("row"), F.col("c.start_col_offset_idx").alias("column"), F.col("c.text").alias("text"), *[b.alias(n) for b, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)], kind.alias("kind"))
+    box = rect_box(F.col("c.bbox"), height=None if compat else F.col("_height"))
+    return _with_height(t, payloads).select("doc_id", "page_ix", "table_id", F.col("c.start_row_offset_idx").alias("row"), F.col("c.start_col_offset_idx").alias("column"), F.col("c.text").alias("text"), *[b.alias(n) for b, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)], kind.alias("kind"))
 
 
 def tables(payloads: DataFrame) -> DataFrame:
@@ -95,10 +128,10 @@ def tables(payloads: DataFrame) -> DataFrame:
 
 def structure(payloads: DataFrame) -> DataFrame:
     """Table cells and labelled texts as structural items."""
-    texts = payloads.select("doc_id", F.explode("docling_document.texts").alias("t")).select("doc_id", F.explode("t.prov").alias("p"), F.col("t.label").alias("kind"))
-    box = rect_box(F.col("p.bbox"), height=F.lit(792.0))
+    texts = payloads.select("doc_id", F.explode("docling_document.texts").alias("t")).select("doc_id", F.explode("t.prov").alias("p"), F.col("t.label").alias("kind")).withColumn("page_ix", _page_ix(F.col("p.page_no")))
+    box = rect_box(F.col("p.bbox"), height=F.col("_height"))
     names = ("sx0", "sy0", "sx1", "sy1")
-    labelled = texts.select("doc_id", _page_ix(F.col("p.page_no")).alias("page_ix"), *[b.alias(n) for b, n in zip(box, names, strict=True)], "kind")
+    labelled = _with_height(texts, payloads).select("doc_id", "page_ix", *[b.alias(n) for b, n in zip(box, names, strict=True)], "kind")
     gridded = table_cells(payloads).select("doc_id", "page_ix", *[F.col(c).alias(n) for c, n in zip(("x0", "y0", "x1", "y1"), names, strict=True)], "kind")
     return labelled.unionByName(gridded)
 
@@ -120,15 +153,140 @@ def ocr_cells(payloads: DataFrame) -> DataFrame:
     return p.select("doc_id", "page_ix", "cell_index", F.col("l.content").alias("text"), (F.array_min(xs) * 72).alias("x0"), (F.array_min(ys) * 72).alias("y0"), (F.array_max(xs) * 72).alias("x1"), (F.array_max(ys) * 72).alias("y1"), confidence.alias("confidence"))
 
 
-def flatten_elements(rows: DataFrame) -> DataFrame:
-    """Elements given as (doc_id, id, parent, page, ...), parents first to last: children without a page take their parent's."""
-    spark = rows.sparkSession
-    rows.createOrReplaceTempView("_elements")
-    return spark.sql(
-        "with recursive tree as (select doc_id, id, parent, page, 0 as depth from _elements where parent is null "
-        "union all select e.doc_id, e.id, e.parent, coalesce(e.page, t.page), t.depth + 1 from _elements e join tree t on e.doc_id = t.doc_id and e.parent = t.id) "
-        "select doc_id, id, parent, page, depth from tree"
-    )
+def chars(payloads: DataFrame) -> DataFrame:
+    """Characters of a character payload: doc_id, page_ix, char_index, text, font, size, box."""
+    p = payloads.select("doc_id", F.explode("pages").alias("p")).select("doc_id", (F.col("p.page_number") - 1).alias("page_ix"), F.posexplode("p.chars").alias("char_index", "c"))
+    return p.select("doc_id", "page_ix", "char_index", F.col("c.text").alias("text"), F.col("c.fontname").alias("font"), F.col("c.size").alias("size"), F.col("c.x0").alias("x0"), F.col("c.top").alias("y0"), F.col("c.x1").alias("x1"), F.col("c.bottom").alias("y1"))
+
+
+def shapes(payloads: DataFrame) -> DataFrame:
+    """Lines, rectangles, curves and images of a character payload with their kind and box."""
+    kinds = {"line": "lines", "rect": "rects", "curve": "curves", "image": "images"}
+    each = [F.expr(f"transform(coalesce(p.{c}, array()), x -> named_struct('kind', '{k}', 'x0', x.x0, 'y0', x.top, 'x1', x.x1, 'y1', x.bottom))") for k, c in kinds.items()]
+    p = payloads.select("doc_id", F.explode("pages").alias("p"))
+    return p.select("doc_id", (F.col("p.page_number") - 1).alias("page_ix"), F.explode(F.concat(*each)).alias("s")).select("doc_id", "page_ix", "s.*")
+
+
+def words(payloads: DataFrame) -> DataFrame:
+    """Words of a word payload (or of a character payload, which has no fonts for them)."""
+    p = payloads.select("doc_id", F.explode("pages").alias("p")).select("doc_id", (F.col("p.page_number") - 1).alias("page_ix"), F.posexplode("p.words").alias("word_index", "w"))
+    named = "fontname" in p.select("w.*").columns
+    font = [F.col("w.fontname").alias("font"), F.col("w.size").alias("size")] if named else [F.lit(None).cast("string").alias("font"), F.lit(None).cast("double").alias("size")]
+    return p.select("doc_id", "page_ix", "word_index", F.col("w.text").alias("text"), *font, F.col("w.x0").alias("x0"), F.col("w.top").alias("y0"), F.col("w.x1").alias("x1"), F.col("w.bottom").alias("y1"))
+
+
+def word_tables(payloads: DataFrame) -> DataFrame:
+    """Cells of the tables of a word payload: doc_id, page_ix, table_id, row, column, text."""
+    p = payloads.select("doc_id", F.explode("pages").alias("p")).select("doc_id", (F.col("p.page_number") - 1).alias("page_ix"), F.explode("p.tables").alias("t"))
+    rows = p.select("doc_id", "page_ix", F.col("t.table_index").alias("table_id"), F.posexplode("t.data").alias("row", "r"))
+    return rows.select("doc_id", "page_ix", "table_id", "row", F.posexplode("r").alias("column", "text"))
+
+
+def layout_blocks(payloads: DataFrame) -> DataFrame:
+    """Text blocks (x0, y0, x1, y1, text, ...) of a span payload as boxes with their first 50 characters; others are left out."""
+    p = payloads.select("doc_id", F.explode("pages").alias("p")).select("doc_id", (F.coalesce("p.page_number", F.lit(1)) - 1).alias("page_ix"), F.posexplode("p.text_blocks").alias("block_index", "b"))
+    numbers = [F.get("b", F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))]
+    return p.select("doc_id", "page_ix", "block_index", *numbers, F.left(F.coalesce(F.get("b", F.lit(4)), F.lit("")), F.lit(50)).alias("text")).filter("x0 is not null and y0 is not null and x1 is not null and y1 is not null")
+
+
+def span_words(payloads: DataFrame) -> DataFrame:
+    """Words (x0, y0, x1, y1, text, ...) of a span payload."""
+    p = payloads.select("doc_id", F.explode("pages").alias("p")).select("doc_id", (F.coalesce("p.page_number", F.lit(1)) - 1).alias("page_ix"), F.posexplode("p.words").alias("word_index", "w"))
+    return p.select("doc_id", "page_ix", "word_index", *[F.get("w", F.lit(i)).try_cast("double").alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))], F.get("w", F.lit(4)).alias("text"))
+
+
+def page_objects(payloads: DataFrame) -> DataFrame:
+    """Per page of a span payload: size, rotation, and how many images, links and drawings it has."""
+    p = payloads.select("doc_id", F.explode("pages").alias("p"))
+    n = lambda c: F.coalesce(F.size(F.col(f"p.{c}")), F.lit(0)).alias(c)
+    return p.select("doc_id", (F.coalesce("p.page_number", F.lit(1)) - 1).alias("page_ix"), F.col("p.width").alias("width"), F.col("p.height").alias("height"), F.col("p.rotation").alias("rotation"), n("images"), n("links"), n("drawings"))
+
+
+def any_box(text: Column) -> list[Column]:
+    """A box given as JSON: a list of four, {x0, y0, x1, y1} or {l, t, r, b}, corners in either order; nulls for anything else."""
+    listed = F.from_json(text, "array<double>")
+    named = F.from_json(text, "x0 double, y0 double, x1 double, y1 double, l double, t double, r double, b double")
+    each = [F.coalesce(F.when(F.size(listed) >= 4, F.get(listed, F.lit(i))), named[a], named[b]) for i, (a, b) in enumerate((("x0", "l"), ("y0", "t"), ("x1", "r"), ("y1", "b")))]
+    known = each[0].isNotNull() & each[1].isNotNull() & each[2].isNotNull() & each[3].isNotNull()
+    return [F.when(known, c) for c in g.from_corners(*each)]
+
+
+def elements(payloads: DataFrame) -> DataFrame:
+    """Elements of an element payload; the box is the first of BBox, attributes.BBox and Bounds that is one."""
+    e = payloads.select("doc_id", F.posexplode("elements").alias("element_index", "e"))
+    sources = [any_box(F.col(c)) for c in ("e.BBox", "e.attributes.BBox", "e.Bounds")]
+    whole = [F.struct(*[c.alias(n) for c, n in zip(s, ("x0", "y0", "x1", "y1"), strict=True)]) for s in sources]
+    first = F.coalesce(*[F.when(s[0].isNotNull(), w) for s, w in zip(sources, whole, strict=True)])
+    which = F.coalesce(*[F.when(s[0].isNotNull(), F.lit(n)) for s, n in zip(sources, ("BBox", "attributes.BBox", "Bounds"), strict=True)])
+    kind = F.element_at(F.split("e.Path", "/"), -1)
+    return e.select(
+        "doc_id", "element_index", F.col("e.Path").alias("path"), F.regexp_replace(kind, r"\[\d+\]$", "").alias("kind"), F.col("e.Page").alias("page_ix"), F.col("e.Text").alias("text"), F.col("e.Font").alias("font"),
+        F.col("e.HasClip").alias("has_clip"), F.col("e.TextSize").alias("text_size"), F.col("e.LineHeight").alias("line_height"), which.alias("bbox_source"), first.alias("_b"),
+    ).select("*", "_b.*").drop("_b")
+
+
+def element_histogram(payloads: DataFrame) -> DataFrame:
+    """Per document: the kinds of its elements (the last part of their paths, numbers aside) and how many there are."""
+    return elements(payloads).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))
+
+
+def feature_rows(payloads: DataFrame) -> DataFrame:
+    """(doc, id, text, x, names): the 26 features of each element of an enhanced payload, in the order of appearance.FEATURES.
+
+    What is missing is 0 (a white background, a black foreground); an infinite ratio is 1000.
+    """
+    from folioscan.operators.appearance import FEATURES, RATIO_CAP
+
+    e = payloads.select(F.col("doc_id").alias("doc"), F.posexplode("elements").alias("id", "e"))
+    colors = [F.coalesce(F.col("e.pillow_analysis.foreground_color"), F.array(*[F.lit(0.0)] * 3)), F.coalesce(F.col("e.pillow_analysis.background_color"), F.array(*[F.lit(255.0)] * 3))]
+    channels = [[F.coalesce(F.get(c, F.lit(i)), F.lit(0.0)) for i in range(3)] for c in colors]
+    full = "e.edge_gradient_analysis.full_bbox"
+    number = lambda path: F.coalesce(F.col(path), F.lit(0.0))
+    ratio = F.col(f"{full}.frequency_energy.high_to_low_ratio")
+    ratio = F.when(ratio == "Infinity", RATIO_CAP).otherwise(F.coalesce(ratio.try_cast("double"), F.lit(0.0)))
+    values = [
+        g.luminance(*channels[0]), g.packed_color(*channels[0]), g.luminance(*channels[1]), g.packed_color(*channels[1]), number("e.pillow_analysis.text_to_background_ratio"),
+        *[number(f"{full}.summary_stats.{k}") for k in ("mean", "std", "q1", "median", "q3", "p95", "p99", "max")],
+        number(f"{full}.frequency_energy.high_freq"), number(f"{full}.frequency_energy.low_freq"), F.when(ratio == float("inf"), RATIO_CAP).otherwise(ratio),
+        *[number(f"{full}.laplacian.{k}") for k in ("mean", "std", "max", "p95", "zero_crossings")], *[number(f"{full}.local_variance.{k}") for k in ("mean", "std", "max")],
+        number(f"{full}.bilateral.difference_mean"), number(f"{full}.bilateral.edge_preservation"),
+    ]
+    return e.select("doc", F.col("id").cast("long").alias("id"), F.coalesce("e.cell_data.text", F.lit("")).alias("text"), F.array(*[v.cast("double") for v in values]).alias("x"), F.array(*[F.lit(n) for n in FEATURES]).alias("names"))
+
+
+def with_text(cells: DataFrame, pages: DataFrame) -> DataFrame:
+    """pages (doc_id, page_ix) with has_text and the first 200 characters of their cells, in order."""
+    order = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("cell_index", "text"))), lambda x: x["text"]), " ")
+    told = cells.filter(F.trim("text") != "").groupBy("doc_id", "page_ix").agg(F.left(order, F.lit(200)).alias("preview"))
+    return pages.join(told, ["doc_id", "page_ix"], "left").withColumn("has_text", F.col("preview").isNotNull()).fillna("", ["preview"])
+
+
+def first_match(payloads: DataFrame, part: str) -> DataFrame:
+    """The payload whose name holds the part, the first in order of names."""
+    return payloads.filter(F.lower("doc_id").contains(part.lower())).orderBy("doc_id").limit(1)
+
+
+def flatten_elements(rows: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """Elements given as (doc_id, id, parent, page, ...) with their depth; children without a page take their parent's.
+
+    Parents are looked up in doubling steps: after k rounds every element knows its ancestor 2 ** k levels up, the depth
+    so far and the nearest page on the way, so a tree of depth n takes log2(n) joins. Elements below an unknown parent
+    are left out, and so is what `most` levels don't bring to a root: cycles and what hangs on them.
+    """
+    known = rows.select("doc_id", "id", "parent", "page")
+    now = known.select("doc_id", "id", F.col("parent").alias("up"), "page", F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
+    step = 1
+    while True:
+        now = cut(now)
+        if step > most or now.filter("up is not null").isEmpty():
+            now = now.filter("up is null")
+            break
+        above = now.select(F.col("doc_id").alias("_d"), F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("page").alias("_page"), F.col("depth").alias("_depth"))
+        j = now.join(above, (F.col("doc_id") == F.col("_d")) & (F.col("up") == F.col("_id")), "left")
+        orphan = F.col("up").isNotNull() & F.col("_id").isNull()
+        now = j.filter(~orphan).select("doc_id", "id", F.col("_up").alias("up"), F.coalesce("page", "_page").alias("page"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"))
+        step *= 2
+    return known.select("doc_id", "id", "parent").join(now.select("doc_id", "id", "page", "depth"), ["doc_id", "id"]).select("doc_id", "id", "parent", "page", "depth")
 
 
 def pending(listed: DataFrame, done: DataFrame) -> DataFrame:

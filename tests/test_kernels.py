@@ -5,11 +5,14 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from folioscan.operators import kernels, outliers
+from folioscan.operators import appearance, kernels, outliers
 
 
-def block(box, alignment="left", table=None, cells=1, name=0):
-    return {"bbox": box, "alignment": alignment, "table": table, "cells": cells, "merged_from": [name]}
+def block(box, alignment="left", cells=1, name=0):
+    return {"bbox": box, "alignment": alignment, "cells": cells, "merged_from": [name]}
+
+
+TABLES = [(100, 200, 250, 216), (90, 218, 250, 236)]
 
 
 @pytest.mark.parametrize(
@@ -20,7 +23,7 @@ def block(box, alignment="left", table=None, cells=1, name=0):
         ([block((100, 200, 250, 215)), block((100, 260, 240, 275))], 2),
         ([block((100, 200, 250, 215)), block((100, 220, 240, 235), "right")], 2),
         ([block((100, 200, 250, 215)), block((300, 220, 450, 235))], 2),
-        ([block((100, 200, 250, 215), table=1), block((100, 220, 240, 235), table=2)], 2),
+        ([block((100, 500, 250, 515)), block((100, 520, 240, 535))], 1),
         ([block((100, 200, 250, 215)), block((100, 220, 245, 235)), block((100, 240, 250, 255))], 1),
         ([block((0, 0, 9, 9), "center"), block((0, 10, 9, 19), "center")], 2),
     ],
@@ -31,6 +34,13 @@ def test_merge_adjacent(blocks, n):
     assert sum(m["cells"] for m in merged) == len(blocks)
 
 
+def test_blocks_of_two_tables_stay_apart():
+    two = [block((100, 200, 250, 215)), block((100, 220, 240, 235))]
+    assert [kernels.table_of(b["bbox"], TABLES) for b in two] == [0, 1]
+    assert len(kernels.merge_adjacent(two)) == 1 and len(kernels.merge_adjacent(two, tables=TABLES)) == 2
+    assert len(kernels.merge_adjacent(two, tables=[(0, 0, 612, 792)])) == 1
+
+
 def test_nesting():
     big, small = (0, 0, 400, 400), (100, 100, 200, 200)
     drop = lambda boxes, conf: kernels.drop_nested(np.array(boxes, float), np.array(conf)).tolist()
@@ -74,6 +84,11 @@ def test_clip_stack():
     assert kernels.walk_clip(ops) == [("a", False), ("b", True), ("c", False), ("d", False)]
 
 
+def test_forms_inherit_the_clip():
+    forms = {"f": [("Tj", "in"), ("W", None), ("Tj", "cut"), ("Do", "g")], "g": [("Tj", "deep"), ("Do", "f")]}
+    assert kernels.walk_clip([("q", None), ("W", None), ("Do", "f"), ("Q", None), ("Do", "f"), ("Tj", "out"), ("Do", "none")], forms) == [("in", True), ("cut", True), ("deep", True), ("in", False), ("cut", True), ("deep", True), ("out", False)]
+
+
 def test_containment_chain():
     boxes = np.array([[0, 0, 10, 10], [1, 1, 9, 9], [2, 2, 8, 8], [0, 0, 10, 10]], float)
     areas = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
@@ -119,7 +134,44 @@ def test_estimators():
 def test_rasters():
     r = np.zeros((16, 16))
     r[:, 8:] = 200
-    f = dict(zip(outliers.RASTER_FEATURES, outliers.raster_features(r.ravel()), strict=True))
-    assert (f["fg_level"], f["bg_level"]) == (0, 200) and f["max_grad"] == 800 and f["lv_max"] > 0
-    assert outliers.zero_crossings(np.array([[1, -1], [1, 1]])) == 2
-    assert outliers.raster_features(np.zeros(256))[3] == 0
+    fg, bg, ratio = appearance.two_colors(r)
+    assert (fg.tolist(), bg.tolist(), ratio) == ([0] * 3, [200] * 3, 1.0)
+    mask = appearance.foreground_mask(r, fg, bg)
+    assert mask[:, :8].all() and not mask[:, 8:].any()
+    g = appearance.gradient_statistics(r)
+    assert g["max"] == 800 and g["min"] == 0 and g["lv_max"] > 0 and g["high_freq"] == 32 * 800 and g["high_to_low_ratio"] == float("inf")
+    assert appearance.gradient_statistics(r, np.zeros((16, 16), bool))["mean"] == 0
+    assert appearance.zero_crossings(np.array([[1, -1], [1, 1]])) == 2
+    f = appearance.describe(np.stack([r, r / 2, r * 0], axis=2))
+    assert f["bg_decimal"] == 200 * 65536 + 100 * 256 and f["high_to_low"] <= appearance.RATIO_CAP and set(f) == set(appearance.FEATURES)
+
+
+def test_bilateral_keeps_edges_and_smooths_noise():
+    rng = np.random.default_rng(4)
+    r = np.where(np.arange(20) < 10, 0.0, 250.0)[None, :].repeat(20, axis=0)
+    noisy = r + rng.normal(0, 5, r.shape)
+    smooth = appearance.bilateral(noisy)
+    assert np.abs(smooth - r)[:, :8].mean() < np.abs(noisy - r)[:, :8].mean() and smooth[:, 11:].mean() - smooth[:, :9].mean() > 200
+
+
+def test_crop_takes_the_box_from_either_origin():
+    page = np.arange(100 * 50).reshape(100, 50)
+    assert (appearance.crop(page, (10, 20, 30, 40), 100, 72) == page[60:80, 10:30]).all()
+    assert (appearance.crop(page, (10, 20, 30, 40), 100, 72, bottom_left=False) == page[20:40, 10:30]).all()
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60)), max_size=40))
+def test_dbscan_of_points(points):
+    x = np.array(points, float).reshape(-1, 2)
+    d = outliers.pairwise(x) if len(x) else np.zeros((0, 0))
+    assert outliers.dbscan_2d(x).tolist() == outliers.density_labels(d, 12.0, 3).tolist()
+
+
+def test_cluster_analysis_chain():
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(0, 1, (60, 4)), rng.normal(12, 1, (60, 4)), [[60, -60, 60, 99]]])
+    r = outliers.cluster_analysis(x)
+    assert r["k"] >= 2 and r["is_anomaly"][120] and len(set(r["kmeans"][:60])) == 1 and r["hopkins"] > 0.5
+    one = outliers.cluster_analysis(x[:1])
+    assert one["hopkins"] == 0.5 and one["k"] == 1 and one["dbscan"].tolist() == [-1] and not one["is_anomaly"].any()

@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from folioscan.operators import alignment, matching, pairs, report
+from folioscan.operators import alignment, appearance, elements, matching, pairs, report
 from folioscan.sources import payload
 from folioscan.streaming import ingest
 
@@ -41,7 +41,7 @@ def test_spans_ocr_and_elements(spark, tmp_path):
     s = payload.spans(payload.read(spark, str(tmp_path), payload.SPAN_PAYLOAD))
     assert [(r.page_ix, r.red, r.green, r.blue, r.x1) for r in s.collect()] == [(0, 16, 32, 48, 3)]
     fonts = spark.createDataFrame([("s", 1, "Times", True)], "doc_id string, font_id int, name string, embedded boolean")
-    assert matching.font_of(s, fonts).first().embedded is True
+    assert elements.font_of(s, fonts).first().font_name == "Times"
     ocr = tmp_path / "ocr"
     ocr.mkdir()
     _write(ocr, "o.json", {"pages": [{"page_number": 1, "lines": [{"content": "a b", "polygon": [1, 1, 2, 1, 2, 1.5, 1, 1.5], "words": [{"content": "a", "confidence": 0.5}, {"content": "b", "confidence": 1}]}, {"content": "c", "polygon": [0, 0, 1, 1], "words": []}]}]})
@@ -51,7 +51,69 @@ def test_spans_ocr_and_elements(spark, tmp_path):
     assert {(r.id, r.page, r.depth) for r in payload.flatten_elements(tree).collect()} == {(1, 3, 0), (2, 3, 1), (3, 5, 2)}
     flags = spark.createDataFrame([(True, False, None, True)], "print boolean, copy boolean, modify boolean, annotate boolean")
     assert payload.permissions(flags).first().note == "not allowed: copy"
-    assert matching.events_of_spans(2, 5) == [(0, 2), (2, 5)]
+    cut = spark.createDataFrame([("d", 0, i) for i in range(2)] + [("d", 1, 0), ("e", 0, 0)], "doc_id string, page_ix int, span_index int")
+    events = spark.createDataFrame([("d", 0, i, i == 2) for i in range(5)] + [("d", 1, 9, True)], "doc_id string, page_ix int, event_id int, has_clip boolean")
+    assert {(r.doc_id, r.page_ix, r.span_index, r.has_clip) for r in elements.clip_of(cut, events).collect()} == {("d", 0, 0, False), ("d", 0, 1, True), ("d", 1, 0, True), ("e", 0, 0, False)}
+
+
+def test_element_trees(spark):
+    deep = spark.createDataFrame([("d", i, i - 1 if i else None, 7 if i == 0 else None) for i in range(300)] + [("d", 900, 901, 1), ("d", 901, 900, 1), ("d", 950, 999, 1)], "doc_id string, id int, parent int, page int")
+    got = {r.id: (r.page, r.depth) for r in payload.flatten_elements(deep, most=1024).collect()}
+    assert got == {i: (7, i) for i in range(300)}  # neither the cycle nor the orphan
+
+
+def test_character_word_and_element_payloads(spark, tmp_path):
+    at = {"x0": 1, "top": 2, "x1": 3, "bottom": 4}
+    for name in ("chars", "words", "spans", "elements", "enhanced"):
+        (tmp_path / name).mkdir()
+    _write(tmp_path / "chars", "c.json", {"pages": [{"page_number": 1, "chars": [{"text": "a", "fontname": "F", "size": 9, **at}], "lines": [at], "rects": [at, at], "curves": [], "images": None, "words": [{"text": "w", **at}]}]})
+    c = payload.read(spark, str(tmp_path / "chars"), payload.CHARS_PAYLOAD)
+    assert [tuple(r)[1:] for r in payload.chars(c).collect()] == [(0, 0, "a", "F", 9, 1, 2, 3, 4)]
+    assert sorted(r.kind for r in payload.shapes(c).collect()) == ["line", "rect", "rect"]
+    assert [(r.text, r.font) for r in payload.words(c).collect()] == [("w", None)]
+    _write(tmp_path / "words", "w.json", {"pages": [{"page_number": 2, "words": [{"text": "w", "fontname": "F", "size": 9, **at}], "tables": [{"table_index": 0, "data": [["a", None], ["b", "c"]]}]}]})
+    w = payload.read(spark, str(tmp_path / "words"), payload.WORDS_PAYLOAD)
+    assert [(r.page_ix, r.text, r.font, r.y1) for r in payload.words(w).collect()] == [(1, "w", "F", 4)]
+    assert {(r.row, r.column, r.text) for r in payload.word_tables(w).collect()} == {(0, 0, "a"), (0, 1, None), (1, 0, "b"), (1, 1, "c")}
+    _write(tmp_path / "spans", "s.json", {"pages": [{"page_number": 1, "width": 612, "height": 792, "rotation": 0, "text_blocks": [[1, 2, 3, 4, "x" * 60, 0, 0], ["?", 2, 3, 4, "y"]], "words": [[1, 2, 3, 4, "w", 0, 0, 0]], "images": [{"xref": 1}], "links": [], "drawings": [{"type": "f"}]}]})
+    s = payload.read(spark, str(tmp_path / "spans"), payload.SPAN_PAGES)
+    assert [(r.x1, r.text) for r in payload.layout_blocks(s).collect()] == [(3, "x" * 50)]
+    assert [(r.text, r.y1) for r in payload.span_words(s).collect()] == [("w", 4)]
+    assert [(r.images, r.links, r.drawings) for r in payload.page_objects(s).collect()] == [(1, 0, 1)]
+    rows = [{"Path": "//Document/P[0]/StyleSpan", "Page": 0, "Text": "t", "BBox": {"x0": 5, "y0": 6, "x1": 1, "y1": 2}}, {"Path": "//Document/Figure[2]", "attributes": {"BBox": [1, 2, 3, 4]}, "Bounds": [9, 9, 9, 9]}, {"Path": "//Document/P", "BBox": "none", "Bounds": [1, 1, 2, 2]}, {"Path": "//Document/P"}]
+    _write(tmp_path / "elements", "e.json", {"elements": rows})
+    e = payload.read(spark, str(tmp_path / "elements"), payload.ELEMENTS_PAYLOAD)
+    got = [(r.kind, r.bbox_source, r.x0, r.y0, r.x1, r.y1) for r in payload.elements(e).orderBy("element_index").collect()]
+    assert got == [("StyleSpan", "BBox", 1, 2, 5, 6), ("Figure", "attributes.BBox", 1, 2, 3, 4), ("P", "Bounds", 1, 1, 2, 2), ("P", None, None, None, None, None)]
+    assert {(r.kind, r.n) for r in payload.element_histogram(e).collect()} == {("StyleSpan", 1), ("Figure", 1), ("P", 2)}
+    full = {"summary_stats": {"mean": 1.5}, "frequency_energy": {"high_freq": 2, "high_to_low_ratio": "Infinity"}, "laplacian": {"zero_crossings": 4}, "bilateral": {"edge_preservation": 0.5}}
+    _write(tmp_path / "enhanced", "x.json", {"elements": [{"cell_data": {"text": "t"}, "pillow_analysis": {"foreground_color": [1, 2, 3], "text_to_background_ratio": 0.25}, "edge_gradient_analysis": {"full_bbox": full}}, {}]})
+    f = payload.feature_rows(payload.read(spark, str(tmp_path / "enhanced"), payload.ENHANCED_PAYLOAD)).orderBy("id").collect()
+    first = dict(zip(f[0].names, f[0].x, strict=True))
+    assert (first["fg_decimal"], first["bg_decimal"], first["text_to_bg_ratio"], first["mean_grad"], first["high_to_low"], first["lap_zero_crossings"], first["bil_edge_pres"]) == (66051, 16777215, 0.25, 1.5, 1000, 4, 0.5)
+    assert len(f[1].x) == 26 and f[1].x[:4] == [0, 0, 255, 16777215] and sum(f[1].x[4:]) == 0
+
+
+def test_boxes_are_flipped_by_their_own_pages_height(spark, tmp_path):
+    body = {"docling_document": {"tables": [{"prov": [{"page_no": 1}], "data": {"grid": [[{"text": "a", "bbox": {"l": 0, "t": 90, "r": 9, "b": 80, "coord_origin": "BOTTOMLEFT"}}]]}}], "texts": []}, "parsed_pages": {"0": {"page_no": 0, "size": {"width": 50, "height": 100}, "cells": [{"text": "c", "rect": {"l": 0, "t": 40, "r": 9, "b": 30, "coord_origin": "BOTTOMLEFT"}}]}}}
+    _write(tmp_path, "d.json", body)
+    p = payload.read(spark, str(tmp_path))
+    assert [(r.y0, r.y1) for r in payload.table_cells(p).collect()] == [(10, 20)]
+    assert [(r.y0, r.y1) for r in payload.table_cells(p, compat=True).collect()] == [(80, 90)]
+    assert [(r.y0, r.y1) for r in payload.cells(p).collect()] == [(60, 70)]
+    pages = spark.createDataFrame([("d", 0), ("d", 1)], "doc_id string, page_ix int")
+    assert {(r.page_ix, r.has_text, r.preview) for r in payload.with_text(payload.cells(p), pages).collect()} == {(0, True, "c"), (1, False, "")}
+
+
+def test_enhanced_text_keeps_errors(spark):
+    schema = "doc_id long, page_ix long, cell_index long, text string, x0 double, y0 double, x1 double, y1 double"
+    cells = spark.createDataFrame([(1, 0, 0, "dark", 0.0, 0.0, 40.0, 10.0), (1, 0, 1, "bad", 50.0, 0.0, 80.0, 10.0), (1, 0, 2, "gone", 90.0, 0.0, 120.0, 10.0), (1, 0, 3, " ", 0.0, 20.0, 9.0, 30.0), (1, 0, 4, "other", 0.0, 50.0, 9.0, 60.0)], schema)
+    pixels = [255.0] * 48 + [0.0] * 16
+    rasters = spark.createDataFrame([(1, 0, 0, pixels, 8, 8), (1, 0, 1, pixels, 3, 3)], "doc_id long, page_ix long, cell_index long, pixels array<double>, height int, width int")
+    got = {r.cell_index: r for r in appearance.enhanced_text(cells, cells.filter("cell_index <> 4"), rasters).collect()}
+    assert sorted(got) == [0, 1, 2]
+    assert got[0]._error is None and got[0].fg_luminance == 0 and got[0].bg_luminance == 255 and got[0].match_method == "text_based"
+    assert "ValueError" in got[1]._error and got[2]._error == "no raster"
 
 
 def test_stream_takes_each_file_once(spark, tmp_path):

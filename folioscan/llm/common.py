@@ -74,7 +74,7 @@ def unload(carried: DataFrame, docs: DataFrame, replaced: dict[str, Column] | No
     return carried.select(*columns, *added).toDF(*names, *(more or {}))
 
 
-def salted(rows: DataFrame, groups: DataFrame, on: list[str], size: str, spread: Column, most: int = 1000, each: int = 500) -> tuple[DataFrame, DataFrame, list[str]]:
+def salted(rows: DataFrame, groups: DataFrame, on: list[str], size: str, spread: Column, most: int = 4000, each: int = 100) -> tuple[DataFrame, DataFrame, list[str]]:
     """(rows, groups, keys): both sides ready for an equi-join on keys in which no key's rows land in one task.
 
     The `most` groups of the largest `size` get a salt for every `each` of their rows (4096 at most); their rows are

@@ -17,7 +17,9 @@ components; a bucket whose members are all in one component is done, as no furth
 a bucket that isn't, the next members outside its largest component become centres (4096, then 65,536, ...) and are
 compared with members of other components, pairs judged before excepted; then they leave. Pairs that cannot be links
 are left out by an exact bound before their sets are fetched: an odd sketch holds, for each of 2048 bits, the parity of the shingles
-that fall on it, so two sketches differ in no more bits than the sets differ in shingles. So every pair of a bucket is
+that fall on it, so two sketches differ in no more bits than the sets differ in shingles. Before the second round, shingles that
+only one document of the unfinished buckets has are counted: what two documents share is at most what either has besides them, so
+copies that each have changes of their own are told apart by one number each. So every pair of a bucket is
 judged, in one component, or ruled out, while a group of copies costs a comparison or two a member. Texts that are
 equal are one document from the start. Components are found by alternating large-star and small-star steps. Rows of
 the fullest buckets are salted, centres repeated once a salt, so no task holds a bucket of a third of all documents.
@@ -169,6 +171,23 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["centre", "id", "similarity"])
 
 
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a set."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, 256):
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column(1).slice(a, 256)]
+            ids = np.repeat(batch.column(0).slice(a, 256).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["id", "shingle"])
+
+
+def _shared(ids: DataFrame, items: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """(id, shared) of those that can have a partner among ids: shared is the number of shingles that any other of them has."""
+    own = ids.join(items, "id").mapInArrow(_spell, "id long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).filter("n = 1")
+    single = own.groupBy("id").agg(F.count("*").alias("own"))
+    left = ids.join(sizes, "id").join(single, "id", "left").withColumn("shared", F.col("size") - F.coalesce("own", F.lit(0)))
+    return stage(left.filter(F.col("shared") + 1e-6 >= threshold * F.col("size")).select("id", "shared"), "shared")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root): the smallest id of each component of edges (a, b). Alternating stars; nothing is gathered."""
     now = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
@@ -211,7 +230,16 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
     possible = apart * (1 + threshold) <= (F.col("size") + F.col("size_c")) * (1 - threshold) + 1e-6
     of_centre = sketches.select(F.col("id").alias("centre"), F.col("size").alias("size_c"), *[F.col(f"s{i}").alias(f"c{i}") for i in range(width)])
     pairs = pairs.select("centre", "id").distinct().join(of_centre, "centre").join(sketches, "id").filter(possible).select("centre", "id")
-    judged, n_centres = None, 4096
+    judged, alive, n_centres = None, None, 4096
+
+    def unfinished(active: DataFrame, roots: DataFrame) -> DataFrame:
+        """Rows of the buckets whose members aren't all in one component."""
+        rooted = active.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+        parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.max("_salt").alias("_last"))
+        largest = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", (-F.col("root")).alias("minus"))).alias("top"), F.max("_last").alias("_last")).filter("parts > 1")
+        largest = largest.select("key", (-F.col("top.minus")).alias("big"), "_last", salts)
+        return stage(rooted.join(largest, ["key", "_salt"]), "bucket-rows")
+
     while True:
         pairs = stage(pairs.select(F.least("centre", "id").alias("centre"), F.greatest("centre", "id").alias("id")).distinct(), "pairs")
         carried = pairs.join(items.withColumnsRenamed({"id": "centre", "items": "x"}), "centre").join(items.withColumnRenamed("items", "y"), "id").select("centre", "id", "x", "y")
@@ -219,12 +247,16 @@ def links(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Dat
         judged = now if judged is None else judged.unionByName(now)
         found = judged.filter(F.col("similarity") >= threshold).select(F.col("centre").alias("a"), F.col("id").alias("b"))
         roots = components(found)
-        rooted = active.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
-        parts = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.max("_salt").alias("_last"))
-        largest = parts.groupBy("key").agg(F.count("*").alias("parts"), F.max(F.struct("n", (-F.col("root")).alias("minus"))).alias("top"), F.max("_last").alias("_last")).filter("parts > 1")
-        largest = largest.select("key", (-F.col("top.minus")).alias("big"), "_last", salts)
-        rooted = stage(rooted.join(largest, ["key", "_salt"]), "bucket-rows")
-        if rooted.isEmpty():
+        rooted = unfinished(active, roots)
+        done = rooted.isEmpty()
+        if not done and alive is None:
+            alive = _shared(rooted.select("id").distinct(), items, sketches.select("id", "size"), threshold)
+            rooted = unfinished(rooted.join(alive, "id", "left_semi").select("key", "_salt", "id"), roots)
+            done = rooted.isEmpty()
+            sketches, of_centre = sketches.join(alive, "id"), of_centre.join(alive.select(F.col("id").alias("centre"), F.col("shared").alias("shared_c")), "centre")
+            enough = F.least("shared", "shared_c") * (1 + threshold) + 1e-6 >= (F.col("size") + F.col("size_c")) * threshold
+            possible = enough & possible
+        if done:
             return signed.select("doc_id", "h", "g"), reps.drop("bands"), roots
         # each salt gives its share of the centres, so nothing ranks a whole bucket
         order = Window.partitionBy("key", "_salt").orderBy("id")

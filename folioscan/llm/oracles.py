@@ -7,6 +7,22 @@ from folioscan.llm.quality_rules import STOP_WORDS
 
 _WS = r"[\x20\x09-\x0D]"
 
+OP1 = """
+with d as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h, cast(strlen(coalesce(text, '')) as bigint) as n from documents),
+chunks as materialized (select doc_id, n, 1000 * c as base, substr(h, 2000 * c + 1, 2098) as part from (select doc_id, n, h, unnest(range(0, (n + 950) // 1000)) as c from d where n >= 50)),
+hashed as materialized (select doc_id, base, j, hash(substr(part, 2 * j + 1, 100)) as k from (select doc_id, base, part, unnest(range(0, least(1000, n - 49 - base))) as j from chunks where n - 49 > base)),
+twice as materialized (select k from hashed group by 1 having min(doc_id) < max(doc_id)),
+strings as materialized (select s.doc_id, s.base + s.j as i, substr(part, 2 * s.j + 1, 100) as g from hashed s join twice t on s.k = t.k join chunks c on c.doc_id = s.doc_id and c.base = s.base),
+later as (select s.doc_id, s.i from strings s join (select g, min(doc_id) as first from strings group by 1 having count(*) > 1) f on s.g = f.g where f.first < s.doc_id),
+marked as (select *, case when i <= lag(i) over (partition by doc_id order by i) + 50 then 0 else 1 end as new from later),
+runs as (select doc_id, min(i) as lo, max(i) + 50 as hi from (select *, sum(new) over (partition by doc_id order by i) as run from marked) group by doc_id, run),
+edges as (select doc_id, 0 as lo, n as hi from d where doc_id not in (select doc_id from runs) union all
+  select doc_id, 0, min(lo) from runs group by 1 union all select r.doc_id, r.hi, coalesce(lead(r.lo) over (partition by r.doc_id order by r.lo), d.n) from runs r join d on d.doc_id = r.doc_id),
+kept as (select e.doc_id, string_agg(substr(h, 2 * lo + 1, 2 * (hi - lo)), '' order by lo) as h from edges e join d on d.doc_id = e.doc_id group by 1),
+gone as (select doc_id, cast(sum(hi - lo) as bigint) as n_removed, count(*) as n_spans from runs group by 1)
+select d.doc_id, d.n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(from_hex(k.h)) as kept_sha256 from d join kept k on k.doc_id = d.doc_id left join gone g on g.doc_id = d.doc_id
+"""
+
 OP2 = rf"""
 with lines as (
   select doc_id, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as i, unnest(string_split(coalesce(text, ''), chr(10))) as line from documents
@@ -108,4 +124,6 @@ select page_id, ordinal, case when sha256 is not null then before end as "offset
   case when sha256 is null then 'extra' when replica_sha256 is null then 'missing' when sha256 <> replica_sha256 then 'corrupt' else 'intact' end as status from o
 """
 
-ORACLES = {"op9_merkle_fixity": OP9, "op2_line_dedup": OP2, "op6_prefix_decontamination": OP6, "op8_quality_rules": _op8()}
+#: Materialized, so that a LIMIT around a query can't stall DuckDB.
+_SQL = {"op1_suffix_array_dedup": OP1, "op9_merkle_fixity": OP9, "op2_line_dedup": OP2, "op6_prefix_decontamination": OP6, "op8_quality_rules": _op8()}
+ORACLES = {name: f"with answer as materialized ({sql}) select * from answer" for name, sql in _SQL.items()}

@@ -213,12 +213,47 @@ def test_packing(frame):
             at += r.length
         assert at <= 64 and len(rs) <= 4 and sum(r.loss for r in rs) <= 60
     copies = collections.Counter(k for k, _ in TOKEN_ROWS)
+    crcs = collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32) for r in got)
     for k, text in TOKEN_ROWS:
-        n = len(t.encode(text or "", add_special_tokens=False).ids) + 1
-        assert sum(length for _, length, _ in per_doc[k]) == n * copies[k]
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        assert sum(length for _, length, _ in per_doc[k]) == len(ids) * copies[k]
+        assert {n for _, _, n in per_doc[k]} == {len(ids)}
+        for start, length, _ in per_doc[k]:
+            assert crcs[k, start, length, zlib.crc32(ids[start : start + length].tobytes())] == copies[k]
     assert packing.pack_documents(frame([]), P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_at_the_default_limits(spark):
+    """All documents of the smallest table: checksums of the library's ids, nothing over 1024, little padding."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got, load = packing.pack_documents(docs, P.path("byte_bpe_50k.json"), 0).collect(), collections.Counter()
+    for r in got:
+        load[r.sequence_id] += r.length
+    ids = {r.doc_id: np.array([*t.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4") for r in docs.collect()}
+    assert all(zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id]) for r in got)
+    assert sum(load.values()) == sum(map(len, ids.values())) and max(load.values()) <= 1024
+    assert sum(load.values()) / (1024 * len(load)) > 0.97
+
+
+def test_each_limit_binds_somewhere():
+    """Short pieces run out of segments, answers out of loss-bearing tokens, prompts out of tokens; none passes its limit."""
+    rng = np.random.default_rng(4)
+    kinds = [(rng.integers(1, 4, 300), 0.5), (rng.integers(40, 90, 200), 1.0), (rng.integers(40, 90, 200), 0.1)]
+    limits = np.array([1024, 64, 600])
+    full = []
+    for lengths, share in kinds:
+        d = np.stack([lengths, np.ones_like(lengths), (lengths * share).astype(int)], axis=1)
+        bins, _ = packing.pack_vectors(d, limits)
+        load = np.zeros((bins.max() + 1, 3), np.int64)
+        np.add.at(load, bins, d)
+        assert (load <= limits).all()
+        full.append(int((load[0] / limits).argmax()))
+    assert full == [1, 2, 0]
+
+
 def test_vector_packing_keeps_all_limits():
     rng = np.random.default_rng(2)
     d = np.stack([rng.integers(1, 101, 800), np.ones(800, np.int64), rng.integers(0, 90, 800)], axis=1)
@@ -339,6 +374,56 @@ def test_near_dedup_where_the_differing_part_is_repeated(frame):
     assert got == {k: k - k % 2 for k, _ in rows}
 
 
+def test_near_dedup_recall_against_exact_pairs(spark):
+    """Documents of sf0.01: the pairs of different texts at 0.8 or more, by shared shingles, and how many end in one class."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    words = lambda t: re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode()))
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in ((k, words(t)) for k, t in texts.items())}
+    by_shingle, shared = collections.defaultdict(list), collections.Counter()
+    for k, s in sets.items():
+        for x in s:
+            by_shingle[x].append(k)
+    for ks in by_shingle.values():
+        shared.update((a, b) for a in ks for b in ks if a < b)
+    exact = [(a, b) for (a, b), n in shared.items() if texts[a] != texts[b] and n / (len(sets[a]) + len(sets[b]) - n) >= 0.8]
+    found = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+    met = sum(found[a] == found[b] for a, b in exact)
+    assert len(exact) >= 10 and met / len(exact) >= 0.99
+
+
+def test_documents_that_share_too_little(spark):
+    """shared counts the shingles that another document has; who falls under 0.8 of his own cannot have a partner."""
+    sets = {1: range(10), 2: range(2, 12), 3: range(100, 110), 4: [*range(8), 500, 501]}
+    items = spark.createDataFrame([(k, bytearray(np.array(sorted(v), np.int64).tobytes())) for k, v in sets.items()], "id long, items binary")
+    sizes = spark.createDataFrame([(k, 10) for k in sets], "id long, size long")
+    got = {r.id: r.shared for r in near_dedup._shared(sizes.select("id"), items, sizes, 0.8).collect()}
+    assert got == {1: 10, 2: 8, 4: 8}
+
+
+def test_very_long_texts(spark, frame):
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(1, long), (2, long + " tail of its own"), (3, "x" * 1_000_000)]
+    assert {r.doc_id: r.class_id for r in near_dedup.classes(frame(rows)).collect()} == {1: 1, 2: 1, 3: 3}
+    bench = spark.createDataFrame([("q", " ".join(f"w{i}" for i in range(119_980, 120_000)))], "item_id string, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.report(frame(rows), bench).collect()} == {1: 20, 2: 20, 3: 0}
+    got = {r.doc_id: (r.n_words, r.n_repeat_words, r.kept) for r in quality_rules.rule_report(frame([(1, "the " + long), (4, "of it a b " * 600_000)])).collect()}
+    assert got[1] == (120_001, 0, False) and got[4][:2] == (2_400_000, 2_400_000)
+    cut = {r.doc_id: (r.n_bytes, sum(r.spans[1::2]) - sum(r.spans[::2])) for r in substring_dedup.cut_repeats(frame(rows), blocks=3).collect()}
+    assert cut[1] == (len(long), 0) and cut[2] == (len(long) + 16, len(long))
+
+
+def test_staging_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from folioscan.llm.common import shared_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(conf={}, sparkContext=context))
+    assert shared_dir(SimpleNamespace(conf={"spark.checkpoint.dir": "hdfs:///a/"}, sparkContext=context)) == "hdfs:///a"
+
+
 def test_empty_tables(frame):
     empty = frame([])
     assert near_dedup.classes(empty).count() == 0
@@ -447,3 +532,37 @@ def test_pairwise_quality(spark, frame):
     assert np.mean(right) > 0.97
     flat = pairwise_quality.score(docs, pairwise_quality.train(docs, labels.limit(0))).collect()
     assert {r.score for r in flat} == {0.5}
+    # repeated doc_ids, contradicting labels and more labelled rows than the bound: exactly `sample` doc_ids in training
+    many = frame(rows + [(1, f"{good()} {i}") for i in range(50)] + [(600, "word " * 300_000)])
+    odd = labels.unionByName(spark.createDataFrame([(2, 0), (2, 1)] * 3 + [(1, 1)] * 40, labels.schema))
+    seen = []
+    fit = pairwise_quality.fit
+    pairwise_quality.fit = lambda x, good, pairs: seen.append((x.shape, int(good.sum()))) or fit(x, good, pairs)
+    try:
+        ranking = pairwise_quality.train(many, odd, sample=40, pairs=500)
+        again = pairwise_quality.train(many.repartition(5), odd.repartition(2), sample=40, pairs=500)
+    finally:
+        pairwise_quality.fit = fit
+    assert seen[0] == seen[1] and seen[0][0] == (40, len(pairwise_quality.FEATURES) + 3 * pairwise_quality.GRAMS)
+    assert (ranking.weights == again.weights).all() and ranking.threshold == again.threshold
+    assert pairwise_quality.score(frame([]), ranking).count() == 0
+    assert len(pairwise_quality.score(many, ranking).collect()) == len(rows) + 51
+
+
+def test_the_fit_minimises_the_logistic_loss():
+    """At the weights found, the gradient of the loss, summed pair by pair, is 0, and no step beside them is better."""
+    rng = np.random.default_rng(3)
+    x, good = rng.normal(size=(60, 3)), np.arange(60) % 2 == 0
+    x[good, 0] += 1
+    r = pairwise_quality.fit(x, good, pairs=400, ridge=1e-3)
+    z = (x - r.mean) / r.scale
+    again = np.random.default_rng(7)
+    first, second = again.choice(np.flatnonzero(good), 400), again.choice(np.flatnonzero(~good), 400)
+    loss = lambda w: sum(math.log1p(math.exp(-(z[a] - z[b]) @ w)) for a, b in zip(first, second)) / 400 + 5e-4 * w @ w
+    for k in range(3):
+        for step in (1e-3, -1e-3):
+            other = r.weights.copy()
+            other[k] += step
+            assert loss(other) > loss(r.weights)
+    ranked = sorted(z @ r.weights)
+    assert ranked[29] < r.threshold < ranked[30]

@@ -118,3 +118,12 @@ def is_subset_font(name: Column) -> Column:
 def shown_text(operator: Column, operands: Column) -> Column:
     """The text that a show operator paints: the one operand of Tj and ', the strings of TJ, the third operand of \"."""
     return F.when(operator.isin("Tj", "'"), F.get(operands, F.lit(0))).when(operator == '"', F.get(operands, F.lit(2))).when(operator == "TJ", F.array_join(F.filter(operands, lambda x: ~x.rlike(r"^-?[0-9.]+$")), ""))
+
+
+#: What reports call numbers that are, and aren't, multiples of a quarter.
+ROUNDING_LABELS = {"regular": "Regular size", "irregular": "Irregular size"}
+
+
+def rounding_label(kind: Column) -> Column:
+    """The name of a rounding class; one without a name is its own."""
+    return F.coalesce(F.create_map(*[F.lit(x) for kv in ROUNDING_LABELS.items() for x in kv])[kind], kind)

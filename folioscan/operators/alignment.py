@@ -41,12 +41,17 @@ class Thresholds:
 
 
 def assign_blocks(cells: DataFrame, keys: list[str], ident: str, t: Thresholds = Thresholds(), compat: bool = False) -> DataFrame:
-    """cells with block_id; cells that no block holds are left out, and with compat a noise block comes twice."""
+    """cells with block_id; cells that no block holds are left out, and with compat a noise block comes twice.
+
+    Where cells have table_id and column_id, the columns of a table stay in blocks of their own.
+    """
+    tabled = {"table_id", "column_id"} <= set(cells.columns)
     schema = StructType([*cells.schema.fields, StructField("block_id", IntegerType())])
 
     def kernel(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(ident).reset_index(drop=True)
-        blocks = kernels.split_iteratively(((p.x0 + p.x1) / 2).to_numpy(), ((p.y0 + p.y1) / 2).to_numpy(), t.v_eps, t.h_eps, t.passes, compat)
+        columns = [None if pd.isna(a) or pd.isna(b) else (a, b) for a, b in zip(p.table_id, p.column_id, strict=True)] if tabled else None
+        blocks = kernels.split_iteratively(((p.x0 + p.x1) / 2).to_numpy(), ((p.y0 + p.y1) / 2).to_numpy(), t.v_eps, t.h_eps, t.passes, compat, columns)
         parts = [p.iloc[b].assign(block_id=k) for k, b in enumerate(blocks)]
         return pd.concat(parts) if parts else p.iloc[:0].assign(block_id=pd.Series(dtype="int"))
 

@@ -218,12 +218,32 @@ def greedy_match(candidates: list[tuple[int, int, float]]) -> list[tuple[int, in
     return out
 
 
-def split_iteratively(cx: np.ndarray, cy: np.ndarray, v_eps: float = 12.0, h_eps: float = 40.0, max_passes: int = 3, compat: bool = False) -> list[list[int]]:
+def islands_apart(values: np.ndarray, members: list[int], eps: float, columns: list) -> list[list[int]]:
+    """Islands of members by value where cells of different columns of one table are never neighbours.
+
+    columns: (table, column) of each cell, None for cells outside tables; two cells join if they lie within eps and not
+    in different columns of one table, or over others that do.
+    """
+    order = sorted(members, key=lambda i: (values[i], i))
+    edges, first = [], 0
+    for k, i in enumerate(order):
+        while values[i] - values[order[first]] > eps:
+            first += 1
+        for m in range(first, k):
+            a, b = columns[i], columns[order[m]]
+            if a is None or b is None or a[0] != b[0] or a[1] == b[1]:
+                edges.append((m, k))
+    label = find_components(len(order), edges)
+    return [[order[k] for k in np.flatnonzero(label == x)] for x in np.unique(label)]
+
+
+def split_iteratively(cx: np.ndarray, cy: np.ndarray, v_eps: float = 12.0, h_eps: float = 40.0, max_passes: int = 3, compat: bool = False, columns: list | None = None) -> list[list[int]]:
     """Blocks of cells by islands of their centres, along y, then x, then y again.
 
     Islands of one cell are noise. Two or more noise cells of a block make a block of their own, ahead of its islands; a
     single one stays with the block's only island and is lost among several. A pass that splits nothing is the last.
-    compat: a block of noise alone is given twice.
+    columns: the (table, column) of cells in tables; passes along x keep the columns of a table apart, passes along y
+    don't. compat: a block of noise alone is given twice, and columns are passed over.
     """
     blocks = [list(range(len(cx)))] if len(cx) else []
     for p in range(max_passes):
@@ -232,6 +252,8 @@ def split_iteratively(cx: np.ndarray, cy: np.ndarray, v_eps: float = 12.0, h_eps
         for block in blocks:
             order = sorted(block, key=lambda i: (axis[i], i))
             islands: list[list[int]] = []
+            if columns is not None and p % 2 and not compat:
+                islands, order = islands_apart(axis, block, eps, columns), []
             for i in order:
                 if islands and axis[i] - axis[islands[-1][-1]] <= eps:
                     islands[-1].append(i)

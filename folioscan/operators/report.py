@@ -36,6 +36,14 @@ def summary(findings: DataFrame, documents: DataFrame, doc: str = "doc_id") -> D
     return joined.agg(F.count("*").alias("documents"), F.count("high").alias("with_findings"), *[F.coalesce(F.sum(s), F.lit(0)).alias(s) for s in ("high", "medium", "low")])
 
 
+def cluster_summary(clustered: DataFrame, doc: str = "doc") -> DataFrame:
+    """One row a document of outliers.cluster_analysis rows: samples, clusters of both kinds with their scores, noise, anomalies; write_json stores it."""
+    return clustered.groupBy(doc).agg(
+        F.count("*").alias("n_samples"), F.round(F.first("hopkins"), 4).alias("hopkins"), F.first("k").alias("kmeans_clusters"), F.round(F.first("silhouette"), 4).alias("kmeans_silhouette"), F.round(F.first("eps"), 4).alias("dbscan_eps"),
+        F.count_distinct(F.when(F.col("dbscan") >= 0, F.col("dbscan"))).alias("dbscan_clusters"), F.count_if(F.col("dbscan") < 0).alias("noise"), F.count_if("is_anomaly").alias("anomalies"),
+    )
+
+
 def serialized(value: Column, places: int = 4) -> Column:
     """A number as reports print it: rounded, infinity spelt out."""
     return F.when(value == float("inf"), F.lit("Infinity")).otherwise(F.round(value, places).cast("string"))

@@ -261,6 +261,19 @@ def with_text(cells: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.join(told, ["doc_id", "page_ix"], "left").withColumn("has_text", F.col("preview").isNotNull()).fillna("", ["preview"])
 
 
+def table_checks(payloads: DataFrame) -> DataFrame:
+    """Per table: its box as given, width, height and area, rows, columns and cells, up to ten texts of its first three rows and columns, and a warning where its top lies below its bottom."""
+    t = payloads.select("doc_id", F.posexplode("docling_document.tables").alias("table_id", "t")).withColumn("p", F.get(F.col("t.prov"), F.lit(0)))
+    width, height = F.col("p.bbox.r") - F.col("p.bbox.l"), F.col("p.bbox.b") - F.col("p.bbox.t")
+    near = F.flatten(F.transform(F.slice(F.coalesce("t.data.grid", F.array()), 1, 3), lambda row, i: F.transform(F.slice(row, 1, 3), lambda c, j: F.when(F.trim(c["text"]) != "", F.format_string("[%d,%d]: %s", i, j, F.left(F.trim(c["text"]), F.lit(50)))))))
+    inverted = F.col("p.bbox.t") > F.col("p.bbox.b")
+    return t.select(
+        "doc_id", "table_id", _page_ix(F.col("p.page_no")).alias("page_ix"), *[F.col(f"p.bbox.{c}").alias(c) for c in "ltrb"], F.round(width, 2).alias("width"), F.round(height, 2).alias("height"), F.round(width * height, 2).alias("area"),
+        F.size("t.data.grid").alias("n_rows"), F.size(F.get(F.col("t.data.grid"), F.lit(0))).alias("n_columns"), F.size(F.flatten("t.data.grid")).alias("n_cells"), F.slice(F.array_compact(near), 1, 10).alias("samples"),
+        F.when(inverted, "top below bottom (y axis inverted?)").alias("warning"),
+    )
+
+
 def first_match(payloads: DataFrame, part: str) -> DataFrame:
     """The payload whose name holds the part, the first in order of names."""
     return payloads.filter(F.lower("doc_id").contains(part.lower())).orderBy("doc_id").limit(1)

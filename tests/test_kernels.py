@@ -74,6 +74,17 @@ def test_iterative_noise_rules():
     assert len(split([0, 100], compat=True)) >= 2
 
 
+def test_columns_of_a_table_stay_apart():
+    x, y = np.array([0.0, 30, 60, 0, 30, 60, 0, 30]), np.array([0.0, 0, 0, 10, 10, 10, 100, 100])
+    columns = [("t", 0), ("t", 1), None] * 2 + [None] * 2
+    split = lambda **k: sorted(sorted(b) for b in kernels.split_iteratively(x, y, **k))
+    assert split() == [[0, 1, 2, 3, 4, 5], [6, 7]]
+    assert split(columns=columns) == [[0, 3], [1, 2, 4, 5], [6, 7]]  # the cell outside the table joins the nearer column
+    assert split(columns=columns, compat=True) == split()
+    assert split(columns=[("t", 0), ("u", 1), None] * 2 + [None] * 2) == split()
+    assert split(columns=[None] * 8) == split()
+
+
 def test_greedy_match_does_not_give_back():
     assert kernels.greedy_match([(0, 0, 0.5), (1, 0, 0.9), (1, 1, 0.6), (2, 1, 0.6)]) == [(0, 0, 0.5), (1, 1, 0.6)]
     assert kernels.greedy_match([(0, 1, 0.7), (0, 0, 0.7)]) == [(0, 0, 0.7)]

@@ -105,6 +105,22 @@ def test_boxes_are_flipped_by_their_own_pages_height(spark, tmp_path):
     assert {(r.page_ix, r.has_text, r.preview) for r in payload.with_text(payload.cells(p), pages).collect()} == {(0, True, "c"), (1, False, "")}
 
 
+def test_table_checks_labels_and_cluster_summaries(spark, tmp_path):
+    from folioscan.functions import text as tx
+
+    grid = [[{"text": " a "}, {"text": ""}, {"text": "c"}], [{"text": "d"}, {"text": "e"}, {"text": "f"}]]
+    tables = [{"prov": [{"page_no": 2, "bbox": {"l": 1, "t": 50, "r": 11, "b": 20}}], "data": {"grid": grid}}, {"prov": [{"page_no": 1, "bbox": {"l": 0, "t": 1, "r": 2, "b": 4}}], "data": {"grid": []}}]
+    _write(tmp_path, "d.json", {"docling_document": {"tables": tables, "texts": []}})
+    got = payload.table_checks(payload.read(spark, str(tmp_path))).orderBy("table_id").collect()
+    assert (got[0].page_ix, got[0].n_rows, got[0].n_columns, got[0].n_cells, got[0].samples) == (1, 2, 3, 6, ["[0,0]: a", "[0,2]: c", "[1,0]: d", "[1,1]: e", "[1,2]: f"])
+    assert got[0].warning is not None and got[1].warning is None and (got[1].width, got[1].height, got[1].area) == (2, 3, 6)
+    labels = spark.createDataFrame([("regular",), ("odd",)], "k string").select(tx.rounding_label(F.col("k")).alias("l")).collect()
+    assert [r.l for r in labels] == [tx.ROUNDING_LABELS["regular"], "odd"]
+    rows = spark.createDataFrame([(1, 0, 0.5, 2, 0.25, 1.0, 0, False), (1, 1, 0.5, 2, 0.25, 1.0, -1, True)], "doc long, id long, hopkins double, k long, silhouette double, eps double, dbscan long, is_anomaly boolean")
+    s = report.cluster_summary(rows).first()
+    assert (s.n_samples, s.kmeans_clusters, s.dbscan_clusters, s.noise, s.anomalies) == (2, 2, 1, 1, 1)
+
+
 def test_enhanced_text_keeps_errors(spark):
     schema = "doc_id long, page_ix long, cell_index long, text string, x0 double, y0 double, x1 double, y1 double"
     cells = spark.createDataFrame([(1, 0, 0, "dark", 0.0, 0.0, 40.0, 10.0), (1, 0, 1, "bad", 50.0, 0.0, 80.0, 10.0), (1, 0, 2, "gone", 90.0, 0.0, 120.0, 10.0), (1, 0, 3, " ", 0.0, 20.0, 9.0, 30.0), (1, 0, 4, "other", 0.0, 50.0, 9.0, 60.0)], schema)

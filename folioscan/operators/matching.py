@@ -58,12 +58,18 @@ def find_visible(cells: DataFrame, visible: DataFrame, mode: str = "phrase", key
     return near.filter(F.col("_s") >= lenient).groupBy(*ks, ident).agg(F.min(F.struct("match", reason.alias("reason"))).alias("m")).select(*ks, ident, "m.match", "m.reason")
 
 
+def not_visible(original: DataFrame, seen: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_ix"), ident: str = "cell_index") -> DataFrame:
+    """Cells with a text of their own that found no visible one."""
+    texts = original.filter(~F.lower(F.trim("text")).isin("", "<unknown>", "unknown"))
+    return texts.join(seen.select(*keys, ident).toDF(*keys, ident), [*keys, ident], "left_anti")
+
+
 def hidden_text(original: DataFrame, visible: DataFrame, mode: str = "phrase", keys: tuple[str, ...] = ("doc_id", "page_ix"), ident: str = "cell_index", min_iou: float = 0.10) -> DataFrame:
     """Cells that the visible rendering lacks: under another cell that it has ('overlap'), or by themselves ('missing')."""
     ks = list(keys)
     seen = find_visible(original, visible, mode, keys, ident, min_iou).select(*ks, ident)
     texts = original.filter(~F.lower(F.trim("text")).isin("", "<unknown>", "unknown"))
-    gone = texts.join(seen, [*ks, ident], "left_anti")
+    gone = not_visible(original, seen, keys, ident)
     pairs = spatial.overlapping_pairs(texts, min_iou, keys=keys, ident=ident)
     flags = seen.withColumn("_v", F.lit(True))
     for side in ("a", "b"):

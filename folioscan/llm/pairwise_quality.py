@@ -30,6 +30,8 @@ from folioscan.llm.tokens import slices, text_sizes
 from folioscan.llm.words import Words, flat, mix, shingles, words_of
 
 SAMPLE, PAIRS, GRAMS = 20_000, 40_000, 64
+#: Hashed frequencies count a twentieth of a statistic of the same deviation, so the ridge holds their weights down.
+GRAM_SHARE = 0.05
 CHUNK = 1_000_000
 FEATURES = ("log_words", "word_length", "upper", "digit", "symbol", "shout", "bar", "stop", "non_ascii", "distinct_words", "distinct_triples", "echo", "line_words", "short")
 _CLASSES = {"upper": range(65, 91), "letter": [*range(65, 91), *range(97, 123)], "digit": range(48, 58), "symbol": b"#*$%&<>", "shout": b"!?", "bar": b"|", "stop": b".,;:", "line": b"\n"}
@@ -137,6 +139,7 @@ def fit(x: np.ndarray, good: np.ndarray, pairs: int = PAIRS, ridge: float = 1e-3
         return Ranking(np.zeros(d), np.ones(d), np.zeros(d), 0.0)
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1)
+    scale[len(FEATURES) :] /= GRAM_SHARE
     z = (x - mean) / scale
     rng = np.random.default_rng(seed)
     diff = z[rng.choice(better, pairs)] - z[rng.choice(worse, pairs)]

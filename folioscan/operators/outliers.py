@@ -42,8 +42,8 @@ def _against_all(features: DataFrame, kernel, schema: str, extra: tuple[str, ...
     """
     sizes = features.groupBy("doc").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("long").alias("_n"))
     sized = features.select("doc", "id", "x", *extra).join(sizes, "doc")
-    left = sized.withColumn("_b", F.pmod(F.xxhash64("id"), "_n")).select("doc", "_b", "id", "x", *extra)
-    right = sized.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).select("doc", "_b", "id", "x")
+    left = sized.withColumn("_b", F.pmod(F.xxhash64("id"), "_n")).select(*[F.col(c).alias(c) for c in ("doc", "_b", "id", "x", *extra)])
+    right = sized.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))).select(*[F.col(c).alias(c) for c in ("doc", "_b", "id", "x")])  # new columns: both sides come from one table
 
     def one(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a):

@@ -27,6 +27,7 @@ no rows. Extra columns: ignored by `cut_repeats`.
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,8 @@ from folioscan.llm.words import flat, mix
 LENGTH, GRAM = 50, 20
 #: Documents (about) from which on a fingerprint is crowded.
 CROWDED = 1 << 14
+#: Bytes of text in a block (each row counts ROW more); pieces of a shard are dealt into PARTS, and sorted about SORTED bytes at a time.
+BLOCK, ROW, PARTS, SORTED = 1 << 24, 64, 256, 1 << 20
 SEPARATOR = 255  # no byte of UTF-8
 _NULL = -(1 << 63)
 _STEP = 1 << 19
@@ -58,12 +61,9 @@ def _gram_hashes(b: np.ndarray) -> np.ndarray:
     return mix(h[:n] * _ODD[5] + h4[16 : 16 + n])
 
 
-def fingerprints(b: np.ndarray) -> np.ndarray:
-    """The fingerprint of each string of LENGTH bytes of b."""
-    n = len(b) - LENGTH + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out, width = np.empty(n, np.uint64), LENGTH - GRAM + 1
+def _slices(b: np.ndarray):
+    """(place, fingerprints of the strings of LENGTH bytes from there on), slice by slice."""
+    n, width = len(b) - LENGTH + 1, LENGTH - GRAM + 1
     for lo in range(0, n, _STEP):
         hi = min(n, lo + _STEP)
         g = _gram_hashes(b[lo : hi + LENGTH - 1])
@@ -71,30 +71,38 @@ def fingerprints(b: np.ndarray) -> np.ndarray:
         while 2 * reach <= width:
             g = np.minimum(g[:-reach], g[reach:])
             reach *= 2
-        out[lo:hi] = mix(np.minimum(g[: hi - lo], g[width - reach : width - reach + hi - lo]))  # minima lie low: spread them
-    return out
+        yield lo, mix(np.minimum(g[: hi - lo], g[width - reach : width - reach + hi - lo]))  # minima lie low: spread them
+
+
+def fingerprints(b: np.ndarray) -> np.ndarray:
+    """The fingerprint of each string of LENGTH bytes of b."""
+    return np.concatenate([np.zeros(0, np.uint64), *(f for _, f in _slices(b))])
 
 
 def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(document, first string, last string, fingerprint) of every piece; strings inside one document only."""
-    f = fingerprints(data)
-    if not len(f):
-        empty = np.zeros(0, np.int64)
-        return empty, empty, empty, np.zeros(0, np.uint64)
     count = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
-    some = count > 0
-    valid = np.zeros(len(f) + 1, np.int64)
-    np.add.at(valid, offsets[:-1][some], 1)
-    np.add.at(valid, offsets[:-1][some] + count[some], -1)
-    valid = np.cumsum(valid[:-1]) > 0
-    new = valid.copy()
-    new[1:] &= ~valid[:-1] | (f[1:] != f[:-1])
-    new[offsets[:-1][some]] = True
-    first = np.flatnonzero(new)
+    start = offsets[:-1][count > 0]
+    stop = start + count[count > 0]
+    firsts, prints = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    before = None  # the fingerprint of the string before the slice, if that is inside a document
+    for lo, f in _slices(data):
+        a, b = np.searchsorted(stop, lo, "right"), np.searchsorted(start, lo + len(f), "left")
+        inside = np.zeros(len(f) + 1, np.int8)
+        inside[np.maximum(start[a:b] - lo, 0)] += 1  # documents are LENGTH - 1 or more apart here: no place is met twice
+        inside[np.minimum(stop[a:b] - lo, len(f))] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
+        new = inside.copy()
+        new[1:] &= ~inside[:-1] | (f[1:] != f[:-1])
+        new[0] &= before is None or f[0] != before
+        before = f[-1] if inside[-1] else None
+        at = np.flatnonzero(new)
+        firsts.append(at + lo)
+        prints.append(f[at])
+    first, f = np.concatenate(firsts), np.concatenate(prints)
     doc = np.searchsorted(offsets, first, "right") - 1
-    stop = np.append(first[1:], len(data))
-    last = np.minimum(stop, offsets[doc] + count[doc]) - 1
-    return doc, first, last, f[first]
+    last = np.minimum(np.append(first[1:], len(data))[: len(first)], offsets[doc] + count[doc]) - 1
+    return doc, first, last, f
 
 
 def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,31 +122,32 @@ def _array(x: pa.Scalar, kind) -> np.ndarray:
 
 _FP_SCHEMA = pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("prints", pa.binary()), ("sizes", pa.binary())])
 _SHARED_SCHEMA = pa.schema([("block", pa.int64()), ("prints", pa.binary())])
-_PIECE_SCHEMA = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("lengths", pa.binary()), ("bytes", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary()), ("starts", pa.binary())])
+_PIECE_SCHEMA = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("lengths", pa.binary()), ("bytes", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary()), ("starts", pa.binary()), ("parts", pa.binary())])
 _MARK_SCHEMA = pa.schema([("block", pa.int64()), ("marks", pa.binary())])
 _OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 
 
+def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
+
+
 def _send_prints(table: pa.Table, owners: int) -> pa.Table:
     """The block's distinct fingerprints to their owners, each with the binary logarithm of the documents that have it."""
     block = table.column("block")[0].as_py()
     keys, data, offsets = _block(table)
     doc, _, _, f = _pieces(data, offsets)
     _, same = np.unique(keys, return_inverse=True)  # rows of one doc_id are one document
-    pair = np.unique(np.stack([f, same[doc].astype(np.uint64)], axis=1), axis=0) if len(np.unique(keys)) < len(keys) else None
-    if pair is None:
-        order = np.lexsort((doc, f))
-        f, doc = f[order], doc[order]
-        keep = np.ones(len(f), bool)
-        keep[1:] = (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])
-        f = f[keep]
-    else:
-        f = pair[:, 0]
+    doc = same[doc]
+    order = np.lexsort((doc, f))
+    f, doc = f[order], doc[order]
+    keep = np.ones(len(f), bool)
+    keep[1:] = (f[1:] != f[:-1]) | (doc[1:] != doc[:-1])
+    f = f[keep]
     prints, n = np.unique(f, return_counts=True)
     sizes = np.log2(n).astype(np.uint8)
     cut = np.searchsorted(prints, [np.uint64((k << 64) // owners) for k in range(1, owners)]).tolist()
     rows = [(k, block, _blob(prints[a:b]), _blob(sizes[a:b])) for k, (a, b) in enumerate(zip([0, *cut], [*cut, len(prints)], strict=True)) if b > a]
-    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, _FP_SCHEMA, strict=True)], schema=_FP_SCHEMA)
+    return _rows(rows, _FP_SCHEMA)
 
 
 def _answer_prints(table: pa.Table) -> pa.Table:
@@ -161,7 +170,7 @@ def _answer_prints(table: pa.Table) -> pa.Table:
     o, v = o[back], v[back]
     cut = np.searchsorted(o, np.arange(len(each) + 1))
     rows = [(int(blocks[k]), _blob(v[cut[k] : cut[k + 1]])) for k in range(len(each)) if cut[k + 1] > cut[k]]
-    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 2, _SHARED_SCHEMA, strict=True)], schema=_SHARED_SCHEMA)
+    return _rows(rows, _SHARED_SCHEMA)
 
 
 def _merge_spans(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -189,30 +198,49 @@ def _send_pieces(docs: pa.Table, shared: pa.Table, shards: int) -> pa.Table:
     at = np.minimum(np.searchsorted(wanted, f & ~np.uint64(1)), len(wanted) - 1)
     hit = (wanted[at] | np.uint64(1)) == (f | np.uint64(1))
     doc, first, last, f, crowded = doc[hit], first[hit], last[hit], f[hit], (wanted[at[hit]] & np.uint64(1)) == 1
-    raw = data.tobytes()
+    order = np.argsort(f, kind="stable")  # equal pieces have equal fingerprints: what is remembered goes with the fingerprint
+    doc, first, last, f, crowded = doc[order], first[order], last[order], f[order], crowded[order]
+    edge = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1]))) if len(f) else np.zeros(0, np.int64)
+    alone = (np.repeat(np.diff(np.append(edge, len(f))), np.diff(np.append(edge, len(f)))) == 1) & ~crowded
+    raw, ids = data.tobytes(), keys.tolist()
+    sent, home = array("q"), array("q")  # document, first and last string, hash; document, start, stop
     seen: dict[bytes, int] = {}
-    sent: dict[int, list[tuple[bytes, int, int]]] = {}
-    home, home_start, home_stop = [], [], []
-    for d, a, b, h, many in zip(doc.tolist(), first.tolist(), last.tolist(), f.tolist(), crowded.tolist(), strict=True):
-        spans = ((x, x) for x in range(a, b + 1)) if many else ((a, b),)
-        for x, y in spans:
-            piece = raw[x : y + LENGTH]
-            owner = seen.setdefault(piece, keys[d])
-            if owner == keys[d]:  # the smallest doc_id of the block with it, as documents come in ascending order
-                target = (zlib.crc32(piece) if many else h >> 1) % shards
-                sent.setdefault(target, []).append((piece, d, x))
-            else:
-                home.append(d)
-                home_start.append(x - offsets[d])
-                home_stop.append(y + LENGTH - offsets[d])
-    rows = []
+    at, rest = None, np.flatnonzero(~alone)
+    for lo in range(0, len(rest), 1 << 16):
+        some = rest[lo : lo + (1 << 16)]
+        for d, a, b, h, many in zip(*(x[some].tolist() for x in (doc, first, last, f, crowded)), strict=True):
+            if h != at:
+                seen, at = {}, h
+            for x, y in ((x, x) for x in range(a, b + 1)) if many else ((a, b),):
+                piece = raw[x : y + LENGTH]
+                owner = seen.setdefault(piece, ids[d])
+                if owner == ids[d]:  # the smallest doc_id of the block with it, as documents come in ascending order
+                    sent.extend((d, x, y, zlib.crc32(piece) if many else h >> 1))
+                else:
+                    home.extend((d, x - offsets[d], y + LENGTH - offsets[d]))
+    more = np.frombuffer(sent, np.int64).reshape(-1, 4)
+    doc, first, last, h = (np.concatenate((x[alone], more[:, k])) for k, x in enumerate((doc, first, last, (f >> np.uint64(1)).astype(np.int64))))
+    part = (h // shards % PARTS).astype(np.uint8)
+    h %= shards
+    order = np.lexsort((part, h))
+    doc, first, last, part, h = doc[order], first[order], last[order], part[order], h[order]
+    edge = np.searchsorted(h, np.arange(shards + 1)).tolist()
+    out, rows, size = [], [], 0
     if home:
-        spans = _merge_spans(np.array(home), np.array(home_start), np.array(home_stop))
-        rows.append((-1 - block, block, b"", _blob(spans), b"", b"", b""))
-    for shard, items in sent.items():
-        where = np.array([d for _, d, _ in items])
-        rows.append((shard, block, _blob(np.array([len(p) for p, _, _ in items], np.uint32)), b"".join(p for p, _, _ in items), _blob(keys[where]), _blob(where.astype(np.uint32)), _blob((np.array([x for _, _, x in items]) - offsets[where]).astype(np.uint32))))
-    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, _PIECE_SCHEMA, strict=True)], schema=_PIECE_SCHEMA)
+        spans = np.frombuffer(home, np.int64).reshape(-1, 3)
+        rows.append((-1 - block, block, b"", _blob(_merge_spans(spans[:, 0], spans[:, 1], spans[:, 2])), b"", b"", b"", b""))
+    for shard in range(shards):
+        a, b = edge[shard], edge[shard + 1]
+        if a == b:
+            continue
+        d, x, y = doc[a:b], first[a:b], last[a:b] + LENGTH
+        body = b"".join([raw[i:j] for i, j in zip(x.tolist(), y.tolist(), strict=True)])
+        rows.append((shard, block, _blob((y - x).astype(np.uint32)), body, _blob(keys[d]), _blob(d.astype(np.uint32)), _blob((x - offsets[d]).astype(np.uint32)), _blob(part[a:b])))
+        size += len(body)
+        if size >= _STEP:
+            out.append(_rows(rows, _PIECE_SCHEMA))
+            rows, size = [], 0
+    return pa.concat_tables([*out, _rows(rows, _PIECE_SCHEMA)])
 
 
 def _string_hashes(text: np.ndarray) -> np.ndarray:
@@ -280,39 +308,40 @@ def _sort_strings(text: np.ndarray, place: np.ndarray, again: np.ndarray, out: n
 def _sort_shard(table: pa.Table) -> pa.Table:
     if table.column("shard")[0].as_py() < 0:  # marks on their way home
         return pa.Table.from_arrays([table.column("block"), table.column("bytes")], schema=_MARK_SCHEMA)
-    distinct: dict[bytes, int] = {}
-    number, docs, places, starts, origin, owners = [], [], [], [], [], []
-    for r in range(table.num_rows):
-        body, at = table.column("bytes")[r].as_buffer().to_pybytes(), 0
-        keys = _array(table.column("docs")[r], np.int64)
-        for n, key in zip(_array(table.column("lengths")[r], np.uint32).tolist(), keys.tolist(), strict=True):
-            k = distinct.setdefault(body[at : at + n], len(distinct))
-            if k == len(owners):
-                owners.append(key)
-            elif key < owners[k]:
-                owners[k] = key
-            number.append(k)
-            at += n
-        docs.append(keys)
-        places.append(_array(table.column("rows")[r], np.uint32).astype(np.int64))
-        starts.append(_array(table.column("starts")[r], np.uint32).astype(np.int64))
-        origin.append(np.full(len(keys), table.column("block")[r].as_py()))
-    number, docs, places, starts, origin = np.array(number), *map(np.concatenate, (docs, places, starts, origin))
-    owners = np.array(owners, np.int64)
-    least = smallest_owners(list(distinct), owners)
-    counts = np.array([len(x) for x in least])
-    pool, begin = np.concatenate(least), np.cumsum(counts) - counts
-    n = counts[number]
-    ends = np.cumsum(n)
-    inside = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
-    gone = pool[np.repeat(begin[number], n) + inside] < np.repeat(docs, n)
-    row = np.repeat(np.arange(len(number)), n)[gone]
-    start = starts[row] + inside[gone]
-    out = []
-    for b in np.unique(origin[row]):
-        mine = origin[row] == b
-        out.append((int(b), _blob(_merge_spans(places[row[mine]], start[mine], start[mine] + LENGTH))))
-    return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True) if out else [[]] * 2, _MARK_SCHEMA, strict=True)], schema=_MARK_SCHEMA)
+    def all_of(name: str, kind) -> np.ndarray:
+        return np.concatenate([_array(x, kind) for x in table.column(name)])
+
+    docs, lengths, part = all_of("docs", np.int64), all_of("lengths", np.uint32).astype(np.int64), all_of("parts", np.uint8)
+    places, starts = all_of("rows", np.uint32), all_of("starts", np.uint32)
+    blocks = table.column("block").to_numpy()
+    origin = np.repeat(np.arange(len(blocks)), [len(x.as_buffer()) // 4 for x in table.column("lengths")])
+    raw = b"".join([x.as_buffer() for x in table.column("bytes")])
+    begin = np.cumsum(lengths) - lengths
+    volume = np.bincount(part, lengths, PARTS)
+    turn = ((np.cumsum(volume) - volume) // SORTED)[part]  # equal strings are in one part, and a part in one turn
+    order = np.argsort(turn, kind="stable")
+    cuts = np.flatnonzero(np.diff(turn[order])) + 1
+    spans = [np.zeros((0, 3), np.int64)]
+    for these in np.split(order, cuts):
+        distinct: dict[bytes, int] = {}
+        number = np.array([distinct.setdefault(raw[a : a + n], len(distinct)) for a, n in zip(begin[these].tolist(), lengths[these].tolist(), strict=True)])
+        owners = np.full(len(distinct), np.iinfo(np.int64).max)
+        np.minimum.at(owners, number, docs[these])
+        least = smallest_owners(list(distinct), owners)
+        counts = np.array([len(x) for x in least])
+        pool, head = np.concatenate(least), np.cumsum(counts) - counts
+        n = counts[number]
+        ends = np.cumsum(n)
+        inside = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+        gone = pool[np.repeat(head[number], n) + inside] < np.repeat(docs[these], n)
+        row = these[np.repeat(np.arange(len(these)), n)[gone]]
+        start = starts[row] + inside[gone]
+        spans.append(_merge_spans((origin[row] << 32) + places[row], start, start + LENGTH))
+    spans = np.concatenate(spans)
+    spans = _merge_spans(spans[:, 0], spans[:, 1], spans[:, 2])
+    edge = np.searchsorted(spans[:, 0] >> 32, np.arange(len(blocks) + 1))
+    spans[:, 0] &= (1 << 32) - 1
+    return _rows([(int(blocks[k]), _blob(spans[a:b])) for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if b > a], _MARK_SCHEMA)
 
 
 def _remove(docs: pa.Table, marks: pa.Table) -> pa.Table:
@@ -338,12 +367,19 @@ def _remove(docs: pa.Table, marks: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(keys, mask=keys == _NULL), pa.array(n, pa.int64()), pa.array(cut, pa.list_(pa.int64())), pa.array(kept, pa.binary())], schema=_OUT_SCHEMA)
 
 
+def _blocks(texts: DataFrame) -> int:
+    """As many blocks as BLOCK bytes in each ask for, however the input is partitioned; more, of 1 MB at least, for tasks of twice the partitions."""
+    size = texts.agg(F.sum(F.octet_length("text") + ROW)).first()[0] or 0
+    return max(8, -(-size // BLOCK), min(2 * texts.rdd.getNumPartitions(), size >> 20))
+
+
 def cut_repeats(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (start and stop of each removed run, flat), kept (what remains, as bytes)."""
-    n = blocks or max(8, 2 * docs.rdd.getNumPartitions())
-    dealt = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n))).repartition(n, "block")
+    texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    n = blocks or _blocks(texts)
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).repartition(n, "block")
     prints = dealt.groupBy("block").applyInArrow(lambda t: _send_prints(t, n), "owner long, block long, prints binary, sizes binary")
     shared = prints.repartition(n, "owner").groupBy("owner").applyInArrow(_answer_prints, "block long, prints binary").repartition(n, "block")
-    pieces = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda a, b: _send_pieces(a, b, 2 * n), "shard long, block long, lengths binary, bytes binary, docs binary, rows binary, starts binary")
-    marks = pieces.repartition(2 * n, "shard").groupBy("shard").applyInArrow(_sort_shard, "block long, marks binary").repartition(n, "block")
+    pieces = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda a, b: _send_pieces(a, b, n), "shard long, block long, lengths binary, bytes binary, docs binary, rows binary, starts binary, parts binary")
+    marks = pieces.repartition(n, "shard").groupBy("shard").applyInArrow(_sort_shard, "block long, marks binary").repartition(n, "block")
     return dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove, "doc_id long, n_bytes long, spans array<long>, kept binary")

@@ -5,6 +5,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -59,6 +61,73 @@ def test_substring_dedup_of_many(frame):
     assert got == _cut_brute(rows)
 
 
+def test_substring_dedup_in_small_steps(spark, frame, monkeypatch):
+    """Blocks follow the bytes of the texts, not the partitions of the input; slices and turns of a few strings change nothing."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", 1 << 10)
+    rng = np.random.default_rng(6)
+    pool = ["".join(rng.choice(list("abcd ef"), 75)) for _ in range(12)]
+    rows = [(i, " ".join(rng.choice(pool, rng.integers(0, 4)))) for i in range(90)] + [(None, pool[0] + "n" * 60), (None, "n" * 60 + pool[1])]
+    docs = frame(rows).coalesce(1)
+    assert substring_dedup._blocks(docs) == -(-sum(len(t) + 64 for _, t in rows) // 1024)
+    got = collections.Counter((r.doc_id, hashlib.sha256(r.kept).hexdigest(), r.n_bytes, tuple(r.spans)) for r in substring_dedup.cut_repeats(docs).collect())
+    want = collections.Counter({(None if k[0] < 0 else k[0], *k[1:]): n for k, n in _cut_brute([(-1 if k is None else k, t) for k, t in rows]).items()})
+    assert got == want
+    monkeypatch.setattr(substring_dedup, "_STEP", 7)
+    data = np.frombuffer("".join(t for _, t in rows).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t) for _, t in rows])))
+    f, pieces = substring_dedup.fingerprints(data), []
+    for d, (a, b) in enumerate(zip(offsets[:-1], offsets[1:])):
+        for i in range(a, b - 49):
+            if pieces and pieces[-1][0] == d and pieces[-1][3] == f[i]:
+                pieces[-1][2] = i
+            else:
+                pieces.append([d, i, i, f[i]])
+    assert [list(x) for x in zip(*substring_dedup._pieces(data, offsets))] == pieces
+
+
+@pytest.mark.parametrize("crowded", [1 << 14, 2])
+def test_substring_dedup_in_process(monkeypatch, crowded):
+    """The steps one after the other in this process, where patched limits hold: turns of one part, crowded fingerprints."""
+    monkeypatch.setattr(substring_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(substring_dedup, "SORTED", 1)
+    rng = np.random.default_rng(8)
+    pool = ["".join(rng.choice(list("abcd ef"), 80)) for _ in range(12)]
+    rows = [*[(k, t or "") for k, t in ROWS], *[(20 + i // 2, " ".join(rng.choice(pool, rng.integers(0, 4)))) for i in range(90)]]
+    n, schema = 3, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("block", pa.int64())])
+    blocks = [pa.Table.from_pylist([{"doc_id": k, "text": t, "block": b} for i, (k, t) in enumerate(rows) if i % n == b], schema) for b in range(n)]
+
+    def groups(tables, column):
+        whole = pa.concat_tables(tables)
+        return {k: whole.filter(pc.equal(whole.column(column), k)) for k in set(whole.column(column).to_pylist())}
+
+    shared = groups([substring_dedup._answer_prints(t) for t in groups([substring_dedup._send_prints(b, n) for b in blocks], "owner").values()], "block")
+    pieces = groups([substring_dedup._send_pieces(b, shared[k], n) for k, b in enumerate(blocks)], "shard")
+    marks = groups([substring_dedup._sort_shard(t) for t in pieces.values()], "block")
+    out = [r for k, b in enumerate(blocks) for r in substring_dedup._remove(b, marks.get(k, substring_dedup._MARK_SCHEMA.empty_table())).to_pylist()]
+    assert collections.Counter((r["doc_id"], hashlib.sha256(r["kept"]).hexdigest(), r["n_bytes"], tuple(r["spans"])) for r in out) == _cut_brute(rows)
+
+
+def test_substring_dedup_memory():
+    """What a worker holds beside a block and a shard is a few bytes for each byte of them."""
+    import tracemalloc
+
+    rng = np.random.default_rng(7)
+    texts = [bytes(x).decode() for x in rng.integers(97, 123, (800, 10_000), np.uint8)]
+    block = pa.table({"doc_id": pa.array(range(800)), "text": texts, "block": pa.array([0] * 800)})
+    size, peaks = 8_000_000, []
+    pieces = pa.table({"block": [0], "prints": [np.unique(substring_dedup._pieces(*substring_dedup._block(block)[1:])[3] & ~np.uint64(1)).tobytes()]})
+    steps = [lambda: substring_dedup._send_prints(block, 4), lambda: substring_dedup._send_pieces(block, pieces, 4), lambda: substring_dedup._sort_shard(shard)]
+    for step in steps:
+        tracemalloc.start()
+        out = step()
+        peaks.append(tracemalloc.get_traced_memory()[1] / size)
+        tracemalloc.stop()
+        if len(peaks) == 2:
+            rows = [dict(r, block=b) for r in out.to_pylist() if r["shard"] == 0 for b in (0, 1)]
+            shard = pa.Table.from_pylist(rows, out.schema)
+    assert max(peaks) < 16, peaks
+
+
 def _line_brute(rows, min_chars, window):
     """What maximal repeated runs say, position by position: (doc_id, kept text, lines, removed), and the number of windows."""
     order = sorted(range(len(rows)), key=lambda r: (rows[r][0] is not None, rows[r][0] or 0, _signed(xxhash.xxh64_intdigest((rows[r][1] or "").encode(), 42)), rows[r][1] is not None))

@@ -127,6 +127,23 @@ _MARK_SCHEMA = pa.schema([("block", pa.int64()), ("marks", pa.binary())])
 _OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 
 
+def _short(f: np.ndarray) -> np.ndarray:
+    """What travels of fingerprints: 39 bits, and a lowest bit of zero. If two agree in these, both are taken for one, which only sends more."""
+    return f >> np.uint64(24) & ~np.uint64(1)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Five bytes of each, the lowest bytes of all first: of ascending values the high ones compress to next to nothing."""
+    return _blob(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T)
+
+
+def _unpack(x: pa.Scalar) -> np.ndarray:
+    planes = _array(x, np.uint8).reshape(5, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :5] = planes.T
+    return out.view("<u8").ravel()
+
+
 def _rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
@@ -136,6 +153,7 @@ def _send_prints(table: pa.Table, owners: int) -> pa.Table:
     block = table.column("block")[0].as_py()
     keys, data, offsets = _block(table)
     doc, _, _, f = _pieces(data, offsets)
+    f = _short(f)
     _, same = np.unique(keys, return_inverse=True)  # rows of one doc_id are one document
     doc = same[doc]
     order = np.lexsort((doc, f))
@@ -145,15 +163,15 @@ def _send_prints(table: pa.Table, owners: int) -> pa.Table:
     f = f[keep]
     prints, n = np.unique(f, return_counts=True)
     sizes = np.log2(n).astype(np.uint8)
-    cut = np.searchsorted(prints, [np.uint64((k << 64) // owners) for k in range(1, owners)]).tolist()
-    rows = [(k, block, _blob(prints[a:b]), _blob(sizes[a:b])) for k, (a, b) in enumerate(zip([0, *cut], [*cut, len(prints)], strict=True)) if b > a]
+    cut = np.searchsorted(prints, [np.uint64((k << 40) // owners) for k in range(1, owners)]).tolist()
+    rows = [(k, block, _pack(prints[a:b]), _blob(sizes[a:b])) for k, (a, b) in enumerate(zip([0, *cut], [*cut, len(prints)], strict=True)) if b > a]
     return _rows(rows, _FP_SCHEMA)
 
 
 def _answer_prints(table: pa.Table) -> pa.Table:
     """To each block, those of its fingerprints that two documents have; the lowest bit tells the crowded ones."""
     blocks = table.column("block").to_numpy()
-    each = [_array(x, np.uint64) for x in table.column("prints")]
+    each = [_unpack(x) for x in table.column("prints")]
     sizes = np.concatenate([_array(x, np.uint8) for x in table.column("sizes")])
     prints = np.concatenate(each)
     origin = np.repeat(np.arange(len(each)), [len(x) for x in each])
@@ -163,13 +181,12 @@ def _answer_prints(table: pa.Table) -> pa.Table:
     total = np.add.reduceat(w, first)
     group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(p))))
     shared = total[group] >= 2
-    value = (p & ~np.uint64(1)) | (total[group] >= CROWDED).astype(np.uint64)
-    # the low bit of a fingerprint is given up: at worst two that differ in it alone are both taken
+    value = p | (total[group] >= CROWDED).astype(np.uint64)
     o, v = origin[order][shared], value[shared]
     back = np.argsort(o, kind="stable")
     o, v = o[back], v[back]
     cut = np.searchsorted(o, np.arange(len(each) + 1))
-    rows = [(int(blocks[k]), _blob(v[cut[k] : cut[k + 1]])) for k in range(len(each)) if cut[k + 1] > cut[k]]
+    rows = [(int(blocks[k]), _pack(v[cut[k] : cut[k + 1]])) for k in range(len(each)) if cut[k + 1] > cut[k]]
     return _rows(rows, _SHARED_SCHEMA)
 
 
@@ -194,9 +211,10 @@ def _send_pieces(docs: pa.Table, shared: pa.Table, shards: int) -> pa.Table:
     block = docs.column("block")[0].as_py()
     keys, data, offsets = _block(docs)
     doc, first, last, f = _pieces(data, offsets)
-    wanted = np.sort(np.concatenate([_array(x, np.uint64) for x in shared.column("prints")]))
-    at = np.minimum(np.searchsorted(wanted, f & ~np.uint64(1)), len(wanted) - 1)
-    hit = (wanted[at] | np.uint64(1)) == (f | np.uint64(1))
+    wanted = np.sort(np.concatenate([_unpack(x) for x in shared.column("prints")]))
+    short = _short(f)
+    at = np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)
+    hit = (wanted[at] | np.uint64(1)) == (short | np.uint64(1))
     doc, first, last, f, crowded = doc[hit], first[hit], last[hit], f[hit], (wanted[at[hit]] & np.uint64(1)) == 1
     order = np.argsort(f, kind="stable")  # equal pieces have equal fingerprints: what is remembered goes with the fingerprint
     doc, first, last, f, crowded = doc[order], first[order], last[order], f[order], crowded[order]
@@ -222,7 +240,7 @@ def _send_pieces(docs: pa.Table, shared: pa.Table, shards: int) -> pa.Table:
     doc, first, last, h = (np.concatenate((x[alone], more[:, k])) for k, x in enumerate((doc, first, last, (f >> np.uint64(1)).astype(np.int64))))
     part = (h // shards % PARTS).astype(np.uint8)
     h %= shards
-    order = np.lexsort((part, h))
+    order = np.lexsort((first, h))  # in the order of the texts, which compresses best
     doc, first, last, part, h = doc[order], first[order], last[order], part[order], h[order]
     edge = np.searchsorted(h, np.arange(shards + 1)).tolist()
     out, rows, size = [], [], 0

@@ -107,6 +107,15 @@ def test_substring_dedup_in_process(monkeypatch, crowded):
     assert collections.Counter((r["doc_id"], hashlib.sha256(r["kept"]).hexdigest(), r["n_bytes"], tuple(r["spans"])) for r in out) == _cut_brute(rows)
 
 
+def test_fingerprints_travel_short():
+    x = np.sort(np.random.default_rng(9).integers(0, 1 << 40, 999).astype(np.uint64))
+    packed = substring_dedup._pack(x)
+    assert len(packed) == 5 * 999 and (substring_dedup._unpack(pa.scalar(packed)) == x).all()
+    assert len(substring_dedup._unpack(pa.scalar(substring_dedup._pack(x[:0])))) == 0
+    f = np.array([2**64 - 1, 2**64 - 2**25, 2**25 - 1], np.uint64)  # the first two agree in 39 bits
+    assert substring_dedup._short(f).tolist() == [2**40 - 2, 2**40 - 2, 0]
+
+
 def test_substring_dedup_memory():
     """What a worker holds beside a block and a shard is a few bytes for each byte of them."""
     import tracemalloc
@@ -115,7 +124,7 @@ def test_substring_dedup_memory():
     texts = [bytes(x).decode() for x in rng.integers(97, 123, (800, 10_000), np.uint8)]
     block = pa.table({"doc_id": pa.array(range(800)), "text": texts, "block": pa.array([0] * 800)})
     size, peaks = 8_000_000, []
-    pieces = pa.table({"block": [0], "prints": [np.unique(substring_dedup._pieces(*substring_dedup._block(block)[1:])[3] & ~np.uint64(1)).tobytes()]})
+    pieces = pa.table({"block": [0], "prints": [substring_dedup._pack(np.unique(substring_dedup._short(substring_dedup._pieces(*substring_dedup._block(block)[1:])[3])))]})
     steps = [lambda: substring_dedup._send_prints(block, 4), lambda: substring_dedup._send_pieces(block, pieces, 4), lambda: substring_dedup._sort_shard(shard)]
     for step in steps:
         tracemalloc.start()

@@ -17,7 +17,8 @@ strings with one fingerprint is a piece.
 4. Each block removes the marked spans from its documents.
 
 Documents shuffle once (the exchange is reused by steps 1, 2 and 4). Fingerprints only choose what is compared: marks
-come from comparing the bytes themselves. Blocks, owners and shards are as many as the input partitions ask for.
+come from comparing the bytes themselves. Blocks are as many as the bytes of the texts ask for,
+owners and shards as many as blocks.
 
 Defined results. Null text: as the empty text. Documents shorter than LENGTH: kept whole. Equal doc_ids: as one
 document, they don't mark each other. Null doc_id: smaller than all others. Very long texts: read whole. Empty table:

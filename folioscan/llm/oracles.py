@@ -47,6 +47,27 @@ select doc_id, n_lines, n_removed, cast(strlen(text) as bigint) as kept_bytes, s
 """
 
 
+OP11 = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (cast(-7 as bigint), cast(0 as bigint), 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
+), s as (
+  select *, case when role in ('system', 'user', 'assistant') then 0 else length(role) + length(role) - length(replace(role, '~', '')) + 2 * len(regexp_extract_all(role, '\[/?(INST|ROLE)\]|<<SYS>>|<</SYS>>|</?s>')) end
+    + length(text) + length(text) - length(replace(text, '~', '')) + 2 * len(regexp_extract_all(text, '\[/?(INST|ROLE)\]|<<SYS>>|<</SYS>>|</?s>'))
+    + case role when 'system' then 15 when 'user' then 15 when 'assistant' then 9 else 17 end as form,
+    row_number() over w as nth, count(*) over (partition by conv_id) as n from t window w as (partition by conv_id order by turn nulls first, role, text)
+), p as (
+  select *, sum(form) over (partition by conv_id order by nth) as stop from s
+)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by nth)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by nth) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(stop) filter (role = 'assistant' or nth = n) as bigint) as formatted_chars,
+  count(*) filter (role = 'assistant' or nth = n) as n_examples
+from p group by conv_id
+"""
+
+
 def _op8() -> str:
     stops = ", ".join(f"'{w}'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws}))
     return rf"""
@@ -125,5 +146,5 @@ select page_id, ordinal, case when sha256 is not null then before end as "offset
 """
 
 #: Materialized, so that a LIMIT around a query can't stall DuckDB.
-_SQL = {"op1_suffix_array_dedup": OP1, "op9_merkle_fixity": OP9, "op2_line_dedup": OP2, "op6_prefix_decontamination": OP6, "op8_quality_rules": _op8()}
+_SQL = {"op11_prefix_targets": OP11, "op1_suffix_array_dedup": OP1, "op9_merkle_fixity": OP9, "op2_line_dedup": OP2, "op6_prefix_decontamination": OP6, "op8_quality_rules": _op8()}
 ORACLES = {name: f"with answer as materialized ({sql}) select * from answer" for name, sql in _SQL.items()}

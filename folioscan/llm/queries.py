@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.llm import decontaminate, line_dedup, near_dedup, packing, pairwise_quality, quality_rules, sharding, substring_dedup, token_output, warc_fixity
+from folioscan.llm import alignment, chat_format, conversation_repair, decontaminate, line_dedup, near_dedup, packing, pairwise_quality, quality_rules, sharding, substring_dedup, token_output, warc_fixity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,23 @@ def op10_bradley_terry_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairwise_quality.score(docs, pairwise_quality.train(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality")))
 
 
+def op11_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one of control strings (-7), formatted, expanded and read back."""
+    said = "</s>[INST] ok [/INST]"
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), F.lit(said))
+    return chat_format.read_back(chat_format.expand(chat_format.format_conversations(rows.union(more))))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(_table(spark, sf_dir, "conversations"))
+
+
+def op13_group_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align_documents(docs, _tokenizer("byte_bpe_50k.json"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -85,4 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_merkle_fixity": op9_merkle_fixity,
     "op10_bradley_terry_quality": op10_bradley_terry_quality,
+    "op11_prefix_targets": op11_prefix_targets,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_group_dictionary": op13_group_dictionary,
 }

@@ -32,6 +32,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,9 +108,10 @@ def _pieces(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, bytes, offsets) of a block, documents in ascending order of doc_id and text."""
+    """(doc_ids, bytes, offsets) of a block, documents in ascending order of doc_id and text; null doc_ids are the smallest."""
+    table = table.set_column(table.schema.get_field_index("doc_id"), "doc_id", pc.fill_null(table.column("doc_id"), _NULL))
     table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    keys = np.array([_NULL if k is None else k for k in table.column("doc_id").to_pylist()], np.int64)
+    keys = table.column("doc_id").to_numpy().astype(np.int64)
     return keys, *flat(table.column("text"))
 
 
@@ -121,10 +123,10 @@ def _array(x: pa.Scalar, kind) -> np.ndarray:
     return np.frombuffer(x.as_buffer(), kind)
 
 
-_FP_SCHEMA = pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("prints", pa.binary()), ("sizes", pa.binary())])
-_SHARED_SCHEMA = pa.schema([("block", pa.int64()), ("prints", pa.binary())])
-_PIECE_SCHEMA = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("lengths", pa.binary()), ("bytes", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary()), ("starts", pa.binary()), ("parts", pa.binary())])
-_MARK_SCHEMA = pa.schema([("block", pa.int64()), ("marks", pa.binary())])
+_FP_SCHEMA = pa.schema([("owner", pa.int32()), ("block", pa.int32()), ("prints", pa.binary()), ("sizes", pa.binary())])
+_SHARED_SCHEMA = pa.schema([("block", pa.int32()), ("prints", pa.binary())])
+_PIECE_SCHEMA = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("lengths", pa.binary()), ("bytes", pa.binary()), ("docs", pa.binary()), ("rows", pa.binary()), ("starts", pa.binary()), ("parts", pa.binary())])
+_MARK_SCHEMA = pa.schema([("block", pa.int32()), ("marks", pa.binary())])
 _OUT_SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.int64())), ("kept", pa.binary())])
 
 
@@ -396,9 +398,9 @@ def cut_repeats(docs: DataFrame, blocks: int | None = None) -> DataFrame:
     """doc_id, n_bytes, spans (start and stop of each removed run, flat), kept (what remains, as bytes)."""
     texts = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = blocks or _blocks(texts)
-    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n))).repartition(n, "block")
-    prints = dealt.groupBy("block").applyInArrow(lambda t: _send_prints(t, n), "owner long, block long, prints binary, sizes binary")
-    shared = prints.repartition(n, "owner").groupBy("owner").applyInArrow(_answer_prints, "block long, prints binary").repartition(n, "block")
-    pieces = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda a, b: _send_pieces(a, b, n), "shard long, block long, lengths binary, bytes binary, docs binary, rows binary, starts binary, parts binary")
-    marks = pieces.repartition(n, "shard").groupBy("shard").applyInArrow(_sort_shard, "block long, marks binary").repartition(n, "block")
+    dealt = texts.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartitionById(n, "block")
+    prints = dealt.groupBy("block").applyInArrow(lambda t: _send_prints(t, n), "owner int, block int, prints binary, sizes binary")
+    shared = prints.repartitionById(n, "owner").groupBy("owner").applyInArrow(_answer_prints, "block int, prints binary").repartitionById(n, "block")
+    pieces = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(lambda a, b: _send_pieces(a, b, n), "shard int, block int, lengths binary, bytes binary, docs binary, rows binary, starts binary, parts binary")
+    marks = pieces.repartitionById(n, "shard").groupBy("shard").applyInArrow(_sort_shard, "block int, marks binary").repartitionById(n, "block")
     return dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_remove, "doc_id long, n_bytes long, spans array<long>, kept binary")

@@ -61,6 +61,16 @@ def test_substring_dedup_of_many(frame):
     assert got == _cut_brute(rows)
 
 
+@pytest.mark.parametrize("blocks", [1, 2, 3, 8])
+def test_null_doc_ids_are_the_smallest_in_any_number_of_blocks(frame, blocks):
+    rng = np.random.default_rng(8)
+    t = "".join(rng.choice(list("abcdefgh"), 400))
+    rows = [(None, t), (5, t + "!"), (9, t + "?"), (None, t[100:300]), (2, "x" + t[50:])]
+    got = collections.Counter((r.doc_id, hashlib.sha256(r.kept).hexdigest(), r.n_bytes, tuple(r.spans)) for r in substring_dedup.cut_repeats(frame(rows), blocks=blocks).collect())
+    want = collections.Counter({(None if k[0] < 0 else k[0], *k[1:]): n for k, n in _cut_brute([(-1 if k is None else k, t) for k, t in rows]).items()})
+    assert got == want
+
+
 def test_substring_dedup_in_small_steps(spark, frame, monkeypatch):
     """Blocks follow the bytes of the texts, not the partitions of the input; slices and turns of a few strings change nothing."""
     monkeypatch.setattr(substring_dedup, "BLOCK", 1 << 10)

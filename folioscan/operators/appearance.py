@@ -41,7 +41,7 @@ def rgb(raster: np.ndarray) -> np.ndarray:
 
 
 def luminance(pixels: np.ndarray) -> np.ndarray:
-    return pixels @ np.array([0.299, 0.587, 0.114])
+    return 0.299 * pixels[..., 0] + 0.587 * pixels[..., 1] + 0.114 * pixels[..., 2]  # in this order, whatever the shape
 
 
 def two_colors(raster: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:

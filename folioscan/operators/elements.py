@@ -2,25 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as tx
 
 
+#: Names meet by so many of their last characters.
+ANCHOR = 8
+
+
+def _parts(name: Column) -> Column:
+    """The stretches of a name of 0 to ANCHOR characters."""
+    n = F.length(name)
+    each = F.transform(F.sequence(F.lit(1), F.lit(ANCHOR)), lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(name, i, k))).otherwise(F.array().cast("array<string>")))
+    return F.array_union(F.array(F.lit("")), F.flatten(each))
+
+
 def font_of(spans: DataFrame, fonts: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """spans with font_id and font_name of the first font, by font_id, whose name holds the span's or is held by it.
 
-    Names are joined, each once a document, not spans.
+    keys: what spans and fonts must agree in; none where all documents share one table of fonts. Distinct names are
+    joined, not spans: the held name's last characters (up to ANCHOR) must be a stretch of the other name, which is an
+    equi-join, and the names that meet are compared.
     """
     ks = list(keys)
-    names = spans.select(*ks, "font").distinct()
-    known = fonts.select(*[F.col(k).alias(f"_{k}") for k in ks], "font_id", F.col("name").alias("font_name"))
-    same = F.lit(True)
-    for k in ks:
-        same = same & (F.col(k) == F.col(f"_{k}"))
-    met = names.join(known, same & (F.col("font_name").contains(F.col("font")) | F.col("font").contains(F.col("font_name"))))
-    first = met.groupBy(*ks, "font").agg(F.min(F.struct("font_id", "font_name")).alias("_f"))
+    names = spans.select(*ks, "font").filter("font is not null").distinct()
+    known = fonts.select(*ks, "font_id", F.col("name").alias("font_name")).filter("font_name is not null").groupBy(*ks, "font_name").agg(F.min("font_id").alias("font_id"))
+    last = lambda c: F.substr(c, F.greatest(F.length(c) - ANCHOR + 1, F.lit(1)))
+    held = names.withColumn("_part", F.explode(_parts(F.col("font")))).join(known.withColumn("_part", last(F.col("font_name"))), [*ks, "_part"]).filter(F.contains("font", "font_name"))
+    holds = names.withColumn("_part", last(F.col("font"))).join(known.withColumn("_part", F.explode(_parts(F.col("font_name")))), [*ks, "_part"]).filter(F.contains("font_name", "font"))
+    first = held.unionByName(holds).groupBy(*ks, "font").agg(F.min(F.struct("font_id", "font_name")).alias("_f"))
     return spans.join(first, [*ks, "font"], "left").select(*spans.columns, F.col("_f.font_id").alias("font_id"), F.col("_f.font_name").alias("font_name"))
 
 
@@ -40,18 +52,18 @@ def clip_of(spans: DataFrame, events: DataFrame, keys: tuple[str, ...] = ("doc_i
     return placed.select(*spans.columns, F.coalesce(clipped, F.lit(False)).alias("has_clip"))
 
 
-def assemble(spans: DataFrame, fonts: DataFrame, events: DataFrame) -> DataFrame:
+def assemble(spans: DataFrame, fonts: DataFrame, events: DataFrame, font_keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One element per span that has a text: path, page, text, font, has_clip, size, line height, box.
 
     spans: doc_id, page_ix, span_index, text, font, size, line_height, x0, y0, x1, y1. fonts: doc_id, font_id, name,
     embedded, encoding, font_type. events: doc_id, page_ix, event_id, text, has_clip; those without text or clip are no
-    events. A span whose font isn't known keeps its own name.
+    events. A span whose font isn't known keeps its own name. font_keys: () where one table of fonts serves all documents.
     """
     shown = spans.filter(tx.normalize_clip(F.col("text")) != "")
     real = events.filter((tx.normalize_clip(F.coalesce("text", F.lit(""))) != "") | F.col("has_clip"))
-    named = font_of(clip_of(shown, real), fonts)
-    props = fonts.select("doc_id", "font_id", "embedded", "encoding", "font_type")
-    j = named.join(props, ["doc_id", "font_id"], "left")
+    named = font_of(clip_of(shown, real), fonts, font_keys)
+    props = fonts.select(*font_keys, "font_id", "embedded", "encoding", "font_type")
+    j = named.join(props, [*font_keys, "font_id"], "left")
     name = F.coalesce("font_name", "font")
     font = F.struct(
         F.col("embedded"), F.col("encoding"), tx.font_family(name).alias("family_name"), name.alias("name"), F.col("font_type"), F.lit(None).cast("boolean").alias("monospaced"), tx.is_subset_font(name).alias("subset")

@@ -329,10 +329,8 @@ def _spans(spark, d) -> DataFrame:
 
 
 def _fonts(spark, d) -> DataFrame:
-    """Every supplier as a font of every document; the name is the part before the last figure, so some hold others."""
-    docs = _spans(spark, d).select("doc_id").distinct()
-    s = v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("font_id"), F.expr("left(s_name, length(s_name) - s_suppkey % 2)").alias("name"), (F.col("s_nationkey") % 2 == 0).alias("embedded"), F.lit("WinAnsi").alias("encoding"), F.lit("TrueType").alias("font_type"))
-    return docs.join(F.broadcast(s.limit(10000)), F.lit(True))
+    """Every supplier as a font of all documents; the name is the part before the last figure, so some hold others."""
+    return v.table(spark, d, "supplier").select(F.col("s_suppkey").alias("font_id"), F.expr("left(s_name, length(s_name) - s_suppkey % 2)").alias("name"), (F.col("s_nationkey") % 2 == 0).alias("embedded"), F.lit("WinAnsi").alias("encoding"), F.lit("TrueType").alias("font_type"))
 
 
 def _clips(spark, d) -> DataFrame:
@@ -344,7 +342,7 @@ def _clips(spark, d) -> DataFrame:
 m as (select font, min(font_id) as font_id from names join f on contains(name, font) or contains(font, name) group by 1) select page_ix, span_index, m.font_id, f.name as font_name from sp left join m using (font) left join f on f.font_id = m.font_id""")
 def span_fonts(spark, d):
     """Spans with the first font whose name holds theirs or is held by it."""
-    return elements.font_of(_spans(spark, d), _fonts(spark, d)).select("page_ix", "span_index", "font_id", "font_name")
+    return elements.font_of(_spans(spark, d), _fonts(spark, d), ()).select("page_ix", "span_index", "font_id", "font_name")
 
 
 @query(f"""with {_SPANS}, b as (select sp.page_ix, span_index, cast(round_even((span_index - 1) * e / s::double, 0) as bigint) as lo, cast(round_even(span_index * e / s::double, 0) as bigint) as hi from sp join n using (page_ix) left join e using (page_ix))
@@ -361,7 +359,7 @@ c as (select b.page_ix, b.span_index, any_value(b.font) as font, coalesce(bool_o
 select c.page_ix, '//Document/P[' || c.page_ix || ']/StyleSpan' as path, coalesce(f.name, font) as font, string_split(coalesce(f.name, font), '+')[-1] as family, contains(coalesce(f.name, font), '+') as subset, f.embedded, has_clip, count(*) as spans from c left join m using (font) left join f on f.font_id = m.font_id group by all""")
 def font_elements(spark, d):
     """Elements of a page, spans with fonts and clip flags, counted by what they have."""
-    e = elements.assemble(_spans(spark, d), _fonts(spark, d), _clips(spark, d))
+    e = elements.assemble(_spans(spark, d), _fonts(spark, d), _clips(spark, d), ())
     return e.select("page_ix", "path", F.col("font.name").alias("font"), F.col("font.family_name").alias("family"), F.col("font.subset").alias("subset"), F.col("font.embedded").alias("embedded"), "has_clip").groupBy("page_ix", "path", "font", "family", "subset", "embedded", "has_clip").agg(F.count("*").alias("spans"))
 
 

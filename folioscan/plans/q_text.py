@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as g
 from folioscan.functions import text as tx
-from folioscan.operators import elements, kernels, matching
+from folioscan.operators import elements, kernels, matching, profile
 from folioscan.plans import views as v
 from folioscan.plans.registry import query
 
@@ -233,19 +233,20 @@ _PROPS = """props as (
   select cast(l_orderkey // 2000 as bigint) as doc, cast(l_orderkey // 200 as bigint) as page, unnest(['flag', 'status', 'quantity', 'tax']) as prop, unnest([l_returnflag, l_linestatus, cast(cast(l_quantity as integer) as varchar), cast(cast(round(l_tax * 100) as integer) as varchar)]) as value from lineitem)"""
 
 
-def _props(spark, d) -> DataFrame:
+def _histogram(spark, d) -> DataFrame:
+    """The profile of four columns of the line items; the quantity stands for a size."""
     t = v.table(spark, d, "lineitem")
-    values = {"flag": F.col("l_returnflag"), "status": F.col("l_linestatus"), "quantity": F.col("l_quantity").cast("int").cast("string"), "tax": F.round(F.col("l_tax") * 100).cast("int").cast("string")}
-    e = F.explode(F.array(*[F.struct(F.lit(k).alias("prop"), c.alias("value")) for k, c in values.items()])).alias("e")
-    return t.select(F.floor(F.col("l_orderkey") / 2000).cast("long").alias("doc"), F.floor(F.col("l_orderkey") / 200).cast("long").alias("page"), e).select("doc", "page", "e.prop", "e.value")
+    rows = t.select(
+        F.floor(F.col("l_orderkey") / 2000).cast("long").alias("doc"), F.floor(F.col("l_orderkey") / 200).cast("long").alias("page"), F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"),
+        F.col("l_quantity").cast("int").cast("string").alias("quantity"), F.round(F.col("l_tax") * 100).cast("int").cast("string").alias("tax"),
+    )
+    return profile.histogram(rows, {n: (profile.some, n) for n in ("flag", "status", "quantity", "tax")}, ("doc",), "page")
 
 
 @query(f"with {_PROPS} select doc, prop, value, count(*) as n, round(100.0 * count(*) / sum(count(*)) over (partition by doc, prop), 6) as pct, row_number() over (partition by doc, prop order by count(*) desc, value) as rank from props group by doc, prop, value")
 def value_histogram(spark, d):
     """All properties in one unpivoted aggregation, with shares and ranks."""
-    c = _props(spark, d).groupBy("doc", "prop", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("doc", "prop")
-    return c.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(w), 6)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "value")))
+    return _histogram(spark, d).select("doc", "prop", "value", "n", F.round("pct", 6).alias("pct"), "rank")
 
 
 @query(f"""with {_PROPS}, c as (select doc, prop, value, count(*) as n, 100.0 * count(*) / sum(count(*)) over (partition by doc, prop) as pct from props group by 1, 2, 3),
@@ -253,16 +254,12 @@ pg as (select doc, prop, value, min(n) as least_page from (select doc, page, pro
 select doc, prop, value, n, round(pct, 6) as pct from c join pg using (doc, prop, value) where n < 4 or pct < 2.0 or (prop in ('quantity') and least_page <= 5)""")
 def rare_values(spark, d):
     """Values met fewer than 4 times, in under 2 percent, or (sizes) at most 5 times on some page."""
-    by_page = _props(spark, d).groupBy("doc", "page", "prop", "value").agg(F.count("*").alias("k"))
-    c = by_page.groupBy("doc", "prop", "value").agg(F.sum("k").alias("n"), F.min("k").alias("least_page"))
-    c = c.withColumn("pct", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy("doc", "prop")))
-    return c.filter("n < 4 or pct < 2.0 or (prop = 'quantity' and least_page <= 5)").select("doc", "prop", "value", "n", F.round("pct", 6).alias("pct"))
+    return _histogram(spark, d).filter(profile.is_rare(("quantity",))).select("doc", "prop", "value", "n", F.round("pct", 6).alias("pct"))
 
 
 @query(f"with {_PROPS}, c as (select doc, prop, value, count(*) as n, sum(count(*)) over (partition by doc, prop) as total from props group by 1, 2, 3) select doc, prop, value, n from c where n < greatest(5, 0.05 * total)")
 def uncommon_values(spark, d):
-    c = _props(spark, d).groupBy("doc", "prop", "value").agg(F.count("*").alias("n")).withColumn("t", F.sum("n").over(Window.partitionBy("doc", "prop")))
-    return c.filter(F.col("n") < F.greatest(F.lit(5.0), 0.05 * F.col("t"))).select("doc", "prop", "value", "n")
+    return profile.uncommon(_histogram(spark, d)).select("doc", "prop", "value", "n")
 
 
 @query(f"""with {v.BOXES}, z as (select *, x0 = 0 and box_id % 3 = 0 as blank, x0 = 0 and y0 = 0 as zero from boxes)

@@ -6,6 +6,8 @@ two origins; all become four DOUBLE columns with a top-left origin.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,6 +227,51 @@ def elements(payloads: DataFrame) -> DataFrame:
     ).select("*", "_b.*").drop("_b")
 
 
+def read_trees(spark: SparkSession, path: str) -> DataFrame:
+    """A row per element file: doc_id, file_size and the whole file as VARIANT, whatever its depth; _error where it isn't JSON."""
+    raw = spark.read.text(path, wholetext=True).select("value", stem(F.col("_metadata.file_name")).alias("doc_id"), F.col("_metadata.file_size").alias("file_size"))
+    return raw.select("doc_id", "file_size", F.try_parse_json("value").alias("tree")).withColumn("_error", F.when(F.col("tree").isNull(), "malformed"))
+
+
+def nested_elements(trees: DataFrame, children: str = "Kids") -> DataFrame:
+    """Elements of trees (doc_id, tree) and all their descendants, with the page of the nearest ancestor that names one.
+
+    place holds the positions from the root down (in this order elements stand as in the file), id and parent are its
+    text. One level is one pass over the children of the level above, so that work and storage follow the depth; what
+    isn't an object has no element. An element whose page is null hands null down.
+    """
+    at = trees.select("doc_id", F.posexplode(F.try_variant_get("tree", "$.elements", "array<variant>")).alias("i", "node"))
+    now = at.select("doc_id", F.array("i").alias("place"), F.lit(None).cast("int").alias("above"), "node")
+    levels = []
+    while True:
+        node = F.col("node")
+        objects = now.filter(F.try_variant_get(node, "$", "map<string,variant>").isNotNull())
+        page = F.when(F.try_variant_get(node, "$.Page", "variant").isNull(), F.col("above")).otherwise(F.try_variant_get(node, "$.Page", "int"))
+        level = cut(objects.select("doc_id", "place", page.alias("page_ix"), "node"))
+        if levels and level.isEmpty():
+            break
+        levels.append(level)
+        kids = F.posexplode(F.try_variant_get("node", f"$.{children}", "array<variant>")).alias("i", "node")
+        now = level.select("doc_id", "place", F.col("page_ix").alias("above"), kids).select("doc_id", F.array_append("place", F.col("i")).alias("place"), "above", "node")
+    return _element(cut(functools.reduce(DataFrame.union, levels)))  # else fields are read by code of their own for each level
+
+
+def _element(level: DataFrame) -> DataFrame:
+    field = lambda path, kind: F.try_variant_get("node", path, kind)
+    font = F.struct(*[field(f"$.Font.{n}", kind).alias(n) for n, kind in (("embedded", "boolean"), ("encoding", "string"), ("family_name", "string"), ("name", "string"), ("font_type", "string"), ("monospaced", "boolean"), ("subset", "boolean"))])
+    places = ("$.BBox", "$.attributes.BBox", "$.Bounds")
+    sources = [any_box(F.to_json(field(p, "variant"))) for p in places]
+    whole = [F.when(s[0].isNotNull(), F.struct(*[c.alias(n) for c, n in zip(s, ("x0", "y0", "x1", "y1"), strict=True)])) for s in sources]
+    which = F.coalesce(*[F.when(s[0].isNotNull(), F.lit(p[2:])) for s, p in zip(sources, places, strict=True)])
+    kind = F.regexp_replace(F.element_at(F.split(field("$.Path", "string"), "/"), -1), r"\[\d+\]$", "")
+    n = F.size("place")
+    return level.select(
+        "doc_id", F.array_join("place", ".").alias("id"), F.when(n > 1, F.array_join(F.slice("place", 1, n - 1), ".")).alias("parent"), "place", (n - 1).alias("depth"), "page_ix", field("$.Path", "string").alias("path"), kind.alias("kind"),
+        field("$.Text", "string").alias("text"), font.alias("font"), field("$.HasClip", "boolean").alias("has_clip"), field("$.TextSize", "double").alias("text_size"),
+        F.when(field("$.LineHeight", "string").isNull(), field("$.attributes.LineHeight", "double")).otherwise(field("$.LineHeight", "double")).alias("line_height"), which.alias("bbox_source"), F.coalesce(*whole).alias("_b"),
+    ).select("*", "_b.*").drop("_b")
+
+
 def element_histogram(payloads: DataFrame) -> DataFrame:
     """Per document: the kinds of its elements (the last part of their paths, numbers aside) and how many there are."""
     return elements(payloads).groupBy("doc_id", "kind").agg(F.count("*").alias("n"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as g
 from folioscan.functions import text as tx
 from folioscan.operators import kernels, spatial
+from folioscan.operators.lineage import cut
 
 #: Similarity asked of words and of phrases: the strict and the lenient one.
 LIMITS = {"word": (0.92, 0.70), "phrase": (0.85, 0.60)}
@@ -108,25 +109,95 @@ def candidates(cells: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("doc
     return m.select(*ks, "cell", "span", "similarity", "iou", (0.6 * F.col("similarity") + 0.4 * F.col("iou")).alias("score"), "match_method")
 
 
-def greedy(found: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_ix")) -> DataFrame:
-    """(keys, cell, span, score): one to one, in order of cells, each with the best span that is still free."""
-    ks, kinds = list(keys), dict(found.dtypes)
+#: Candidate pairs of a page that one task may hold.
+PAGE = 50_000
+
+
+def _by_page(found: DataFrame, ks: list[str]) -> DataFrame:
+    kinds = dict(found.dtypes)
 
     def kernel(p: pd.DataFrame) -> pd.DataFrame:
         pairs = kernels.greedy_match(list(zip(p.cell.tolist(), p.span.tolist(), p.score.tolist(), strict=True)))
         return pd.DataFrame([(*(p[k].iloc[0] for k in ks), a, b, s) for a, b, s in pairs], columns=[*ks, "cell", "span", "score"])
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in ks) + ", cell long, span long, score double"
-    return found.select(*ks, F.col("cell").cast("long").alias("cell"), F.col("span").cast("long").alias("span"), "score").groupBy(*ks).applyInPandas(kernel, schema)
+    return found.groupBy(*ks).applyInPandas(kernel, schema)
+
+
+def by_rounds(found: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_ix")) -> DataFrame:
+    """The rows of `greedy`, by rounds over all pairs at once: no page is one task's work.
+
+    In each round every cell asks for its best remaining span, and a span holds the earliest of those that ask; pairs of
+    a held span with later cells go. Such a cell could never have it: the holder's better spans are gone, so that in
+    order of cells the holder, or an earlier one, takes the span first. When no pair goes, every cell holds what it
+    asks for. The number of rounds is the length of the longest chain of cells that take each other's choice.
+    """
+    ks = list(keys)
+    best = Window.partitionBy(*ks, "cell").orderBy(F.desc("score"), "span")
+    left = cut(found.withColumn("_r", F.row_number().over(best)).select(*ks, "cell", "span", "score", "_r"))
+    n = left.count()
+    asks = F.col("_r") == F.min("_r").over(Window.partitionBy(*ks, "cell"))
+    while True:
+        held = F.min(F.when(F.col("_asks"), F.col("cell"))).over(Window.partitionBy(*ks, "span"))
+        judged = left.withColumn("_asks", asks).withColumn("_held", held)
+        left = cut(judged.filter("_held is null or cell <= _held").select(*ks, "cell", "span", "score", "_r"))
+        n, before = left.count(), n
+        if n == before:
+            return left.withColumn("_asks", asks).filter("_asks").select(*ks, "cell", "span", "score")
+
+
+def greedy(found: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_ix"), most: int = PAGE) -> DataFrame:
+    """(keys, cell, span, score): one to one, in order of cells, each with the best span that is still free.
+
+    Pages of up to `most` pairs are one task's work each, larger ones go by rounds; the rows are the same.
+    """
+    ks = list(keys)
+    found = cut(found.select(*ks, F.col("cell").cast("long").alias("cell"), F.col("span").cast("long").alias("span"), "score").filter("score > 0"))
+    large = found.groupBy(*ks).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*ks)
+    large = cut(large)
+    if large.isEmpty():
+        return _by_page(found, ks)
+    large = large.toDF(*ks)
+    return _by_page(found.join(large, ks, "left_anti"), ks).unionByName(by_rounds(found.join(large, ks, "left_semi"), keys))
 
 
 def match(cells: DataFrame, spans: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_ix"), ident: str = "cell_index") -> DataFrame:
     """The greedy matches of cells and spans with their method."""
-    found = candidates(cells, spans, keys, ident)
-    how = found.select(*keys, "cell", "span", "match_method")
+    found = cut(candidates(cells, spans, keys, ident))
+    how = found.select(*keys, "cell", "span", "similarity", "iou", "match_method")
     return greedy(found, keys).join(how.toDF(*how.columns), [*keys, "cell", "span"])
 
 
+def outcome(cells: DataFrame, spans: DataFrame, matched: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_ix"), ident: str = "cell_index") -> DataFrame:
+    """(keys, cell, span, cell_text, span_text, score, match_method, side): every cell and every span once; side is matched, cell or span (what has no partner)."""
+    ks = list(keys)
+    pairs = matched.select(*ks, "cell", "span", "score", "match_method")
+    c = cells.select(*ks, F.col(ident).cast("long").alias("cell"), F.col("text").alias("cell_text"))
+    s = spans.select(*ks, F.col(ident).cast("long").alias("span"), F.col("text").alias("span_text"))
+    both = c.join(pairs.toDF(*pairs.columns), [*ks, "cell"], "left").join(s, [*ks, "span"], "full")
+    side = F.when(F.col("cell").isNull(), "span").when(F.col("span").isNull(), "cell").otherwise("matched")
+    return both.select(*ks, "cell", "span", "cell_text", "span_text", "score", "match_method", side.alias("side"))
+
+
+def outcome_statistics(outcomes: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """Per document: cells, spans, those with and without a partner, both rates in percent (0 without rows), matches by method."""
+    is_ = lambda *sides: F.count_if(F.col("side").isin(*sides))
+    methods = [F.count_if(F.coalesce(F.col("match_method") == k, F.lit(False))).alias(k) for k in ("text_based", "spatial_based", "combined")]
+    n = outcomes.groupBy(doc).agg(is_("matched", "cell").alias("total_cells"), is_("matched", "span").alias("total_spans"), is_("matched").alias("matched"), is_("cell").alias("unmatched_cells"), is_("span").alias("unmatched_spans"), *methods)
+    rate = lambda c: F.when(F.col(c) > 0, 100.0 * F.col("matched") / F.col(c)).otherwise(0.0)
+    return n.withColumn("cell_match_rate", rate("total_cells")).withColumn("span_match_rate", rate("total_spans"))
+
+
+def match_payloads(cell_payloads: DataFrame, span_payloads: DataFrame) -> DataFrame:
+    """The outcome for payloads of both kinds of the same documents: cells of the one, spans of the other, pages and positions as files give them."""
+    from folioscan.sources import payload
+
+    cells = payload.cells(cell_payloads).select("doc_id", "page_ix", "cell_index", "text", "x0", "y0", "x1", "y1")
+    spans = payload.spans(span_payloads).filter(F.trim("text") != "").select("doc_id", "page_ix", F.col("span_index").alias("cell_index"), F.trim("text").alias("text"), "x0", "y0", "x1", "y1")
+    cells, spans = cut(cells), cut(spans)
+    return outcome(cells, spans, match(cells, spans))
+
+
 def match_statistics(cells: DataFrame, matched: DataFrame, doc: str = "doc_id") -> DataFrame:
     """Per document: cells, matches by method, matched cells, and their share in percent."""
     per = matched.groupBy(doc).agg(*[F.count_if(F.col("match_method") == k).alias(k) for k in ("text_based", "spatial_based", "combined")], F.count_distinct("page_ix", "cell").alias("matched"))

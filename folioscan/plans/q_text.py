@@ -199,10 +199,30 @@ def match_candidates(spark, d):
     return _candidates(spark, d).select("doc_id", "page_ix", "cell", "span", F.round("score", 6).alias("score"), "match_method")
 
 
-@query()
+_GREEDY = f"""{v.CELLS}, {v.VISIBLE}, {_ROW}, {_MATCHED}, cand as materialized (select doc_id, page_ix, cell, span, match_method, 0.6 * sim + 0.4 * iou as score, dense_rank() over (partition by doc_id, page_ix order by cell) as k from m where match_method is not null),
+pg as materialized (select doc_id, page_ix, max(k) as most from cand group by 1, 2), turns as (
+  select doc_id, page_ix, cast(0 as bigint) as k, most, cast([] as bigint[]) as taken, cast(null as bigint) as cell, cast(null as bigint) as span from pg
+  union all select t.doc_id, t.page_ix, t.k + 1, t.most, case when w.span is null then t.taken else list_append(t.taken, w.span) end, w.cell, w.span from turns t left join lateral (
+    select arg_max(c.cell, (c.score, -c.span)) as cell, arg_max(c.span, (c.score, -c.span)) as span from cand c where c.doc_id = t.doc_id and c.page_ix = t.page_ix and c.k = t.k + 1 and not list_contains(t.taken, c.span)) w on true where t.k < t.most),
+won as (select t.doc_id, t.page_ix, t.cell, t.span, c.score, c.match_method from turns t join cand c on c.doc_id = t.doc_id and c.page_ix = t.page_ix and c.cell = t.cell and c.span = t.span)"""
+
+
+@query(f"with recursive {_GREEDY} select doc_id, page_ix, cell, span, round(score, 6) as score from won")
 def greedy_match(spark, d):
     """One-to-one assignment per page, in order of cells."""
-    return matching.greedy(_candidates(spark, d))
+    return matching.greedy(_candidates(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""with recursive {_GREEDY}, sides as (select c.doc_id, w.match_method, 'cell' as side, w.span is not null as met from fc c left join won w on w.doc_id = c.doc_id and w.page_ix = c.page_ix and w.cell = c.cell_index
+  union all select s.doc_id, null, 'span', w.cell is not null from fv s left join won w on w.doc_id = s.doc_id and w.page_ix = s.page_ix and w.span = s.cell_index),
+n as (select doc_id, count(*) filter (side = 'cell') as total_cells, count(*) filter (side = 'span') as total_spans, count(*) filter (side = 'cell' and met) as matched, count(*) filter (side = 'cell' and not met) as unmatched_cells,
+  count(*) filter (side = 'span' and not met) as unmatched_spans, count(*) filter (match_method = 'text_based') as text_based, count(*) filter (match_method = 'spatial_based') as spatial_based, count(*) filter (match_method = 'combined') as combined from sides group by 1)
+select *, round(coalesce(100.0 * matched / nullif(total_cells, 0), 0), 6) as cell_match_rate, round(coalesce(100.0 * matched / nullif(total_spans, 0), 0), 6) as span_match_rate from n""")
+def match_outcome(spark, d):
+    """Cells and spans of each document with and without a partner."""
+    cells, spans = _cells(v.cells(spark, d)), _cells(v.visible(spark, d))
+    s = matching.outcome_statistics(matching.outcome(cells, spans, matching.match(cells, spans)))
+    return s.withColumn("cell_match_rate", F.round("cell_match_rate", 6)).withColumn("span_match_rate", F.round("span_match_rate", 6))
 
 
 @query(f"""with {v.CELLS}, {v.VISIBLE}, {_ROW}, {_MATCHED}, per as (select doc_id, count(*) filter (match_method = 'text_based') as text_based, count(*) filter (match_method = 'spatial_based') as spatial_based,

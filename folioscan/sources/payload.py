@@ -139,9 +139,10 @@ def structure(payloads: DataFrame) -> DataFrame:
 
 
 def spans(payloads: DataFrame) -> DataFrame:
-    """Text spans of type-0 blocks with unpacked colors."""
-    b = payloads.select("doc_id", F.explode("pages").alias("p")).select("doc_id", (F.col("p.page_no") - 1).alias("page_ix"), F.explode("p.blocks").alias("b")).filter("b.type = 0")
-    s = b.select("doc_id", "page_ix", F.explode("b.lines").alias("l")).select("doc_id", "page_ix", F.posexplode("l.spans").alias("span_index", "s"))
+    """Text spans of type-0 blocks with unpacked colors, numbered through the page."""
+    p = payloads.select("doc_id", F.explode("pages").alias("p"))
+    each = F.transform(F.filter("p.blocks", lambda b: b["type"] == 0), lambda b: F.flatten(F.array_compact(F.transform(b["lines"], lambda x: x["spans"]))))
+    s = p.select("doc_id", (F.col("p.page_no") - 1).alias("page_ix"), F.posexplode(F.flatten(F.array_compact(each))).alias("span_index", "s"))
     red, green, blue = g.unpack_color(F.col("s.color"))
     return s.select("doc_id", "page_ix", "span_index", F.col("s.text").alias("text"), *[F.get("s.bbox", F.lit(i)).alias(n) for i, n in enumerate(("x0", "y0", "x1", "y1"))], F.col("s.font").alias("font"), F.col("s.size").alias("size"), red.alias("red"), green.alias("green"), blue.alias("blue"))
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.operators import profile
+from folioscan.operators import profile, sections
 from folioscan.plans import views as v
 from folioscan.plans.registry import query
 from folioscan.sources import payload
@@ -83,3 +83,31 @@ def rare_properties(spark, d):
     """Values of the nine properties that are rare or uncommon."""
     h = profile.histogram(payload.nested_elements(trees(spark, d)), profile.ELEMENTS)
     return h.select("doc_id", "prop", "value", "n", profile.is_rare().alias("rare"), profile.is_uncommon().alias("uncommon")).filter("rare or uncommon")
+
+
+_TEXTS = """g as (select doc, prop, value, list(text order by i, j, k) as texts from (select u.*, r.text from u join r using (doc, i, j, k) where value is not null qualify row_number() over (partition by doc, prop, value order by i, j, k) <= 5) group by all),
+a as (select w.*, texts, n < greatest(5, 0.05 * total) as odd, printf('%.1f', 100.0 * n / total) as pct from w join g using (doc, prop, value)),
+d as (select distinct doc from l), pr as (select doc, prop, count(*) as v, min(value) as sole, count(*) filter (odd) as o from a group by all),
+pk as (select *, row_number() over (partition by doc order by v > 1, prop) as q from pr),
+lines as (select doc, 0 as s, 0 as x, 0 as y, 0 as z, '# Report on ' || doc as line from d
+  union all select doc, 1, 0, 0, 0, '## Kind of document' from d union all select doc, 1, 0, 1, 0, case when doc % 2 = 0 then '- Has a text layer' else '- Scanned, without a text layer' end from d
+  union all select doc, 1, 0, 2, 0, '- Read by ' || case when doc % 2 = 0 then 'structure' else 'ocr' end from d union all select doc, 1, 0, 3, 0, '- No restrictions' from d where doc % 3 = 0
+  union all select doc, 1, 0, 3, 0, '- Not allowed: print, copy' from d where doc % 3 = 1
+  union all select doc, 2, 0, 0, 0, '## Fonts' from d union all select doc, 2, 0, 1, 0, case when o > 0 then o || ' of ' || v || ' fonts are uncommon:' else 'All ' || v || ' fonts are common.' end from pr where prop = 'name'
+  union all select doc, 2, 1, f, unnest(range(len(t))), unnest(t) from (select doc, row_number() over (partition by doc order by n, value) as f,
+    ['### ' || value, '- ' || n || ' items (' || pct || '%)'] || list_transform(texts, lambda c: '  - "' || c || '"') || case when n > 5 then ['  - and ' || (n - 5) || ' more'] else [] end as t from a where prop = 'name' and odd)
+  union all select doc, 3, 0, 0, 0, '## Properties of elements' from d
+  union all select doc, 3, 1, q, 0, '- ' || prop || ': ' || case when v = 1 then 'always ' || sole when o = 0 then v || ' values, all common' else v || ' values, ' || o || ' uncommon' end from pk
+  union all select a.doc, 3, 1, q, row_number() over (partition by a.doc, a.prop order by n, value), '  - ' || value || ': ' || n || ' items (' || pct || '%), such as ' || array_to_string(list_transform(texts[1:3], lambda c: '"' || c || '"'), ', ') from a join pk using (doc, prop) where odd and v > 1
+  union all select doc, 8, 0, 0, 0, '---' from d union all select doc, 8, 0, 1, 0, 'End of report' from d)"""
+
+
+@query(_PROFILE + ", " + _TEXTS + " select doc as doc_id, count(*) as n_lines, string_agg(line, chr(10) order by s, x, y, z) as report from lines group by 1")
+def report_texts(spark, d):
+    """The report of each document of nested elements: its kind, uncommon fonts with their texts, properties."""
+    t = trees(spark, d)
+    even, third = F.col("doc_id") % 2 == 0, F.col("doc_id") % 3
+    restrictions = F.when(third == 0, F.array().cast("array<string>")).when(third == 1, F.array(F.lit("print"), F.lit("copy")))
+    docs = t.select("doc_id", even.alias("has_text"), F.when(even, "structure").otherwise("ocr").alias("pipeline"), restrictions.alias("restrictions"), F.lit(None).cast("string").alias("error"))
+    p = profile.profile(payload.nested_elements(t), profile.ELEMENTS, order=("place",), keep=sections.FONT_TEXTS)
+    return sections.assemble(sections.title(docs), sections.kind(docs), sections.fonts(docs, p, "name"), sections.properties(docs, p), sections.end(docs))

@@ -44,7 +44,7 @@ LENGTH, GRAM = 50, 20
 #: Documents (about) from which on a fingerprint is crowded.
 CROWDED = 1 << 14
 #: Bytes of text in a block (each row counts ROW more); pieces of a shard are dealt into PARTS, and sorted about SORTED bytes at a time.
-BLOCK, ROW, PARTS, SORTED = 1 << 24, 64, 256, 1 << 20
+BLOCK, ROW, PARTS, SORTED = 1 << 23, 64, 256, 1 << 20
 SEPARATOR = 255  # no byte of UTF-8
 _NULL = -(1 << 63)
 _STEP = 1 << 19

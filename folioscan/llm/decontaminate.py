@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import pick
+from folioscan.llm.common import ordinals, pick, stage
 from folioscan.llm.tokens import slices, text_sizes
 from folioscan.llm.words import Words, shingles, words_of
 
@@ -193,13 +193,17 @@ def _frequencies(docs: DataFrame, grams: dict[int, np.ndarray]) -> dict[int, tup
 
 
 def indexes(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> Iterator[Index]:
-    """One index a block of the benchmark."""
-    items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = items.agg(F.sum(F.octet_length("text") + 32)).first()[0] or 0
+    """One index a block of the benchmark: distinct items in order of a hash, cut at BLOCK_BYTES of running size."""
+    items = pick(benchmark, "item_id", "text").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    weight = (F.coalesce(F.octet_length("text"), F.lit(0)) + F.coalesce(F.octet_length("item_id"), F.lit(0)) + 32).cast("long")
+    items = items.withColumns({"_w": weight, "_h": F.xxhash64("item_id", "text")})
+    size = items.agg(F.sum("_w")).first()[0] or 0
     n = -(-size // BLOCK_BYTES) or 1
+    if n > 1:
+        items = stage(ordinals(items, ["_h", "item_id", "text"], {"_w": "before"}), "benchmark")
     for k in range(n):
-        block = items if n == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        rows = [(r.item_id, r.text) for r in block.collect()]  # about BLOCK_BYTES
+        block = items if n == 1 else items.filter(F.floor(F.col("before") / BLOCK_BYTES) == k)
+        rows = [(r.item_id, r.text) for r in block.select("item_id", "text").collect()]  # BLOCK_BYTES and one item at most
         index = Index(rows, window, shingle)
         if len(index.start) or k == 0:
             index.rank(_frequencies(docs, index.grams()) if len(index.start) else None)

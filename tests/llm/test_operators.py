@@ -378,6 +378,18 @@ def _hits(docs, bench):
     return out
 
 
+def test_equal_benchmark_items_are_one(spark, frame, monkeypatch):
+    """100,000 equal rows and rows without an id are dealt as distinct items, in blocks of bounded size."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 3000)
+    item = " ".join(f"w{i}" for i in range(12))
+    same = spark.range(100_000).select(F.when(F.col("id") % 2 == 0, "q").alias("item_id"), F.lit(item).alias("text"))
+    more = spark.createDataFrame([(f"i{k}", " ".join(f"x{k}y{i}" for i in range(11))) for k in range(90)], "item_id string, text string")
+    sizes = [len(ix.start) for ix in decontaminate.indexes(frame([(1, item)]), same.unionByName(more))]
+    assert 2 < len(sizes) < 8
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in decontaminate.report(frame([(1, "a " + item), (2, "x7y0 " + " ".join(f"x7y{i}" for i in range(11))), (3, "clean")]), same.unionByName(more)).collect()}
+    assert got[1][0] == 12 and "q" in got[1][1] and got[2] == (11, ["i7"]) and got[3] == (0, [])
+
+
 @pytest.mark.parametrize("block", [1 << 24, 60])
 def test_decontamination(spark, frame, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)  # the second makes several passes

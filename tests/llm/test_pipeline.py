@@ -67,6 +67,8 @@ def test_every_stage_against_brute_force(spark, tmp_path):
     for k in range(4):  # near copies, of one line each, so that line dedup leaves them
         line = rng.choice(words, 120)
         rows += [(80 + 2 * k, " ".join(line)), (81 + 2 * k, " ".join([*line[:60], "other", *line[61:]]))]
+    lines = [prose(1) for _ in range(30)]  # two documents that differ in one of 30 lines: what is left of the second is near nothing
+    rows += [(90, "\n".join(lines)), (91, "\n".join([*lines[:12], prose(1), *lines[13:]]))]
     rows += [(40 + k, prose(5) + "\n" + items[k][1] + "\n" + prose(2)) for k in range(3)] + [(45, prose(6) + " " + " ".join(items[3][1].split()[:9]))]
     rows += [(50 + k, prose(3) + "\n" + shared + "\n" + prose(3)) for k in range(4)] + [(2, rows[2][1]), (60, rows[2][1])]
     rows += [(70, None), (71, ""), (72, "too short"), (73, "same words the of " * 40), (74, prose(2000)), (None, prose(9)), (75, prose(6) + " !!" * 60)]
@@ -84,9 +86,9 @@ def test_every_stage_against_brute_force(spark, tmp_path):
     now, docs = told(corpus_pipeline.keep_good(spark, docs, sf))
     assert Counter(now) == Counter(want) and {70, 71, 72, 73, 75}.isdisjoint(k for k, _ in now) and 74 in {k for k, _ in now}
     cut = _line_brute(now, line_dedup.MIN_CHARS, line_dedup.WINDOW)
-    want = Counter({(k, t): n for (k, t, lines, gone), n in cut.items() if gone == 0 or gone < lines})
+    want = Counter({(k, t): n for (k, t, lines, gone), n in cut.items() if gone == 0 or gone < lines and lines - gone >= 0.2 * lines})
     now, docs = told(corpus_pipeline.drop_repeated_lines(spark, docs, sf))
-    assert Counter(now) == want and sum(shared in t for _, t in now) == 1 and 60 not in {k for k, _ in now}
+    assert Counter(now) == want and sum(shared in t for _, t in now) == 1 and {60, 91}.isdisjoint(k for k, _ in now) and 90 in {k for k, _ in now}
     classes = _near_brute(now)
     now_kept, docs = told(corpus_pipeline.drop_near_duplicates(spark, docs, sf))
     assert {k for k, _ in now_kept if k is not None} == {c for _, c in classes if c is not None} and set(now_kept) <= set(now) and len(now_kept) < len(now)
@@ -111,7 +113,7 @@ def test_every_stage_against_brute_force(spark, tmp_path):
 def test_queries_of_the_package_run_at_the_smallest_scale(spark):
     from folioscan.llm.queries import QUERIES
 
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     for name in ("op1_suffix_array_dedup", "op7_probminhash_classes", "op10_bradley_terry_quality"):
         assert QUERIES[name](spark, SF).count() == 200
 

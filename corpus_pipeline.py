@@ -28,13 +28,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(pick(docs, *COLUMNS))
 
 
+#: Share of its lines with text that must be left of a document that lost lines.
+LEAST_LEFT = 0.2
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of lines or runs of lines that have 60 characters or 8 lines; n_chars follows the text.
 
-    A document of which no line is left goes; a null, empty or blank text has no lines to lose and stays. Of repeated
-    rows the first stays. Order, and so which copy is the first: null doc_ids, then ascending doc_id, then the text's hash.
+    A document of which less than a fifth of its lines is left goes: what it says stands elsewhere, and the rest is near
+    nothing any more, so that no later stage could tell. A null, empty or blank text has no lines to lose and stays. Of
+    repeated rows the first stays. Order, and so which copy is the first: null doc_ids, then ascending doc_id, then the
+    text's hash.
     """
-    cut = line_dedup.dedup_lines(pick(docs, *COLUMNS)).filter("_n_removed = 0 or _n_removed < _n_lines")
+    left = F.col("_n_lines") - F.col("_n_removed")
+    cut = line_dedup.dedup_lines(pick(docs, *COLUMNS)).filter((F.col("_n_removed") == 0) | ((left > 0) & (left >= LEAST_LEFT * F.col("_n_lines"))))
     n_chars = F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n_chars).select(*COLUMNS)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,8 +53,8 @@ def assign_blocks(cells: DataFrame, keys: list[str], ident: str, t: Thresholds =
         p = p.sort_values(ident).reset_index(drop=True)
         columns = [None if pd.isna(a) or pd.isna(b) else (a, b) for a, b in zip(p.table_id, p.column_id, strict=True)] if tabled else None
         blocks = kernels.split_iteratively(((p.x0 + p.x1) / 2).to_numpy(), ((p.y0 + p.y1) / 2).to_numpy(), t.v_eps, t.h_eps, t.passes, compat, columns)
-        parts = [p.iloc[b].assign(block_id=k) for k, b in enumerate(blocks)]
-        return pd.concat(parts) if parts else p.iloc[:0].assign(block_id=pd.Series(dtype="int"))
+        rows = np.array([i for b in blocks for i in b], np.int64)
+        return p.take(rows).assign(block_id=np.repeat(np.arange(len(blocks), dtype=np.int32), [len(b) for b in blocks]))
 
     return cells.groupBy(*keys).applyInPandas(kernel, schema)
 

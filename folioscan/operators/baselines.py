@@ -53,11 +53,23 @@ def _edges(weight: Column, block: bool, sides: list[str]) -> Column:
     return F.explode(F.array(*[one(s) for s in sides])).alias("e")
 
 
-def covered(spans: Column) -> Column:
-    """Length of the union of an array of (lo, hi) in ascending order."""
-    zero = F.struct(F.lit(0.0).alias("n"), F.lit(float("-inf")).alias("end"))
-    step = lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0.0), x["hi"] - F.greatest(x["lo"], s["end"]))).alias("n"), F.greatest(s["end"], x["hi"]).alias("end"))
-    return F.aggregate(spans, zero, step, lambda s: s["n"])
+def added(lo: Column, hi: Column, keys: list[str], counted: Column | None = None) -> Column:
+    """What a span adds to the union of the spans before it, by lo and hi, among rows of equal keys; the sum is the union's length.
+
+    counted: only these spans count; the others get null.
+    """
+    ahead = Window.partitionBy(*keys).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
+    end = hi if counted is None else F.when(counted, hi)
+    more = F.greatest(F.lit(0.0), hi - F.greatest(lo, F.coalesce(F.max(end).over(ahead), lo)))
+    return more if counted is None else F.when(counted, more)
+
+
+def union_of_spans(rows: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
+    """(keys, covered, runs): length of the union of the spans of equal keys, and how many stretches it has (touching ones are one)."""
+    ahead = Window.partitionBy(*keys).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
+    new = F.coalesce(F.col(lo) > F.max(hi).over(ahead), F.lit(True))
+    placed = rows.select(*keys, lo, hi).withColumn("_new", new.cast("int")).withColumn("_added", added(F.col(lo), F.col(hi), keys))
+    return placed.groupBy(*keys).agg(F.sum("_added").alias("covered"), F.sum("_new").alias("runs"))
 
 
 def clusters(cells: DataFrame, keys: list[str], blocks: DataFrame | None = None, width: float = 612.0, height: float = 792.0, t: Limits = Limits()) -> DataFrame:
@@ -77,18 +89,23 @@ def clusters(cells: DataFrame, keys: list[str], blocks: DataFrame | None = None,
         e = e.filter(near("left") & near("right")).withColumn("seeded", F.col("left").isNotNull()).drop("left", "right")
         weight = F.least(F.lit(t.weight_cap), F.greatest(F.lit(1), "line_count"))
         e = e.unionByName(blocks.select(*keys, _edges(weight, True, ["left", "right"])).select(*keys, "e.*").withColumn("seeded", F.lit(True)))
-    spans = lambda only: F.sort_array(F.collect_list(F.when(only, F.struct("lo", "hi"))))
-    c = e.groupBy(*keys, "side", F.bround("edge").alias("bucket")).agg(
+    # what a span adds to those before it in its bucket: the union's length is a sum, and no array is made for it
+    e = e.withColumn("bucket", F.bround("edge"))
+    bucket = [*keys, "side", "bucket"]
+    e = e.withColumn("_all", added(F.col("lo"), F.col("hi"), bucket)).withColumn("_own", added(F.col("lo"), F.col("hi"), bucket, F.col("block")))
+    own = F.sum("_own").isNotNull()
+    c = e.groupBy(*keys, "side", "bucket").agg(
         F.count("*").alias("n"), F.sum("w").alias("count"), (F.sum(F.col("edge") * F.col("w")) / F.sum("w")).alias("value"), F.sum(F.when(F.col("block"), F.col("w")).otherwise(0)).alias("block_support"),
-        F.bool_or("seeded").alias("seeded"), spans(F.lit(True)).alias("all"), spans(F.col("block")).alias("of_blocks"),
+        F.bool_or("seeded").alias("seeded"), F.coalesce(F.sum("_own"), F.sum("_all")).alias("covered"), own.alias("own"), F.collect_list(F.struct("lo", "hi", "block")).alias("all"),
         F.sum("w").alias("s0"), F.sum(F.col("w") * F.col("centre")).alias("s1"), F.sum(F.col("w") * F.col("centre") * F.col("centre")).alias("s2"),
     )
     across = F.col("side").isin("left", "right")
     c = c.filter(F.when(across, (F.col("count") >= t.min_weight) & (~F.col("seeded") | (F.col("block_support") > 0))).otherwise(F.col("n") >= t.min_horizontal))
-    c = c.withColumn("spans", F.when(F.size("of_blocks") > 0, F.col("of_blocks")).otherwise(F.col("all"))).drop("all", "of_blocks", "n")
+    own = F.col("own")
+    c = c.withColumn("spans", F.filter("all", lambda x: ~own | x["block"])).drop("all", "own", "n")
     extent = F.when(across, height).otherwise(width)
     position = F.when(across, g.page_position(F.col("value"), F.lit(width), ("page_left", "mid_page", "page_right"))).otherwise(g.page_position(F.col("value"), F.lit(height), ("page_top", "mid_page", "page_bottom")))
-    return c.withColumn("coverage", F.round(F.least(F.lit(1.0), covered(F.col("spans")) / extent), 3)).withColumn("page_position", position)
+    return c.withColumn("coverage", F.round(F.least(F.lit(1.0), F.col("covered") / extent), 3)).withColumn("page_position", position).drop("covered")
 
 
 _BASELINE = "side string, value double, page_position string, count long, block_support long, coverage double, s0 long, s1 double, s2 double"
@@ -106,7 +123,7 @@ def detect(cells: DataFrame, keys: list[str], blocks: DataFrame | None = None, w
     def kernel(p: pd.DataFrame) -> pd.DataFrame:
         rows = p.drop(columns=["bucket"]).to_dict("records")
         for r in rows:
-            r["spans"] = [] if compat and r["side"] == "right" else [(s["lo"], s["hi"]) for s in r["spans"]]
+            r["spans"] = [] if compat and r["side"] == "right" else sorted((s["lo"], s["hi"]) for s in r["spans"])
             r["coverage"] = 0.0 if compat and r["side"] == "right" else r["coverage"]
         upright = kernels.chain_merge([r for r in rows if r["side"] in ("left", "right")], t.merge_distance, t.merge_overlap)
         for r in upright:

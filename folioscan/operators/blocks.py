@@ -61,41 +61,55 @@ def classify_cells(cells: DataFrame, baselines: DataFrame, keys: list[str], t: L
 # --- detection ------------------------------------------------------------------------------------------------------------
 
 
-def near_pairs(boxes: np.ndarray, vertical: bool, align_fraction: float, radius: int) -> list[tuple[int, int, float]]:
-    """(i, j, gap) of boxes in neighbouring cells of the page's grid that overlap enough on the other axis."""
+#: Comparisons made at once.
+_AT_ONCE = 1 << 18
+
+
+def near_pairs(boxes: np.ndarray, vertical: bool, align_fraction: float, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, gap) of boxes i < j in neighbouring cells of the page's grid that overlap enough on the other axis.
+
+    Boxes go in order of their first row; a box is compared with those behind it whose first row is near its last one,
+    some boxes at a time.
+    """
     size = np.median(np.maximum(boxes[:, 2:] - boxes[:, :2], 1e-12), axis=0)
-    low = np.floor((boxes[:, :2] - boxes[:, :2].min(axis=0)) / size).astype(int)
-    high = np.floor((boxes[:, 2:] - boxes[:, :2].min(axis=0)) / size).astype(int)
-    rows: dict[int, list[int]] = {}
-    for i, (a, b) in enumerate(zip(low[:, 1].tolist(), high[:, 1].tolist(), strict=True)):
-        for y in range(a, b + 1):
-            rows.setdefault(y, []).append(i)
+    low, high = (np.floor((x - boxes[:, :2].min(axis=0)) / size).astype(np.int64) for x in (boxes[:, :2], boxes[:, 2:]))
+    order = np.argsort(low[:, 1], kind="stable")
+    ends = np.searchsorted(low[order, 1], high[order, 1] + radius, "right")
     main, other = (1, 0) if vertical else (0, 1)
-    out = []
-    for i in range(len(boxes)):
-        near = {j for y in range(low[i, 1] - radius, high[i, 1] + radius + 1) for j in rows.get(y, ()) if j > i}
-        j = np.array(sorted(near), int)
-        j = j[(low[j, 0] <= high[i, 0] + radius) & (high[j, 0] >= low[i, 0] - radius)]
+    out, n, at = [], len(boxes), 0
+    while at < n:
+        counts = ends[at:] - np.arange(at + 1, n + 1)
+        stop = at + max(1, int(np.searchsorted(np.cumsum(counts), _AT_ONCE, "right")))
+        counts = counts[: stop - at]
+        total = int(counts.sum())
+        a = np.repeat(np.arange(at, stop), counts)
+        b = a + 1 + np.arange(total) - np.repeat(np.cumsum(counts) - counts, counts)
+        a, b = order[a], order[b]
+        i, j = np.minimum(a, b), np.maximum(a, b)
+        ok = (low[j, 0] <= high[i, 0] + radius) & (high[j, 0] >= low[i, 0] - radius)
+        i, j = i[ok], j[ok]
         shared = np.maximum(0, np.minimum(boxes[i, other + 2], boxes[j, other + 2]) - np.maximum(boxes[i, other], boxes[j, other]))
         narrow = np.minimum(boxes[i, other + 2] - boxes[i, other], boxes[j, other + 2] - boxes[j, other])
         ok = (narrow > 0) & (shared >= align_fraction * narrow)
-        gap = np.maximum(0, np.maximum(boxes[j, main] - boxes[i, main + 2], boxes[i, main] - boxes[j, main + 2]))
-        out += [(i, int(k), float(d)) for k, d in zip(j[ok], gap[ok], strict=True)]
-    return out
+        i, j = i[ok], j[ok]
+        out.append((i, j, np.maximum(0, np.maximum(boxes[j, main] - boxes[i, main + 2], boxes[i, main] - boxes[j, main + 2]))))
+        at = stop
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def spacing_of(n: int, pairs: list[tuple[int, int, float]]) -> float:
+def spacing_of(n: int, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
     """Median of the smallest positive gaps, 0 without any."""
+    i, j, d = (x[pairs[2] > 0] for x in pairs)
     least = np.full(n, np.inf)
-    for i, j, d in pairs:
-        if d > 0:
-            least[i], least[j] = min(least[i], d), min(least[j], d)
+    np.minimum.at(least, i, d)
+    np.minimum.at(least, j, d)
     found = least[np.isfinite(least)]
     return float(np.median(found)) if len(found) else 0.0
 
 
-def _clusters(n: int, pairs: list[tuple[int, int, float]], cutoff: float) -> list[list[int]]:
-    label = kernels.find_components(n, [(i, j) for i, j, d in pairs if d <= cutoff])
+def _clusters(n: int, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], cutoff: float) -> list[list[int]]:
+    i, j, d = pairs
+    label = kernels.find_components(n, list(zip(i[d <= cutoff].tolist(), j[d <= cutoff].tolist(), strict=True)))
     return [np.flatnonzero(label == k).tolist() for k in np.unique(label)]
 
 
@@ -133,6 +147,9 @@ def find_blocks(boxes: np.ndarray, kinds: list[str], values: list[float], left:
     cutoff = max(t.spacing_multiplier * typical, t.min_cutoff) if typical > 0 else t.fallback_gap
     accepted, reasons = [], []
     for cluster in _clusters(len(boxes), pairs, cutoff):
+        if len(cluster) == 1 < t.min_lines:
+            reasons.append("below_min_lines")
+            continue
         part = np.array(cluster)
         inner = near_pairs(boxes[part], False, t.align_fraction, t.radius)
         apart = spacing_of(len(part), inner)
@@ -186,6 +203,22 @@ def identify(cells: DataFrame, baselines: DataFrame, keys: list[str], ident: str
     return placed.groupBy(*keys).applyInPandas(kernel, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + _BLOCK)
 
 
+def iterative(cells: DataFrame, keys: list[str], ident: str = "box_id", v_eps: float = 12.0, h_eps: float = 40.0, passes: int = 3) -> DataFrame:
+    """(keys, block_id, cell_count, box) of the blocks of kernels.split_iteratively."""
+    kinds = dict(cells.dtypes)
+
+    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values(ident)
+        box = p[["x0", "y0", "x1", "y1"]].to_numpy(float)
+        found = kernels.split_iteratively((box[:, 0] + box[:, 2]) / 2, (box[:, 1] + box[:, 3]) / 2, v_eps, h_eps, passes)
+        page = tuple(p[k].iloc[0] for k in keys)
+        rows = [(*page, k, len(b), *box[b, :2].min(axis=0).tolist(), *box[b, 2:].max(axis=0).tolist()) for k, b in enumerate(found)]
+        return pd.DataFrame(rows, columns=[*keys, "block_id", "cell_count", "x0", "y0", "x1", "y1"])
+
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", block_id long, cell_count long, x0 double, y0 double, x1 double, y1 double"
+    return cells.select(*keys, ident, "x0", "y0", "x1", "y1").groupBy(*keys).applyInPandas(kernel, schema)
+
+
 # --- refinement -----------------------------------------------------------------------------------------------------------
 
 

@@ -47,12 +47,18 @@ def components(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("pag
 
 
 def fold_lines(centers: np.ndarray, tolerance: float = 1.5) -> np.ndarray:
-    """Line number of each cell, given ascending centres: the first line whose running mean is within tolerance."""
+    """Line number of each cell, given ascending centres: the first line whose running mean is within tolerance.
+
+    A line that a centre has left behind is met by none of those after it.
+    """
     sums: list[float] = []
     counts: list[int] = []
     out = np.empty(len(centers), np.int64)
-    for i, c in enumerate(centers):
-        for k in range(len(sums)):
+    first = 0
+    for i, c in enumerate(np.asarray(centers, float).tolist()):
+        while first < len(sums) and c - sums[first] / counts[first] > tolerance:
+            first += 1
+        for k in range(first, len(sums)):
             if abs(c - sums[k] / counts[k]) <= tolerance:
                 break
         else:

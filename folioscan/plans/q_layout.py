@@ -191,14 +191,7 @@ def two_stage_blocks(spark, d):
 @query()
 def iterative_blocks(spark, d):
     """Alternating splits along y, x, y with the noise rules of kernels.split_iteratively."""
-
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("box_id").reset_index(drop=True)
-        blocks = kernels.split_iteratively(((p.x0 + p.x1) / 2).to_numpy(), ((p.y0 + p.y1) / 2).to_numpy())
-        rows = [(p.page_ix[0], k, len(b), p.x0[b].min(), p.y0[b].min(), p.x1[b].max(), p.y1[b].max()) for k, b in enumerate(blocks)]
-        return pd.DataFrame(rows, columns=["page_ix", "block_id", "cell_count", "x0", "y0", "x1", "y1"])
-
-    return kernels.per_page(v.boxes(spark, d), ["page_ix"], kernel, "page_ix long, block_id long, cell_count long, x0 double, y0 double, x1 double, y1 double")
+    return blocks.iterative(v.boxes(spark, d), ["page_ix"])
 
 
 @query(f"""with {v.BOXES}, t as (select page_ix, y0, count(*) as cells, min(x0) as left_edge from boxes group by 1, 2)
@@ -293,12 +286,9 @@ _COVER = "s as (select page_ix, round_even(x0, 0) as bucket, y0 as lo, y1 as hi,
 select page_ix, bucket, cast(sum(len) as double) as covered, round(least(1.0, sum(len) / 720), 6) as coverage, count(*) as runs from c group by 1, 2""")
 def baseline_coverage_union(spark, d):
     """Length of the union of the vertical spans of the boxes on a left edge, and its share of the page."""
-    s = v.boxes(spark, d).select("page_ix", F.bround("x0").alias("bucket"), F.col("y0").alias("lo"), F.col("y1").alias("hi"), "box_id")
-    w = Window.partitionBy("page_ix", "bucket").orderBy("lo", "hi", "box_id")
-    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    runs = s.withColumn("_n", F.when(F.col("lo") <= reach, 0).otherwise(1)).withColumn("run", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    c = runs.groupBy("page_ix", "bucket", "run").agg((F.max("hi") - F.min("lo")).alias("len"))
-    return c.groupBy("page_ix", "bucket").agg(F.sum("len").alias("covered"), F.round(F.least(F.lit(1.0), F.sum("len") / 720), 6).alias("coverage"), F.count("*").alias("runs"))
+    s = v.boxes(spark, d).select("page_ix", F.bround("x0").alias("bucket"), F.col("y0").alias("lo"), F.col("y1").alias("hi"))
+    u = baselines.union_of_spans(s, ["page_ix", "bucket"])
+    return u.withColumn("coverage", F.round(F.least(F.lit(1.0), F.col("covered") / 720), 6))
 
 
 @query(f"with {v.BOXES}, {_EDGES} select page_ix, side, bucket, consistency from sc")
@@ -449,15 +439,38 @@ def alignment_deviations(spark, d):
     return j.filter(F.abs(F.col("actual") - F.col("baseline")) > 5).select("page_ix", "box_id", "block", F.col("baseline").alias("expected"), "actual", F.round(F.col("actual") - F.col("baseline"), 2).alias("deviation"))
 
 
-@query(f"""with {v.BOXES}, {_BLOCKS}, dv as (
-  select k.page_ix, k.block, k.aligned, count(*) as n, max(abs(b.x0 - k.baseline)) as largest from boxes b join blocks k on b.page_ix = k.page_ix and floor(b.x0 / 100) = k.block where abs(b.x0 - k.baseline) > 5 group by 1, 2, 3)
-select page_ix, block, n, largest, case when largest > 10 or (n >= 2 and aligned >= 0.9) then 'HIGH' when largest > 5 then 'MEDIUM' else 'LOW' end as severity from dv where aligned >= 0.3""")
+#: Orders as two columns of cells, one aligned left and one right; some cells are moved off their edge, on some pages most.
+_LINED = """lined as (select cast(o_orderkey // 40 as bigint) as page_ix, o_orderkey as box_id, o_orderkey % 2 as col, o_orderpriority as text, x0, x0 + w as x1, cast(o_orderkey % 40 * 14 as double) as y0, cast(o_orderkey % 40 * 14 + 10 as double) as y1
+  from (select *, case when o_orderkey % 2 = 0 then 40 + move else 300 - move - w end as x0 from (select *, cast(6 * length(o_orderpriority) as double) as w,
+    cast(case when o_custkey % case when o_orderkey // 40 % 7 = 0 then 2 else 17 end = 0 then o_custkey % 5 * 4 else 0 end as double) as move from orders)))"""
+
+
+def _lined(spark, d) -> DataFrame:
+    o = v.table(spark, d, "orders")
+    often = F.when(F.floor(F.col("o_orderkey") / 40) % 7 == 0, F.col("o_custkey") % 2).otherwise(F.col("o_custkey") % 17) == 0
+    move, w = F.when(often, F.col("o_custkey") % 5 * 4).otherwise(0).cast("double"), (6 * F.length("o_orderpriority")).cast("double")
+    x0 = F.when(F.col("o_orderkey") % 2 == 0, 40 + move).otherwise(300 - move - w)
+    y0 = (F.col("o_orderkey") % 40 * 14).cast("double")
+    return o.select(F.floor(F.col("o_orderkey") / 40).cast("long").alias("page_ix"), F.col("o_orderkey").alias("box_id"), (F.col("o_orderkey") % 2).alias("block_id"), F.col("o_orderpriority").alias("text"), x0.alias("x0"), (x0 + w).alias("x1"), y0.alias("y0"), (y0 + 10).alias("y1"))
+
+
+_OFF = _TYPED.replace("cast(floor(x0 / 100) as bigint) as block", "col as block").replace("from boxes", "from lined") + """, off as (
+  select l.page_ix, l.box_id, l.text, k.block, k.alignment, k.share, k.baseline, round(case k.alignment when 'left' then l.x0 else l.x1 end - k.baseline, 2) as deviation from lined l join typed k on l.page_ix = k.page_ix and l.col = k.block where k.alignment in ('left', 'right') and k.share >= 0.7),
+dv as (select *, count(*) over (partition by page_ix, block) as n, max(abs(deviation)) over (partition by page_ix, block) as largest from off where abs(deviation) > 5)"""
+
+
+@query(f"""with {_LINED}, {_OFF} select page_ix, block, box_id, text, alignment, baseline as expected, deviation, case when largest > 10 or (n >= 2 and share >= 0.9) then 'HIGH' when largest > 5 then 'MEDIUM' else 'LOW' end as severity from dv""")
+def column_anomalies(spark, d):
+    """Cells off the edge that most of their column shares, with the column's severity."""
+    cells = _lined(spark, d)
+    found = alignment.column_anomalies(cells, alignment.block_alignment(cells, ["page_ix"], "box_id"), ["page_ix"], "box_id")
+    return found.withColumnRenamed("block_id", "block")
+
+
+@query(f"""with {_LINED}, {_OFF} select page_ix, block, count(*) as n, max(largest) as largest, max(case when largest > 10 or (n >= 2 and share >= 0.9) then 'HIGH' when largest > 5 then 'MEDIUM' else 'LOW' end) as severity from dv group by 1, 2""")
 def alignment_severity(spark, d):
-    j = v.boxes(spark, d).select("page_ix", F.floor(F.col("x0") / 100).cast("long").alias("block"), F.col("x0").alias("bx")).join(columns(spark, d).filter("aligned >= 0.3").select("page_ix", "block", "baseline", "aligned"), ["page_ix", "block"])
-    off = F.abs(F.col("bx") - F.col("baseline"))
-    s = j.filter(off > 5).groupBy("page_ix", "block", "aligned").agg(F.count("*").alias("n"), F.max(off).alias("largest"))
-    severity = F.when((F.col("largest") > 10) | ((F.col("n") >= 2) & (F.col("aligned") >= 0.9)), "HIGH").when(F.col("largest") > 5, "MEDIUM").otherwise("LOW")
-    return s.select("page_ix", "block", "n", "largest", severity.alias("severity"))
+    """The severity of each column that has cells off its edge."""
+    return column_anomalies(spark, d).groupBy("page_ix", "block").agg(F.count("*").alias("n"), F.max(F.abs("deviation")).alias("largest"), F.first("severity").alias("severity"))
 
 
 _IOU_BLOCKS = "(least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))"

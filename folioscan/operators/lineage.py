@@ -1,19 +1,32 @@
-"""Cutting the lineage of tables that a loop builds upon themselves."""
+"""Cutting the lineage of tables that a loop builds upon themselves, and folders that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df from a checkpoint in the folder that spark.checkpoint.dir names; a local session without one gets a temporary folder."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local session without one gets a temporary folder, a cluster must name one."""
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not context.master.startswith("local"):
+    found = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(found or "file://" + tempfile.mkdtemp(prefix="folioscan-"))
+        found = "file://" + tempfile.mkdtemp(prefix="folioscan-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path of its own below the shared folder."""
+    return f"{shared_dir(spark)}/folioscan/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -27,5 +27,5 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    for name in ("q_layout", "q_text", "q_outliers", "q_elements", "q_results"):
+    for name in ("q_layout", "q_text", "q_outliers", "q_elements", "q_results", "q_colons"):
         importlib.import_module(f"folioscan.plans.{name}")

@@ -131,7 +131,9 @@ def nearest_centroids(features: DataFrame) -> DataFrame:
 
 
 def pairwise(x: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(((x[:, None, :] - x[None, :, :]) ** 2).sum(axis=2), 0))
+    """All distances of a document's rows, some rows at a time: the numbers of a row by themselves are never held for all pairs."""
+    step = max(1, (1 << 22) // max(1, x.size))
+    return np.concatenate([np.sqrt(((x[i : i + step, None, :] - x[None, :, :]) ** 2).sum(axis=2)) for i in range(0, max(1, len(x)), step)])
 
 
 def yeo_johnson(x: np.ndarray) -> tuple[np.ndarray, list[float]]:

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.operators import appearance, explain, outliers
+from folioscan.operators import appearance, clustering, explain, outliers
 from folioscan.plans import views as v
 from folioscan.plans.registry import query
 
@@ -169,3 +169,10 @@ def raster_statistics(spark, d):
     grey = F.transform("embedding", lambda x: F.least(F.lit(255.0), F.greatest(F.lit(0.0), 128 + 128 * x.cast("double"))))
     t = v.table(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 100).cast("long").alias("doc"), F.col("vec_id").alias("id"), grey.alias("pixels"), F.lit(8).alias("height"), F.lit(8).alias("width"))
     return appearance.features(t, ["doc", "id"])
+
+
+@query()
+def kmeans_of_documents(spark, d):
+    """Three clusters of every document's rows, by rounds over all documents at once, with each row's distance to its centre."""
+    labelled, _ = clustering.kmeans(v.features(spark, d), 3)
+    return labelled.select("doc", "id", "label", F.sqrt("d").alias("distance"))

@@ -95,10 +95,20 @@ def levenshtein_ratio(a: Column, b: Column) -> Column:
     return levenshtein_similarity(normalize_clip(a), normalize_clip(b))
 
 
-def token_similarity(target: Column, other: Column, phrase: bool) -> Column:
-    """The best similarity of normalized target with other or one of its words; a phrase inside the other counts 1."""
-    whole = levenshtein_similarity(target, other)
-    best = F.greatest(whole, F.array_max(F.transform(F.split(other, " "), lambda w: levenshtein_similarity(target, w))))
+def _at_least(a: Column, b: Column, floor: float) -> Column:
+    """levenshtein_similarity, or 0 where lengths alone say that it is below floor; equal texts aren't compared."""
+    apart, longer = F.abs(F.length(a) - F.length(b)), F.greatest(F.length(a), F.length(b))
+    return F.when(a == b, 1.0).when(apart > (1 - floor) * longer + 1e-9, 0.0).otherwise(levenshtein_similarity(a, b))
+
+
+def token_similarity(target: Column, other: Column, phrase: bool, floor: float = 0.0) -> Column:
+    """The best similarity of normalized target with other or one of its words; a phrase inside the other counts 1.
+
+    floor: what is below may come out as 0; texts whose lengths rule it out aren't compared.
+    """
+    whole = _at_least(target, other, floor)
+    words = F.array_max(F.transform(F.split(other, " "), lambda w: _at_least(target, w, floor)))
+    best = F.when((target == other) | (F.instr(other, " ") == 0), whole).otherwise(F.greatest(whole, words))
     return F.when(other.contains(target) | target.contains(other), 1.0).otherwise(best) if phrase else best
 
 

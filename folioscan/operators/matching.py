@@ -53,7 +53,7 @@ def find_visible(cells: DataFrame, visible: DataFrame, mode: str = "phrase", key
     ks = list(keys)
     c = cells.select(*ks, ident, "x0", "y0", "x1", "y1", tx.normalize(F.col("text")).alias("_a")).filter("_a <> ''")
     o = visible.select(*[F.col(k).alias(f"_{k}") for k in ks], F.col(ident).alias("match"), *[F.col(x).alias(f"{x}_v") for x in ("x0", "y0", "x1", "y1")], tx.normalize(F.col("text")).alias("_b")).filter("_b <> ''")
-    near = _near(c, o, ks).withColumn("_s", tx.token_similarity(F.col("_a"), F.col("_b"), mode == "phrase"))
+    near = _near(c, o, ks).withColumn("_s", tx.token_similarity(F.col("_a"), F.col("_b"), mode == "phrase", lenient))
     place = F.when(F.col("_iou") >= min_iou, "iou").otherwise("overlap")
     reason = F.concat(F.when(F.col("_s") >= strict, "primary_").otherwise("lenient_"), place)
     return near.filter(F.col("_s") >= lenient).groupBy(*ks, ident).agg(F.min(F.struct("match", reason.alias("reason"))).alias("m")).select(*ks, ident, "m.match", "m.reason")
@@ -68,7 +68,7 @@ def not_visible(original: DataFrame, seen: DataFrame, keys: tuple[str, ...] = ("
 def hidden_text(original: DataFrame, visible: DataFrame, mode: str = "phrase", keys: tuple[str, ...] = ("doc_id", "page_ix"), ident: str = "cell_index", min_iou: float = 0.10) -> DataFrame:
     """Cells that the visible rendering lacks: under another cell that it has ('overlap'), or by themselves ('missing')."""
     ks = list(keys)
-    seen = find_visible(original, visible, mode, keys, ident, min_iou).select(*ks, ident)
+    seen = cut(find_visible(original, visible, mode, keys, ident, min_iou).select(*ks, ident))  # read three times
     texts = original.filter(~F.lower(F.trim("text")).isin("", "<unknown>", "unknown"))
     gone = not_visible(original, seen, keys, ident)
     pairs = spatial.overlapping_pairs(texts, min_iou, keys=keys, ident=ident)

@@ -203,6 +203,18 @@ def identify(cells: DataFrame, baselines: DataFrame, keys: list[str], ident: str
     return placed.groupBy(*keys).applyInPandas(kernel, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + _BLOCK)
 
 
+def fold(cells: DataFrame, keys: list[str], ident: str = "box_id", tolerance: float = 1.5) -> DataFrame:
+    """(keys, ident, line): lines of a page from the top, by the running mean of their cells' centres; equal centres in order of ident."""
+    kinds = dict(cells.dtypes)
+
+    def kernel(p: pd.DataFrame) -> pd.DataFrame:
+        p = p.assign(c=(p.y0 + p.y1) / 2).sort_values(["c", ident], kind="stable")
+        p["line"] = kernels.fold_lines(p.c.to_numpy(), tolerance)
+        return p[[*keys, ident, "line"]]
+
+    return cells.select(*keys, ident, "y0", "y1").groupBy(*keys).applyInPandas(kernel, ", ".join(f"{k} {kinds[k]}" for k in (*keys, ident)) + ", line long")
+
+
 def iterative(cells: DataFrame, keys: list[str], ident: str = "box_id", v_eps: float = 12.0, h_eps: float = 40.0, passes: int = 3) -> DataFrame:
     """(keys, block_id, cell_count, box) of the blocks of kernels.split_iteratively."""
     kinds = dict(cells.dtypes)

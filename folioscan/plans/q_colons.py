@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.operators import colons
+from folioscan.operators import colons, pairs
 from folioscan.plans import views as v
 from folioscan.plans.registry import query
 
@@ -51,3 +51,23 @@ def colon_findings(spark, d):
     pairs = _pairs(spark, d)
     found = colons.findings(pairs, ["page_ix"], _baselines(pairs))
     return found.select("page_ix", "pair_id", F.round("deviation", 6).alias("deviation"), "classification", "content_type", "weight", "severity", "reason")
+
+
+_PARTS = """parts as (select cast(o_orderkey // 40 as bigint) as page_ix, o_orderkey as pair_id, o_orderpriority as label, cast(40 + 6 * length(o_orderpriority) + 6 as double) as label_x1, o_orderstatus as a, printf('%.2f', o_totalprice) as b, 'no ' || o_custkey as c,
+  case when o_custkey % 4 = 0 then 25.0 else 5.0 end as gap from orders)"""
+
+
+@query(f"""with {_PARTS} select page_ix, pair_id, label, case when gap > 20 then a || ' ' || b else a || ' ' || b || ' ' || c end as value, cast(4 as double) as spacing,
+  label_x1 + 4 + 6 + 5 + 6 * length(b) + case when gap > 20 then 0 else gap + 6 * length(c) end as value_x1 from parts""")
+def chained_values(spark, d):
+    """Labels whose value is spread over three cells; where the last one is far off, the chain ends before it."""
+    o = v.table(spark, d, "orders")
+    page, row = F.floor(F.col("o_orderkey") / 40).cast("long"), (F.col("o_orderkey") % 40 * 14).cast("double")
+    label, price, number = F.concat("o_orderpriority", F.lit(":")), F.format_string("%.2f", "o_totalprice"), F.concat(F.lit("no "), F.col("o_custkey").cast("string"))
+    at = (40 + 6 * F.length(label)).cast("double")
+    first = at + 4
+    second = first + 6 + 5
+    third = second + 6 * F.length(price) + F.when(F.col("o_custkey") % 4 == 0, 25.0).otherwise(5.0)
+    cell = lambda k, text, x0: F.struct((F.col("o_orderkey") * 4 + k).alias("cell"), text.alias("text"), x0.alias("x0"), (x0 + 6 * F.length(text)).alias("x1"))
+    cells = o.select(page.alias("page_ix"), row.alias("y0"), F.explode(F.array(cell(0, label, F.lit(40.0)), cell(1, F.col("o_orderstatus"), first), cell(2, price, second), cell(3, number, third))).alias("c")).select("page_ix", "y0", "c.*")
+    return pairs.chained_pairs(cells, ["page_ix"], "cell").select("page_ix", F.floor(F.col("cell") / 4).cast("long").alias("pair_id"), "label", "value", "spacing", "value_x1")

@@ -343,13 +343,17 @@ def baseline_chain_merge(spark, d):
 @query(f"with {v.BOXES} select page_ix, box_id, cast(dense_rank() over (partition by page_ix order by y0) - 1 as bigint) as line from boxes")
 def fold_lines(spark, d):
     """Lines of a page by running mean of centres; rows of this layout lie 12 points apart, so each is a line."""
+    return blocks.fold(v.boxes(spark, d), ["page_ix"])
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.assign(c=(p.y0 + p.y1) / 2).sort_values(["c", "box_id"], kind="stable")
-        p["line"] = kernels.fold_lines(p.c.to_numpy())
-        return p[["page_ix", "box_id", "line"]]
 
-    return kernels.per_page(v.boxes(spark, d), ["page_ix"], kernel, "page_ix long, box_id long, line long")
+@query(f"""with recursive {v.BOXES}, low as (select page_ix, box_id, (y0 / 12 * 0.7 + y0 / 12 * 0.7 + 10) / 2 as c from boxes), o as (select *, row_number() over (partition by page_ix order by c, box_id) as k from low),
+t as (select page_ix, box_id, k, cast(0 as bigint) as line, c as s, cast(1 as bigint) as n from o where k = 1 union all select o.page_ix, o.box_id, o.k, case when o.c - s / n <= 1.5 then line else line + 1 end,
+  case when o.c - s / n <= 1.5 then s + o.c else o.c end, case when o.c - s / n <= 1.5 then n + 1 else 1 end from t join o on o.page_ix = t.page_ix and o.k = t.k + 1)
+select page_ix, box_id, line from t""")
+def fold_drifting_lines(spark, d):
+    """The same where rows lie 0.7 points apart, so that a line's mean drifts with what joins it."""
+    y0 = F.col("y0") / 12 * 0.7
+    return blocks.fold(v.boxes(spark, d).withColumns({"y0": y0, "y1": y0 + 10}), ["page_ix"])
 
 
 @query(f"""with {v.BOXES}, {v.BASELINES}

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.operators import appearance, clustering, explain, outliers
+from folioscan.operators import appearance, clustering, explain, outliers, power
 from folioscan.plans import views as v
 from folioscan.plans.registry import query
 
@@ -176,3 +176,10 @@ def kmeans_of_documents(spark, d):
     """Three clusters of every document's rows, by rounds over all documents at once, with each row's distance to its centre."""
     labelled, _ = clustering.kmeans(v.features(spark, d), 3)
     return labelled.select("doc", "id", "label", F.sqrt("d").alias("distance"))
+
+
+@query()
+def power_scores(spark, d):
+    """Every number of the feature rows transformed by its document's fitted power and standardised."""
+    f = v.features(spark, d)
+    return power.fit(f).transform(f).select("doc", "id", F.posexplode("x").alias("f", "z"))

@@ -138,3 +138,47 @@ def pack(pieces: DataFrame, limits: Limits = Limits(), groups: int = 8) -> DataF
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, limits: Limits = Limits()) -> DataFrame:
     """Every id of every document in exactly one piece, every piece in a sequence within the limits."""
     return pack(cut_documents(docs, tokenizer, end_id, limits), limits, max(1, docs.rdd.getNumPartitions()))
+
+
+def cut_conversations(conversations: DataFrame, tokenizer: str, end_id: int = 0, limits: Limits = Limits()) -> DataFrame:
+    """Pieces of formatted conversations (conv_id as doc_id), of which only the replies' ids bear loss.
+
+    Text between replies and replies are encoded apart, so that the mask ends where ids end. A piece ends where the next
+    id would exceed the limit on tokens or on loss.
+    """
+    from folioscan.llm.chat_format import format_conversations
+
+    spans = format_conversations(conversations)
+    edges = F.concat(F.flatten(F.transform("replies", lambda r: F.array(r["lo"], r["hi"]))), F.array(F.length("formatted").cast("long")))
+    segments = F.transform(edges, lambda e, i: F.substr(F.col("formatted"), (F.when(i > 0, F.get(edges, i - 1)).otherwise(0) + 1).cast("int"), (e - F.when(i > 0, F.get(edges, i - 1)).otherwise(0)).cast("int")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder(tokenizer, None)
+        for batch in batches:
+            rows = []
+            for key, parts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                flat, counts = enc.encode(parts.values)
+                bears = np.append(np.repeat(np.arange(len(counts)) % 2 == 1, counts), False)  # replies are every second part
+                ids = np.append(flat, end_id).astype("<u4")
+                total, at = np.concatenate(([0], np.cumsum(bears))), 0
+                while at < len(ids):
+                    stop = min(len(ids), at + limits.tokens, int(np.searchsorted(total, total[at] + limits.loss_tokens, "right")) - 1)
+                    rows.append((key, at, stop - at, int(total[stop] - total[at]), zlib.crc32(ids[at:stop].tobytes()), len(ids)))
+                    at = stop
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _PIECE, strict=True)], schema=pa.schema(_PIECE))
+
+    return spans.select(F.col("conv_id").cast("long").alias("doc_id"), segments.alias("parts")).mapInArrow(cut, _PIECE_DDL)
+
+
+def pack_conversations(conversations: DataFrame, tokenizer: str, end_id: int = 0, limits: Limits = Limits()) -> DataFrame:
+    """Every id of every formatted conversation in one piece, every piece in a sequence within the limits on tokens, segments and loss."""
+    return pack(cut_conversations(conversations, tokenizer, end_id, limits), limits, max(1, conversations.rdd.getNumPartitions()))
+
+
+def fullest(packed: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """(limit, sequences): by which limit sequences are closest to full; of equals the first of tokens, segments, loss_tokens."""
+    used = packed.groupBy("sequence_id").agg(F.sum("length").alias("tokens"), F.count("*").alias("segments"), F.sum("loss").alias("loss_tokens"))
+    names = ("tokens", "segments", "loss_tokens")
+    most = F.array_max(F.array(*[F.struct((F.col(n) / getattr(limits, n)).alias("share"), F.lit(-k).alias("k")) for k, n in enumerate(names)]))["k"]
+    return used.select(F.get(F.array(*map(F.lit, names)), -most).alias("limit")).groupBy("limit").agg(F.count("*").alias("sequences"))

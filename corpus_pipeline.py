@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscan.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules
-from folioscan.llm.common import pick, stage
+from folioscan.llm.common import let, pick, stage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -40,8 +40,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     repeated rows the first stays. Order, and so which copy is the first: null doc_ids, then ascending doc_id, then the
     text's hash.
     """
-    left = F.col("_n_lines") - F.col("_n_removed")
-    cut = line_dedup.dedup_lines(pick(docs, *COLUMNS)).filter((F.col("_n_removed") == 0) | ((left > 0) & (left >= LEAST_LEFT * F.col("_n_lines"))))
+    stays = let(F.struct("_n_lines", "_n_removed"), lambda n: (n["_n_removed"] == 0) | (n["_n_lines"] - n["_n_removed"] >= F.greatest(F.lit(1.0), LEAST_LEFT * n["_n_lines"])))
+    cut = line_dedup.dedup_lines(pick(docs, *COLUMNS)).filter(stays)
     n_chars = F.when(F.col("_n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return cut.withColumn("n_chars", n_chars).select(*COLUMNS)
 

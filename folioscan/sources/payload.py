@@ -138,6 +138,26 @@ def structure(payloads: DataFrame) -> DataFrame:
     return labelled.unionByName(gridded)
 
 
+def structure_blocks(payloads: DataFrame) -> DataFrame:
+    """Columns of tables and paragraphs as layout blocks: doc_id, page_ix, kind, table_id, column_ix, box, text (first 50 characters).
+
+    A table has the columns of its first row, each the union of its cells' boxes by their place in the row; page and box of
+    a paragraph are those of its first provenance that has a page. Blocks without a page or a box are left out.
+    """
+    at = lambda prov: F.get(F.filter(prov, lambda p: p["page_no"].isNotNull()), F.lit(0))
+    t = payloads.select("doc_id", F.posexplode("docling_document.tables").alias("table_id", "t")).select("doc_id", "table_id", _page_ix(at(F.col("t.prov"))["page_no"]).alias("page_ix"), F.size(F.get(F.col("t.data.grid"), F.lit(0))).alias("n"), F.explode("t.data.grid").alias("row"))
+    cells = _with_height(t.select("doc_id", "table_id", "page_ix", "n", F.posexplode("row").alias("column_ix", "c")).filter("column_ix < n"), payloads)
+    names = ("x0", "y0", "x1", "y1")
+    placed = cells.select("doc_id", "page_ix", "table_id", "column_ix", *[b.alias(n) for b, n in zip(rect_box(F.col("c.bbox"), height=F.col("_height")), names, strict=True)])
+    columns = placed.filter("x0 is not null").groupBy("doc_id", "page_ix", "table_id", "column_ix").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    columns = columns.select("doc_id", "page_ix", F.lit("table_column").alias("kind"), "table_id", "column_ix", *names, F.lit("").alias("text"))
+    x = payloads.select("doc_id", F.explode("docling_document.texts").alias("t")).select("doc_id", F.coalesce("t.text", F.lit("")).alias("text"), at(F.col("t.prov")).alias("p"))
+    x = _with_height(x.withColumn("page_ix", _page_ix(F.col("p.page_no"))), payloads)
+    none = F.lit(None).cast("int")
+    paragraphs = x.select("doc_id", "page_ix", F.lit("paragraph").alias("kind"), none.alias("table_id"), none.alias("column_ix"), *[b.alias(n) for b, n in zip(rect_box(F.col("p.bbox"), height=F.col("_height")), names, strict=True)], F.left("text", F.lit(50)).alias("text"))
+    return columns.unionByName(paragraphs).filter("page_ix is not null and x0 is not null and y0 is not null and x1 is not null and y1 is not null")
+
+
 def spans(payloads: DataFrame) -> DataFrame:
     """Text spans of type-0 blocks with unpacked colors, numbered through the page."""
     p = payloads.select("doc_id", F.explode("pages").alias("p"))

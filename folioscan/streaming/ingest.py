@@ -15,10 +15,12 @@ def payload_stream(spark: SparkSession, folder: str, schema: str = payload.PAYLO
     return raw.select("doc_id", F.from_json("value", schema).alias("p")).select("doc_id", "p.*")
 
 
-def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Append the cells of all files that are new since the last call to the Parquet table at out."""
+def write_epoch(cells: DataFrame, epoch: int, out: str) -> None:
+    """The cells as the partition of their epoch: a batch that is repeated after a failure replaces what it had written."""
+    cells.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_epoch").parquet(out)
 
-    def append(batch: DataFrame, epoch: int) -> None:
-        payload.cells(batch).withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(out)
 
-    return payload_stream(spark, folder).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
+    """The cells of all files that are new since the last call go to the Parquet table at out, once each."""
+    stream = payload_stream(spark, folder).writeStream.foreachBatch(lambda batch, epoch: write_epoch(payload.cells(batch), epoch, out))
+    return stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -139,6 +139,9 @@ def test_stream_takes_each_file_once(spark, tmp_path):
         _write(drop, f"d{n}.json", PAYLOAD)
         ingest.ingest(spark, str(drop), out, str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(out).count() == 4
+    again = payload.cells(payload.read(spark, str(drop / "d1.json")))
+    ingest.write_epoch(again, 1, out)  # a batch that is repeated takes its own place
+    assert spark.read.parquet(out).count() == 4 and spark.read.parquet(out).select("_epoch").distinct().count() == 2
 
 
 def test_hidden_text(spark):

@@ -86,13 +86,13 @@ _SIGNS = "case t.f " + " ".join(f"when {k} then case when m > a then '{hi}' else
 _TITLES = "case t.f " + " ".join(f"when {k} then '{explain.WORDS[n][0]}'" for k, n in enumerate(explain.NAMES)) + " end"
 
 
-@query(f"""with {v.FEATURES}, {_LONG}, {_CENTRES}, g as (select doc, f, avg(v) as a from long_rows where f < {len(explain.NAMES)} group by 1, 2), t as (select c.doc, c.cluster, c.f, c.m, g.a from c join g on c.doc = g.doc and c.f = g.f)
+@query(f"""with {v.FEATURES}, {_LONG}, {_CENTRES}, g as (select doc, f, avg(v) as a from long_rows group by 1, 2), t as (select c.doc, c.cluster, c.f, c.m, g.a from c join g on c.doc = g.doc and c.f = g.f)
 select doc, cluster, cast(f as integer) as f, {_TITLES} as name, {_SIGNS} as finding from t""")
 def feature_explanations(spark, d):
-    """For each cluster and each of the 26 appearance features (the first 26 numbers stand for them) in which direction it is off the document, in words."""
-    x = outliers.unpivot(v.features(spark, d)).filter(F.col("f") < len(explain.NAMES))
+    """For each cluster and each number in which direction it is off the document; the first 26 stand for the features that have words."""
+    x = outliers.unpivot(v.features(spark, d))
     j = x.groupBy("doc", "cluster", "f").agg(F.avg("v").alias("m")).join(x.groupBy("doc", "f").agg(F.avg("v").alias("a")), ["doc", "f"])
-    name = F.array(*[F.lit(n) for n in explain.NAMES])[F.col("f")]
+    name = F.coalesce(F.get(F.array(*[F.lit(n) for n in explain.NAMES]), F.col("f")), F.concat(F.lit("number_"), F.col("f").cast("string")))
     told = explain.explain(j.withColumn("feature", name), "feature", F.col("m") > F.col("a"))
     return told.select("doc", "cluster", "f", "name", "finding")
 

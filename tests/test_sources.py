@@ -144,6 +144,16 @@ def test_stream_takes_each_file_once(spark, tmp_path):
     assert spark.read.parquet(out).count() == 4 and spark.read.parquet(out).select("_epoch").distinct().count() == 2
 
 
+def test_listing_pending_and_first_match(spark, tmp_path):
+    for name in ("b c.pdf", "a+1.pdf", "Z.pdf", "a.txt"):
+        (tmp_path / name).write_bytes(b"x" * 3)
+    listed = payload.listing(spark, str(tmp_path))
+    assert {(r.doc_id, r.length) for r in listed.collect()} == {("b c", 3), ("a+1", 3), ("Z", 3)} and "content" not in listed.columns
+    done = spark.createDataFrame([("Z", 1), ("Z", 2)], "doc_id string, n int")
+    assert {r.doc_id for r in payload.pending(listed, done).collect()} == {"b c", "a+1"} and payload.pending(listed, done.limit(0)).count() == 3
+    assert payload.first_match(listed, "C").first().doc_id == "b c" and payload.first_match(listed, "").first().doc_id == "Z" and payload.first_match(listed, "nothing").count() == 0
+
+
 def test_hidden_text(spark):
     cell = lambda i, text, x0, x1: ("d", 0, i, text, float(x0), 0.0, float(x1), 10.0)
     schema = "doc_id string, page_ix int, cell_index int, text string, x0 double, y0 double, x1 double, y1 double"

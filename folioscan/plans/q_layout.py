@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as g
-from folioscan.operators import alignment, baselines, blocks, kernels, spatial
+from folioscan.operators import alignment, baselines, blocks, kernels, lookups, spatial
 from folioscan.plans import views as v
 from folioscan.plans.registry import query
 
@@ -152,26 +152,18 @@ _ISLANDS = """i as (select *, cast(sum(case when gap > {eps} or gap is null then
   select *, c - lag(c) over (partition by {keys} order by c, box_id) as gap from {source}))"""
 
 
-def islands(df: DataFrame, keys: list[str], value: str, eps: float, ident: str = "box_id", out: str = "island") -> DataFrame:
-    """One-dimensional density clusters of two or more: a gap above eps starts an island."""
-    w = Window.partitionBy(*keys).orderBy(value, ident)
-    gap = F.col(value) - F.lag(value).over(w)
-    started = df.withColumn("_s", F.when(gap.isNull() | (gap > eps), 1).otherwise(0))
-    return started.withColumn(out, F.sum("_s").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_s")
-
-
 @query(f"""with {v.BOXES}, b as (select *, (y0 + y1) / 2 as c from boxes), {_ISLANDS.format(eps=12, keys="page_ix", source="b")}
 select page_ix, island, count(*) as n, min(c) as low, max(c) as high from i group by 1, 2 having count(*) >= 2""")
 def islands_vertical(spark, d):
     b = v.boxes(spark, d).withColumn("c", (F.col("y0") + F.col("y1")) / 2)
-    return islands(b, ["page_ix"], "c", 12.0).groupBy("page_ix", "island").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n >= 2")
+    return lookups.islands(b, ["page_ix"], "c", 12.0).groupBy("page_ix", "island").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n >= 2")
 
 
 @query(f"""with {v.BOXES}, b as (select *, (x0 + x1) / 2 as c from boxes), {_ISLANDS.format(eps=40, keys="page_ix, y0", source="b")}
 select page_ix, y0, island, count(*) as n, min(c) as low, max(c) as high from i group by 1, 2, 3 having count(*) >= 2""")
 def islands_horizontal_in_band(spark, d):
     b = v.boxes(spark, d).withColumn("c", (F.col("x0") + F.col("x1")) / 2)
-    return islands(b, ["page_ix", "y0"], "c", 40.0).groupBy("page_ix", "y0", "island").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n >= 2")
+    return lookups.islands(b, ["page_ix", "y0"], "c", 40.0).groupBy("page_ix", "y0", "island").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("n >= 2")
 
 
 @query(f"""with {v.BOXES}, b as (select *, (y0 + y1) / 2 as c from boxes), {_ISLANDS.format(eps=12, keys="page_ix", source="b")},
@@ -181,10 +173,10 @@ j as (select *, cast(sum(case when gap > 40 or gap is null then 1 else 0 end) ov
 select page_ix, band, block, count(*) as cell_count, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1 from j group by 1, 2, 3 having count(*) >= 2""")
 def two_stage_blocks(spark, d):
     """Bands of centres along y, then groups along x in each band."""
-    b = islands(v.boxes(spark, d).withColumn("c", (F.col("y0") + F.col("y1")) / 2), ["page_ix"], "c", 12.0, out="band")
+    b = lookups.islands(v.boxes(spark, d).withColumn("c", (F.col("y0") + F.col("y1")) / 2), ["page_ix"], "c", 12.0, out="band")
     size = F.count("*").over(Window.partitionBy("page_ix", "band"))
     b = b.withColumn("_n", size).filter("_n >= 2").withColumn("c", (F.col("x0") + F.col("x1")) / 2)
-    j = islands(b, ["page_ix", "band"], "c", 40.0, out="block")
+    j = lookups.islands(b, ["page_ix", "band"], "c", 40.0, out="block")
     return j.groupBy("page_ix", "band", "block").agg(F.count("*").alias("cell_count"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))]).filter("cell_count >= 2")
 
 
@@ -197,18 +189,14 @@ def iterative_blocks(spark, d):
 @query(f"""with {v.BOXES}, t as (select page_ix, y0, count(*) as cells, min(x0) as left_edge from boxes group by 1, 2)
 select page_ix, y0, cells, y0 - lag(y0) over (partition by page_ix order by y0) as spacing from t""")
 def line_spacing(spark, d):
-    lines = v.boxes(spark, d).groupBy("page_ix", "y0").agg(F.count("*").alias("cells"))
-    return lines.withColumn("spacing", F.col("y0") - F.lag("y0").over(Window.partitionBy("page_ix").orderBy("y0")))
+    return lookups.line_spacing(v.boxes(spark, d), ["page_ix"])
 
 
 @query(f"""with {v.BOXES}, t as (select distinct page_ix, y0 from boxes), s as (select page_ix, y0 - lag(y0) over (partition by page_ix order by y0) as g from t),
 c as (select page_ix, round_even(g * 2, 0) / 2 as bucket, count(*) as n, avg(g) as mean from s where g is not null group by 1, 2)
 select page_ix, bucket as spacing, n, round(mean, 6) as mean from c qualify row_number() over (partition by page_ix order by n desc, bucket) = 1""")
 def spacing_mode(spark, d):
-    lines = v.boxes(spark, d).select("page_ix", "y0").distinct()
-    gaps = lines.select("page_ix", (F.col("y0") - F.lag("y0").over(Window.partitionBy("page_ix").orderBy("y0"))).alias("g")).filter("g is not null")
-    c = gaps.groupBy("page_ix", (F.bround(F.col("g") * 2) / 2).alias("spacing")).agg(F.count("*").alias("n"), F.round(F.avg("g"), 6).alias("mean"))
-    return c.withColumn("_r", F.row_number().over(Window.partitionBy("page_ix").orderBy(F.desc("n"), "spacing"))).filter("_r = 1").drop("_r")
+    return lookups.modal_spacing(v.boxes(spark, d), ["page_ix"]).withColumn("mean", F.round("mean", 6))
 
 
 _NEAR = """g as (select page_ix, median(greatest(1e-12, x1 - x0)) as cw, median(greatest(1e-12, y1 - y0)) as ch, min(x0) as mx, min(y0) as my from boxes group by 1),
@@ -361,9 +349,8 @@ select page_ix, box_id, bucket, round(dist, 6) as distance from (
   select b.page_ix, b.box_id, l.bucket, abs(b.x0 + 2 - l.value) as dist, row_number() over (partition by b.page_ix, b.box_id order by abs(b.x0 + 2 - l.value), l.bucket) as r
   from boxes b join baselines l on b.page_ix = l.page_ix and abs(b.x0 + 2 - l.value) <= 5) where r = 1""")
 def nearest_baseline(spark, d):
-    dist = F.abs(F.col("x0") + 2 - F.col("value"))
-    j = v.boxes(spark, d).join(v.baselines(spark, d), "page_ix").filter(dist <= 5)
-    return j.groupBy("page_ix", "box_id").agg(F.min(F.struct(dist.alias("d"), "bucket")).alias("m")).select("page_ix", "box_id", "m.bucket", F.round("m.d", 6).alias("distance"))
+    near = lookups.nearest_within(v.boxes(spark, d), v.baselines(spark, d), ["page_ix"], F.col("x0") + 2, 5.0, "bucket").filter("near is not null")
+    return near.select("page_ix", "box_id", F.col("near.label").alias("bucket"), F.round("near.distance", 6).alias("distance"))
 
 
 @query(f"""with {v.BOXES}, l as (select page_ix, round_even(y1, 0) as value, count(*) as n from boxes group by 1, 2 having count(*) >= 2)
@@ -372,18 +359,15 @@ def next_baseline_asof(spark, d):
     """The first baseline strictly below a box, found by merging both into one ordered sequence per page."""
     b = v.boxes(spark, d)
     lines = b.groupBy("page_ix", F.bround("y1").alias("value")).agg(F.count("*").alias("n")).filter("n >= 2")
-    both = b.select("page_ix", (F.col("y1") + 1).alias("at"), "box_id", F.lit(None).cast("double").alias("value")).unionByName(lines.select("page_ix", F.col("value").alias("at"), F.lit(None).cast("long").alias("box_id"), "value"))
-    w = Window.partitionBy("page_ix").orderBy("at", F.col("value").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    return both.withColumn("next_baseline", F.first("value", ignorenulls=True).over(w)).filter("box_id is not null").select("page_ix", "box_id", "next_baseline")
+    return lookups.next_baseline(b, lines, ["page_ix"], F.col("y1") + 1).withColumnRenamed("next", "next_baseline")
 
 
 @query(f"""with {v.BOXES}, {v.BASELINES}, o as (select page_ix, list(value order by n desc, bucket) as vs from baselines group by 1)
 select b.page_ix, b.box_id, list_filter(vs, lambda x: abs(b.x0 + 2 - x) <= 5)[1] as baseline, coalesce(len(list_filter(vs, lambda x: abs(b.x1 - x) < 1.5)) > 0, false) as right_aligned from boxes b left join o on b.page_ix = o.page_ix""")
 def baseline_first_within(spark, d):
     """The first baseline, in order of support, within five points; and whether the other edge meets any."""
-    o = v.baselines(spark, d).groupBy("page_ix").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "bucket", "value"))), lambda s: s["value"]).alias("vs"))
-    j = v.boxes(spark, d).join(o, "page_ix", "left")
-    return j.select("page_ix", "box_id", F.get(F.filter("vs", lambda x: F.abs(F.col("x0") + 2 - x) <= 5), F.lit(0)).alias("baseline"), F.coalesce(F.exists("vs", lambda x: F.abs(F.col("x1") - x) < 1.5), F.lit(False)).alias("right_aligned"))
+    j = lookups.first_within(v.boxes(spark, d), v.baselines(spark, d), ["page_ix"], F.col("x0") + 2, 5.0, [-F.col("n"), F.col("bucket")])
+    return j.select("page_ix", "box_id", F.col("first").alias("baseline"), F.coalesce(F.exists("lines", lambda x: F.abs(F.col("x1") - x) < 1.5), F.lit(False)).alias("right_aligned"))
 
 
 @query(f"""with {v.BOXES}, s as (
@@ -561,8 +545,7 @@ def refine_text_blocks(spark, d):
 
 @query(f"""with {v.BOXES} select page_ix, bucket, n, box_id from (select *, count(*) over (partition by page_ix, bucket) as n from (select page_ix, box_id, round_even(x1 * 0.67, 0) / 0.67 as bucket from boxes)) where n >= 2""")
 def right_aligned_values(spark, d):
-    b = v.boxes(spark, d).select("page_ix", "box_id", (F.bround(F.col("x1") * 0.67) / 0.67).alias("bucket"))
-    return b.withColumn("n", F.count("*").over(Window.partitionBy("page_ix", "bucket"))).filter("n >= 2")
+    return lookups.shared_right_edges(v.boxes(spark, d).select("page_ix", "box_id", "x1"), ["page_ix"]).drop("x1")
 
 
 @query(f"with {v.BOXES} select distinct page_ix, round(x0, 3) as x0, round(y0, 3) as y0, round(x1, 3) as x1, round(y1, 3) as y1 from boxes")
@@ -594,10 +577,7 @@ def cell_alignment(spark, d):
 @query(f"""with {v.BOXES} select b.page_ix, b.box_id, min(c.box_id) as value_box from boxes b left join boxes c on b.page_ix = c.page_ix and c.box_id > b.box_id and abs(c.y0 - b.y0) <= 3 and c.x0 > b.x0 and c.x0 - b.x1 <= 75 group by 1, 2""")
 def label_value_search(spark, d):
     """For each box the first later one in its row, to its right and at most 75 points away."""
-    b = v.boxes(spark, d).select("page_ix", "box_id", "x0", "x1", "y0")
-    c = b.select(F.col("page_ix").alias("_p"), F.col("box_id").alias("_id"), F.col("x0").alias("_x0"), F.col("y0").alias("_y0"))
-    after = (F.col("page_ix") == F.col("_p")) & (F.col("_id") > F.col("box_id")) & (F.abs(F.col("_y0") - F.col("y0")) <= 3) & (F.col("_x0") > F.col("x0")) & (F.col("_x0") - F.col("x1") <= 75)
-    return b.join(c, after, "left").groupBy("page_ix", "box_id").agg(F.min("_id").alias("value_box"))
+    return lookups.value_of_label(v.boxes(spark, d), ["page_ix"]).withColumnRenamed("value", "value_box")
 
 
 def _column_of_amounts(spark, d) -> DataFrame:

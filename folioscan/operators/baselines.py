@@ -175,3 +175,14 @@ def refine(baselines: DataFrame, keys: list[str], width: float = 612.0, height:
     """The retained baselines; rank: by falling confidence, then count, then as before."""
     kept = judged(baselines, width, height, t).filter("retained").drop("reasons", "retained")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confidence"), F.desc("count"), "rank")))
+
+
+def samples(cells: DataFrame, baselines: DataFrame, keys: list[str], ident: str = "box_id", keep: int = 30) -> DataFrame:
+    """baselines (keys, side, bucket, ...) with samples: the first `keep` cells, by place along them, whose edge is in their bucket.
+
+    With `judged` baselines that is what speaks for those retained and those turned down alike.
+    """
+    e = cells.select(*keys, ident, "x0", "y0", "x1", "y1").select(*keys, ident, _edges(F.lit(1), False, list(SIDES))).select(*keys, ident, F.col("e.side").alias("side"), F.bround("e.edge").alias("bucket"), F.col("e.lo").alias("lo"))
+    ranked = e.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "side", "bucket").orderBy("lo", ident))).filter(F.col("_k") <= keep)
+    first = ranked.groupBy(*keys, "side", "bucket").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", ident))), lambda x: x[ident]).alias("samples"))
+    return baselines.join(first.toDF(*keys, "side", "bucket", "samples"), [*keys, "side", "bucket"], "left")

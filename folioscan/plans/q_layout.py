@@ -311,6 +311,15 @@ def top_baselines(spark, d):
     return j.withColumn("rank", F.row_number().over(Window.partitionBy("page_ix").orderBy(F.desc("confidence"), F.desc("count"), "side", "bucket"))).filter("rank <= 10").select("page_ix", "side", "bucket", "confidence", "rank")
 
 
+@query(f"""with {v.BOXES}, {_EDGES}, ix as (select page_ix, box_id, unnest(['left', 'right', 'top', 'bottom']) as side, round_even(unnest([x0, x1, y0, y1]), 0) as bucket, unnest([y0, y0, x0, x0]) as lo from boxes),
+top as (select * from ix qualify row_number() over (partition by page_ix, side, bucket order by lo, box_id) <= 3)
+select sc.page_ix, sc.side, sc.bucket, n as count, string_agg(cast(box_id as varchar), ' ' order by lo, box_id) as samples from sc join top on top.page_ix = sc.page_ix and top.side = sc.side and top.bucket = sc.bucket group by all""")
+def baseline_samples(spark, d):
+    """The first three boxes on each edge that many boxes share."""
+    s = baselines.samples(v.boxes(spark, d), _clusters(spark, d), ["page_ix"], keep=3)
+    return s.select("page_ix", "side", "bucket", "count", F.array_join(F.transform("samples", lambda x: x.cast("string")), " ").alias("samples"))
+
+
 @query()
 def baseline_suppression(spark, d):
     """Horizontal baselines left after greedy suppression within five points."""

@@ -127,6 +127,28 @@ def nearest_centroids(features: DataFrame) -> DataFrame:
     return p.groupBy("doc", "cluster").agg(F.min(F.struct("dist", "other")).alias("s")).select("doc", "cluster", F.col("s.other").alias("nearest"), F.col("s.dist").alias("dist"))
 
 
+def anomalous_features(features: DataFrame, most: int = 3, off: float = 2.5) -> DataFrame:
+    """(doc, id, f, z, rank): each row's largest standard scores beyond `off`."""
+    z = standardize(features).filter(F.abs("z") > off)
+    return z.withColumn("rank", F.row_number().over(Window.partitionBy("doc", "id").orderBy(F.desc(F.abs("z")), "f"))).filter(F.col("rank") <= most)
+
+
+def separating_features(features: DataFrame, most: int = 3) -> DataFrame:
+    """(doc, id, f, pct, rank): the features with the largest shares of a row's squared distance to its cluster's centre."""
+    x = unpivot(features)
+    s = x.join(x.groupBy("doc", "cluster", "f").agg(F.avg("v").alias("m")), ["doc", "cluster", "f"]).withColumn("sq", (F.col("v") - F.col("m")) * (F.col("v") - F.col("m")))
+    w = Window.partitionBy("doc", "id")
+    t = s.withColumn("pct", 100 * F.col("sq") / F.sum("sq").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("pct"), "f")))
+    return t.filter(F.col("rank") <= most).select("doc", "id", "f", "pct", "rank")
+
+
+def cluster_statistics(features: DataFrame) -> DataFrame:
+    """(doc, cluster, f, n, mean, std, all_mean): each cluster's mean and population deviation beside the document's mean."""
+    x = unpivot(features)
+    c = x.groupBy("doc", "cluster", "f").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    return c.join(x.groupBy("doc", "f").agg(F.avg("v").alias("all_mean")), ["doc", "f"]).select("doc", "cluster", "f", "n", "mean", "std", "all_mean")
+
+
 # --- estimators for one document ------------------------------------------------------------------------------------------
 
 

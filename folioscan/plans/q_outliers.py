@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.operators import appearance, clustering, explain, outliers, power
@@ -24,8 +24,7 @@ def standardize(spark, d):
 @query(f"with {v.FEATURES}, {_LONG}, m as (select doc, f, avg(v) as m, stddev_pop(v) as s from long_rows group by 1, 2), z as (select doc, id, f, (v - m) / case when s = 0 then 1 else s end as z from long_rows join m using (doc, f)) select doc, id, cast(f as integer) as f, round(z, 6) as z, rank from (select *, row_number() over (partition by doc, id order by abs(z) desc, f) as rank from z where abs(z) > 2.5) where rank <= 3")
 def top_features(spark, d):
     """A row's three largest standard scores beyond 2.5."""
-    z = outliers.standardize(v.features(spark, d)).filter(F.abs("z") > 2.5)
-    return z.withColumn("rank", F.row_number().over(Window.partitionBy("doc", "id").orderBy(F.desc(F.abs("z")), "f"))).filter("rank <= 3").select("doc", "id", "f", F.round("z", 6).alias("z"), "rank")
+    return outliers.anomalous_features(v.features(spark, d)).select("doc", "id", "f", F.round("z", 6).alias("z"), "rank")
 
 
 @query(f"with {v.FEATURES}, {_DIST}, {_EPS} select doc, round(eps, 6) as eps from eps")
@@ -58,9 +57,8 @@ def lof_scores(spark, d):
 
 @query(f"with {v.FEATURES}, {_LONG}, c as (select doc, cluster, f, avg(v) as mean, stddev_pop(v) as std, count(*) as n from long_rows group by 1, 2, 3), g as (select doc, f, avg(v) as all_mean from long_rows group by 1, 2) select doc, cluster, cast(f as integer) as f, n, round(mean, 6) as mean, round(std, 6) as std, round(all_mean, 6) as all_mean from c join g using (doc, f)")
 def cluster_statistics(spark, d):
-    x = outliers.unpivot(v.features(spark, d))
-    c = x.groupBy("doc", "cluster", "f").agg(F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_pop("v"), 6).alias("std"))
-    return c.join(x.groupBy("doc", "f").agg(F.round(F.avg("v"), 6).alias("all_mean")), ["doc", "f"]).select("doc", "cluster", "f", "n", "mean", "std", "all_mean")
+    rounded = [F.round(c, 6).alias(c) for c in ("mean", "std", "all_mean")]
+    return outliers.cluster_statistics(v.features(spark, d)).select("doc", "cluster", "f", "n", *rounded)
 
 
 _CENTRES = "c as (select doc, cluster, f, avg(v) as m from long_rows group by 1, 2, 3)"
@@ -75,11 +73,7 @@ def nearest_centroid(spark, d):
 t as (select *, 100 * sq / sum(sq) over (partition by doc, id) as pct from s) select doc, id, cast(f as integer) as f, round(pct, 6) as pct, rank from (select *, row_number() over (partition by doc, id order by pct desc, f) as rank from t) where rank <= 3""")
 def feature_importance(spark, d):
     """Shares of a row's squared distance to its cluster's centre; the three largest."""
-    x = outliers.unpivot(v.features(spark, d))
-    s = x.join(x.groupBy("doc", "cluster", "f").agg(F.avg("v").alias("m")), ["doc", "cluster", "f"]).withColumn("sq", (F.col("v") - F.col("m")) * (F.col("v") - F.col("m")))
-    w = Window.partitionBy("doc", "id")
-    t = s.withColumn("pct", 100 * F.col("sq") / F.sum("sq").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("pct"), "f")))
-    return t.filter("rank <= 3").select("doc", "id", "f", F.round("pct", 6).alias("pct"), "rank")
+    return outliers.separating_features(v.features(spark, d)).withColumn("pct", F.round("pct", 6))
 
 
 _SIGNS = "case t.f " + " ".join(f"when {k} then case when m > a then '{hi}' else '{lo}' end" for k, (_, hi, lo, _) in enumerate(explain.WORDS[n] for n in explain.NAMES)) + " end"

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.functions import geometry as g
 from folioscan.functions import text as tx
 from folioscan.operators import elements, kernels, matching, profile
 from folioscan.plans import views as v

@@ -3,8 +3,6 @@
 import json
 from pathlib import Path
 
-from pyspark.sql import functions as F
-
 from folioscan.operators import profile, sections
 
 

@@ -10,6 +10,7 @@ white space is encoded whole; under a tokenizer of unknown splitting, words are
 
 from __future__ import annotations
 
+import ctypes
 import itertools
 import json
 import os
@@ -22,6 +23,7 @@ import regex
 
 #: Units remembered by a worker; the memory is emptied beyond it, and after so many idle seconds.
 UNITS, IDLE = 1_000_000, 1.5
+_C = ctypes.CDLL(None)
 #: Stands between words while they are split; white space to the patterns, and words that have it are encoded whole.
 SEPARATOR = "\v"
 #: Fixed value: the splitting pattern of byte-level BPE.
@@ -111,6 +113,8 @@ class Encoder:
         with self.busy:
             self._forget()
         pa.default_memory_pool().release_unused()
+        if hasattr(_C, "malloc_trim"):
+            _C.malloc_trim(0)  # what the units took goes back to the system
 
     def _forget(self) -> None:
         self.units, self.unit_ids = _Units(), _Ranges()

@@ -343,7 +343,7 @@ def fold_lines(spark, d):
     return blocks.fold(v.boxes(spark, d), ["page_ix"])
 
 
-@query(f"""with recursive {v.BOXES}, low as (select page_ix, box_id, (y0 / 12 * 0.7 + y0 / 12 * 0.7 + 10) / 2 as c from boxes), o as (select *, row_number() over (partition by page_ix order by c, box_id) as k from low),
+@query(f"""with recursive {v.BOXES}, low as (select page_ix, box_id, (y0 / 12 * 0.7 + (y0 / 12 * 0.7 + 10)) / 2 as c from boxes), o as (select *, row_number() over (partition by page_ix order by c, box_id) as k from low),
 t as (select page_ix, box_id, k, cast(0 as bigint) as line, c as s, cast(1 as bigint) as n from o where k = 1 union all select o.page_ix, o.box_id, o.k, case when o.c - s / n <= 1.5 then line else line + 1 end,
   case when o.c - s / n <= 1.5 then s + o.c else o.c end, case when o.c - s / n <= 1.5 then n + 1 else 1 end from t join o on o.page_ix = t.page_ix and o.k = t.k + 1)
 select page_ix, box_id, line from t""")

@@ -134,11 +134,15 @@ def anomalous_features(features: DataFrame, most: int = 3, off: float = 2.5) ->
 
 
 def separating_features(features: DataFrame, most: int = 3) -> DataFrame:
-    """(doc, id, f, pct, rank): the features with the largest shares of a row's squared distance to its cluster's centre."""
+    """(doc, id, f, pct, rank): the features with the largest shares of a row's squared distance to its cluster's centre.
+
+    A row that is its cluster's centre, as a single one is, has no shares: they are NaN, in order of the features.
+    """
     x = unpivot(features)
     s = x.join(x.groupBy("doc", "cluster", "f").agg(F.avg("v").alias("m")), ["doc", "cluster", "f"]).withColumn("sq", (F.col("v") - F.col("m")) * (F.col("v") - F.col("m")))
     w = Window.partitionBy("doc", "id")
-    t = s.withColumn("pct", 100 * F.col("sq") / F.sum("sq").over(w)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("pct"), "f")))
+    whole = F.sum("sq").over(w)
+    t = s.withColumn("pct", F.when(whole == 0, float("nan")).otherwise(100 * F.col("sq") / whole)).withColumn("rank", F.row_number().over(w.orderBy(F.desc("pct"), "f")))
     return t.filter(F.col("rank") <= most).select("doc", "id", "f", "pct", "rank")
 
 

@@ -51,3 +51,9 @@ def test_query_ends_where_rows_are_with_their_nearest_mean(spark):
         for r in mine:
             near = {k: float(np.linalg.norm(x[doc, r.id] - m)) for k, m in means.items()}
             assert abs(near[r.label] - min(near.values())) < 1e-3 and abs(near[r.label] - r.distance) < 1e-3
+
+
+def test_a_cluster_of_one_row_has_no_shares(spark):
+    rows = [(1, 1, [1.0, 2.0], 0), (1, 2, [3.0, 2.0], 0), (1, 3, [9.0, 9.0], 1)]
+    got = outliers.separating_features(spark.createDataFrame(rows, "doc long, id long, x array<double>, cluster int")).collect()
+    assert sorted((r.id, r.f, str(r.pct), r["rank"]) for r in got) == [(1, 0, "100.0", 1), (1, 1, "0.0", 2), (2, 0, "100.0", 1), (2, 1, "0.0", 2), (3, 0, "nan", 1), (3, 1, "nan", 2)]

@@ -36,7 +36,11 @@ def _each(rows: DataFrame, section: int, *lines: Column) -> DataFrame:
 
 
 def _percent(c: Column) -> Column:
-    return F.format_string("%.1f", c)
+    """To one place as printf does it, half to even on the exact number; format_string rounds the shortest decimals that stand for it."""
+    tenths = F.floor(c * 10)
+    above = (c * 16 - (2 * tenths + 1)) + c * 4  # the sign of 20 c less an odd number, both steps exact near a half
+    up = F.when((above > 0) | ((above == 0) & (tenths % 2 == 1)), 1).otherwise(0)
+    return F.format_string("%.1f", (tenths + up) / 10)
 
 
 def _quoted(c: Column) -> Column:

@@ -3,6 +3,8 @@
 import json
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from folioscan.operators import profile, sections
 
 
@@ -56,3 +58,9 @@ def test_the_record_of_a_document(spark):
         },
     }
     assert got["e"] == {"document": {"label": "e", "payloads": {}}, "notes": ["alone"], "pages": {}}
+
+
+def test_percents_are_those_of_printf(spark):
+    values = [100.0 * n / total for total in (7, 16, 40, 400, 2000) for n in range(total + 1)] + [6.25, 6.75, 12.35, 0.05, 0.25, 99.95, 100.0]
+    got = spark.createDataFrame([(x,) for x in values], "c double").select("c", sections._percent(F.col("c")).alias("p")).collect()
+    assert [r.p for r in got] == [f"{r.c:.1f}" for r in got]

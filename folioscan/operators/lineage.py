@@ -30,3 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df from a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """df from a compressed table in the shared folder: what is read more than once and too large for a checkpoint."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -174,7 +174,7 @@ def visible_semi_join(spark, d):
 
 @query(f"with {v.CELLS}, {v.VISIBLE}, {_ROW}, {_SEEN} select doc_id, page_ix, cell_index, text from fc c where not exists (select 1 from seen s where s.doc_id = c.doc_id and s.page_ix = c.page_ix and s.cell_index = c.cell_index) and lower(trim(c.text)) not in ('', '<unknown>', 'unknown')")
 def not_visible_anti_join(spark, d):
-    return matching.not_visible(_cells(v.cells(spark, d)), visible_semi_join(spark, d)).select("doc_id", "page_ix", "cell_index", "text")
+    return matching.unseen(_cells(v.cells(spark, d)), _cells(v.visible(spark, d)), mode="word")
 
 
 @query(f"""with {v.CELLS}, {v.VISIBLE}, {_ROW}, best as (select doc_id, page_ix, cell_index, match, {_SIM} as sim, i / (u - i) as iou from j)
@@ -220,7 +220,7 @@ select *, round(coalesce(100.0 * matched / nullif(total_cells, 0), 0), 6) as cel
 def match_outcome(spark, d):
     """Cells and spans of each document with and without a partner."""
     cells, spans = _cells(v.cells(spark, d)), _cells(v.visible(spark, d))
-    s = matching.outcome_statistics(matching.outcome(cells, spans, matching.match(cells, spans)))
+    s = matching.outcome_counts(cells, spans, matching.match(cells, spans))
     return s.withColumn("cell_match_rate", F.round("cell_match_rate", 6)).withColumn("span_match_rate", F.round("span_match_rate", 6))
 
 

@@ -7,6 +7,11 @@ feature rows, 100 to a document.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,13 +48,25 @@ def tall_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words are placed line by line where their document is read: nothing is shuffled for it."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            split = pc.split_pattern(batch.column("line"), " ")
+            words, starts = split.flatten(), split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+            of = np.repeat(np.arange(batch.num_rows), np.diff(starts))
+            n = pc.utf8_length(words).to_numpy().astype(np.int64)
+            ahead = np.concatenate(([0], np.cumsum(n + 1)))
+            x0 = 6.0 * (ahead[:-1] - ahead[starts[of]])
+            some = np.flatnonzero(n)
+            of, w = of[some], (np.arange(len(n)) - starts[of])[some].astype(np.int32)
+            columns = [*(batch.column(c).take(pa.array(of)) for c in ("doc_id", "line_no")), w, words.take(pa.array(some)), x0[some], (x0 + 6 * n)[some]]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["doc_id", "line_no", "w", "text", "x0", "x1"])
+
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    words = lines.select("doc_id", "line_no", F.posexplode(F.split("line", " ", -1)).alias("w", "text"))
-    ahead = Window.partitionBy("doc_id", "line_no").orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
-    off = F.coalesce(F.sum(F.length("text") + 1).over(ahead), F.lit(0))
-    placed = words.withColumn("x0", (6 * off).cast("double"))
+    words = lines.mapInArrow(placed, "doc_id long, line_no int, w int, text string, x0 double, x1 double")
     y0 = (F.col("line_no") * 12).cast("double")
-    return placed.filter("text <> ''").select("doc_id", F.floor(F.col("line_no") / 40).cast("long").alias("page_ix"), "line_no", "w", "text", "x0", y0.alias("y0"), (F.col("x0") + 6 * F.length("text")).cast("double").alias("x1"), (y0 + 10).alias("y1"))
+    return words.select("doc_id", F.floor(F.col("line_no") / 40).cast("long").alias("page_ix"), "line_no", "w", "text", "x0", y0.alias("y0"), "x1", (y0 + 10).alias("y1"))
 
 
 CELLS = """cells as (

@@ -3,9 +3,11 @@
 import json
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from folioscan.operators import kernels, matching
+from folioscan.operators import kernels, matching, pages, spatial
+from folioscan.plans import q_text, views
 from folioscan.sources import payload
 
 SCHEMA = "doc_id long, page_ix long, cell long, span long, score double"
@@ -45,3 +47,31 @@ def test_payloads_are_matched_with_leftovers(spark, tmp_path):
     s = matching.outcome_statistics(got).first()
     assert (s.total_cells, s.total_spans, s.matched, s.unmatched_cells, s.unmatched_spans, s.text_based) == (3, 3, 2, 1, 1, 2)
     assert abs(s.cell_match_rate - 200 / 3) < 1e-9 and s.cell_match_rate == s.span_match_rate
+
+
+def test_boxes_meet_as_in_a_comparison_of_all(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(pages, "_AT_ONCE", 500)
+    for size in (5, 60, 900):
+        low = rng.integers(-200, 600, (2, 80, 2)).astype(float)
+        a, b = np.concatenate([low, low + rng.integers(0, size, (2, 80, 2))], axis=2)
+        a[3] = np.nan
+        want = [(i, j) for i in range(80) for j in range(80) if (a[i, :2] < b[j, 2:]).all() and (b[j, :2] < a[i, 2:]).all()]
+        for bins in (spatial.BINS, (30.0, 500.0), None):
+            assert list(zip(*(x.tolist() for x in pages.meeting(a, b, bins)), strict=True)) == want
+
+
+def test_renderings_meet_in_one_shuffle(spark):
+    d = "/root/testdata/sf0.001"
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert exchanges(views.cells(spark, d)) == 0
+    assert [exchanges(q(spark, d)) for q in (q_text.closest_visible, q_text.visible_semi_join, q_text.match_candidates, q_text.not_visible_anti_join)] == [1, 1, 1, 1]
+    assert exchanges(q_text.hidden_text(spark, d)) == 2
+
+
+def test_pages_without_a_number_meet_none(spark):
+    rows = [(1, None, 1, "word", 0.0, 0.0, 9.0, 9.0), (1, 0, 1, "word", 0.0, 0.0, 9.0, 9.0), (1, 0, 2, " ", 0.0, 0.0, 9.0, 9.0), (1, 0, 3, "other", None, 0.0, 9.0, 9.0)]
+    df = spark.createDataFrame(rows, "doc_id long, page_ix long, cell_index long, text string, x0 double, y0 double, x1 double, y1 double")
+    assert [tuple(r) for r in matching.find_visible(df, df, "word").collect()] == [(1, 0, 1, 1, "primary_iou")]
+    assert {tuple(r) for r in matching.unseen(df, df, "word").collect()} == {(1, None, 1, "word"), (1, 0, 3, "other")}
+    assert {tuple(r) for r in matching.hidden_text(df, df, "word").collect()} == {(1, None, 1, "word", "missing"), (1, 0, 3, "other", "missing")}

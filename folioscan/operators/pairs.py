@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,27 +35,31 @@ def chained_pairs(cells: DataFrame, keys: list[str], ident: str) -> DataFrame:
     one has a colon, leaves the row or lies more than CHAIN away; cells not to the right are passed over.
     """
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        rows = p.sort_values(ident).to_dict("records")
-        out = []
-        for i, c in enumerate(rows):
-            if not c["text"].rstrip().endswith(":"):
-                continue
-            j = next((k for k in range(i + 1, len(rows)) if abs(rows[k]["y0"] - c["y0"]) <= ROW and rows[k]["x0"] > c["x0"] and rows[k]["x0"] - c["x1"] <= DISTANCE and ":" not in rows[k]["text"]), None)
+    kinds = dict(cells.dtypes)
+    used = [ident, "text", "x0", "x1", "y0"]
+
+    def kernel(table: pa.Table) -> pa.Table:
+        rows = table.select(used).sort_by(ident)
+        ids, texts = rows[ident].to_pylist(), rows["text"].to_pylist()
+        x0, x1, y0 = (rows[c].to_numpy().tolist() for c in ("x0", "x1", "y0"))  # an unknown place is NaN, near nothing
+        out, n = [], len(ids)
+        for i in [k for k, text in enumerate(texts) if text.rstrip().endswith(":")]:
+            j = next((k for k in range(i + 1, n) if abs(y0[k] - y0[i]) <= ROW and x0[k] > x0[i] and x0[k] - x1[i] <= DISTANCE and ":" not in texts[k]), None)
             if j is None:
                 continue
-            value, last = [rows[j]["text"]], rows[j]
-            for k in range(j + 1, len(rows)):
-                r = rows[k]
-                if ":" in r["text"] or abs(r["y0"] - c["y0"]) > ROW or r["x0"] - last["x1"] > CHAIN:
+            value, last = [texts[j]], x1[j]
+            for k in range(j + 1, n):
+                if ":" in texts[k] or abs(y0[k] - y0[i]) > ROW or x0[k] - last > CHAIN:
                     break
-                if r["x0"] < last["x1"]:
+                if x0[k] < last:
                     continue
-                value.append(r["text"])
-                last = r
-            out.append(tuple(c[k] for k in keys) + (c[ident], c["text"].rstrip()[:-1], " ".join(value), rows[j]["x0"] - c["x1"], last["x1"]))
-        return pd.DataFrame(out, columns=[*keys, ident, "label", "value", "spacing", "value_x1"])
+                value.append(texts[k])
+                last = x1[k]
+            out.append((ids[i], texts[i].rstrip()[:-1], " ".join(value), x0[j] - x1[i], last))
+        found = zip(*out, strict=True) if out else [[]] * 5
+        types = [table.schema.field(ident).type, pa.string(), pa.string(), pa.float64(), pa.float64()]
+        page = [pa.repeat(table.column(k)[0], len(out)) for k in keys]
+        return pa.Table.from_arrays([*page, *(pa.array(c, t) for c, t in zip(found, types, strict=True))], [*keys, ident, "label", "value", "spacing", "value_x1"])
 
-    kinds = dict(cells.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in [*keys, ident]) + ", label string, value string, spacing double, value_x1 double"
-    return cells.groupBy(*keys).applyInPandas(kernel, schema)
+    return cells.select(*dict.fromkeys([*keys, *used])).groupBy(*keys).applyInArrow(kernel, schema)

@@ -1,6 +1,6 @@
 """Colon findings, case by case."""
 
-from folioscan.operators import colons
+from folioscan.operators import colons, pairs
 
 
 def test_each_rule(spark):
@@ -23,3 +23,11 @@ def test_each_rule(spark):
     plain = {r.pair_id: r.classification for r in colons.findings(pairs, ["page_ix"]).collect()}
     assert plain[14] == "deviation" and plain[10] == "deviation" and 30 not in plain and 31 not in plain
     assert colons.findings(pairs.limit(0), ["page_ix"], base).count() == 0
+
+
+def test_a_cell_without_a_place_is_no_value(spark):
+    rows = [(1, 0, "Name:", 0.0, 30.0, 5.0), (1, 1, "lost", None, None, None), (1, 2, "Ann", 35.0, 50.0, 5.0), (1, 3, "Lee", 55.0, 70.0, 5.0), (1, 4, "Age:", 0.0, 20.0, 30.0)]
+    cells = spark.createDataFrame(rows, "page long, i long, text string, x0 double, x1 double, y0 double").repartition(3)
+    got = pairs.chained_pairs(cells, ["page"], "i")
+    assert [(r.i, r.label, r.value, r.spacing, r.value_x1) for r in got.collect()] == [(0, "Name", "Ann Lee", 5.0, 70.0)]
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()  # a page's rows aren't made records one by one

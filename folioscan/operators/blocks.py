@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,20 +67,34 @@ def classify_cells(cells: DataFrame, baselines: DataFrame, keys: list[str], t: L
 _AT_ONCE = 1 << 18
 
 
-def near_pairs(boxes: np.ndarray, vertical: bool, align_fraction: float, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _medians(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Median of the values of each group; group: 0, 1, ... in any order, none empty."""
+    v, n = values[np.lexsort((values, group))], np.bincount(group, minlength=groups)
+    first = np.cumsum(n) - n
+    return (v[first + (n - 1) // 2] + v[first + n // 2]) / 2
+
+
+def near_pairs(boxes: np.ndarray, vertical: bool, align_fraction: float, radius: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, gap) of boxes i < j in neighbouring cells of the page's grid that overlap enough on the other axis.
 
     Boxes go in order of their first row; a box is compared with those behind it whose first row is near its last one,
-    some boxes at a time.
+    some boxes at a time. group: ascending from 0, all of them present; each has a grid and pairs of its own.
     """
-    size = np.median(np.maximum(boxes[:, 2:] - boxes[:, :2], 1e-12), axis=0)
-    low, high = (np.floor((x - boxes[:, :2].min(axis=0)) / size).astype(np.int64) for x in (boxes[:, :2], boxes[:, 2:]))
-    order = np.argsort(low[:, 1], kind="stable")
-    ends = np.searchsorted(low[order, 1], high[order, 1] + radius, "right")
+    n = len(boxes)
+    group = np.zeros(n, np.int64) if group is None else group
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    sides = np.maximum(boxes[:, 2:] - boxes[:, :2], 1e-12)
+    size = np.stack([_medians(sides[:, k], group, len(first)) for k in (0, 1)], axis=1)[group]
+    corner = np.minimum.reduceat(boxes[:, :2], first)[group]
+    low, high = (np.floor((x - corner) / size).astype(np.int64) for x in (boxes[:, :2], boxes[:, 2:]))
+    _, ranks = np.unique(np.concatenate([low[:, 1], high[:, 1] + radius]), return_inverse=True)
+    start, last = group * (2 * n) + ranks[:n], group * (2 * n) + ranks[n:]
+    order = np.argsort(start, kind="stable")
+    ends = np.searchsorted(start[order], last[order], "right")
     main, other = (1, 0) if vertical else (0, 1)
-    out, n, at = [], len(boxes), 0
+    out, at = [], 0
     while at < n:
-        counts = ends[at:] - np.arange(at + 1, n + 1)
+        counts = np.maximum(0, ends[at:] - np.arange(at + 1, n + 1))
         stop = at + max(1, int(np.searchsorted(np.cumsum(counts), _AT_ONCE, "right")))
         counts = counts[: stop - at]
         total = int(counts.sum())
@@ -99,12 +115,20 @@ def near_pairs(boxes: np.ndarray, vertical: bool, align_fraction: float, radius:
 
 def spacing_of(n: int, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
     """Median of the smallest positive gaps, 0 without any."""
+    return float(_spacings(np.zeros(n, np.int64), pairs, 1)[0])
+
+
+def _spacings(group: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], groups: int) -> np.ndarray:
+    """The same for each group."""
     i, j, d = (x[pairs[2] > 0] for x in pairs)
-    least = np.full(n, np.inf)
+    least = np.full(len(group), np.inf)
     np.minimum.at(least, i, d)
     np.minimum.at(least, j, d)
-    found = least[np.isfinite(least)]
-    return float(np.median(found)) if len(found) else 0.0
+    some = np.isfinite(least)
+    found, code = np.unique(group[some], return_inverse=True)
+    out = np.zeros(groups)
+    out[found] = _medians(least[some], code, len(found))
+    return out
 
 
 def _clusters(n: int, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], cutoff: float) -> list[list[int]]:
@@ -179,19 +203,137 @@ def find_blocks(boxes: np.ndarray, kinds: list[str], values: list[float], left:
     return out, reasons
 
 
+KINDS = ("left", "right", "center")
+
+
+def find_in_pages(page: np.ndarray, boxes: np.ndarray, kinds: np.ndarray, values: np.ndarray, left: list, right: list, t: Limits = Limits()) -> dict[str, list]:
+    """find_blocks of many pages at once: the columns of their blocks, `page` first; page ascends from 0 and none is empty.
+
+    kinds: places in KINDS; left, right: the baselines of each page. The steps are those of find_blocks over (page,
+    cluster, column) as one key; lines alone are folded box by box.
+    """
+    n = len(boxes)
+    centers = (boxes[:, 1] + boxes[:, 3]) / 2
+    i, j, d = pairs = near_pairs(boxes, True, t.align_fraction, t.radius, page)
+    typical = _spacings(page, pairs, len(left))
+    cutoff = np.where(typical > 0, np.maximum(t.spacing_multiplier * typical, t.min_cutoff), t.fallback_gap)
+    near = d <= cutoff[page[i]]
+    root = kernels.components_of(n, i[near], j[near])
+    rows = np.argsort(root, kind="stable")
+    rows = rows[np.bincount(root, minlength=n)[root[rows]] > (1 if t.min_lines > 1 else 0)]
+    names = ["page", *(c.split()[0] for c in _BLOCK.split(", "))]
+    if not len(rows):
+        return {c: [] for c in names}
+    page, boxes, centers, kinds, values = page[rows], boxes[rows], centers[rows], kinds[rows], values[rows]
+    _, cluster = np.unique(root[rows], return_inverse=True)
+    i, j, d = pairs = near_pairs(boxes, False, t.align_fraction, t.radius, cluster)
+    apart = _spacings(cluster, pairs, int(cluster[-1]) + 1)
+    near = d <= np.where(apart > 0, t.column_multiplier * apart, np.inf)[cluster[i]]
+    root = kernels.components_of(len(rows), i[near], j[near])
+
+    # boxes by column and centre: a column is a stretch, its lines are numbered in it and put in order of their means
+    order = np.lexsort((centers, root))
+    root, page, boxes, centers, kinds, values = root[order], page[order], boxes[order], centers[order], kinds[order], values[order]
+    first = np.flatnonzero(np.diff(root, prepend=-1))
+    size = np.diff(np.append(first, len(root)))
+    column = np.repeat(np.arange(len(first)), size)
+    line = kernels.fold_lines(centers, group=column)
+    found, member = np.unique(column * (len(root) + 1) + line, return_inverse=True)
+    middle, of = np.bincount(member, centers) / np.bincount(member), found // (len(root) + 1)
+    by_mean = np.lexsort((found, middle, of))
+    place = np.empty(len(found), np.int64)
+    place[by_mean] = np.arange(len(found))
+    middle, of = middle[by_mean], of[by_mean]
+    n_lines = np.bincount(of, minlength=len(first))
+    counts = np.bincount(column * 3 + kinds, minlength=3 * len(first)).reshape(-1, 3)
+    width = boxes[:, 2] - boxes[:, 0]
+    mean = np.bincount(column, width) / size
+    spread = np.sqrt(np.bincount(column, (width - mean[column]) ** 2) / size)
+    large = size > 2
+    good = (n_lines >= t.min_lines) & ~(large & (counts.max(axis=1) / size < t.min_dominance)) & ~(large & (spread > t.max_width_deviation))
+
+    # the most frequent kind; of equals the one that comes first in order of lines
+    met = np.full((len(first), 3), len(root), np.int64)
+    at = np.empty(len(root), np.int64)
+    at[np.lexsort((np.arange(len(root)), place[member]))] = np.arange(len(root))
+    np.minimum.at(met, (column, kinds), at)
+    best = (counts * (len(root) + 1) - met).argmax(axis=1)
+    mixed = counts[np.arange(len(first)), best] / size < t.block_dominance
+    low, high = np.minimum.reduceat(boxes[:, :2], first), np.maximum.reduceat(boxes[:, 2:], first)
+    box = np.concatenate([low, high], axis=1)
+    inner = of[1:] == of[:-1]
+    gap, of_gap = np.maximum(0.0, np.diff(middle))[inner], of[1:][inner]
+    n_gaps = np.bincount(of_gap, minlength=len(first))
+    mean_gap = np.bincount(of_gap, gap, minlength=len(first)) / np.maximum(1, n_gaps)
+    mode = _modes(np.rint(gap * 2) / 2, of_gap, len(first))
+    anchored = kinds < 2
+    has, code = np.unique(column[anchored], return_inverse=True)
+    anchor = np.full(len(first), np.nan)
+    anchor[has] = _medians(values[anchored], code, len(has))
+
+    order = np.lexsort((np.arange(len(first)), low[:, 1], page[first]))
+    order = order[good[order]]
+    pages, line_ends = page[first][order], np.cumsum(n_lines)
+    number = np.arange(len(order)) - np.searchsorted(pages, pages) + 1
+    for k, p in zip(order.tolist(), pages.tolist(), strict=True):
+        side = best[k]
+        if not mixed[k] and side < 2:
+            baselines = (left, right)[side][p]
+            away = np.abs(baselines - box[k, 2 * side])
+            if len(away) and away.min() <= t.snap:
+                box[k, 2 * side] = baselines[away.argmin()]
+    rounded = [round(c, 3) for c in middle.tolist()]
+    return dict(zip(names, (
+        pages, number, *box[order].T, size[order], n_lines[order], [round(x, 3) for x in mean_gap[order].tolist()], mode[order], [("mixed" if m else KINDS[k]) for k, m in zip(best[order], mixed[order], strict=True)],
+        [None if x != x else x for x in anchor[order].tolist()], [rounded[e - m : e] for e, m in zip(line_ends[order].tolist(), n_lines[order].tolist(), strict=True)],
+    ), strict=True))
+
+
+def _modes(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """The most frequent value of each group, of equals the one met first; 0 for an empty group."""
+    out = np.zeros(groups)
+    if len(values):
+        order = np.lexsort((values, group))
+        new = np.flatnonzero(np.append(True, (np.diff(values[order]) != 0) | (np.diff(group[order]) != 0)))
+        times = np.diff(np.append(new, len(values)))
+        firsts, of = np.minimum.reduceat(order, new), group[order][new]
+        ranked = np.lexsort((firsts, -times, of))
+        head = ranked[np.flatnonzero(np.diff(of[ranked], prepend=-1))]
+        out[of[head]] = values[order][new][head]
+    return out
+
+
 _BLOCK = "block_id long, x0 double, y0 double, x1 double, y1 double, cell_count long, line_count long, line_spacing_mean double, line_spacing_mode double, dominant_alignment string, alignment_baseline double, line_centers array<double>"
 
 
 def identify(cells: DataFrame, baselines: DataFrame, keys: list[str], ident: str = "box_id", t: Limits = Limits()) -> DataFrame:
     """Blocks of each page: vertical runs of cells, split into columns, those that hold together."""
     kinds = dict(cells.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + _BLOCK
     names = [c.split()[0] for c in _BLOCK.split(", ")]
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(ident)
-        lists = [[] if x is None else list(x) for x in (p["_left"].iloc[0], p["_right"].iloc[0])]
-        found, _ = find_blocks(p[["x0", "y0", "x1", "y1"]].to_numpy(float), p["orientation"].tolist(), p["baseline_value"].tolist(), *lists, t)
-        return pd.DataFrame(found, columns=names).assign(**{k: p[k].iloc[0] for k in keys})[[*keys, *names]]
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        page, rows = kernels.rows_of(batch.column("rows"))
+        sides = [[np.array(x or [], float) for x in batch.column(c).to_pylist()] for c in ("_left", "_right")]
+        boxes = np.stack([rows[c].to_numpy(zero_copy_only=False).astype(float) for c in ("x0", "y0", "x1", "y1")], axis=1)
+        orientation, value = pc.index_in(rows["orientation"], pa.array(KINDS)).to_numpy(), rows["baseline_value"].to_numpy(zero_copy_only=False).astype(float)
+        unknown = np.zeros(batch.num_rows, bool)
+        unknown[page[~np.isfinite(boxes).all(axis=1)]] = True
+        out = {c: [] for c in ("page", *names)}
+        known, at = ~unknown[page], np.flatnonzero(~unknown)
+        if len(at):
+            found = find_in_pages(np.searchsorted(at, page[known]), boxes[known], orientation[known], value[known], *[[x[k] for k in at] for x in sides], t)
+            out = {c: list(x) for c, x in found.items()}
+            out["page"] = at[np.asarray(out["page"], np.int64)].tolist()
+        for k in np.flatnonzero(unknown):  # boxes with unknown sides have no grid to share
+            of = page == k
+            for b in find_blocks(boxes[of], [KINDS[x] for x in orientation[of]], value[of].tolist(), *[x[k].tolist() for x in sides], t)[0]:
+                for c, x in (b | {"page": k}).items():
+                    out[c].append(x)
+        of = pa.array(np.asarray(out["page"], np.int64))
+        arrow = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}
+        columns = [pa.array(out[c.split()[0]], arrow[c.split()[1]]) for c in _BLOCK.split(", ")]
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(of) for k in keys), *columns], [*keys, *names])
 
     used = baselines.filter(F.col("count") >= t.baseline_count)
     order = F.sort_array(F.collect_list(F.struct("rank", "value")))
@@ -199,8 +341,8 @@ def identify(cells: DataFrame, baselines: DataFrame, keys: list[str], ident: str
     for s in ("left", "right"):
         one = used.filter(F.col("side") == s).groupBy(*keys).agg(F.transform(order, lambda x: x["value"]).alias(f"_{s}"))
         sides = one if sides is None else sides.join(one, keys, "full")
-    placed = classify_cells(cells, baselines, keys, t).select(*keys, ident, "x0", "y0", "x1", "y1", "orientation", "baseline_value").join(sides, keys, "left")
-    return placed.groupBy(*keys).applyInPandas(kernel, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + _BLOCK)
+    placed = classify_cells(cells, baselines, keys, t).select(*keys, ident, "x0", "y0", "x1", "y1", "orientation", "baseline_value")
+    return kernels.many_pages(kernels.packed_pages(placed, keys, ident).join(sides, keys, "left"), kernel, schema)
 
 
 def fold(cells: DataFrame, keys: list[str], ident: str = "box_id", tolerance: float = 1.5) -> DataFrame:

@@ -2,11 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of packed pages that a kernel is given at once; a larger page comes alone.
+_ROWS = 1 << 16
+
+
+def packed_pages(rows: DataFrame, keys: list[str], first: str) -> DataFrame:
+    """One row a page: its keys and `rows`, an array of the other columns as structs, in order of the column named first."""
+    others = [first, *(c for c in rows.columns if c != first and c not in keys)]
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*others))).alias("rows"))
+
+
+def many_pages(packed: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """What the kernel makes of packed pages, given some of them at a time: a page costs no call and no table of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = batch.column("rows").offsets.to_numpy().astype(np.int64)
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, ends[at] + _ROWS, "right")) - 1)
+                yield kernel(batch.slice(at, stop - at))
+                at = stop
+
+    return packed.mapInArrow(run, schema)
+
+
+def rows_of(lists: pa.ListArray) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    """(place of the page of each row, the rows' columns) of packed pages."""
+    flat = lists.flatten()
+    page = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    return page, dict(zip([f.name for f in flat.type], flat.flatten(), strict=True))
 
 
 def per_page(df: DataFrame, keys: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -30,6 +64,20 @@ def find_components(n: int, edges: list[tuple[int, int]]) -> np.ndarray:
     return np.array([root(i) for i in range(n)], np.int64)
 
 
+def components_of(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """find_components of all edges at once: in each round every root that has a smaller one beside it goes below it."""
+    up = np.arange(n)
+    while True:
+        a, b = up[i], up[j]
+        apart = a != b
+        if not apart.any():
+            return up
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(up, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up, up[up]):
+            up = up[up]
+
+
 def components(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id") -> DataFrame:
     """(keys, ident, component): the smallest ident of each component of a page."""
     ks = list(keys)
@@ -46,16 +94,19 @@ def components(nodes: DataFrame, edges: DataFrame, keys: tuple[str, ...] = ("pag
     return nodes.select(*ks, ident).groupBy(*ks).cogroup(edges.groupBy(*ks)).applyInPandas(kernel, schema)
 
 
-def fold_lines(centers: np.ndarray, tolerance: float = 1.5) -> np.ndarray:
+def fold_lines(centers: np.ndarray, tolerance: float = 1.5, group: np.ndarray | None = None) -> np.ndarray:
     """Line number of each cell, given ascending centres: the first line whose running mean is within tolerance.
 
-    A line that a centre has left behind is met by none of those after it.
+    A line that a centre has left behind is met by none of those after it. group: ascending; each begins anew.
     """
     sums: list[float] = []
     counts: list[int] = []
     out = np.empty(len(centers), np.int64)
     first = 0
+    begins = set() if group is None else set((np.flatnonzero(np.diff(group)) + 1).tolist())
     for i, c in enumerate(np.asarray(centers, float).tolist()):
+        if i in begins:
+            sums, counts, first = [], [], 0
         while first < len(sums) and c - sums[first] / counts[first] > tolerance:
             first += 1
         for k in range(first, len(sums)):
@@ -108,10 +159,13 @@ def suppress_near(values: np.ndarray, counts: np.ndarray, distance: float = 5.0)
     """Greedy suppression: in order of falling count (ties: smaller value), keep what lies at least distance from all kept."""
     keep = np.zeros(len(values), bool)
     taken: list[float] = []
-    for i in np.lexsort((values, -counts)):
-        if all(abs(values[i] - t) >= distance for t in taken):
+    known = bool(np.isfinite(values).all())  # in order, the nearest taken one on either side decides
+    for i in np.lexsort((values, -counts)).tolist():
+        v = float(values[i])
+        at = bisect_left(taken, v) if known else len(taken)
+        if all(abs(v - t) >= distance for t in (taken[max(0, at - 1) : at + 1] if known else taken)):
             keep[i] = True
-            taken.append(values[i])
+            taken.insert(at, v)
     return keep
 
 

@@ -332,3 +332,35 @@ def test_dbscan_blocks_by_the_rule(spark):
                 label[i] = min((label[j] for j in near[i] if core[j]), default=None)
         want = [(m, sum(x == m for x in label), min(b[0] for b, x in zip(boxes, label) if x == m), max(b[3] for b, x in zip(boxes, label) if x == m)) for m in sorted({x for x in label if x is not None})]
         assert sorted(got[k]) == want
+
+
+def test_blocks_of_many_pages_are_those_of_each():
+    rng = np.random.default_rng(5)
+    pages = []
+    for n in (*range(1, 40), 300):
+        low = np.stack([rng.integers(0, 12, n) * 40.0 + rng.choice([0, 0.25], n), rng.integers(0, 30, n) * 10.5 + rng.choice([0, 1.25, 3.5], n)], axis=1)
+        boxes = np.concatenate([low, low + np.stack([rng.integers(0, 70, n), rng.integers(8, 20, n)], axis=1)], axis=1)
+        pages.append((boxes, rng.integers(0, 3, n), np.round(rng.random(n) * 500, 2), np.sort(rng.choice(500, rng.integers(0, 9))).astype(float), rng.choice(500, 5).astype(float)))
+    page = np.repeat(np.arange(len(pages)), [len(p[0]) for p in pages])
+    for t in (blocks.Limits(), blocks.Limits(min_dominance=0.2, block_dominance=0.3, max_width_deviation=40.0, radius=2)):
+        found = blocks.find_in_pages(page, *[np.concatenate([p[k] for p in pages]) for k in range(3)], [p[3] for p in pages], [p[4] for p in pages], t)
+        told = [{c: found[c][k] for c in found} for k in range(len(found["page"]))]
+        plain = [{"page": k} | b for k, (box, kind, value, *sides) in enumerate(pages) for b in blocks.find_blocks(box, [blocks.KINDS[x] for x in kind], value.tolist(), *[x.tolist() for x in sides], t)[0]]
+        assert len(plain) > 50 and told == plain
+
+
+def test_a_page_with_an_unknown_side_leaves_the_others_whole(spark):
+    b = views.tall_boxes(spark, SF).filter("page_ix < 6").cache()
+    first = baselines.detect(b, ["page_ix"])
+    odd = b.unionByName(b.filter("page_ix = 2").limit(1).withColumn("box_id", F.lit(100000).cast("long")).withColumn("y1", F.lit(None).cast("double")))
+    whole, others = ({tuple(r[:6]) for r in blocks.identify(x, first, ["page_ix"]).filter("page_ix != 2").collect()} for x in (b, odd))
+    assert whole and whole == others
+
+
+def test_chains_of_many_pages_are_those_of_each(spark):
+    rows = [(p, k, 40.0 + x, 10.0 * k, 40.0 + x + w, 10.0 * k + 8) for p in range(30) for k, (x, w) in enumerate(((k * (p + 3)) % 7 * 2.25, 30 + k * p % 3 * 1.5) for k in range(40))]
+    cells, got = spark.createDataFrame(rows, "page_ix long, box_id long, x0 double, y0 double, x1 double, y1 double"), defaultdict(list)
+    for r in baselines.detect(cells, ["page_ix"]).collect():
+        got[r.page_ix].append((r.side, round(r.value, 6), r["count"], r.block_support, r.coverage, r.page_position))
+    for p in range(30):
+        assert sorted(got[p]) == _told(_detect([r[2:] for r in rows if r[0] == p]))

@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,7 +74,7 @@ def union_of_spans(rows: DataFrame, keys: list[str], lo: str = "lo", hi: str = "
 
 
 def clusters(cells: DataFrame, keys: list[str], blocks: DataFrame | None = None, width: float = 612.0, height: float = 792.0, t: Limits = Limits()) -> DataFrame:
-    """Edges rounded to a point, with weight, mean, coverage and the sums that consistency needs.
+    """Edges rounded to a point, with weight, mean, coverage, the sums that consistency needs and, for left and right ones, their spans.
 
     blocks (x0, y0, x1, y1, line_count) weigh in on the left and right sides by their lines. On a page that has blocks,
     a cell's left or right edge counts only near a block's, and a cluster only if a block is in it.
@@ -92,17 +93,18 @@ def clusters(cells: DataFrame, keys: list[str], blocks: DataFrame | None = None,
     # what a span adds to those before it in its bucket: the union's length is a sum, and no array is made for it
     e = e.withColumn("bucket", F.bround("edge"))
     bucket = [*keys, "side", "bucket"]
-    e = e.withColumn("_all", added(F.col("lo"), F.col("hi"), bucket)).withColumn("_own", added(F.col("lo"), F.col("hi"), bucket, F.col("block")))
+    own_part = F.lit(None).cast("double") if blocks is None else added(F.col("lo"), F.col("hi"), bucket, F.col("block"))
+    e = e.withColumn("_all", added(F.col("lo"), F.col("hi"), bucket)).withColumn("_own", own_part)
     own = F.sum("_own").isNotNull()
+    across = F.col("side").isin("left", "right")
     c = e.groupBy(*keys, "side", "bucket").agg(
         F.count("*").alias("n"), F.sum("w").alias("count"), (F.sum(F.col("edge") * F.col("w")) / F.sum("w")).alias("value"), F.sum(F.when(F.col("block"), F.col("w")).otherwise(0)).alias("block_support"),
-        F.bool_or("seeded").alias("seeded"), F.coalesce(F.sum("_own"), F.sum("_all")).alias("covered"), own.alias("own"), F.collect_list(F.struct("lo", "hi", "block")).alias("all"),
+        F.bool_or("seeded").alias("seeded"), F.coalesce(F.sum("_own"), F.sum("_all")).alias("covered"), own.alias("own"), F.collect_list(F.when(across, F.struct("lo", "hi", "block"))).alias("all"),
         F.sum("w").alias("s0"), F.sum(F.col("w") * F.col("centre")).alias("s1"), F.sum(F.col("w") * F.col("centre") * F.col("centre")).alias("s2"),
     )
-    across = F.col("side").isin("left", "right")
     c = c.filter(F.when(across, (F.col("count") >= t.min_weight) & (~F.col("seeded") | (F.col("block_support") > 0))).otherwise(F.col("n") >= t.min_horizontal))
     own = F.col("own")
-    c = c.withColumn("spans", F.filter("all", lambda x: ~own | x["block"])).drop("all", "own", "n")
+    c = c.withColumn("spans", F.col("all") if blocks is None else F.filter("all", lambda x: ~own | x["block"])).drop("all", "own", "n")
     extent = F.when(across, height).otherwise(width)
     position = F.when(across, g.page_position(F.col("value"), F.lit(width), ("page_left", "mid_page", "page_right"))).otherwise(g.page_position(F.col("value"), F.lit(height), ("page_top", "mid_page", "page_bottom")))
     return c.withColumn("coverage", F.round(F.least(F.lit(1.0), F.col("covered") / extent), 3)).withColumn("page_position", position).drop("covered")
@@ -119,26 +121,44 @@ def detect(cells: DataFrame, keys: list[str], blocks: DataFrame | None = None, w
     compat: right baselines have neither spans nor coverage.
     """
     kinds = dict(cells.dtypes)
-
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        rows = p.drop(columns=["bucket"]).to_dict("records")
-        for r in rows:
-            r["spans"] = [] if compat and r["side"] == "right" else sorted((s["lo"], s["hi"]) for s in r["spans"])
-            r["coverage"] = 0.0 if compat and r["side"] == "right" else r["coverage"]
-        upright = kernels.chain_merge([r for r in rows if r["side"] in ("left", "right")], t.merge_distance, t.merge_overlap)
-        for r in upright:
-            if r.pop("merged", False):
-                r["coverage"] = round(min(1.0, sum(b - a for a, b in kernels.merge_spans(r["spans"])) / height), 3)
-        if p.seeded.any():
-            upright = [r for r in upright if r["coverage"] >= t.block_coverage or r["page_position"] != "mid_page"]
-        level = p[p.side.isin(["top", "bottom"])]
-        kept = [rows[i] for i in level.index[kernels.suppress_near(level["value"].to_numpy(), level["count"].to_numpy(), t.proximity)]]
-        out = pd.DataFrame(upright + kept, columns=[*keys, *[c.split()[0] for c in _BASELINE.split(", ")]])
-        for k in keys:
-            out[k] = p[k].iloc[0]
-        return out
-
-    found = clusters(cells, keys, blocks, width, height, t).groupBy(*keys).applyInPandas(lambda p: kernel(p.reset_index(drop=True)), ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + _BASELINE)
+    names = [c.split()[0] for c in _BASELINE.split(", ")]
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        page, rows = kernels.rows_of(batch.column("rows"))
+        spans = rows["spans"]
+        lo, hi = (spans.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi"))
+        ends = spans.offsets.to_numpy() - spans.offsets[0].as_py()
+        now = {c: rows[c].to_numpy(zero_copy_only=False).copy() for c in names}
+        across = np.isin(now["side"], ["left", "right"])
+        if compat:
+            now["coverage"][now["side"] == "right"] = 0.0
+        keep, upright = across.copy(), np.flatnonzero(across)
+        # only neighbours of one side and within the distance can be chained, as a chain's value is never above its last one's
+        linked = (np.diff(page[upright]) == 0) & (now["side"][upright][1:] == now["side"][upright][:-1]) & (np.diff(now["value"][upright]) <= t.merge_distance)
+        edges = np.flatnonzero(np.diff(np.concatenate(([False], linked, [False]))))
+        for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+            run = upright[first : last + 1].tolist()
+            parts = [{c: now[c][r].item() if c not in ("side", "page_position") else now[c][r] for c in names} for r in run]
+            for r, part in zip(run, parts, strict=True):
+                part["spans"] = [] if compat and part["side"] == "right" else list(zip(lo[ends[r] : ends[r + 1]].tolist(), hi[ends[r] : ends[r + 1]].tolist(), strict=True))
+                part["row"] = r
+            keep[run] = False
+            for part in kernels.chain_merge(parts, t.merge_distance, t.merge_overlap):
+                if part.get("merged"):
+                    part["coverage"] = round(min(1.0, sum(b - a for a, b in kernels.merge_spans(part["spans"])) / height), 3)
+                keep[part["row"]] = True
+                for c in names:
+                    now[c][part["row"]] = part[c]
+        seeded = np.bincount(page, rows["seeded"].to_numpy(zero_copy_only=False), minlength=batch.num_rows) > 0
+        keep &= ~(seeded[page] & (now["coverage"] < t.block_coverage) & (now["page_position"] == "mid_page"))
+        level = np.flatnonzero(~across)
+        for of in np.split(level, np.flatnonzero(np.diff(page[level])) + 1):
+            keep[of] = kernels.suppress_near(now["value"][of], now["count"][of], t.proximity)
+        columns = [pa.array(now[c][keep], from_pandas=True) for c in names]
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(page[keep])) for k in keys), *columns], [*keys, *names])
+
+    packed = kernels.packed_pages(clusters(cells, keys, blocks, width, height, t).select(*keys, *names, "bucket", "seeded", "spans"), keys, "value")
+    found = kernels.many_pages(packed, kernel, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + _BASELINE)
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), "value", "side")))
 
 

@@ -6,7 +6,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -49,29 +51,46 @@ def assign_blocks(cells: DataFrame, keys: list[str], ident: str, t: Thresholds =
     tabled = {"table_id", "column_id"} <= set(cells.columns)
     schema = StructType([*cells.schema.fields, StructField("block_id", IntegerType())])
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(ident).reset_index(drop=True)
-        columns = [None if pd.isna(a) or pd.isna(b) else (a, b) for a, b in zip(p.table_id, p.column_id, strict=True)] if tabled else None
-        blocks = kernels.split_iteratively(((p.x0 + p.x1) / 2).to_numpy(), ((p.y0 + p.y1) / 2).to_numpy(), t.v_eps, t.h_eps, t.passes, compat, columns)
-        rows = np.array([i for b in blocks for i in b], np.int64)
-        return p.take(rows).assign(block_id=np.repeat(np.arange(len(blocks), dtype=np.int32), [len(b) for b in blocks]))
-
-    return cells.groupBy(*keys).applyInPandas(kernel, schema)
+    everything = cells.columns
+    names = [c for c in everything if c not in keys]
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        page, rows = kernels.rows_of(batch.column("rows"))
+        order = pc.sort_indices(pa.table({"page": page, "ident": rows[ident]}), sort_keys=[("page", "ascending"), ("ident", "ascending")])
+        page, rows = page[order.to_numpy()], {c: x.take(order) for c, x in rows.items()}
+        x0, y0, x1, y1 = (rows[c].to_numpy(zero_copy_only=False).astype(float) for c in ("x0", "y0", "x1", "y1"))
+        cx, cy = ((x0 + x1) / 2).tolist(), ((y0 + y1) / 2).tolist()
+        tables = list(zip(rows["table_id"].to_pylist(), rows["column_id"].to_pylist(), strict=True)) if tabled else None
+        taken, number = [], []
+        ends = [0, *(np.flatnonzero(np.diff(page)) + 1).tolist(), len(page)]
+        for at, stop in zip(ends, ends[1:], strict=False):
+            columns = [None if pd.isna(a) or pd.isna(b) else (a, b) for a, b in tables[at:stop]] if tabled else None
+            for k, block in enumerate(kernels.split_iteratively(cx[at:stop], cy[at:stop], t.v_eps, t.h_eps, t.passes, compat, columns)):
+                taken += [at + i for i in block]
+                number += [k] * len(block)
+        of = pa.array(taken, pa.int64())
+        arrays = dict(zip(keys, (batch.column(k).take(pa.array(page)).take(of) for k in keys), strict=True)) | {c: rows[c].take(of) for c in names}
+        return pa.RecordBatch.from_arrays([*(arrays[c] for c in everything), pa.array(number, pa.int32())], [*everything, "block_id"])
+
+    return kernels.many_pages(kernels.packed_pages(cells, keys), kernel, schema)
 
 
 def block_alignment(blocked: DataFrame, keys: list[str], ident: str, t: Thresholds = Thresholds()) -> DataFrame:
     """Type (right before left before center before mixed), modal baseline and confidence of each block."""
-    by = Window.partitionBy(*keys, "block_id")
-    marked = blocked
-    for side, edge in (("left", "x0"), ("right", "x1")):
-        n = F.count("*").over(Window.partitionBy(*keys, "block_id", F.bround(edge)))
-        marked = marked.withColumn(f"_n_{side}", n)
-        marked = marked.withColumn(f"_base_{side}", F.first(F.bround(edge)).over(by.orderBy(F.desc(f"_n_{side}"), F.bround(edge))))
-        marked = marked.withColumn(f"_ok_{side}", (F.abs(F.col(edge) - F.col(f"_base_{side}")) <= t.baseline).cast("double"))
-    shares = marked.groupBy(*keys, "block_id").agg(
-        F.count("*").alias("cells"), F.avg("_ok_left").alias("left_share"), F.avg("_ok_right").alias("right_share"), F.first("_base_left").alias("left_base"), F.first("_base_right").alias("right_base"),
+    # one aggregation: a null edge, when most frequent, comes before others as the least does
+    none = F.lit(float("-inf"))
+    edges = [("left", "x0"), ("right", "x1")]
+    grouped = blocked.groupBy(*keys, "block_id").agg(
+        F.count("*").alias("cells"), *[F.mode(F.coalesce(F.bround(e).cast("double") + 0.0, none), True).alias(f"_mode_{s}") for s, e in edges], *[F.collect_list(e).alias(f"_all_{s}") for s, e in edges],
         F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
     )
+    based = grouped.withColumns({f"{s}_base": F.when(F.col(f"_mode_{s}") != none, F.col(f"_mode_{s}")) for s, _ in edges})
+
+    def share(side: str) -> Column:
+        base, met = F.col(f"{side}_base"), F.size(F.filter(f"_all_{side}", lambda x: F.abs(x - F.col(f"{side}_base")) <= t.baseline))
+        return F.when(base.isNotNull(), met.cast("double") / F.size(f"_all_{side}"))
+
+    shares = based.withColumns({f"{s}_share": share(s) for s, _ in edges})
     kind = F.when(F.col("right_share") >= t.aligned, "right").when(F.col("left_share") >= t.aligned, "left").when((F.col("left_share") < t.center) & (F.col("right_share") < t.center), "center").otherwise("mixed")
     typed = shares.withColumn("alignment", kind)
     confidence = F.when(F.col("alignment") == "right", F.col("right_share")).when(F.col("alignment") == "left", F.col("left_share")).otherwise(0.0)

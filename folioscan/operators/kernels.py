@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 _ROWS = 1 << 16
 
 
-def packed_pages(rows: DataFrame, keys: list[str], first: str) -> DataFrame:
-    """One row a page: its keys and `rows`, an array of the other columns as structs, in order of the column named first."""
-    others = [first, *(c for c in rows.columns if c != first and c not in keys)]
-    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*others))).alias("rows"))
+def packed_pages(rows: DataFrame, keys: list[str], first: str | None = None) -> DataFrame:
+    """One row a page: its keys and `rows`, an array of the other columns as structs, in order of the column named first, if any."""
+    others = [c for c in rows.columns if c not in keys]
+    together = F.collect_list(F.struct(*([first] if first else []), *(c for c in others if c != first)))
+    return rows.groupBy(*keys).agg((F.sort_array(together) if first else together).alias("rows"))
 
 
 def many_pages(packed: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:

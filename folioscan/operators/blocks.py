@@ -446,14 +446,19 @@ def refine(blocks: DataFrame, tables: DataFrame, keys: list[str], t: Limits = Li
     kinds = dict(blocks.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", block_id long, x0 double, y0 double, x1 double, y1 double, cells long, alignment string, share double, confidence double, merged_from array<long>, stages map<string, int>"
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("block_id")
-        listed = p["_tables"].iloc[0]
-        tables = [] if listed is None else [(x["tx0"], x["ty0"], x["tx1"], x["ty1"]) for x in listed]
-        rows = [{"block_id": r.block_id, "bbox": (r.x0, r.y0, r.x1, r.y1), "cells": int(r.cells), "alignment": r.alignment, "share": r.share} for r in p.itertuples()]
-        found, counts = refine_page(rows, tables, t, compat)
-        out = [(*(p[k].iloc[0] for k in keys), b["block_id"], *b["bbox"], b["cells"], b["alignment"], b["share"], b["confidence"], b["merged_from"], counts) for b in found]
-        return pd.DataFrame(out, columns=[*keys, "block_id", "x0", "y0", "x1", "y1", "cells", "alignment", "share", "confidence", "merged_from", "stages"])
-
-    slim = blocks.select(*keys, F.col("block_id").cast("long").alias("block_id"), "x0", "y0", "x1", "y1", "cells", "alignment", "share")
-    return slim.join(_of_page(tables, keys), keys, "left").groupBy(*keys).applyInPandas(kernel, schema)
+    names = ["block_id", "x0", "y0", "x1", "y1", "cells", "alignment", "share", "confidence", "merged_from", "stages"]
+    types = [pa.int64(), *[pa.float64()] * 4, pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.map_(pa.string(), pa.int32())]
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out, of = [], []
+        for k, (listed, of_page) in enumerate(zip(batch.column("rows").to_pylist(), batch.column("_tables").to_pylist(), strict=True)):
+            tables = [(x["tx0"], x["ty0"], x["tx1"], x["ty1"]) for x in of_page or []]
+            rows = [{"block_id": r["block_id"], "bbox": (r["x0"], r["y0"], r["x1"], r["y1"]), "cells": r["cells"], "alignment": r["alignment"], "share": r["share"]} for r in listed]
+            found, counts = refine_page(rows, tables, t, compat)
+            out += [(b["block_id"], *b["bbox"], b["cells"], b["alignment"], b["share"], b["confidence"], b["merged_from"], list(counts.items())) for b in found]
+            of += [k] * len(found)
+        columns = [pa.array([r[c] for r in out], kind) for c, kind in enumerate(types)]
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(of, pa.int64())) for k in keys), *columns], [*keys, *names])
+
+    slim = blocks.select(*keys, F.col("block_id").cast("long").alias("block_id"), "x0", "y0", "x1", "y1", F.col("cells").cast("long").alias("cells"), "alignment", "share")
+    return kernels.many_pages(kernels.packed_pages(slim, keys, "block_id").join(_of_page(tables, keys), keys, "left"), kernel, schema)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as g
 from folioscan.operators import alignment, baselines, blocks, kernels, lookups, spatial
+from folioscan.operators.lineage import stored
 from folioscan.plans import views as v
 from folioscan.plans.registry import query
 
@@ -528,8 +530,8 @@ def _amount_blocks(spark, d) -> DataFrame:
     return typed.withColumnRenamed("confidence", "share")
 
 
-def _amount_tables(spark, d) -> DataFrame:
-    pages = _amount_blocks(spark, d).groupBy("page_ix").agg(F.max("y1").alias("ty1"))
+def _amount_tables(found: DataFrame) -> DataFrame:
+    pages = found.groupBy("page_ix").agg(F.max("y1").alias("ty1"))
     return pages.select("page_ix", F.lit(1).alias("table_id"), F.lit(440.0).alias("tx0"), F.lit(0.0).alias("ty0"), F.lit(520.0).alias("tx1"), "ty1")
 
 
@@ -537,18 +539,27 @@ def _amount_tables(spark, d) -> DataFrame:
 def merged_blocks(spark, d):
     """Blocks of amounts merged with their neighbours."""
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        items = [{"bbox": (r.x0, r.y0, r.x1, r.y1), "alignment": r.alignment, "cells": int(r.cells), "merged_from": [int(r.block_id)]} for r in p.sort_values("block_id").itertuples()]
-        rows = [(p.page_ix.iloc[0], *m["bbox"], m["cells"], len(m["merged_from"])) for m in kernels.merge_adjacent(items)]
-        return pd.DataFrame(rows, columns=["page_ix", "x0", "y0", "x1", "y1", "cells", "parts"])
+    names = ["x0", "y0", "x1", "y1", "cells", "parts"]
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows, of = [], []
+        for k, page in enumerate(batch.column("rows").to_pylist()):
+            items = [{"bbox": (r["x0"], r["y0"], r["x1"], r["y1"]), "alignment": r["alignment"], "cells": r["cells"], "merged_from": [r["block_id"]]} for r in page]
+            found = kernels.merge_adjacent(items)
+            rows += [(*m["bbox"], m["cells"], len(m["merged_from"])) for m in found]
+            of += [k] * len(found)
+        columns = [pa.array([r[c] for r in rows], pa.int64() if c > 3 else pa.float64()) for c in range(len(names))]
+        return pa.RecordBatch.from_arrays([batch.column("page_ix").take(pa.array(of, pa.int64())), *columns], ["page_ix", *names])
 
-    return kernels.per_page(_amount_blocks(spark, d), ["page_ix"], kernel, "page_ix long, x0 double, y0 double, x1 double, y1 double, cells long, parts long")
+    b = _amount_blocks(spark, d).select("page_ix", "block_id", "x0", "y0", "x1", "y1", "alignment", "cells")
+    return kernels.many_pages(kernels.packed_pages(b, ["page_ix"], "block_id"), kernel, "page_ix long, x0 double, y0 double, x1 double, y1 double, cells long, parts long")
 
 
 @query()
 def refine_text_blocks(spark, d):
     """Blocks of amounts scored, merged, freed of nested and weak ones, with counts by stage."""
-    r = blocks.refine(_amount_blocks(spark, d), _amount_tables(spark, d), ["page_ix"])
+    found = stored(_amount_blocks(spark, d), "amounts")  # read for the tables too
+    r = blocks.refine(found, _amount_tables(found), ["page_ix"])
     return r.select("page_ix", "block_id", "x0", "y0", "x1", "y1", "cells", "alignment", "confidence", F.size("merged_from").cast("long").alias("parts"), *[F.col("stages")[k].alias(k) for k in blocks.STAGES])
 
 

@@ -364,3 +364,38 @@ def test_chains_of_many_pages_are_those_of_each(spark):
         got[r.page_ix].append((r.side, round(r.value, 6), r["count"], r.block_support, r.coverage, r.page_position))
     for p in range(30):
         assert sorted(got[p]) == _told(_detect([r[2:] for r in rows if r[0] == p]))
+
+
+def test_blocks_are_assigned_page_by_page_in_any_order_of_rows(spark):
+    rows = [(p, k, "t", *(float(x) for x in (k * p % 5 * 60, k * 7 % 90, k * p % 5 * 60 + 20, k * 7 % 90 + 8)), 1 if k % 3 else None, k % 2) for p in range(1, 20) for k in range(p + 3)]
+    schema = "page_ix long, box_id long, text string, x0 double, y0 double, x1 double, y1 double, table_id int, column_id int"
+    for compat in (False, True):
+        got = defaultdict(list)
+        for r in alignment.assign_blocks(spark.createDataFrame(rows[::-1], schema).repartition(5), ["page_ix"], "box_id", compat=compat).collect():
+            assert (r.page_ix, r.box_id, r.text, r.x0, r.y0, r.x1, r.y1, r.table_id, r.column_id) in rows
+            got[r.page_ix].append((r.block_id, r.box_id))
+        for p in range(1, 20):
+            mine = [r for r in rows if r[0] == p]
+            centre = lambda a: np.array([(r[a] + r[a + 2]) / 2 for r in mine])
+            want = kernels.split_iteratively(centre(3), centre(4), compat=compat, columns=[None if r[7] is None else (r[7], r[8]) for r in mine])
+            assert sorted(got[p]) == sorted((k, mine[i][1]) for k, b in enumerate(want) for i in b)
+
+
+def test_alignment_of_a_block_takes_no_window(spark):
+    rows = [(1, 0, 10.0, 50.0), (1, 0, 10.4, 61.0), (1, 0, 30.0, 72.0), (1, 0, 12.0, 90.0), (1, 1, 7.0, 40.0), (1, 1, 3.0, 40.0), (1, 2, None, 40.0), (1, 2, None, 80.0), (1, 2, 5.0, 99.0), (1, 3, -0.4, 20.0), (1, 3, 0.3, 20.0), (1, 3, 9.0, 70.0)]
+    cells = spark.createDataFrame([(p, b, k, x0, 0.0, x1, 9.0) for k, (p, b, x0, x1) in enumerate(rows)], "page_ix long, block_id long, box_id long, x0 double, y0 double, x1 double, y1 double")
+    found = alignment.block_alignment(cells, ["page_ix"], "box_id")
+    assert "Window" not in found._jdf.queryExecution().executedPlan().toString()
+    told = {r.block_id: (r.cells, r.alignment, r.baseline, r.confidence) for r in found.collect()}
+    assert told == {0: (4, "left", 10.0, 0.75), 1: (2, "right", 40.0, 1.0), 2: (3, "mixed", None, 0.0), 3: (3, "mixed", None, 0.0)}
+
+
+def test_refinement_of_many_pages_is_that_of_each(spark):
+    rows = [(p, k, 40.0, 20.0 * k + p % 3, 90.0 + k * p % 7, 20.0 * k + 12, 1 + k * p % 9, ("left", "right", "mixed")[k * p % 4 % 3], 0.5 + 0.1 * (k % 5)) for p in range(25) for k in range(p % 8 + 1)]
+    tables = spark.createDataFrame([(p, 1, 30.0, 0.0, 100.0, 60.0) for p in range(0, 25, 2)], "page_ix long, table_id int, tx0 double, ty0 double, tx1 double, ty1 double")
+    found = blocks.refine(spark.createDataFrame(rows[::-1], "page_ix long, block_id long, x0 double, y0 double, x1 double, y1 double, cells long, alignment string, share double"), tables, ["page_ix"])
+    want = []
+    for p in range(25):
+        page, counts = blocks.refine_page([block(r[2:6], r[6], r[8], r[7], r[1]) for r in rows if r[0] == p], [] if p % 2 else [(30.0, 0.0, 100.0, 60.0)])
+        want += [(p, b["block_id"], *b["bbox"], b["cells"], b["alignment"], b["share"], b["confidence"], b["merged_from"], counts) for b in page]
+    assert sorted(map(tuple, found.collect()), key=lambda r: r[:2]) == sorted(want, key=lambda r: r[:2])

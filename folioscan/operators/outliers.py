@@ -11,9 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.operators.kernels import components, find_components
+from folioscan.operators.kernels import components, components_of, find_components
 
 SEED = 42
+#: Points compared at once by dbscan_2d.
+_AT_ONCE = 1 << 18
 
 
 def matrix(x: pd.Series) -> np.ndarray:
@@ -342,26 +344,47 @@ def density_labels(d: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
     return label
 
 
-def dbscan_2d(x: np.ndarray, eps: float = 12.0, min_samples: int = 3) -> np.ndarray:
+def dbscan_2d(x: np.ndarray, eps: float = 12.0, min_samples: int = 3, group: np.ndarray | None = None) -> np.ndarray:
     """Labels by smallest core member, -1 for noise; for block detection on (centre x * 0.2, centre y).
 
-    Points meet in squares of eps, so only neighbours are compared and memory follows their number.
+    Points meet in squares of eps, so only neighbours are compared, some points at a time; memory follows the points.
+    group: numbers from 0 of points that are apart.
     """
-    cell = np.floor(x / eps).astype(np.int64) if len(x) else np.zeros((0, 2), np.int64)
-    squares: dict[tuple[int, int], list[int]] = {}
-    for i, (a, b) in enumerate(cell.tolist()):
-        squares.setdefault((a, b), []).append(i)
-    near = []
-    for i, (a, b) in enumerate(cell.tolist()):
-        some = np.array([j for p in (a - 1, a, a + 1) for q in (b - 1, b, b + 1) for j in squares.get((p, q), ())], np.int64)
-        near.append(np.sort(some[((x[some] - x[i]) ** 2).sum(axis=1) <= eps * eps]))
-    core = np.array([len(j) >= min_samples for j in near], bool)
-    at = np.flatnonzero(core)
-    label = np.full(len(x), -1)
-    edges = [(i, j) for i in at.tolist() for j in near[i].tolist() if j > i and core[j]]
-    label[at] = find_components(len(x), edges)[at]
-    for i in np.flatnonzero(~core):
-        mine = near[i][core[near[i]]]
-        if len(mine):
-            label[i] = label[mine].min()
-    return label
+    n = len(x)
+    if not n:
+        return np.zeros(0, np.int64)
+    group = np.zeros(n, np.int64) if group is None else group
+    cell = np.floor(x / eps).astype(np.int64)
+    beside = []  # ranks of the square before, of the square itself and of the one behind it, along each axis
+    for k in (0, 1):
+        _, ranks = np.unique(np.concatenate([cell[:, k] - 1, cell[:, k], cell[:, k] + 1]), return_inverse=True)
+        beside.append(ranks.reshape(3, n))
+    wide = 3 * n
+    key = lambda p, q: (group * wide + beside[0][p]) * wide + beside[1][q]
+    order = np.argsort(key(1, 1), kind="stable")
+    have = key(1, 1)[order]
+    lo = np.concatenate([np.searchsorted(have, key(p, q), "left") for p in range(3) for q in range(3)])
+    counts = np.concatenate([np.searchsorted(have, key(p, q), "right") for p in range(3) for q in range(3)]) - lo
+    total = np.concatenate(([0], np.cumsum(counts)))
+
+    def near():
+        at = 0
+        while at < len(lo):
+            stop = max(at + 1, int(np.searchsorted(total, total[at] + _AT_ONCE, "right")) - 1)
+            m = np.repeat(np.arange(at, stop), counts[at:stop])
+            i, j = m % n, order[lo[m] + np.arange(len(m)) - (total[m] - total[at])]
+            ok = ((x[j] - x[i]) ** 2).sum(axis=1) <= eps * eps
+            yield i[ok], j[ok]
+            at = stop
+
+    core = sum(np.bincount(i, minlength=n) for i, _ in near()) >= min_samples
+    up, border = np.arange(n), []
+    for i, j in near():
+        both = core[i] & core[j] & (i < j)
+        up = components_of(n, up[i[both]], up[j[both]])[up]
+        one = ~core[i] & core[j]
+        border.append((i[one], j[one]))
+    label = np.where(core, up, n)
+    for i, j in border:
+        np.minimum.at(label, i, up[j])
+    return np.where(label < n, label, -1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -642,10 +643,17 @@ def dbscan_blocks(spark, d):
     """Blocks by density in the plane of (0.2 centre x, centre y); noise is left out."""
     from folioscan.operators import outliers
 
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("box_id").reset_index(drop=True)
-        label = outliers.dbscan_2d(((p[["x0", "y0"]].to_numpy() + p[["x1", "y1"]].to_numpy()) / 2) * [0.2, 1.0])
-        p = p.assign(block_id=label)[label >= 0]
-        return p.groupby(["page_ix", "block_id"], as_index=False).agg(cell_count=("box_id", "size"), x0=("x0", "min"), y0=("y0", "min"), x1=("x1", "max"), y1=("y1", "max"))
-
-    return kernels.per_page(v.boxes(spark, d), ["page_ix"], kernel, "page_ix long, block_id long, cell_count long, x0 double, y0 double, x1 double, y1 double")
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        page, rows = kernels.rows_of(batch.column("rows"))
+        box = np.stack([rows[c].to_numpy(zero_copy_only=False).astype(float) for c in ("x0", "y0", "x1", "y1")], axis=1)
+        label = outliers.dbscan_2d(((box[:, :2] + box[:, 2:]) / 2) * [0.2, 1.0], group=page)
+        order = np.argsort(label, kind="stable")
+        order = order[label[order] >= 0]
+        first = np.flatnonzero(np.diff(label[order], prepend=-1))
+        found, begins = label[order][first], np.searchsorted(page, np.arange(batch.num_rows))
+        ends = [np.minimum.reduceat(box[order, :2], first), np.maximum.reduceat(box[order, 2:], first)] if len(first) else [box[:0, :2], box[:0, 2:]]
+        columns = [found - begins[page[found]], np.diff(np.append(first, len(order))), *np.concatenate(ends, axis=1).T]
+        return pa.RecordBatch.from_arrays([batch.column("page_ix").take(pa.array(page[found])), *map(pa.array, columns)], ["page_ix", "block_id", "cell_count", "x0", "y0", "x1", "y1"])
+
+    b = v.boxes(spark, d).select("page_ix", "box_id", "x0", "y0", "x1", "y1")
+    return kernels.many_pages(kernels.packed_pages(b, ["page_ix"], "box_id"), kernel, "page_ix long, block_id long, cell_count long, x0 double, y0 double, x1 double, y1 double")

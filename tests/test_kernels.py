@@ -186,3 +186,15 @@ def test_cluster_analysis_chain():
     assert r["k"] >= 2 and r["is_anomaly"][120] and len(set(r["kmeans"][:60])) == 1 and r["hopkins"] > 0.5
     one = outliers.cluster_analysis(x[:1])
     assert one["hopkins"] == 0.5 and one["k"] == 1 and one["dbscan"].tolist() == [-1] and not one["is_anomaly"].any()
+
+
+def test_dbscan_of_many_pages_is_that_of_each(monkeypatch):
+    rng = np.random.default_rng(3)
+    pages = [rng.integers(0, 90, (n, 2)) * [3.0, 4.0] for n in (1, 2, 5, 40, 80, 120)]
+    group = np.repeat(np.arange(len(pages)), [len(p) for p in pages])
+    begins = np.searchsorted(group, np.arange(len(pages)))
+    want = [np.where(x >= 0, x + b, -1) for x, b in zip((outliers.density_labels(np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2)), 12.0, 3) for p in pages), begins, strict=True)]
+    for most in (1 << 18, 50):
+        monkeypatch.setattr(outliers, "_AT_ONCE", most)
+        assert outliers.dbscan_2d(np.concatenate(pages), group=group).tolist() == np.concatenate(want).tolist()
+    assert outliers.dbscan_2d(np.zeros((0, 2))).tolist() == []

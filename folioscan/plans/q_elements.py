@@ -19,7 +19,9 @@ _ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 
 def trees(spark, d) -> DataFrame:
     """(doc_id, tree): the JSON of each 2,000 orders."""
-    t = v.table(spark, d, "lineitem").withColumn("doc", F.floor(F.col("l_orderkey") / 2000).cast("long")).withColumn("page", F.floor(F.col("l_orderkey") / 20).cast("int"))
+    read = ("l_orderkey", *_ORDER, "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
+    # dealt by file while the rows are small: the three levels of lists need no other shuffle
+    t = v.table(spark, d, "lineitem").select(*read, F.floor(F.col("l_orderkey") / 2000).cast("long").alias("doc")).repartition("doc").withColumn("page", F.floor(F.col("l_orderkey") / 20).cast("int"))
     k, text = F.col("l_suppkey"), F.concat("l_returnflag", "l_linestatus")
     font = F.struct(
         F.when(F.col("l_returnflag") != "A", F.col("l_returnflag") == "R").alias("embedded"), F.when(k % 3 == 0, "WinAnsi").when(k % 3 == 1, "").alias("encoding"), F.concat(F.lit("Fam"), (k % 4).cast("string")).alias("family_name"),

@@ -254,42 +254,59 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("doc_id", "file_size", F.try_parse_json("value").alias("tree")).withColumn("_error", F.when(F.col("tree").isNull(), "malformed"))
 
 
+#: Levels of a tree that are read at once, typed; what lies deeper stays VARIANT until the next pass.
+_LEVELS = 3
+_FONT = "struct<embedded:boolean,encoding:string,family_name:string,name:string,font_type:string,monospaced:boolean,subset:boolean>"
+_NODE = f"Path:string,Page:variant,Text:string,Font:{_FONT},HasClip:boolean,TextSize:double,LineHeight:variant,attributes:struct<LineHeight:double,BBox:variant>,BBox:variant,Bounds:variant"
+
+
+def _shape(children: str) -> str:
+    kind = "variant"
+    for _ in range(_LEVELS):
+        kind = f"struct<{_NODE},`{children}`:array<{kind}>>"
+    return kind
+
+
 def nested_elements(trees: DataFrame, children: str = "Kids") -> DataFrame:
     """Elements of trees (doc_id, tree) and all their descendants, with the page of the nearest ancestor that names one.
 
     place holds the positions from the root down (in this order elements stand as in the file), id and parent are its
-    text. One level is one pass over the children of the level above, so that work and storage follow the depth; what
-    isn't an object has no element. An element whose page is null hands null down.
+    text. A pass reads some levels of every tree with all their fields, so that no field is looked up by itself and no
+    subtree is copied for each level above it; what isn't an object has no element. An element whose page is null hands
+    null down.
     """
-    at = trees.select("doc_id", F.posexplode(F.try_variant_get("tree", "$.elements", "array<variant>")).alias("i", "node"))
+    shape = _shape(children)
+    at = trees.select("doc_id", F.posexplode(F.try_variant_get(F.col("tree"), "$.elements", f"array<{shape}>")).alias("i", "node"))
     now = at.select("doc_id", F.array("i").alias("place"), F.lit(None).cast("int").alias("above"), "node")
     levels = []
     while True:
-        node = F.col("node")
-        objects = now.filter(F.try_variant_get(node, "$", "map<string,variant>").isNotNull())
-        page = F.when(F.try_variant_get(node, "$.Page", "variant").isNull(), F.col("above")).otherwise(F.try_variant_get(node, "$.Page", "int"))
-        level = cut(objects.select("doc_id", "place", page.alias("page_ix"), "node"))
-        if levels and level.isEmpty():
+        now = cut(now.filter("node is not null"))  # what isn't an object
+        if levels and now.isEmpty():
             break
-        levels.append(level)
-        kids = F.posexplode(F.try_variant_get("node", f"$.{children}", "array<variant>")).alias("i", "node")
-        now = level.select("doc_id", "place", F.col("page_ix").alias("above"), kids).select("doc_id", F.array_append("place", F.col("i")).alias("place"), "above", "node")
-    return _element(cut(functools.reduce(DataFrame.union, levels)))  # else fields are read by code of their own for each level
+        for _ in range(_LEVELS):
+            page = F.when(F.col("node.Page").isNull(), F.col("above")).otherwise(F.try_variant_get("node.Page", "$", "int"))
+            below = F.col("node").getField(children)
+            levels.append(now.select("doc_id", "place", page.alias("page_ix"), F.col("node").dropFields(f"`{children}`").alias("node")))
+            kids = now.select("doc_id", "place", page.alias("above"), F.posexplode(below).alias("i", "node")).filter("node is not null")
+            now = kids.select("doc_id", F.array_append("place", F.col("i")).alias("place"), "above", "node")
+        now = now.withColumn("node", F.try_variant_get("node", "$", shape))
+    whole = functools.reduce(DataFrame.union, levels)
+    return _element(whole if len(levels) == _LEVELS else cut(whole))  # else fields are read by code of their own for each level of a deep tree
 
 
 def _element(level: DataFrame) -> DataFrame:
-    field = lambda path, kind: F.try_variant_get("node", path, kind)
-    font = F.struct(*[field(f"$.Font.{n}", kind).alias(n) for n, kind in (("embedded", "boolean"), ("encoding", "string"), ("family_name", "string"), ("name", "string"), ("font_type", "string"), ("monospaced", "boolean"), ("subset", "boolean"))])
-    places = ("$.BBox", "$.attributes.BBox", "$.Bounds")
-    sources = [any_box(F.to_json(field(p, "variant"))) for p in places]
+    places = {"BBox": "node.BBox", "attributes.BBox": "node.attributes.BBox", "Bounds": "node.Bounds"}
+    sources = [any_box(F.to_json(p)) for p in places.values()]
     whole = [F.when(s[0].isNotNull(), F.struct(*[c.alias(n) for c, n in zip(s, ("x0", "y0", "x1", "y1"), strict=True)])) for s in sources]
-    which = F.coalesce(*[F.when(s[0].isNotNull(), F.lit(p[2:])) for s, p in zip(sources, places, strict=True)])
-    kind = F.regexp_replace(F.element_at(F.split(field("$.Path", "string"), "/"), -1), r"\[\d+\]$", "")
+    which = F.coalesce(*[F.when(s[0].isNotNull(), F.lit(p)) for s, p in zip(sources, places, strict=True)])
+    kind = F.regexp_replace(F.element_at(F.split("node.Path", "/"), -1), r"\[\d+\]$", "")
     n = F.size("place")
+    no_height = F.col("node.LineHeight").isNull() | F.is_variant_null("node.LineHeight")
+    font = F.struct(*[F.col(f"node.Font.{c}").alias(c) for c in ("embedded", "encoding", "family_name", "name", "font_type", "monospaced", "subset")])
     return level.select(
-        "doc_id", F.array_join("place", ".").alias("id"), F.when(n > 1, F.array_join(F.slice("place", 1, n - 1), ".")).alias("parent"), "place", (n - 1).alias("depth"), "page_ix", field("$.Path", "string").alias("path"), kind.alias("kind"),
-        field("$.Text", "string").alias("text"), font.alias("font"), field("$.HasClip", "boolean").alias("has_clip"), field("$.TextSize", "double").alias("text_size"),
-        F.when(field("$.LineHeight", "string").isNull(), field("$.attributes.LineHeight", "double")).otherwise(field("$.LineHeight", "double")).alias("line_height"), which.alias("bbox_source"), F.coalesce(*whole).alias("_b"),
+        "doc_id", F.array_join("place", ".").alias("id"), F.when(n > 1, F.array_join(F.slice("place", 1, n - 1), ".")).alias("parent"), "place", (n - 1).alias("depth"), "page_ix", F.col("node.Path").alias("path"), kind.alias("kind"),
+        F.col("node.Text").alias("text"), font.alias("font"), F.col("node.HasClip").alias("has_clip"), F.col("node.TextSize").alias("text_size"),
+        F.when(no_height, F.col("node.attributes.LineHeight")).otherwise(F.try_variant_get("node.LineHeight", "$", "double")).alias("line_height"), which.alias("bbox_source"), F.coalesce(*whole).alias("_b"),
     ).select("*", "_b.*").drop("_b")
 
 

@@ -79,3 +79,12 @@ def test_a_value_of_very_many_items_stays_bounded(spark):
     found = profile.first_items(df, profile.CELLS, order=("page_ix", "id"), item=("text", "id"), keep=5)
     assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
     assert [x.id for x in found.first().items] == [0, 90, 180, 270, 360]
+
+
+def test_profile_reads_its_items_once(spark):
+    rows = [("a" if i % 7 else None, i % 5 if i % 11 else None, i // 3, f"t{i}", ["F", "G", "", None][i % 4], i + (i % 3) / 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id string, page_ix int, at int, text string, font string, size double").repartition(3)
+    got = profile.profile(df, profile.WORDS, order=("at", "text"), keep=4)
+    assert "Expand" not in got._jdf.queryExecution().toString()
+    plain = profile.histogram(df, profile.WORDS).join(profile.first_items(df, profile.WORDS, order=("at", "text"), keep=4), ["doc_id", "prop", "value"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, plain.select(*got.columns).collect())) and got.count() == 3

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import functools
-
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import text as tx
@@ -299,21 +297,24 @@ _REASONS = f"""reasons as (
 _SOURCES = (("x1 - x0 > 60", "wide"), ("x0 < 50", "page edge"), ("y0 < 60", "top"), ("y1 > 700", "bottom"), ("text = 'NF'", "text NF"), ("x1 - x0 < 24", "narrow"))
 
 
+def _reasons() -> Column:
+    """What the sources find in a box, of which each page has one under its number: a box needs no other row for it."""
+    return F.array_compact(F.array(*[F.when(F.expr(c), r) for c, r in _SOURCES]))
+
+
 @query(f"with {v.BOXES}, {_REASONS} select page_ix, box_id, text, string_agg(reason, '; ' order by reason) as reasons, count(*) as n from reasons group by 1, 2, 3")
 def annotation_reasons(spark, d):
     """Findings of several detectors united and gathered per box."""
-    b = v.boxes(spark, d).select("page_ix", "box_id", "text", "x0", "x1", "y0")
-    parts = [b.filter(c).select("page_ix", "box_id", "text", F.lit(r).alias("reason")) for c, r in _SOURCES]
-    u = functools.reduce(DataFrame.unionByName, parts)
-    return u.groupBy("page_ix", "box_id", "text").agg(F.array_join(F.sort_array(F.collect_list("reason")), "; ").alias("reasons"), F.count("*").alias("n"))
+    b = v.boxes(spark, d).select("page_ix", "box_id", "text", F.sort_array(_reasons()).alias("reasons")).filter(F.size("reasons") > 0)
+    return b.select("page_ix", "box_id", "text", F.array_join("reasons", "; ").alias("reasons"), F.size("reasons").cast("long").alias("n"))
 
 
 @query(f"with {v.BOXES}, {_REASONS} select reason, count(*) as n, count(distinct page_ix) as pages from reasons where not exists (select 1 from boxes b where b.page_ix = reasons.page_ix and b.box_id = reasons.box_id and b.text = 'NO') group by 1")
 def severity_histogram(spark, d):
-    b = v.boxes(spark, d)
-    parts = [b.filter(c).select("page_ix", "box_id", F.lit(r).alias("reason")) for c, r in _SOURCES]
-    found = b.filter("text = 'NO'").select("page_ix", "box_id").toDF("page_ix", "box_id")
-    return functools.reduce(DataFrame.unionByName, parts).join(found, ["page_ix", "box_id"], "left_anti").groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("page_ix").alias("pages"))
+    """How many boxes and pages each reason is found on; a box whose own page has it under the text NO takes no part."""
+    b = v.boxes(spark, d).filter("page_ix is null or not text <=> 'NO'").select("page_ix", F.explode(_reasons()).alias("reason"))
+    by_page = b.groupBy("page_ix", "reason").agg(F.count("*").alias("n"))
+    return by_page.groupBy("reason").agg(F.sum("n").alias("n"), F.count("page_ix").alias("pages"))
 
 
 @query("""select lang, count(*) as documents, count(*) filter (trim(text) <> '') as with_text, cast(sum(n_chars) as bigint) as chars, count(*) filter (n_chars < 200) as short, left(min(text), 200) as preview,

@@ -165,29 +165,35 @@ def pairwise(x: np.ndarray) -> np.ndarray:
 
 
 def yeo_johnson(x: np.ndarray) -> tuple[np.ndarray, list[float]]:
-    """Each feature transformed by the power of largest likelihood (golden section on [-3, 5])."""
-
-    def transform(v: np.ndarray, p: float) -> np.ndarray:
-        out, pos = np.empty_like(v), v >= 0
-        out[pos] = np.log1p(v[pos]) if abs(p) < 1e-9 else ((v[pos] + 1) ** p - 1) / p
-        out[~pos] = -np.log1p(-v[~pos]) if abs(p - 2) < 1e-9 else -((1 - v[~pos]) ** (2 - p) - 1) / (2 - p)
+    """Each feature transformed by the power of largest likelihood (golden section on [-3, 5]); the searches of all features go on together."""
+    n, rows = len(x), np.ascontiguousarray(x.T)
+
+    def transform(v: np.ndarray, p: np.ndarray) -> np.ndarray:
+        out, pos, each = np.empty_like(v), v >= 0, np.broadcast_to(p[:, None], v.shape)
+        for part, w, q, sign in ((pos, v[pos], each[pos], 1.0), (~pos, -v[~pos], 2 - each[~pos], -1.0)):
+            flat = np.abs(q) < 1e-9
+            some = np.where(flat, 1.0, q)
+            out[part] = sign * np.where(flat, np.log1p(w), ((w + 1) ** some - 1) / some)
         return out
 
-    def likelihood(v: np.ndarray, p: float) -> float:
-        spread = transform(v, p).var()
-        return -len(v) / 2 * np.log(spread) + (p - 1) * (np.sign(v) * np.log1p(np.abs(v))).sum() if spread > 0 else -np.inf
-
-    powers, g = [], (5**0.5 - 1) / 2
-    for v in x.T:
-        a, b = -3.0, 5.0
-        if np.ptp(v) == 0:
-            powers.append(1.0)
-            continue
-        while b - a > 1e-6:
-            c, d = b - g * (b - a), a + g * (b - a)
-            a, b = (a, d) if likelihood(v, c) > likelihood(v, d) else (c, b)
-        powers.append((a + b) / 2)
-    return np.stack([transform(v, p) for v, p in zip(x.T, powers, strict=True)], axis=1), powers
+    def likelihood(v: np.ndarray, p: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        spread = transform(v, p).var(axis=1)
+        some = spread > 0
+        return np.where(some, -n / 2 * np.log(np.where(some, spread, 1.0)) + (p - 1) * logs, -np.inf)
+
+    powers, g = np.ones(len(rows)), (5**0.5 - 1) / 2
+    open_ = np.flatnonzero(np.ptp(rows, axis=1) != 0)
+    a, b = np.full(len(rows), -3.0), np.full(len(rows), 5.0)
+    logs = (np.sign(rows) * np.log1p(np.abs(rows))).sum(axis=1)
+    searched = open_
+    while len(open_):
+        v, lo, hi = rows[open_], a[open_], b[open_]
+        c, d = hi - g * (hi - lo), lo + g * (hi - lo)
+        left = likelihood(v, c, logs[open_]) > likelihood(v, d, logs[open_])
+        a[open_], b[open_] = np.where(left, lo, c), np.where(left, d, hi)
+        open_ = open_[b[open_] - a[open_] > 1e-6]
+    powers[searched] = (a[searched] + b[searched]) / 2
+    return np.ascontiguousarray(transform(rows, powers).T), powers.tolist()
 
 
 def transformed_scores(x: np.ndarray) -> np.ndarray:
@@ -271,14 +277,16 @@ def isolation_scores(x: np.ndarray, trees: int = 100, sample: int = 256, seed: i
     limit = int(np.ceil(np.log2(m)))
 
     def grow(inside: np.ndarray, rows: np.ndarray, level: int) -> None:
-        lo, hi = x[inside].min(axis=0), x[inside].max(axis=0)
+        here = x[inside]
+        lo, hi = here.min(axis=0), here.max(axis=0)
         wide = np.flatnonzero(hi > lo)
         if level >= limit or len(inside) < 2 or not len(wide):
             depth[rows] += level + expected(len(inside))
             return
-        f = rng.choice(wide)
-        cut = rng.uniform(lo[f], hi[f])
-        grow_to = ((inside[x[inside, f] < cut], rows[x[rows, f] < cut]), (inside[x[inside, f] >= cut], rows[x[rows, f] >= cut]))
+        f = wide[rng.integers(len(wide))]
+        cut = lo[f] + (hi[f] - lo[f]) * rng.random()
+        mine, all_ = x[inside, f], x[rows, f]
+        grow_to = ((inside[mine < cut], rows[all_ < cut]), (inside[mine >= cut], rows[all_ >= cut]))
         for some, below in grow_to:
             if len(some):
                 grow(some, below, level + 1)

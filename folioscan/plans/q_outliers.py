@@ -104,7 +104,9 @@ def cluster_analysis(spark, d):
 
 
 def _per_document(f: DataFrame, kernel, schema: str) -> DataFrame:
-    return f.groupBy("doc").applyInPandas(kernel, schema)
+    # few bytes, much work: without a number of their own the partitions would be joined by size until few tasks do it all
+    tasks = int(f.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return f.repartition(tasks, "doc").groupBy("doc").applyInPandas(kernel, schema)
 
 
 @query()

@@ -1,5 +1,7 @@
 """Kernels against the reference cases of FIXTURES.md and against naive versions."""
 
+import sys
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -198,3 +200,22 @@ def test_dbscan_of_many_pages_is_that_of_each(monkeypatch):
         monkeypatch.setattr(outliers, "_AT_ONCE", most)
         assert outliers.dbscan_2d(np.concatenate(pages), group=group).tolist() == np.concatenate(want).tolist()
     assert outliers.dbscan_2d(np.zeros((0, 2))).tolist() == []
+
+
+def test_yeo_johnson_searches_all_features_together():
+    """A feature's power doesn't hang on the others; constant and negative features are among them. Its calls follow the rounds, not the features."""
+    rng = np.random.default_rng(5)
+    x = np.stack([rng.exponential(size=40), rng.normal(size=40), np.full(40, 3.0), -rng.exponential(size=40)] * 8, axis=1)
+    y, powers = outliers.yeo_johnson(x)
+    for i in range(4):
+        alone, p = outliers.yeo_johnson(x[:, i : i + 1])
+        assert p[0] == powers[i] == powers[i + 4] and np.array_equal(alone[:, 0], y[:, i])
+    assert powers[2] == 1.0
+    calls = []
+    profiler = lambda frame, event, arg: calls.append(1) if event == "call" and frame.f_code.co_name == "likelihood" else None
+    sys.setprofile(profiler)
+    try:
+        outliers.yeo_johnson(x)
+    finally:
+        sys.setprofile(None)
+    assert len(calls) < 100

@@ -10,6 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of packed pages that a kernel is given at once; a larger page comes alone.
 _ROWS = 1 << 16
@@ -22,7 +23,7 @@ def packed_pages(rows: DataFrame, keys: list[str], first: str | None = None) ->
     return rows.groupBy(*keys).agg((F.sort_array(together) if first else together).alias("rows"))
 
 
-def many_pages(packed: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def many_pages(packed: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """What the kernel makes of packed pages, given some of them at a time: a page costs no call and no table of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,8 +14,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from folioscan.operators import kernels
 from folioscan.operators.spatial import BINS, COORDS
 
 #: Comparisons made at once.
@@ -57,8 +58,11 @@ def _dealt(boxes: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return known[row], low[row, 0] + k % size[row, 0], low[row, 1] + k // size[row, 0]
 
 
-def meeting(a: np.ndarray, b: np.ndarray, bins: tuple[float, float] | None = BINS) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j), in order, of all boxes of a and of b that overlap strictly; a pair is judged in the bin where its intersection begins."""
+def meeting(a: np.ndarray, b: np.ndarray, bins: tuple[float, float] | None = BINS, pages: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j), in order, of all boxes of a and of b that overlap strictly; a pair is judged in the bin where its intersection begins.
+
+    pages: the page of each box of a and of b, as numbers from 0, where they are of several.
+    """
     step = np.array(bins or (np.inf, np.inf))
     (ra, xa, ya), (rb, xb, yb) = _dealt(a, step), _dealt(b, step)
     none = np.zeros(0, np.int64)
@@ -67,6 +71,9 @@ def meeting(a: np.ndarray, b: np.ndarray, bins: tuple[float, float] | None = BIN
     left, top = min(xa.min(), xb.min()), min(ya.min(), yb.min())
     height = max(ya.max(), yb.max()) - top + 1
     ca, cb = (xa - left) * height + ya - top, (xb - left) * height + yb - top
+    if pages is not None:
+        apart = max(ca.max(), cb.max()) + 1
+        ca, cb = ca + pages[0][ra] * apart, cb + pages[1][rb] * apart
     order = np.argsort(cb, kind="stable")
     cb, rb = cb[order], rb[order]
     lo, hi = np.searchsorted(cb, ca, "left"), np.searchsorted(cb, ca, "right")
@@ -141,3 +148,87 @@ def beside(cells: DataFrame, spans: DataFrame, keys: list[str], ident: str, near
 
     both = a.withColumn("_cell", F.lit(True)).unionByName(b.withColumn("_cell", F.lit(False)))
     return both.groupBy(*keys).applyInArrow(one, schema)
+
+
+def best(boxes: DataFrame, items: DataFrame, min_iou: float, keys: list[str], ident: str, item: str, bins: tuple[float, float] | None = BINS) -> DataFrame:
+    """boxes with the item (sx0, sy0, sx1, sy1) of their page of the largest IoU >= min_iou, the first of equals, and match_iou; null without one. Many pages at a time."""
+    sides = ("sx0", "sy0", "sx1", "sy1")
+    own = [ident, *(c for c in boxes.columns if c not in (*keys, ident, item, "match_iou"))]
+    a = boxes.select(*keys, *own).withColumn("_box", F.lit(True))
+    b = items.select(*keys, F.col(item).alias("_item"), *[F.col(c).alias(f"_{c}") for c in sides]).withColumn("_box", F.lit(False))
+    packed = kernels.packed_pages(a.unionByName(b, allowMissingColumns=True), keys)
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        page, rows = kernels.rows_of(batch.column("rows"))
+        is_box = rows["_box"].to_numpy(zero_copy_only=False).astype(bool)
+        mine, other = np.flatnonzero(is_box), np.flatnonzero(~is_box)
+        for k in keys:  # a page without a key meets none
+            other = other[batch.column(k).is_valid().to_numpy(zero_copy_only=False)[page[other]]]
+        sides_of = lambda names, at: np.stack([rows[c].to_numpy(zero_copy_only=False).astype(float)[at] for c in names], axis=1)
+        p, q = sides_of(COORDS, mine), sides_of([f"_{c}" for c in sides], other)
+        i, j = meeting(p, q, bins, (page[mine], page[other]))
+        v = iou(p[i], q[j])
+        i, j, v = (x[v >= min_iou] for x in (i, j, v))
+        number = rows["_item"].take(pa.array(other[j]))
+        order = np.lexsort((number.to_numpy(zero_copy_only=False), -v, i))
+        order = order[np.diff(i[order], prepend=-1) > 0]
+        at = np.full(len(mine), -1)
+        at[i[order]] = order
+        some = pa.array(at, mask=at < 0)
+        where = pa.array(mine)
+        columns = [*(batch.column(k).take(pa.array(page[mine])) for k in keys), *(rows[c].take(where) for c in own), number.take(some), pa.array(v).take(some)]
+        return pa.RecordBatch.from_arrays(columns, [*keys, *own, item, "match_iou"])
+
+    kinds = {**{f.name: f.dataType for f in boxes.schema.fields}, item: items.schema[item].dataType, "match_iou": DoubleType()}
+    return kernels.many_pages(packed, kernel, StructType([StructField(c, kinds[c]) for c in [*keys, *own, item, "match_iou"]]))
+
+
+def inside(page: np.ndarray, boxes: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, k), in order of k, of boxes i that lie inside another box k of their page, up to the tolerance.
+
+    A box meets those whose top lies between its own top and bottom; one whose top lies below its bottom meets its page.
+    """
+    n = len(boxes)
+    top, bottom = boxes[:, 1], boxes[:, 3]
+    _, ranks = np.unique(np.concatenate([top, top - tolerance, bottom + tolerance]), return_inverse=True)
+    wide = 3 * n + 1
+    odd = ~(top <= bottom)
+    usual, strange = np.flatnonzero(~odd), np.flatnonzero(odd)
+    key = page * wide + ranks[:n]
+    usual = usual[np.argsort(key[usual], kind="stable")]
+    strange = strange[np.argsort(page[strange], kind="stable")]
+    at = np.arange(n)
+    reaches = [
+        (usual, np.searchsorted(key[usual], page * wide + ranks[n : 2 * n], "left"), np.searchsorted(key[usual], page * wide + ranks[2 * n :], "right")),
+        (strange, np.searchsorted(page[strange], page, "left"), np.searchsorted(page[strange], page, "right")),
+    ]
+    found = []
+    for members, lo, hi in reaches:
+        counts = np.maximum(hi - lo, 0)
+        total, first = np.concatenate(([0], np.cumsum(counts))), 0
+        while first < n:
+            stop = max(first + 1, int(np.searchsorted(total, total[first] + _AT_ONCE, "right")) - 1)
+            k = np.repeat(at[first:stop], counts[first:stop])
+            i = members[lo[k] + np.arange(len(k)) - (total[k] - total[first])]
+            p, q = boxes[i], boxes[k]
+            ok = (i != k) & (p[:, 0] >= q[:, 0] - tolerance) & (p[:, 1] >= q[:, 1] - tolerance) & (p[:, 2] <= q[:, 2] + tolerance) & (p[:, 3] <= q[:, 3] + tolerance)
+            found.append((i[ok], k[ok]))
+            first = stop
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (at, at)
+
+
+def consolidated(page: np.ndarray, boxes: np.ndarray, texts: pa.Array, tolerance: float = 0.5) -> np.ndarray:
+    """kernels.consolidate_exact of many pages: only boxes that lie inside others of their page are judged one by one."""
+    areas = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+    place = np.empty(len(areas), np.int64)
+    place[np.argsort(-areas, kind="stable")] = np.arange(len(areas))
+    i, k = inside(page, boxes, tolerance)
+    earlier = place[k] < place[i]
+    i, k = i[earlier], k[earlier]
+    order = np.argsort(place[i], kind="stable")
+    keep = np.ones(len(areas), bool)
+    a, b = (texts.take(pa.array(x[order])).to_pylist() for x in (i, k))
+    for x, y, s, t in zip(i[order].tolist(), k[order].tolist(), a, b, strict=True):
+        if keep[x] and keep[y] and s is not None and t is not None and s.lower() in t.lower():
+            keep[x] = False
+    return keep

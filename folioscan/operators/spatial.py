@@ -86,12 +86,9 @@ def consolidate(boxes: DataFrame, tolerance: float = 0.5, keys: tuple[str, ...]
 
 def best_match(boxes: DataFrame, items: DataFrame, min_iou: float = 0.6, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id", item: str = "item_id", bins: tuple[float, float] | None = BINS) -> DataFrame:
     """Each box with the item (sx0, sy0, sx1, sy1) of the largest IoU >= min_iou, the first of equals; null without one."""
-    ks = list(keys)
-    s = items.select(*[F.col(k).alias(f"_{k}") for k in ks], F.col(item).alias("_item"), "sx0", "sy0", "sx1", "sy1")
-    bs = [F.col(c) for c in ("sx0", "sy0", "sx1", "sy1")]
-    hits = overlap_join(boxes.select(*ks, ident, *COORDS), s, g.box(), bs, ks, bins=bins).withColumn("_v", g.iou(g.box(), bs)).filter(F.col("_v") >= min_iou)
-    best = hits.groupBy(*ks, ident).agg(F.max(F.struct("_v", (-F.col("_item")).alias("_m"))).alias("_b"))
-    return boxes.join(best, [*ks, ident], "left").withColumn(item, -F.col("_b._m")).withColumn("match_iou", F.col("_b._v")).drop("_b")
+    from folioscan.operators import pages
+
+    return pages.best(boxes, items, min_iou, list(keys), ident, item, bins)
 
 
 def suppress_headers(boxes: DataFrame, items: DataFrame, kinds: tuple[str, ...] = ("column_header", "row_header", "section_header"), keys: tuple[str, ...] = ("page_ix",), **kw) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as g
-from folioscan.operators import alignment, baselines, blocks, kernels, lookups, spatial
+from folioscan.operators import alignment, baselines, blocks, kernels, lookups, pages, spatial
 from folioscan.operators.lineage import stored
 from folioscan.plans import views as v
 from folioscan.plans.registry import query
@@ -82,12 +82,12 @@ def containment_consolidate(spark, d):
 
 @query()
 def containment_consolidate_exact(spark, d):
-    def kernel(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("box_id").reset_index(drop=True)
-        keep = kernels.consolidate_exact(((p.x1 - p.x0) * (p.y1 - p.y0)).to_numpy(), p[["x0", "y0", "x1", "y1"]].to_numpy(), p.text.tolist())
-        return p[keep][["page_ix", "box_id", "text"]]
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        page, rows = kernels.rows_of(batch.column("rows"))
+        keep = np.flatnonzero(pages.consolidated(page, pages.boxes_of(rows), rows["text"]))
+        return pa.RecordBatch.from_arrays([batch.column("page_ix").take(pa.array(page[keep])), *(rows[c].take(pa.array(keep)) for c in ("box_id", "text"))], ["page_ix", "box_id", "text"])
 
-    return kernels.per_page(v.boxes(spark, d), ["page_ix"], kernel, "page_ix long, box_id long, text string")
+    return kernels.many_pages(kernels.packed_pages(v.boxes(spark, d), ["page_ix"], "box_id"), kernel, "page_ix long, box_id long, text string")
 
 
 _BEST = """m as (

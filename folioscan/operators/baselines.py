@@ -1,15 +1,17 @@
 """Alignment baselines of a page: edges that many cells share, merged, scored and filtered.
 
-clusters() and scored() are aggregations; detect() puts the sequential steps (chain merge of vertical baselines, greedy
-suppression of horizontal ones) between them, page by page.
+clusters() and detect() look at the sorted rows of many whole pages at a time; only the chain merge of vertical baselines and
+the greedy suppression of horizontal ones go one by one. scored() and what follows are column expressions.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,30 +41,14 @@ class Limits:
 
 
 SIDES = {"left": "x0", "right": "x1", "top": "y0", "bottom": "y1"}
+_BY_NAME = sorted(SIDES)
+_ACROSS = ("left", "right")
 
 
-def _edges(weight: Column, block: bool, sides: list[str]) -> Column:
-    """One struct a side: the edge, the span along it, its centre, and the weight."""
-
-    def one(side: str) -> Column:
-        lo, hi = ("y0", "y1") if side in ("left", "right") else ("x0", "x1")
-        return F.struct(
-            F.lit(side).alias("side"), F.col(SIDES[side]).alias("edge"), F.least(lo, hi).alias("lo"), F.greatest(lo, hi).alias("hi"), ((F.col(lo) + F.col(hi)) / 2).alias("centre"),
-            weight.cast("long").alias("w"), F.lit(block).alias("block"),
-        )
-
-    return F.explode(F.array(*[one(s) for s in sides])).alias("e")
-
-
-def added(lo: Column, hi: Column, keys: list[str], counted: Column | None = None) -> Column:
-    """What a span adds to the union of the spans before it, by lo and hi, among rows of equal keys; the sum is the union's length.
-
-    counted: only these spans count; the others get null.
-    """
+def added(lo: Column, hi: Column, keys: list[str]) -> Column:
+    """What a span adds to the union of the spans before it, by lo and hi, among rows of equal keys; the sum is the union's length."""
     ahead = Window.partitionBy(*keys).orderBy(lo, hi).rowsBetween(Window.unboundedPreceding, -1)
-    end = hi if counted is None else F.when(counted, hi)
-    more = F.greatest(F.lit(0.0), hi - F.greatest(lo, F.coalesce(F.max(end).over(ahead), lo)))
-    return more if counted is None else F.when(counted, more)
+    return F.greatest(F.lit(0.0), hi - F.greatest(lo, F.coalesce(F.max(hi).over(ahead), lo)))
 
 
 def union_of_spans(rows: DataFrame, keys: list[str], lo: str = "lo", hi: str = "hi") -> DataFrame:
@@ -73,41 +59,122 @@ def union_of_spans(rows: DataFrame, keys: list[str], lo: str = "lo", hi: str = "
     return placed.groupBy(*keys).agg(F.sum("_added").alias("covered"), F.sum("_new").alias("runs"))
 
 
-def clusters(cells: DataFrame, keys: list[str], blocks: DataFrame | None = None, width: float = 612.0, height: float = 792.0, t: Limits = Limits()) -> DataFrame:
-    """Edges rounded to a point, with weight, mean, coverage, the sums that consistency needs and, for left and right ones, their spans.
+def _rows(cells: DataFrame, keys: list[str], blocks: DataFrame | None, t: Limits, ident: str | None = None) -> DataFrame:
+    """Cells, and blocks with their weight, as rows of one table."""
+    sides = [F.col(c).cast("double").alias(c) for c in SIDES.values()]
+    rows = cells.select(*keys, *sides, F.lit(1).cast("long").alias("w"), F.lit(False).alias("block"), *([ident] if ident else []))
+    if blocks is None:
+        return rows
+    weight = F.least(F.lit(t.weight_cap), F.greatest(F.lit(1), "line_count")).cast("long").alias("w")
+    return rows.unionByName(blocks.select(*keys, *sides, weight, F.lit(True).alias("block")), allowMissingColumns=True)
+
+
+def _near_blocks(page: np.ndarray, edge: np.ndarray, block: np.ndarray, distance: float) -> np.ndarray:
+    """Whether an edge lies near that of a block of its page, or there are no blocks."""
+    near = np.ones(len(page), bool)
+    for of in np.unique(page[block]).tolist():
+        a, b = np.searchsorted(page, [of, of + 1])
+        seeds, e = edge[a:b][block[a:b]], edge[a:b]
+        seeds = np.sort(seeds[~np.isnan(seeds)])
+        at = np.searchsorted(seeds, e)
+        met = [np.abs(seeds[np.clip(k, 0, len(seeds) - 1)] - e) <= distance for k in (at - 1, at)] if len(seeds) else [np.zeros(b - a, bool)]
+        near[a:b] = block[a:b] | np.logical_or.reduce(met)
+    return near
+
+
+def _furthest(ends: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The largest end of the rows before each one in its group, given the places in the group; -inf for the first."""
+    most, step, longest = ends.copy(), 1, int(place.max(initial=0))
+    while step < longest:
+        most[step:] = np.where(place[step:] >= step, np.maximum(most[step:], most[:-step]), most[step:])
+        step *= 2
+    return np.where(place > 0, np.concatenate(([-np.inf], most[:-1])), -np.inf)
+
+
+def _half_up(x: np.ndarray, places: int) -> np.ndarray:
+    """Rounded as Spark does: a half of the shortest decimal goes up."""
+    raised = x * 10.0**places + 0.5
+    out = np.floor(raised) / 10.0**places
+    for i in np.flatnonzero(np.abs(raised - np.rint(raised)) < 1e-6).tolist():
+        out[i] = float(Decimal(repr(float(x[i]))).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+    return out
+
+
+def _clustered(page: np.ndarray, rows: pa.RecordBatch, width: float, height: float, t: Limits, ident: str | None = None) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """(clusters, edges) of whole pages. Cluster c has the edges from first[c] to last[c], by their beginning (then ident); a side that is
+    unknown counts as an edge of its own, without a place. Of edges with blocks among them only those of blocks are `spans`."""
+    own = {c: rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in SIDES.values()}
+    w, block = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("w", "block"))
+    number = np.arange(len(page))
+    if ident:
+        number = np.empty(len(page), np.int64)
+        number[pc.sort_indices(rows.column(ident), null_placement="at_start").to_numpy()] = np.arange(len(page))
+    seeded = np.zeros(int(page.max(initial=0)) + 1, bool)
+    seeded[page[block]] = True
+    clusters, edges, ahead = [], [], 0
+    for code, side in enumerate(_BY_NAME):
+        across = side in _ACROSS
+        edge, (p, q) = own[SIDES[side]], (own[c] for c in (("y0", "y1") if across else ("x0", "x1")))
+        at = np.flatnonzero(_near_blocks(page, edge, block, t.block_distance) if across else ~block)
+        if not len(at):
+            continue
+        begins = np.fmin(p[at], q[at])
+        bucket = np.rint(edge[at]) + 0.0
+        at = at[np.lexsort((number[at], np.where(np.isnan(begins), -np.inf, begins), bucket, page[at]))]
+        of, edge, lo, hi, centre, weight, is_block = page[at], edge[at], np.fmin(p[at], q[at]), np.fmax(p[at], q[at]), (p[at] + q[at]) / 2, w[at], block[at]
+        bucket = np.rint(edge) + 0.0
+        new = np.ones(len(at), bool)
+        new[1:] = (of[1:] != of[:-1]) | ((bucket[1:] != bucket[:-1]) & ~(np.isnan(bucket[1:]) & np.isnan(bucket[:-1])))
+        first = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        place = np.arange(len(at)) - first[group]
+        of_block = np.logical_or.reduceat(is_block, first)
+        span = (is_block | ~of_block[group]) & ~np.isnan(lo)
+        more = np.where(span, np.maximum(0.0, hi - np.maximum(lo, _furthest(np.where(span, hi, -np.inf), place))), 0.0)
+        total = lambda x: np.add.reduceat(x, first)
+        placed = ~np.isnan(centre)
+        some = total(placed.astype(np.int64)) > 0
+        count, n = total(weight), np.diff(np.append(first, len(at)))
+        value = total(edge * weight) / count
+        extent = width if across else height
+        names = ("page_left", "mid_page", "page_right") if across else ("page_top", "mid_page", "page_bottom")
+        c = {
+            "page": of[first], "side": np.full(len(first), code), "bucket": bucket[first], "value": value, "count": count, "block_support": total(np.where(is_block, weight, 0)), "seeded": seeded[of[first]],
+            "coverage": _half_up(np.minimum(1.0, total(more) / (height if across else width)), 3), "page_position": np.where(value < extent * 0.25, names[0], np.where(value > extent * 0.75, names[2], names[1])),
+            "s0": count, "s1": np.where(some, total(np.where(placed, weight * centre, 0.0)), np.nan), "s2": np.where(some, total(np.where(placed, weight * centre * centre, 0.0)), np.nan), "first": first + ahead, "last": first + n + ahead,
+        }
+        enough = (count >= t.min_weight) & (~c["seeded"] | (c["block_support"] > 0)) if across else n >= t.min_horizontal
+        clusters.append({k: x[enough] for k, x in c.items()})
+        edges.append({"row": at, "lo": lo, "hi": hi, "span": span, "block": is_block})
+        ahead += len(at)
+    return tuple({k: np.concatenate([x[k] for x in parts]) for k in parts[0]} for parts in (clusters, edges))
+
+
+def clusters(cells: DataFrame, keys: list[str], blocks: DataFrame | None = None, width: float = 612.0, height: float = 792.0, t: Limits = Limits(), ident: str | None = None, keep: int = 30) -> DataFrame:
+    """Edges rounded to a point, with weight, mean, coverage and the sums that consistency needs.
 
     blocks (x0, y0, x1, y1, line_count) weigh in on the left and right sides by their lines. On a page that has blocks,
-    a cell's left or right edge counts only near a block's, and a cluster only if a block is in it.
+    a cell's left or right edge counts only near a block's, and a cluster only if a block is in it. ident: samples, too,
+    the first `keep` cells, by place along the edge. With `judged` that is what speaks for those retained and those turned down alike.
     """
-    rows = cells.select(*keys, "x0", "y0", "x1", "y1")
-    one = _edges(F.lit(1), False, list(SIDES))
-    if blocks is None:
-        e = rows.select(*keys, one).select(*keys, "e.*").withColumn("seeded", F.lit(False))
-    else:
-        seeds = blocks.groupBy(*keys).agg(F.collect_set("x0").alias("left"), F.collect_set("x1").alias("right"))
-        e = rows.select(*keys, one).select(*keys, "e.*").join(seeds, keys, "left")
-        near = lambda side: (F.col("side") != side) | F.col(side).isNull() | F.exists(side, lambda x: F.abs(x - F.col("edge")) <= t.block_distance)
-        e = e.filter(near("left") & near("right")).withColumn("seeded", F.col("left").isNotNull()).drop("left", "right")
-        weight = F.least(F.lit(t.weight_cap), F.greatest(F.lit(1), "line_count"))
-        e = e.unionByName(blocks.select(*keys, _edges(weight, True, ["left", "right"])).select(*keys, "e.*").withColumn("seeded", F.lit(True)))
-    # what a span adds to those before it in its bucket: the union's length is a sum, and no array is made for it
-    e = e.withColumn("bucket", F.bround("edge"))
-    bucket = [*keys, "side", "bucket"]
-    own_part = F.lit(None).cast("double") if blocks is None else added(F.col("lo"), F.col("hi"), bucket, F.col("block"))
-    e = e.withColumn("_all", added(F.col("lo"), F.col("hi"), bucket)).withColumn("_own", own_part)
-    own = F.sum("_own").isNotNull()
-    across = F.col("side").isin("left", "right")
-    c = e.groupBy(*keys, "side", "bucket").agg(
-        F.count("*").alias("n"), F.sum("w").alias("count"), (F.sum(F.col("edge") * F.col("w")) / F.sum("w")).alias("value"), F.sum(F.when(F.col("block"), F.col("w")).otherwise(0)).alias("block_support"),
-        F.bool_or("seeded").alias("seeded"), F.coalesce(F.sum("_own"), F.sum("_all")).alias("covered"), own.alias("own"), F.collect_list(F.when(across, F.struct("lo", "hi", "block"))).alias("all"),
-        F.sum("w").alias("s0"), F.sum(F.col("w") * F.col("centre")).alias("s1"), F.sum(F.col("w") * F.col("centre") * F.col("centre")).alias("s2"),
-    )
-    c = c.filter(F.when(across, (F.col("count") >= t.min_weight) & (~F.col("seeded") | (F.col("block_support") > 0))).otherwise(F.col("n") >= t.min_horizontal))
-    own = F.col("own")
-    c = c.withColumn("spans", F.col("all") if blocks is None else F.filter("all", lambda x: ~own | x["block"])).drop("all", "own", "n")
-    extent = F.when(across, height).otherwise(width)
-    position = F.when(across, g.page_position(F.col("value"), F.lit(width), ("page_left", "mid_page", "page_right"))).otherwise(g.page_position(F.col("value"), F.lit(height), ("page_top", "mid_page", "page_bottom")))
-    return c.withColumn("coverage", F.round(F.least(F.lit(1.0), F.col("covered") / extent), 3)).withColumn("page_position", position).drop("covered")
+    kinds = dict(cells.dtypes)
+    names = "side string, bucket double, count long, value double, block_support long, seeded boolean, s0 long, s1 double, s2 double, coverage double, page_position string"
+    plain = [c.split()[0] for c in names.split(", ")]
+
+    def kernel(page: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
+        c, e = _clustered(page, rows, width, height, t, ident)
+        begins = np.flatnonzero(np.diff(page, prepend=-1))
+        arrays = {k: rows.column(k).take(pa.array(begins[c["page"]])) for k in keys} | {k: pa.array(c[k], from_pandas=True) for k in plain} | {"side": pa.array(_BY_NAME).take(pa.array(c["side"]))}
+        if ident:
+            cell = np.concatenate(([0], np.cumsum(~e["block"])))
+            n = np.minimum(cell[c["last"]] - cell[c["first"]], keep)
+            ends = np.concatenate(([0], np.cumsum(n)))
+            of = e["row"][~e["block"]][np.repeat(cell[c["first"]] - ends[:-1], n) + np.arange(ends[-1])]
+            arrays["samples"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), rows.column(ident).take(pa.array(of)))
+        return pa.RecordBatch.from_pydict(arrays)
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), names, *([f"samples array<{kinds[ident]}>"] if ident else [])])
+    return kernels.whole_pages(_rows(cells, keys, blocks, t, ident), keys, kernel, schema)
 
 
 _BASELINE = "side string, value double, page_position string, count long, block_support long, coverage double, s0 long, s1 double, s2 double"
@@ -122,26 +189,31 @@ def detect(cells: DataFrame, keys: list[str], blocks: DataFrame | None = None, w
     """
     kinds = dict(cells.dtypes)
     names = [c.split()[0] for c in _BASELINE.split(", ")]
-
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        page, rows = kernels.rows_of(batch.column("rows"))
-        spans = rows["spans"]
-        lo, hi = (spans.flatten().field(k).to_numpy(zero_copy_only=False) for k in ("lo", "hi"))
-        ends = spans.offsets.to_numpy() - spans.offsets[0].as_py()
-        now = {c: rows[c].to_numpy(zero_copy_only=False).copy() for c in names}
-        across = np.isin(now["side"], ["left", "right"])
+    right = _BY_NAME.index("right")
+
+    def kernel(page: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
+        begins = np.flatnonzero(np.diff(page, prepend=-1))
+        now, edges = _clustered(page, rows, width, height, t)
+        order = np.lexsort((now["side"], np.where(np.isnan(now["value"]), -np.inf, now["value"]), now["page"]))
+        now = {c: x[order] for c, x in now.items()}
+        page = now["page"]
+        across = np.isin(now["side"], [_BY_NAME.index(s) for s in _ACROSS])
         if compat:
-            now["coverage"][now["side"] == "right"] = 0.0
+            now["coverage"][now["side"] == right] = 0.0
         keep, upright = across.copy(), np.flatnonzero(across)
         # only neighbours of one side and within the distance can be chained, as a chain's value is never above its last one's
-        linked = (np.diff(page[upright]) == 0) & (now["side"][upright][1:] == now["side"][upright][:-1]) & (np.diff(now["value"][upright]) <= t.merge_distance)
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], linked, [False]))))
-        for first, last in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        linked = (np.diff(page[upright]) == 0) & (np.diff(now["side"][upright]) == 0) & (np.diff(now["value"][upright]) <= t.merge_distance)
+        runs = np.flatnonzero(np.diff(np.concatenate(([False], linked, [False]))))
+        for first, last in zip(runs[::2].tolist(), runs[1::2].tolist(), strict=True):
             run = upright[first : last + 1].tolist()
-            parts = [{c: now[c][r].item() if c not in ("side", "page_position") else now[c][r] for c in names} for r in run]
-            for r, part in zip(run, parts, strict=True):
-                part["spans"] = [] if compat and part["side"] == "right" else list(zip(lo[ends[r] : ends[r + 1]].tolist(), hi[ends[r] : ends[r + 1]].tolist(), strict=True))
-                part["row"] = r
+            parts = []
+            for r in run:
+                part = {c: now[c][r] if c == "page_position" else now[c][r].item() for c in names} | {"row": r, "spans": []}
+                if not (compat and part["side"] == right):
+                    a, b = now["first"][r], now["last"][r]
+                    on = edges["span"][a:b]
+                    part["spans"] = list(zip(edges["lo"][a:b][on].tolist(), edges["hi"][a:b][on].tolist(), strict=True))
+                parts.append(part)
             keep[run] = False
             for part in kernels.chain_merge(parts, t.merge_distance, t.merge_overlap):
                 if part.get("merged"):
@@ -149,17 +221,19 @@ def detect(cells: DataFrame, keys: list[str], blocks: DataFrame | None = None, w
                 keep[part["row"]] = True
                 for c in names:
                     now[c][part["row"]] = part[c]
-        seeded = np.bincount(page, rows["seeded"].to_numpy(zero_copy_only=False), minlength=batch.num_rows) > 0
-        keep &= ~(seeded[page] & (now["coverage"] < t.block_coverage) & (now["page_position"] == "mid_page"))
+        keep &= ~(now["seeded"] & (now["coverage"] < t.block_coverage) & (now["page_position"] == "mid_page"))
         level = np.flatnonzero(~across)
         for of in np.split(level, np.flatnonzero(np.diff(page[level])) + 1):
             keep[of] = kernels.suppress_near(now["value"][of], now["count"][of], t.proximity)
-        columns = [pa.array(now[c][keep], from_pandas=True) for c in names]
-        return pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(page[keep])) for k in keys), *columns], [*keys, *names])
+        now = {c: now[c][keep] for c in ("page", *names)}
+        page = now["page"]
+        order = np.lexsort((now["side"], np.where(np.isnan(now["value"]), -np.inf, now["value"]), -now["count"], page))
+        rank = np.empty(len(page), np.int32)
+        rank[order] = np.arange(len(page)) - np.searchsorted(page, page[order]) + 1
+        arrays = {k: rows.column(k).take(pa.array(begins[page])) for k in keys} | {c: pa.array(now[c], from_pandas=True) for c in names}
+        return pa.RecordBatch.from_pydict(arrays | {"side": pa.array(_BY_NAME).take(pa.array(now["side"])), "rank": pa.array(rank)})
 
-    packed = kernels.packed_pages(clusters(cells, keys, blocks, width, height, t).select(*keys, *names, "bucket", "seeded", "spans"), keys, "value")
-    found = kernels.many_pages(packed, kernel, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + _BASELINE)
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("count"), "value", "side")))
+    return kernels.whole_pages(_rows(cells, keys, blocks, t), keys, kernel, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", " + _BASELINE + ", rank int")
 
 
 def consistency(t: Limits = Limits()) -> Column:
@@ -196,13 +270,3 @@ def refine(baselines: DataFrame, keys: list[str], width: float = 612.0, height:
     kept = judged(baselines, width, height, t).filter("retained").drop("reasons", "retained")
     return kept.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("confidence"), F.desc("count"), "rank")))
 
-
-def samples(cells: DataFrame, baselines: DataFrame, keys: list[str], ident: str = "box_id", keep: int = 30) -> DataFrame:
-    """baselines (keys, side, bucket, ...) with samples: the first `keep` cells, by place along them, whose edge is in their bucket.
-
-    With `judged` baselines that is what speaks for those retained and those turned down alike.
-    """
-    e = cells.select(*keys, ident, "x0", "y0", "x1", "y1").select(*keys, ident, _edges(F.lit(1), False, list(SIDES))).select(*keys, ident, F.col("e.side").alias("side"), F.bround("e.edge").alias("bucket"), F.col("e.lo").alias("lo"))
-    ranked = e.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "side", "bucket").orderBy("lo", ident))).filter(F.col("_k") <= keep)
-    first = ranked.groupBy(*keys, "side", "bucket").agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", ident))), lambda x: x[ident]).alias("samples"))
-    return baselines.join(first.toDF(*keys, "side", "bucket", "samples"), [*keys, "side", "bucket"], "left")

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -38,6 +39,41 @@ def many_pages(packed: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBa
     return packed.mapInArrow(run, schema)
 
 
+def whole_pages(rows: DataFrame, keys: list[str], kernel: Callable[[np.ndarray, pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """What the kernel makes of the rows of whole pages, given some pages at a time with the number of each row's page, from 0.
+
+    Rows are dealt by page and sorted, so that no page becomes an array; rows that are so already are not moved again.
+    """
+
+    def pages(batch: pa.RecordBatch) -> np.ndarray:
+        new = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            c = batch.column(k)
+            apart = pc.fill_null(pc.not_equal(c[1:], c[:-1]), False).to_numpy(zero_copy_only=False)
+            new[1:] |= apart | (np.diff(c.is_null().to_numpy(zero_copy_only=False)) if c.null_count else False)
+        return np.cumsum(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, enough = [], 0, _ROWS
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n < enough:
+                continue
+            together = pa.concat_batches(held)
+            page = pages(together)
+            last = int(np.searchsorted(page, page[-1]))
+            if last:
+                yield kernel(page[:last], together.slice(0, last))
+            held, n = [together.slice(last)], n - last
+            enough = max(_ROWS, 2 * n)
+        if n:
+            together = pa.concat_batches(held)
+            yield kernel(pages(together), together)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
 def rows_of(lists: pa.ListArray) -> tuple[np.ndarray, dict[str, pa.Array]]:
     """(place of the page of each row, the rows' columns) of packed pages."""
     flat = lists.flatten()

@@ -319,7 +319,7 @@ top as (select * from ix qualify row_number() over (partition by page_ix, side,
 select sc.page_ix, sc.side, sc.bucket, n as count, string_agg(cast(box_id as varchar), ' ' order by lo, box_id) as samples from sc join top on top.page_ix = sc.page_ix and top.side = sc.side and top.bucket = sc.bucket group by all""")
 def baseline_samples(spark, d):
     """The first three boxes on each edge that many boxes share."""
-    s = baselines.samples(v.boxes(spark, d), _clusters(spark, d), ["page_ix"], keep=3)
+    s = baselines.clusters(v.boxes(spark, d), ["page_ix"], ident="box_id", keep=3)
     return s.select("page_ix", "side", "bucket", "count", F.array_join(F.transform("samples", lambda x: x.cast("string")), " ").alias("samples"))
 
 

@@ -51,6 +51,6 @@ def test_samples_are_the_first_cells_of_an_edge(spark):
     assert got == {k: (n, ids, round(length / 100 + 1e-9, 3)) for k, (n, ids, length) in want.items()} and any(k[2] is None for k in got)
 
 
-@pytest.mark.parametrize("name, shuffles", [("baseline_samples", 1), ("refined_baselines", 2)])
+@pytest.mark.parametrize("name, shuffles", [("baseline_samples", 1), ("refined_baselines", 2), ("baseline_chain_merge", 1)])
 def test_baselines_need_one_shuffle_of_boxes(spark, name, shuffles):
     assert exchanges(e.queries()[name](spark, SF)) == shuffles

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -75,24 +76,34 @@ def _medians(values: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
 
 
 def near_pairs(boxes: np.ndarray, vertical: bool, align_fraction: float, radius: int, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, gap) of boxes i < j in neighbouring cells of the page's grid that overlap enough on the other axis.
+    """The pairs of near_some in a row."""
+    return tuple(np.concatenate(x) for x in zip(*near_some(boxes, vertical, align_fraction, radius, group), strict=True))
+
+
+def near_some(boxes: np.ndarray, vertical: bool, align_fraction: float, radius: int, group: np.ndarray | None = None, known: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(i, j, gap), some at a time, of boxes i < j in neighbouring cells of the page's grid that overlap enough on the other axis.
 
     Boxes go in order of their first row; a box is compared with those behind it whose first row is near its last one,
     some boxes at a time. group: ascending from 0, all of them present; each has a grid and pairs of its own.
+    known: only these boxes have pairs; a side that isn't known counts as none in the size of the grid.
     """
     n = len(boxes)
     group = np.zeros(n, np.int64) if group is None else group
     first = np.flatnonzero(np.diff(group, prepend=-1))
-    sides = np.maximum(boxes[:, 2:] - boxes[:, :2], 1e-12)
+    larger, least = (np.maximum, np.minimum) if known is None else (np.fmax, np.fmin)
+    sides = larger(boxes[:, 2:] - boxes[:, :2], 1e-12)
     size = np.stack([_medians(sides[:, k], group, len(first)) for k in (0, 1)], axis=1)[group]
-    corner = np.minimum.reduceat(boxes[:, :2], first)[group]
-    low, high = (np.floor((x - corner) / size).astype(np.int64) for x in (boxes[:, :2], boxes[:, 2:]))
+    corner = least.reduceat(boxes[:, :2], first)[group]
+    low, high = (np.floor((x - corner) / size) for x in (boxes[:, :2], boxes[:, 2:]))
+    if known is not None:
+        low, high = (np.where(known[:, None], x, 0.0) for x in (low, high))
+    low, high = low.astype(np.int64), high.astype(np.int64)
     _, ranks = np.unique(np.concatenate([low[:, 1], high[:, 1] + radius]), return_inverse=True)
     start, last = group * (2 * n) + ranks[:n], group * (2 * n) + ranks[n:]
     order = np.argsort(start, kind="stable")
     ends = np.searchsorted(start[order], last[order], "right")
     main, other = (1, 0) if vertical else (0, 1)
-    out, at = [], 0
+    at = 0
     while at < n:
         counts = np.maximum(0, ends[at:] - np.arange(at + 1, n + 1))
         stop = at + max(1, int(np.searchsorted(np.cumsum(counts), _AT_ONCE, "right")))
@@ -107,10 +118,11 @@ def near_pairs(boxes: np.ndarray, vertical: bool, align_fraction: float, radius:
         shared = np.maximum(0, np.minimum(boxes[i, other + 2], boxes[j, other + 2]) - np.maximum(boxes[i, other], boxes[j, other]))
         narrow = np.minimum(boxes[i, other + 2] - boxes[i, other], boxes[j, other + 2] - boxes[j, other])
         ok = (narrow > 0) & (shared >= align_fraction * narrow)
+        if known is not None:
+            ok &= known[i] & known[j] & (low[j, 1] <= high[i, 1] + radius) & (high[j, 1] >= low[i, 1] - radius)
         i, j = i[ok], j[ok]
-        out.append((i, j, np.maximum(0, np.maximum(boxes[j, main] - boxes[i, main + 2], boxes[i, main] - boxes[j, main + 2]))))
+        yield i, j, np.maximum(0, np.maximum(boxes[j, main] - boxes[i, main + 2], boxes[i, main] - boxes[j, main + 2]))
         at = stop
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def spacing_of(n: int, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> float:
@@ -120,17 +132,24 @@ def spacing_of(n: int, pairs: tuple[np.ndarray, np.ndarray, np.ndarray]) -> floa
 
 def _spacings(group: np.ndarray, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], groups: int) -> np.ndarray:
     """The same for each group."""
-    i, j, d = (x[pairs[2] > 0] for x in pairs)
-    least = np.full(len(group), np.inf)
-    np.minimum.at(least, i, d)
-    np.minimum.at(least, j, d)
-    some = np.isfinite(least)
-    found, code = np.unique(group[some], return_inverse=True)
+    found, median, _ = spacings(group, [pairs])
     out = np.zeros(groups)
-    out[found] = _medians(least[some], code, len(found))
+    out[found] = median
     return out
 
 
+def spacings(group: np.ndarray, pairs: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, median of its boxes' smallest positive gaps, how many boxes have one) of the groups that have any."""
+    least = np.full(len(group), np.inf)
+    for i, j, d in pairs:
+        i, j, d = (x[d > 0] for x in (i, j, d))
+        np.minimum.at(least, i, d)
+        np.minimum.at(least, j, d)
+    some = np.isfinite(least)
+    found, code, n = np.unique(group[some], return_inverse=True, return_counts=True)
+    return found, _medians(least[some], code, len(found)), n
+
+
 def _clusters(n: int, pairs: tuple[np.ndarray, np.ndarray, np.ndarray], cutoff: float) -> list[list[int]]:
     i, j, d = pairs
     label = kernels.find_components(n, list(zip(i[d <= cutoff].tolist(), j[d <= cutoff].tolist(), strict=True)))

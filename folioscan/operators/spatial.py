@@ -8,10 +8,16 @@ whose cells are as large as the page's median box.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import geometry as g
+from folioscan.operators import blocks, kernels
 
 COORDS = ("x0", "y0", "x1", "y1")
 BINS = (72.0, 24.0)
@@ -118,42 +124,48 @@ def table_membership(boxes: DataFrame, tables: DataFrame, table_cells: DataFrame
     return hits.groupBy("page_ix", "table_id", "box_id").agg(F.max(F.struct("_v", (-F.col("cell_id")).alias("_m"))).alias("_b")).select("page_ix", "table_id", "box_id", (-F.col("_b._m")).alias("cell_id"), F.col("_b._v").alias("iou"))
 
 
-def neighbours(boxes: DataFrame, vertical: bool = True, align_fraction: float = 0.15, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id", radius: int = 1) -> DataFrame:
-    """(keys, a, b, gap), both ways, of boxes whose cells in the page's grid lie at most `radius` apart and that overlap
-    enough on the other axis; gap is 0 where they overlap on this one too. Boxes without width (or height) have none.
-
-    Boxes meet row of cells by row of cells; a pair is judged in the first row that both reach.
-    """
-    ks = list(keys)
-    page = Window.partitionBy(*ks)
-    placed = boxes.select(*ks, ident, *COORDS)
-    for axis, lo, hi in (("x", "x0", "x1"), ("y", "y0", "y1")):
-        size, least = F.median(F.greatest(F.lit(1e-12), F.col(hi) - F.col(lo))).over(page), F.min(lo).over(page)
-        placed = placed.withColumn(f"_s{axis}", size).withColumn(f"_m{axis}", least)
-        placed = placed.withColumn(f"c{axis}0", F.floor((F.col(lo) - F.col(f"_m{axis}")) / F.col(f"_s{axis}"))).withColumn(f"c{axis}1", F.floor((F.col(hi) - F.col(f"_m{axis}")) / F.col(f"_s{axis}"))).drop(f"_s{axis}", f"_m{axis}")
-    cells = ("cx0", "cx1", "cy0", "cy1")
-    a = placed.select(*ks, *[F.col(c).alias(f"{c}_a") for c in (ident, *COORDS, *cells)]).withColumn("_row", F.explode(F.sequence(F.col("cy0_a") - radius, F.col("cy1_a") + radius)))
-    b = placed.select(*[F.col(k).alias(f"_{k}") for k in ks], *[F.col(c).alias(f"{c}_b") for c in (ident, *COORDS, *cells)]).withColumn("_row_b", F.explode(F.sequence("cy0_b", "cy1_b")))
-    beside = (F.col("cx0_b") <= F.col("cx1_a") + radius) & (F.col("cx1_b") >= F.col("cx0_a") - radius)
-    here = (F.col("_row") == F.col("_row_b")) & (F.greatest(F.col("cy0_a") - radius, F.col("cy0_b")) == F.col("_row"))
-    lo, hi, p, q = ("y0", "y1", "x0", "x1") if vertical else ("x0", "x1", "y0", "y1")
-    gap = F.greatest(F.lit(0.0), F.col(f"{lo}_b") - F.col(f"{hi}_a"), F.col(f"{lo}_a") - F.col(f"{hi}_b"))
-    shared = g.span_overlap(F.col(f"{p}_a"), F.col(f"{q}_a"), F.col(f"{p}_b"), F.col(f"{q}_b"))
-    narrow = F.least(F.col(f"{q}_a") - F.col(f"{p}_a"), F.col(f"{q}_b") - F.col(f"{p}_b"))
-    near = a.join(b, _same(ks) & here & beside & (F.col(f"{ident}_a") != F.col(f"{ident}_b")) & (narrow > 0) & (shared >= align_fraction * narrow))
-    return near.select(*ks, F.col(f"{ident}_a").alias("a"), F.col(f"{ident}_b").alias("b"), gap.alias("gap"))
+def _near(page: np.ndarray, rows: pa.RecordBatch, vertical: bool, align_fraction: float, radius: int) -> Callable[[], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Pairs of neighbours (i, j, gap), some at a time and anew at each call: boxes whose cells in the page's grid lie at most `radius` apart and that
+    overlap enough on the other axis; gap is 0 where they overlap on this one too. Boxes without width (or height) have none."""
+    boxes = np.stack([rows.column(c).to_numpy(zero_copy_only=False).astype(float) for c in COORDS], axis=1)
+    return lambda: blocks.near_some(boxes, vertical, align_fraction, radius, page, np.isfinite(boxes).all(axis=1))
 
 
 def typical_spacing(boxes: DataFrame, vertical: bool = True, align_fraction: float = 0.15, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id", radius: int = 1) -> DataFrame:
     """Median, over a page's boxes, of the smallest positive gap to a neighbour, and how many boxes have one."""
-    near = neighbours(boxes, vertical, align_fraction, keys, ident, radius).filter("gap > 0").groupBy(*keys, "a").agg(F.min("gap").alias("gap"))
-    return near.groupBy(*keys).agg(F.median("gap").alias("spacing"), F.count("*").alias("n"))
-
-
-def adjacency(boxes: DataFrame, cutoff: float | None = None, vertical: bool = True, multiplier: float = 1.25, align_fraction: float = 0.15, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id", radius: int = 1) -> DataFrame:
-    """Edges a < b between neighbours at most cutoff apart; by default the page's typical spacing times the multiplier, any gap where there is none."""
-    near = neighbours(boxes, vertical, align_fraction, keys, ident, radius)
-    if cutoff is not None:
-        return near.filter((F.col("gap") <= cutoff) & (F.col("a") < F.col("b"))).select(*keys, "a", "b")
-    least = near.filter("gap > 0").groupBy(*keys, "a").agg(F.min("gap").alias("gap")).groupBy(*keys).agg(F.median("gap").alias("_t"))
-    return near.filter("a < b").join(least, list(keys), "left").filter(F.col("_t").isNull() | (F.col("gap") <= multiplier * F.col("_t"))).select(*keys, "a", "b")
+    ks, kinds = list(keys), dict(boxes.dtypes)
+
+    def kernel(page: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
+        found, spacing, n = blocks.spacings(page, _near(page, rows, vertical, align_fraction, radius)())
+        first = pa.array(np.flatnonzero(np.diff(page, prepend=-1))[found])
+        return pa.RecordBatch.from_arrays([*(rows.column(k).take(first) for k in ks), pa.array(spacing), pa.array(n)], [*ks, "spacing", "n"])
+
+    return kernels.whole_pages(boxes.select(*ks, *COORDS), ks, kernel, ", ".join(f"{k} {kinds[k]}" for k in ks) + ", spacing double, n long")
+
+
+def clusters(boxes: DataFrame, cutoff: float | None = None, vertical: bool = True, multiplier: float = 1.25, align_fraction: float = 0.15, keys: tuple[str, ...] = ("page_ix",), ident: str = "box_id", radius: int = 1) -> DataFrame:
+    """(keys, ident, component): the smallest ident of those that neighbours at most cutoff apart connect a box with; by default
+    the page's typical spacing times the multiplier, any gap where there is none. Pairs are met some at a time and never kept."""
+    ks, kinds = list(keys), dict(boxes.dtypes)
+
+    def kernel(page: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
+        near = _near(page, rows, vertical, align_fraction, radius)
+        most = np.full(page[-1] + 1, np.inf if cutoff is None else cutoff)
+        if cutoff is None:
+            found, spacing, _ = blocks.spacings(page, near())
+            most[found] = multiplier * spacing
+        up = np.arange(len(page))
+        for i, j, gap in near():
+            close = gap <= most[page[i]]
+            up = kernels.components_of(len(up), up[i[close]], up[j[close]])[up]
+        ids = rows.column(ident)
+        place = np.empty(len(up), np.int64)
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(up))
+        order = np.lexsort((place, up))
+        least = order[np.diff(up[order], prepend=-1) > 0]
+        of = np.empty(len(up), np.int64)
+        of[up[least]] = least
+        return pa.RecordBatch.from_arrays([*(rows.column(k) for k in ks), ids, ids.take(pa.array(of[up]))], [*ks, ident, "component"])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*ks, ident]) + f", component {kinds[ident]}"
+    return kernels.whole_pages(boxes.select(*ks, ident, *COORDS), ks, kernel, schema)

@@ -220,8 +220,7 @@ def typical_spacing(spark, d):
 select page_ix, box_id, min(seen) as component from r group by 1, 2""")
 def text_clusters(spark, d):
     """Connected components of boxes that line up and lie at most 1.25 times the page's typical spacing apart."""
-    b = v.boxes(spark, d)
-    return kernels.components(b, spatial.adjacency(b))
+    return spatial.clusters(v.boxes(spark, d))
 
 
 @query()

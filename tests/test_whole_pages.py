@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as e
-from folioscan.operators import baselines, kernels
+from folioscan.operators import baselines, kernels, spatial
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,6 +51,44 @@ def test_samples_are_the_first_cells_of_an_edge(spark):
     assert got == {k: (n, ids, round(length / 100 + 1e-9, 3)) for k, (n, ids, length) in want.items()} and any(k[2] is None for k in got)
 
 
-@pytest.mark.parametrize("name, shuffles", [("baseline_samples", 1), ("refined_baselines", 2), ("baseline_chain_merge", 1)])
-def test_baselines_need_one_shuffle_of_boxes(spark, name, shuffles):
+@pytest.mark.parametrize("name, shuffles", [("baseline_samples", 1), ("refined_baselines", 2), ("baseline_chain_merge", 1), ("text_clusters", 1), ("typical_spacing", 1)])
+def test_pages_need_one_shuffle_of_boxes(spark, name, shuffles):
     assert exchanges(e.queries()[name](spark, SF)) == shuffles
+
+
+def test_clusters_are_those_of_all_pairs(spark):
+    """Against all pairs of a page, boxes with unknown sides and idents that are texts among them."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(240):
+        x, y = (float(v) for v in rng.integers(0, 60, 2))
+        sides = [x, y, x + float(rng.integers(0, 14)), y + float(rng.integers(2, 6))]
+        if rng.random() < 0.05:
+            sides[rng.integers(0, 4)] = None
+        rows.append((int(rng.integers(0, 6)), f"b{rng.integers(0, 10**6)}-{i}", *sides))
+    b = spark.createDataFrame(rows, "page_ix long, box_id string, x0 double, y0 double, x1 double, y1 double")
+    want, spaced = {}, {}
+    for page in {r[0] for r in rows}:
+        mine = [r[1:] for r in rows if r[0] == page]
+        known = [r for r in mine if None not in r]
+        w, h = (float(np.median([1e-12 if None in (r[k], r[k + 2]) else max(1e-12, r[k + 2] - r[k]) for r in mine])) for k in (1, 2))
+        mx, my = (min(r[k] for r in mine if r[k] is not None) for k in (1, 2))
+        cell = {r[0]: [int((v - m) // s) for v, m, s in zip(r[1:], (mx, my, mx, my), (w, h, w, h), strict=True)] for r in known}
+        gaps = {}
+        for p in known:
+            for q in known:
+                c, e_ = cell[p[0]], cell[q[0]]
+                shared, narrow = min(p[3], q[3]) - max(p[1], q[1]), min(p[3] - p[1], q[3] - q[1])
+                if p != q and all(e_[k] <= c[k + 2] + 1 and e_[k + 2] >= c[k] - 1 for k in (0, 1)) and narrow > 0 and shared >= 0.15 * narrow:
+                    gaps[p[0], q[0]] = max(0.0, q[2] - p[4], p[2] - q[4])
+        least = [min(v) for v in ([g for (a, _), g in gaps.items() if a == r[0] and g > 0] for r in known) if v]
+        spaced[page] = (float(np.median(least)), len(least))
+        up = {r[0]: r[0] for r in mine}
+        for _ in mine:
+            for (a, c), g in gaps.items():
+                if g <= 1.25 * spaced[page][0]:
+                    up[a] = up[c] = min(up[a], up[c])
+        want |= {(page, k): x for k, x in up.items()}
+    got = {(r.page_ix, r.box_id): r.component for r in spatial.clusters(b).collect()}
+    assert got == want and 20 < len(set(want.values())) < 220
+    assert {r.page_ix: (r.spacing, r.n) for r in spatial.typical_spacing(b).collect()} == spaced

@@ -39,13 +39,14 @@ def many_pages(packed: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBa
     return packed.mapInArrow(run, schema)
 
 
-def whole_pages(rows: DataFrame, keys: list[str], kernel: Callable[[np.ndarray, pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+def whole_pages(rows: DataFrame, keys: list[str], kernel: Callable[[np.ndarray, pa.RecordBatch], pa.RecordBatch], schema: str | StructType, long: str | None = None) -> DataFrame:
     """What the kernel makes of the rows of whole pages, given some pages at a time with the number of each row's page, from 0.
 
     Rows are dealt by page and sorted, so that no page becomes an array; rows that are so already are not moved again.
+    long: an array column, whose items are counted instead of rows.
     """
 
-    def pages(batch: pa.RecordBatch) -> np.ndarray:
+    def numbered(batch: pa.RecordBatch) -> np.ndarray:
         new = np.zeros(batch.num_rows, bool)
         for k in keys:
             c = batch.column(k)
@@ -53,23 +54,38 @@ def whole_pages(rows: DataFrame, keys: list[str], kernel: Callable[[np.ndarray,
             new[1:] |= apart | (np.diff(c.is_null().to_numpy(zero_copy_only=False)) if c.null_count else False)
         return np.cumsum(new)
 
+    def ends(batch: pa.RecordBatch) -> np.ndarray:
+        """How much there is up to each row."""
+        return np.diff(batch.column(long).offsets.to_numpy().astype(np.int64)).cumsum() if long else np.arange(1, batch.num_rows + 1)
+
+    def made(batch: pa.RecordBatch, page: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
+        last = np.append(np.flatnonzero(np.diff(page)), len(page) - 1)  # of each page
+        at = done = 0
+        while at < len(last):
+            stop = max(at + 1, int(np.searchsorted(size[last], done + _ROWS, "right")))
+            a, b = last[at - 1] + 1 if at else 0, last[stop - 1] + 1
+            yield kernel(page[a:b] - page[a], batch.slice(a, b - a))
+            at, done = stop, size[b - 1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, enough = [], 0, _ROWS
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
-            n += batch.num_rows
+            n += int(ends(batch)[-1])
             if n < enough:
                 continue
             together = pa.concat_batches(held)
-            page = pages(together)
+            page, size = numbered(together), ends(together)
             last = int(np.searchsorted(page, page[-1]))
             if last:
-                yield kernel(page[:last], together.slice(0, last))
-            held, n = [together.slice(last)], n - last
+                yield from made(together.slice(0, last), page[:last], size[:last])
+            held, n = [together.slice(last)], n - (int(size[last - 1]) if last else 0)
             enough = max(_ROWS, 2 * n)
-        if n:
+        if held:
             together = pa.concat_batches(held)
-            yield kernel(pages(together), together)
+            yield from made(together, numbered(together), ends(together))
 
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 

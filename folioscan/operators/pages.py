@@ -68,11 +68,12 @@ def meeting(a: np.ndarray, b: np.ndarray, bins: tuple[float, float] | None = BIN
     none = np.zeros(0, np.int64)
     if not len(ra) or not len(rb):
         return none, none
-    left, top = min(xa.min(), xb.min()), min(ya.min(), yb.min())
-    height = max(ya.max(), yb.max()) - top + 1
-    ca, cb = (xa - left) * height + ya - top, (xb - left) * height + yb - top
+    # bins go by rank, so that the numbers of far ones don't outgrow 64 bits
+    (cols, x), (lines, y) = (np.unique(np.concatenate(c), return_inverse=True) for c in ((xa, xb), (ya, yb)))
+    code = x * len(lines) + y
+    ca, cb = code[: len(ra)], code[len(ra) :]
     if pages is not None:
-        apart = max(ca.max(), cb.max()) + 1
+        apart = len(cols) * len(lines)
         ca, cb = ca + pages[0][ra] * apart, cb + pages[1][rb] * apart
     order = np.argsort(cb, kind="stable")
     cb, rb = cb[order], rb[order]
@@ -127,27 +128,30 @@ def beside(cells: DataFrame, spans: DataFrame, keys: list[str], ident: str, near
     match = spans.schema[ident].dataType.simpleString()
     schema = ", ".join(f"{c} {kinds[c].simpleString()}" for c in [*keys, *names]) + f", _found array<struct<match:{match},iou:double,b:string>>"
 
-    def one(table: pa.Table) -> pa.Table:
-        side = table.column("_cell")
-        mine, other = (columns_of(table.filter(x), names) for x in (side, pc.invert(side)))
-        p, q = boxes_of(mine), boxes_of(other)
-        if any(table.column(k)[0].as_py() is None for k in keys):
-            q = q[:0]
+    def kernel(page: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
+        piece = np.repeat(np.arange(len(page)), np.diff(rows.column(ident).offsets.to_numpy()))
+        flat = {c: rows.column(c).flatten() for c in names}
+        is_cell = rows.column("_cell").to_numpy(zero_copy_only=False)[piece]
+        with_key = np.logical_and.reduce([rows.column(k).is_valid().to_numpy(zero_copy_only=False) for k in keys])[piece]
+        mine, other = np.flatnonzero(is_cell), np.flatnonzero(~is_cell & with_key)
+        boxes = boxes_of(flat)
+        p, q = boxes[mine], boxes[other]
         reach = p
         if near:
             half = 0.5 * np.maximum(1e-6, p[:, 3] - p[:, 1])
             reach = np.stack([p[:, 0], p[:, 1] - half - 1e-6, p[:, 2], p[:, 3] + half + 1e-6], axis=1)
-        i, j = meeting(reach, q, bins)
+        i, j = meeting(reach, q, bins, (page[piece[mine]], page[piece[other]]))
         if near:
             gap = np.maximum(0.0, np.maximum(q[j, 1] - p[i, 3], p[i, 1] - q[j, 3]))
             i, j = (x[gap <= half[i]] for x in (i, j))
-        found = pa.StructArray.from_arrays([other[ident].take(pa.array(j)), pa.array(iou(p[i], q[j])), other["text"].take(pa.array(j))], ["match", "iou", "b"])
+        met = pa.array(other[j])
+        found = pa.StructArray.from_arrays([flat[ident].take(met), pa.array(iou(p[i], q[j])), flat["text"].take(met)], ["match", "iou", "b"])
         lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(i, np.arange(len(p) + 1)).astype(np.int32)), found)
-        page = [pa.repeat(table.column(k)[0], len(p)) for k in keys]
-        return pa.Table.from_arrays([*page, *(mine[c] for c in names), lists], [*keys, *names, "_found"])
+        of, at = pa.array(piece[mine]), pa.array(mine)
+        return pa.RecordBatch.from_arrays([*(rows.column(k).take(of) for k in keys), *(flat[c].take(at) for c in names), lists], [*keys, *names, "_found"])
 
     both = a.withColumn("_cell", F.lit(True)).unionByName(b.withColumn("_cell", F.lit(False)))
-    return both.groupBy(*keys).applyInArrow(one, schema)
+    return kernels.whole_pages(both, keys, kernel, schema, long=ident)
 
 
 def best(boxes: DataFrame, items: DataFrame, min_iou: float, keys: list[str], ident: str, item: str, bins: tuple[float, float] | None = BINS) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import __spark_entry__ as e
-from folioscan.operators import baselines, kernels, spatial
+from folioscan.operators import baselines, kernels, matching, pages, spatial
 
 SF = "/root/testdata/sf0.001"
 
@@ -92,3 +92,29 @@ def test_clusters_are_those_of_all_pairs(spark):
     got = {(r.page_ix, r.box_id): r.component for r in spatial.clusters(b).collect()}
     assert got == want and 20 < len(set(want.values())) < 220
     assert {r.page_ix: (r.spacing, r.n) for r in spatial.typical_spacing(b).collect()} == spaced
+
+
+def test_far_bins_and_pages_stay_apart():
+    """Bins whose numbers outgrow 64 bits; pages don't meet."""
+    far = 1e15
+    a = np.array([[0.0, 0, 9, 9], [far, far, far + 9, far + 9], [0, 0, 9, 9]])
+    i, j = pages.meeting(a, a, pages=(np.array([0, 0, 1]), np.array([0, 0, 1])))
+    assert list(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 0), (1, 1), (2, 2)]
+
+
+def test_hidden_boxes_are_those_of_single_pages(spark, monkeypatch):
+    """Pages in small shares, without a key among them, give what each gives alone."""
+    monkeypatch.setattr(kernels, "_ROWS", 20)
+    rng = np.random.default_rng(6)
+    rows = [(None if k == 5 else int(k), i, *(float(v) for v in (x, y, x + 30, y + 10)), "ab"[int(t)] * 4) for i, (k, x, y, t) in enumerate(zip(rng.integers(0, 6, 200), rng.integers(0, 100, 200), rng.integers(0, 60, 200), rng.integers(0, 2, 200), strict=True))]
+    b = spark.createDataFrame(rows, "page_ix long, box_id long, x0 double, y0 double, x1 double, y1 double, text string")
+    found = lambda df: {tuple(r) for r in matching.hidden_text(df, df.filter("box_id % 3 = 0"), "word", ("page_ix",), "box_id").collect()}
+    want = set()
+    for k in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == k]
+        near = lambda p, q: k is not None and p[6] == q[6] and p[2] < q[4] and q[2] < p[4] and max(0, q[3] - p[5], p[3] - q[5]) <= 5
+        seen = [r for r in mine if any(near(r, o) for o in mine if o[1] % 3 == 0)]
+        for r in set(mine) - set(seen):
+            shared = [max(0, min(r[4], o[4]) - max(r[2], o[2])) * max(0, min(r[5], o[5]) - max(r[3], o[3])) for o in seen]
+            want.add((k, r[1], r[6], "overlap" if any(s / (600 - s) >= 0.1 for s in shared) else "missing"))
+    assert found(b) == want and {r[3] for r in want} == {"overlap", "missing"}

@@ -12,28 +12,44 @@ from folioscan.functions import text as tx
 ANCHOR = 8
 
 
-def _parts(name: Column) -> Column:
-    """The stretches of a name of 0 to ANCHOR characters."""
+def _parts(name: Column, lengths: Column) -> Column:
+    """The distinct stretches of a name that have one of the lengths (up to ANCHOR)."""
     n = F.length(name)
-    each = F.transform(F.sequence(F.lit(1), F.lit(ANCHOR)), lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(name, i, k))).otherwise(F.array().cast("array<string>")))
-    return F.array_union(F.array(F.lit("")), F.flatten(each))
+    of = lambda k: F.when(k == 0, F.array(F.lit(""))).when(n >= k, F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(name, i, k))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.flatten(F.transform(lengths, of)))
+
+
+def _first(names: DataFrame, fonts: DataFrame, ks: list[str]) -> DataFrame:
+    """(keys, font, font_id, font_name) of distinct names that meet a font: the first, by font_id, whose name holds the name or is held by it.
+
+    The held name's last characters (up to ANCHOR) must be a stretch of the other name, which is an equi-join; only
+    stretches as long as some held name's last characters take part, and the names that meet are compared.
+    """
+    known = fonts.select(*ks, "font_id", F.col("name").alias("font_name")).filter("font_name is not null").groupBy(*ks, "font_name").agg(F.min("font_id").alias("font_id"))
+    last = lambda c: F.substr(c, F.greatest(F.length(c) - ANCHOR + 1, F.lit(1)))
+
+    def cut(df: DataFrame, name: str, other: DataFrame, held: str) -> DataFrame:
+        lengths = other.agg(F.collect_set(F.least(F.length(held), F.lit(ANCHOR)))).scalar()
+        return df.withColumn("_lengths", lengths).withColumn("_part", F.explode(_parts(F.col(name), F.col("_lengths")))).drop("_lengths")
+
+    held = cut(names, "font", known, "font_name").join(known.withColumn("_part", last(F.col("font_name"))), [*ks, "_part"]).filter(F.contains("font", "font_name"))
+    holds = names.withColumn("_part", last(F.col("font"))).join(cut(known, "font_name", names, "font"), [*ks, "_part"]).filter(F.contains("font_name", "font"))
+    first = held.unionByName(holds).groupBy(*ks, "font").agg(F.min(F.struct("font_id", "font_name")).alias("_f"))
+    return first.select(*ks, "font", "_f.font_id", "_f.font_name")
+
+
+def _names(spans: DataFrame, ks: list[str]) -> DataFrame:
+    return spans.select(*ks, "font").filter("font is not null").distinct()
 
 
 def font_of(spans: DataFrame, fonts: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """spans with font_id and font_name of the first font, by font_id, whose name holds the span's or is held by it.
 
     keys: what spans and fonts must agree in; none where all documents share one table of fonts. Distinct names are
-    joined, not spans: the held name's last characters (up to ANCHOR) must be a stretch of the other name, which is an
-    equi-join, and the names that meet are compared.
+    joined, not spans.
     """
     ks = list(keys)
-    names = spans.select(*ks, "font").filter("font is not null").distinct()
-    known = fonts.select(*ks, "font_id", F.col("name").alias("font_name")).filter("font_name is not null").groupBy(*ks, "font_name").agg(F.min("font_id").alias("font_id"))
-    last = lambda c: F.substr(c, F.greatest(F.length(c) - ANCHOR + 1, F.lit(1)))
-    held = names.withColumn("_part", F.explode(_parts(F.col("font")))).join(known.withColumn("_part", last(F.col("font_name"))), [*ks, "_part"]).filter(F.contains("font", "font_name"))
-    holds = names.withColumn("_part", last(F.col("font"))).join(known.withColumn("_part", F.explode(_parts(F.col("font_name")))), [*ks, "_part"]).filter(F.contains("font_name", "font"))
-    first = held.unionByName(holds).groupBy(*ks, "font").agg(F.min(F.struct("font_id", "font_name")).alias("_f"))
-    return spans.join(first, [*ks, "font"], "left").select(*spans.columns, F.col("_f.font_id").alias("font_id"), F.col("_f.font_name").alias("font_name"))
+    return spans.join(_first(_names(spans, ks), fonts, ks), [*ks, "font"], "left").select(*spans.columns, "font_id", "font_name")
 
 
 def clip_of(spans: DataFrame, events: DataFrame, keys: tuple[str, ...] = ("doc_id", "page_ix"), ident: str = "span_index", event: str = "event_id") -> DataFrame:
@@ -61,9 +77,10 @@ def assemble(spans: DataFrame, fonts: DataFrame, events: DataFrame, font_keys: t
     """
     shown = spans.filter(tx.normalize_clip(F.col("text")) != "")
     real = events.filter((tx.normalize_clip(F.coalesce("text", F.lit(""))) != "") | F.col("has_clip"))
-    named = font_of(clip_of(shown, real), fonts, font_keys)
-    props = fonts.select(*font_keys, "font_id", "embedded", "encoding", "font_type")
-    j = named.join(props, [*font_keys, "font_id"], "left")
+    ks = list(font_keys)
+    # a font's properties go to the distinct names, so that spans are joined once
+    known = _first(_names(shown, ks), fonts, ks).join(fonts.select(*ks, "font_id", "embedded", "encoding", "font_type"), [*ks, "font_id"], "left")
+    j = clip_of(shown, real).join(known, [*ks, "font"], "left")
     name = F.coalesce("font_name", "font")
     font = F.struct(
         F.col("embedded"), F.col("encoding"), tx.font_family(name).alias("family_name"), name.alias("name"), F.col("font_type"), F.lit(None).cast("boolean").alias("monospaced"), tx.is_subset_font(name).alias("subset")

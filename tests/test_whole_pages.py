@@ -5,9 +5,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as e
-from folioscan.operators import baselines, kernels, matching, pages, spatial
+from folioscan.operators import baselines, elements, kernels, matching, pages, spatial
 
 SF = "/root/testdata/sf0.001"
 
@@ -118,3 +119,10 @@ def test_hidden_boxes_are_those_of_single_pages(spark, monkeypatch):
             shared = [max(0, min(r[4], o[4]) - max(r[2], o[2])) * max(0, min(r[5], o[5]) - max(r[3], o[3])) for o in seen]
             want.add((k, r[1], r[6], "overlap" if any(s / (600 - s) >= 0.1 for s in shared) else "missing"))
     assert found(b) == want and {r[3] for r in want} == {"overlap", "missing"}
+
+
+def test_names_meet_by_few_stretches(spark):
+    """A name has only stretches as long as some held name's last characters, not of every length up to eight."""
+    one = spark.createDataFrame([("ABCDEF+Supplier#000000012", [8]), ("abab", [0, 2, 8])], "font string, lengths array<int>").select(F.sort_array(elements._parts(F.col("font"), F.col("lengths"))).alias("p"))
+    (long,), (short,) = one.collect()
+    assert len(long) == 18 and set(map(len, long)) == {8} and short == ["", "ab", "ba"]

@@ -43,7 +43,7 @@ def whole_pages(rows: DataFrame, keys: list[str], kernel: Callable[[np.ndarray,
     """What the kernel makes of the rows of whole pages, given some pages at a time with the number of each row's page, from 0.
 
     Rows are dealt by page and sorted, so that no page becomes an array; rows that are so already are not moved again.
-    long: an array column, whose items are counted instead of rows.
+    long: a column of arrays, whose items are counted instead of rows, or of counts.
     """
 
     def numbered(batch: pa.RecordBatch) -> np.ndarray:
@@ -56,7 +56,10 @@ def whole_pages(rows: DataFrame, keys: list[str], kernel: Callable[[np.ndarray,
 
     def ends(batch: pa.RecordBatch) -> np.ndarray:
         """How much there is up to each row."""
-        return np.diff(batch.column(long).offsets.to_numpy().astype(np.int64)).cumsum() if long else np.arange(1, batch.num_rows + 1)
+        if not long:
+            return np.arange(1, batch.num_rows + 1)
+        c = batch.column(long)
+        return (c.to_numpy() if pa.types.is_integer(c.type) else np.diff(c.offsets.to_numpy().astype(np.int64))).cumsum()
 
     def made(batch: pa.RecordBatch, page: np.ndarray, size: np.ndarray) -> Iterator[pa.RecordBatch]:
         last = np.append(np.flatnonzero(np.diff(page)), len(page) - 1)  # of each page

@@ -172,7 +172,7 @@ def visible_semi_join(spark, d):
 
 @query(f"with {v.CELLS}, {v.VISIBLE}, {_ROW}, {_SEEN} select doc_id, page_ix, cell_index, text from fc c where not exists (select 1 from seen s where s.doc_id = c.doc_id and s.page_ix = c.page_ix and s.cell_index = c.cell_index) and lower(trim(c.text)) not in ('', '<unknown>', 'unknown')")
 def not_visible_anti_join(spark, d):
-    return matching.unseen(_cells(v.cells(spark, d)), _cells(v.visible(spark, d)), mode="word")
+    return matching.lacking(v.renderings(spark, d, "normal", raw=True), "word")
 
 
 @query(f"""with {v.CELLS}, {v.VISIBLE}, {_ROW}, best as (select doc_id, page_ix, cell_index, match, {_SIM} as sim, i / (u - i) as iou from j)

@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioscan.operators.renderings import Both, encoded
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -97,6 +99,69 @@ def visible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).filter(k % 17 != 0).withColumn("text", text)
 
 
+#: Bytes of text that are placed at once.
+_TEXT = 1 << 20
+
+
+def renderings(spark: SparkSession, sf_dir: str, form: str, raw: bool = False) -> Both:
+    """cells and visible, numbered in the order of lines and with texts in a form ('lower', 'normal'), as compressed pages from one scan of the documents; raw: as in renderings.paired."""
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column("text").is_valid())
+            sizes = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)) if batch.num_rows else []
+            at = 0
+            while at < batch.num_rows:
+                stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + _TEXT, "right")))
+                yield from pages_of(batch.slice(at, stop - at))
+                at = stop
+
+    def pages_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        lines = pc.split_pattern(batch.column("text"), "\n")
+        line_ends = lines.offsets.to_numpy().astype(np.int64) - lines.offsets[0].as_py()
+        split = pc.split_pattern(lines.flatten(), " ")
+        words, starts = split.flatten(), split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        n = pc.utf8_length(words).to_numpy().astype(np.int64)
+        line = np.repeat(np.arange(len(split)), np.diff(starts))
+        ahead = np.concatenate(([0], np.cumsum(n + 1)))
+        some = np.flatnonzero(n)
+        line = line[some]
+        w = some - starts[line]
+        x0 = 6.0 * (ahead[some] - ahead[starts[line]])
+        doc = np.repeat(np.arange(batch.num_rows), np.diff(line_ends))[line]
+        line_no = line - line_ends[doc]
+        boxes = np.stack([x0, 12.0 * line_no, x0 + 6 * n[some], 12.0 * line_no + 10], axis=1)
+        text, ident = words.take(pa.array(some)), line_no * 1000000 + w
+        key = batch.column("doc_id")
+        k = pc.fill_null(key, 0).to_numpy()[doc] + line_no + w
+        shown = np.flatnonzero((k % 17 != 0) & key.is_valid().to_numpy(zero_copy_only=False)[doc])
+        other = text.take(pa.array(shown))
+        changed = pc.binary_join_element_wise("x", pc.utf8_slice_codeunits(other, 1, 1000001), "")
+        other = pc.if_else(pa.array(k[shown] % 13 == 0), changed, other)
+        for at, t, is_cell in ((np.arange(len(some)), text, True), (shown, other, False)):
+            if not len(at):
+                continue
+            new = np.diff(doc[at], prepend=-1).astype(bool) | np.diff(line_no[at] // 40, prepend=-1).astype(bool)
+            first = np.flatnonzero(new)
+            cuts = np.append(first, len(at))
+            formed = _formed(t, form)
+            texts = [formed] if not raw else [formed, pc.if_else(pc.not_equal(t, formed), t, pa.scalar(None, pa.string())) if is_cell else pa.nulls(len(t), pa.string())]
+            columns = [key.take(pa.array(doc[at][first])), pa.array(line_no[at][first] // 40), pa.array([is_cell] * len(first)), pa.array(np.diff(cuts)), pa.array(encoded(cuts, pa.array(ident[at]), boxes[at], texts), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "page_ix", "_cell", "_n", "_rows"])
+
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    frame = documents.mapInArrow(placed, "doc_id long, page_ix long, _cell boolean, _n long, _rows binary")
+    return Both(frame, ["doc_id", "page_ix"], "cell_index", ("bigint", "bigint"), 1 + raw)
+
+
+def _formed(text: pa.Array, form: str) -> pa.Array:
+    """lower: in lower case; normal: as functions.text.normalize."""
+    if form == "normal":
+        text = pc.replace_substring_regex(text, r"[ \t\n\x0B\f\r]+", " ") if pc.any(pc.match_substring_regex(text, r"[ \t\n\x0B\f\r]")).as_py() else text
+    lower = pc.utf8_lower(text)
+    return pc.utf8_trim(lower, " ") if form == "normal" else lower
+
+
 VISIBLE = """visible as (
   select * replace (case when (doc_id + line_no + w) % 13 = 0 then 'x' || substr(text, 2) else text end as text) from cells where (doc_id + line_no + w) % 17 <> 0)"""
 

@@ -217,8 +217,7 @@ n as (select doc_id, count(*) filter (side = 'cell') as total_cells, count(*) fi
 select *, round(coalesce(100.0 * matched / nullif(total_cells, 0), 0), 6) as cell_match_rate, round(coalesce(100.0 * matched / nullif(total_spans, 0), 0), 6) as span_match_rate from n""")
 def match_outcome(spark, d):
     """Cells and spans of each document with and without a partner."""
-    cells, spans = _cells(v.cells(spark, d)), _cells(v.visible(spark, d))
-    s = matching.outcome_counts(cells, spans, matching.match(cells, spans))
+    s = matching.outcome_of(v.renderings(spark, d, "lower"))
     return s.withColumn("cell_match_rate", F.round("cell_match_rate", 6)).withColumn("span_match_rate", F.round("span_match_rate", 6))
 
 

@@ -225,7 +225,7 @@ def match_outcome(spark, d):
   count(*) filter (match_method = 'combined') as combined, count(distinct cell) filter (match_method is not null) as matched from m group by 1), t as (select doc_id, count(*) as cells from cells group by 1)
 select t.doc_id, cells, coalesce(text_based, 0) as text_based, coalesce(spatial_based, 0) as spatial_based, coalesce(combined, 0) as combined, coalesce(matched, 0) as matched, round(100.0 * coalesce(matched, 0) / cells, 6) as match_rate from t left join per using (doc_id)""")
 def match_statistics(spark, d):
-    s = matching.match_statistics(_cells(v.cells(spark, d)), _candidates(spark, d))
+    s = matching.statistics_of(v.renderings(spark, d, "lower"))
     return s.withColumn("match_rate", F.round("match_rate", 6))
 
 

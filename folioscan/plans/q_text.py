@@ -396,7 +396,7 @@ def clip_walk(spark, d):
 @query()
 def hidden_text(spark, d):
     """Cells of one rendering that the other hides, with the kinds of matching.hidden_text."""
-    return matching.hidden_text(_cells(v.cells(spark, d)), _cells(v.visible(spark, d)), mode="word")
+    return matching.hidden(v.renderings(spark, d, "normal", raw=True), "word")
 
 
 @query("select cast(l_orderkey // 200 as bigint) as doc_id, count(*) as n_findings, count(distinct l_returnflag || l_linestatus) as kinds from lineitem where l_quantity > 45 group by 1")

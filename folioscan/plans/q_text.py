@@ -179,7 +179,7 @@ def not_visible_anti_join(spark, d):
 select doc_id, page_ix, cell_index, match, round(sim, 6) as similarity, round(iou, 6) as iou from best qualify row_number() over (partition by doc_id, page_ix, cell_index order by round(sim, 9) desc, round(iou, 9) desc, match) = 1""")
 def closest_visible(spark, d):
     """Of the visible cells near a cell the one that reads most like it."""
-    c = matching.closest(_cells(v.cells(spark, d)), _cells(v.visible(spark, d)), mode="word")
+    c = matching.nearest(v.renderings(spark, d, "normal"), "word")
     return c.select("doc_id", "page_ix", "cell_index", "match", F.round("similarity", 6).alias("similarity"), F.round("iou", 6).alias("iou"))
 
 

@@ -188,7 +188,7 @@ _MATCHED = f"m as (select doc_id, page_ix, cell_index as cell, match as span, si
 
 
 def _candidates(spark, d) -> DataFrame:
-    return matching.candidates(_cells(v.cells(spark, d)), _cells(v.visible(spark, d)))
+    return matching.pairs(v.renderings(spark, d, "lower"))
 
 
 @query(f"with {v.CELLS}, {v.VISIBLE}, {_ROW}, {_MATCHED} select doc_id, page_ix, cell, span, round(0.6 * sim + 0.4 * iou, 6) as score, match_method from m where match_method is not null")

@@ -207,7 +207,7 @@ won as (select t.doc_id, t.page_ix, t.cell, t.span, c.score, c.match_method from
 @query(f"with recursive {_GREEDY} select doc_id, page_ix, cell, span, round(score, 6) as score from won")
 def greedy_match(spark, d):
     """One-to-one assignment per page, in order of cells."""
-    return matching.greedy(_candidates(spark, d)).withColumn("score", F.round("score", 6))
+    return matching.matched(v.renderings(spark, d, "lower")).select("doc_id", "page_ix", "cell", "span", F.round("score", 6).alias("score"))
 
 
 @query(f"""with recursive {_GREEDY}, sides as (select c.doc_id, w.match_method, 'cell' as side, w.span is not null as met from fc c left join won w on w.doc_id = c.doc_id and w.page_ix = c.page_ix and w.cell = c.cell_index

@@ -167,7 +167,7 @@ _SEEN = f"""seen as (select doc_id, page_ix, cell_index, min(match) as match, ar
 @query(f"with {v.CELLS}, {v.VISIBLE}, {_ROW}, {_SEEN} select * from seen")
 def visible_semi_join(spark, d):
     """The first visible cell, in order, that is near a cell and reads like it."""
-    return matching.find_visible(_cells(v.cells(spark, d)), _cells(v.visible(spark, d)), mode="word")
+    return matching.seen(v.renderings(spark, d, "normal"), "word")
 
 
 @query(f"with {v.CELLS}, {v.VISIBLE}, {_ROW}, {_SEEN} select doc_id, page_ix, cell_index, text from fc c where not exists (select 1 from seen s where s.doc_id = c.doc_id and s.page_ix = c.page_ix and s.cell_index = c.cell_index) and lower(trim(c.text)) not in ('', '<unknown>', 'unknown')")

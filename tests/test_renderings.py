@@ -19,7 +19,7 @@ def scans(df) -> int:
     return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
 
 
-@pytest.mark.parametrize("name, shuffles", [("not_visible_anti_join", 1), ("match_outcome", 2), ("match_statistics", 2), ("hidden_text", 2), ("closest_visible", 1), ("match_candidates", 1), ("greedy_match", 1)])
+@pytest.mark.parametrize("name, shuffles", [("not_visible_anti_join", 1), ("match_outcome", 2), ("match_statistics", 2), ("hidden_text", 2), ("closest_visible", 1), ("match_candidates", 1), ("greedy_match", 1), ("visible_semi_join", 1)])
 def test_renderings_come_from_one_scan(spark, name, shuffles):
     """Both sides from one reading, cells as pages of bytes before they are shuffled; greedy pages are not shuffled again."""
     df = e.queries()[name](spark, SF)

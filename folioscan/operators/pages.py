@@ -68,26 +68,40 @@ def meeting(a: np.ndarray, b: np.ndarray, bins: tuple[float, float] | None = BIN
     none = np.zeros(0, np.int64)
     if not len(ra) or not len(rb):
         return none, none
-    # bins go by rank, so that the numbers of far ones don't outgrow 64 bits
-    (cols, x), (lines, y) = (np.unique(np.concatenate(c), return_inverse=True) for c in ((xa, xb), (ya, yb)))
-    code = x * len(lines) + y
-    ca, cb = code[: len(ra)], code[len(ra) :]
+    spans = [(min(int(p.min()), int(q.min())), max(int(p.max()), int(q.max()))) for p, q in ((xa, xb), (ya, yb))]
+    wide, high = (hi - lo + 1 for lo, hi in spans)
+    n_pages = 1 + max(int(pages[0].max()), int(pages[1].max())) if pages is not None else 1
+    if wide * high * n_pages < 2**62:
+        ca, cb = ((x - spans[0][0]) * high + (y - spans[1][0]) for x, y in ((xa, ya), (xb, yb)))
+    else:  # bins go by rank, so that the numbers of far ones don't outgrow 64 bits
+        (cols, x), (lines, y) = (np.unique(np.concatenate(c), return_inverse=True) for c in ((xa, xb), (ya, yb)))
+        wide, high = len(cols), len(lines)
+        code = x * high + y
+        ca, cb = code[: len(ra)], code[len(ra) :]
     if pages is not None:
-        apart = len(cols) * len(lines)
-        ca, cb = ca + pages[0][ra] * apart, cb + pages[1][rb] * apart
+        ca, cb = ca + pages[0][ra] * (wide * high), cb + pages[1][rb] * (wide * high)
     order = np.argsort(cb, kind="stable")
     cb, rb = cb[order], rb[order]
+    # where a box begins: an intersection begins where either does, and the other box has begun
+    at_a, at_b = (np.floor(v[:, :2] / step)[r] for v, r in ((a, ra), (b, rb)))
+    here_a, here_b = np.stack([xa, ya], axis=1), np.stack([xb[order], yb[order]], axis=1)
+    first_a, first_b = ((v == h).view(np.uint8) @ np.array([1, 2], np.uint8) for v, h in ((at_a, here_a), (at_b, here_b)))
+    begun_a, begun_b = ((v <= h).all() for v, h in ((at_a, here_a), (at_b, here_b)))
     lo, hi = np.searchsorted(cb, ca, "left"), np.searchsorted(cb, ca, "right")
     total, out, at = np.concatenate(([0], np.cumsum(hi - lo))), [], 0
     while at < len(ca):
         stop = max(at + 1, int(np.searchsorted(total, total[at] + _AT_ONCE, "right")) - 1)
         n = hi[at:stop] - lo[at:stop]
         m = np.repeat(np.arange(at, stop), n)
-        i, j = ra[m], rb[lo[m] + np.arange(len(m)) - np.repeat(np.cumsum(n) - n, n)]
+        k = lo[m] + np.arange(len(m)) - np.repeat(np.cumsum(n) - n, n)
+        some = np.flatnonzero((first_a[m] | first_b[k]) == 3)
+        m, k = m[some], k[some]
+        if not (begun_a and begun_b):  # a box whose sides are crossed lies in bins before its beginning
+            some = ((at_a[m] <= here_a[m]) & (at_b[k] <= here_b[k])).all(axis=1)
+            m, k = m[some], k[some]
+        i, j = ra[m], rb[k]
         p, q = a[i], b[j]
         ok = (p[:, 0] < q[:, 2]) & (q[:, 0] < p[:, 2]) & (p[:, 1] < q[:, 3]) & (q[:, 1] < p[:, 3])
-        begins = np.floor(np.maximum(p[:, :2], q[:, :2]) / step)
-        ok &= (begins[:, 0] == xa[m]) & (begins[:, 1] == ya[m])
         out.append((i[ok], j[ok]))
         at = stop
     i, j = (np.concatenate(x) for x in zip(*out, strict=True))

@@ -62,9 +62,13 @@ def encoded(cuts: np.ndarray, ident: pa.Array, boxes: np.ndarray, texts: list[pa
     first = m[:3, cuts[:-1]]
     m[:3, 1:] = m[:3, 1:] - m[:3, :-1]
     m[:3, cuts[:-1]] = first
+    half = np.maximum.reduceat(m.max(axis=0), cuts[:-1]) < 2**31
+    half &= np.minimum.reduceat(m.min(axis=0), cuts[:-1]) >= -(2**31)
+    lean = m.astype(np.int32)
     out = []
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        body = [struct.pack(_HEAD, b - a, len(m), whole + 2 * own), np.ascontiguousarray(m[:, a:b]).view(np.uint8).reshape(-1, 8).T.tobytes()]
+    for a, b, small in zip(cuts[:-1].tolist(), cuts[1:].tolist(), half.tolist(), strict=True):
+        numbers = np.ascontiguousarray((lean if small else m)[:, a:b])
+        body = [struct.pack(_HEAD, b - a, len(m), whole + 2 * own + 4 * small), numbers.view(np.uint8).reshape(-1, numbers.itemsize).T.tobytes()]
         body += [d[e[a] : e[b]] for d, e in zip(data, ends, strict=True)]
         if not own:
             body.append(pickle.dumps(ident.slice(a, b - a).to_pylist()))
@@ -81,8 +85,9 @@ def decoded(blobs: list[bytes], places: np.ndarray, n_texts: int, kind: pa.DataT
         together = _ZSTD.decompress(memoryview(blob)[8:], struct.unpack_from("<q", blob)[0], asbytes=True)
         n, rows, flags = struct.unpack_from(_HEAD, together)
         at = struct.calcsize(_HEAD)
-        m = np.frombuffer(together, np.uint8, rows * n * 8, at).reshape(8, rows * n).T.copy().view(np.int64).reshape(rows, n)
-        at += rows * n * 8
+        width = 4 if flags & 4 else 8
+        m = np.frombuffer(together, np.uint8, rows * n * width, at).reshape(width, rows * n).T.copy().view(f"i{width}").reshape(rows, n).astype(np.int64)
+        at += rows * n * width
         m[:3] = np.cumsum(m[:3], axis=1)
         m[3] += m[1]
         m[4] += m[2]
@@ -200,23 +205,26 @@ class Texts:
         coded = pa.concat_arrays([a, b]).dictionary_encode()
         codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         self.a, self.b = codes[: len(a)], codes[len(a) :]
-        self.values = coded.dictionary.to_pylist()
-        self.length = pc.utf8_length(coded.dictionary).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.spaced = pc.match_substring(coded.dictionary, " ").to_numpy(zero_copy_only=False).astype(bool)
-        blank = pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False).astype(bool)
-        self.blank = np.append(blank, True)  # no text, by its number -1, too
+        self.values = coded.dictionary
+        self.length = pc.utf8_length(self.values).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.spaced = pc.match_substring(self.values, " ").to_numpy(zero_copy_only=False).astype(bool)
+        self.blank = np.append(self.length == 0, True)  # no text, by its number -1, too
         self._letters = None
 
+    def of(self, i: np.ndarray) -> list[str]:
+        return self.values.take(pa.array(i)).to_pylist()
+
     def letters(self) -> np.ndarray:
-        """Which letters a text has, by their numbers' last six bits."""
+        """Which ASCII letters a text has, by the last six bits of each."""
         if self._letters is None:
-            together = np.frombuffer("".join(self.values).encode("utf-32-le", "surrogatepass"), np.uint32)
-            ends = np.cumsum(self.length)
-            bits = np.append(np.uint64(1) << (together & 63).astype(np.uint64), np.uint64(0))
-            some = self.length > 0
+            _, ends, data = self.values.buffers()
+            ends = np.frombuffer(ends, np.int32)[self.values.offset : self.values.offset + len(self.length) + 1] if len(self.length) else np.zeros(1, np.int32)
+            some = np.flatnonzero(np.diff(ends))
             self._letters = np.zeros(len(self.length), np.uint64)
-            if some.any():
-                self._letters[some] = np.bitwise_or.reduceat(bits[:-1], (ends - self.length)[some])
+            if len(some):
+                data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+                bits = np.where(data < 128, np.uint64(1) << (data & 63).astype(np.uint64), np.uint64(0))
+                self._letters[some] = np.bitwise_or.reduceat(bits, (ends[:-1] - ends[0])[some])
         return self._letters
 
     def least(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -228,7 +236,7 @@ class Texts:
     def _plain(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """text.levenshtein_similarity of texts that differ."""
         longer = np.maximum(self.length[i], self.length[j])
-        return 1 - distances([self.values[x] for x in i.tolist()], [self.values[x] for x in j.tolist()]) / longer
+        return 1 - distances(self.of(i), self.of(j)) / longer
 
     def _once(self, i: np.ndarray, j: np.ndarray, alike: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
         wide = len(self.values) + 1
@@ -252,13 +260,14 @@ class Texts:
             ask = np.flatnonzero(spaced | (self.least(p, q) <= (1 - floor) * np.maximum(self.length[p], self.length[q]) + 1e-9))
             out[ask] = self._plain(p[ask], q[ask])
             if spaced.any():
-                words = [(k, self.values[p[k]], w) for k in np.flatnonzero(spaced).tolist() for w in self.values[q[k]].split(" ")]
+                places = np.flatnonzero(spaced)
+                words = [(k, x, w) for k, x, y in zip(places.tolist(), self.of(p[places]), self.of(q[places]), strict=True) for w in y.split(" ")]
                 k, a, b = zip(*words, strict=True)
                 longer = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)])
                 np.maximum.at(out, np.array(k), 1 - distances(list(a), list(b)) / longer)
             if phrase:
-                for k, (x, y) in enumerate(zip(p.tolist(), q.tolist(), strict=True)):
-                    if self.values[x] in self.values[y] or self.values[y] in self.values[x]:
+                for k, (x, y) in enumerate(zip(self.of(p), self.of(q), strict=True)):
+                    if x in y or y in x:
                         out[k] = 1.0
             return out
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as e
 from folioscan.functions import text as tx
-from folioscan.operators import kernels, matching, renderings
+from folioscan.operators import kernels, matching, pages, renderings
 from folioscan.plans import q_text, views
 
 SF = "/root/testdata/sf0.001"
@@ -79,3 +79,13 @@ def test_pairs_that_share_a_cell_or_span_go_in_order():
     k = matching._free(page, cell, span, score)
     want = {(p, *m) for p in set(page.tolist()) for m in kernels.greedy_match([r[1:] for r in zip(page.tolist(), cell.tolist(), span.tolist(), score.tolist(), strict=True) if r[0] == p])}
     assert set(zip(page[k].tolist(), cell[k].tolist(), span[k].tolist(), score[k].tolist(), strict=True)) == want
+
+
+def test_boxes_with_crossed_sides_meet_once():
+    """Such a box lies in bins before the one in which it begins."""
+    rng = np.random.default_rng(9)
+    a, b = (np.concatenate([x, x + rng.integers(-90, 120, (60, 2))], axis=1) for x in rng.integers(-100, 300, (2, 60, 2)).astype(float))
+    want = [(i, j) for i in range(60) for j in range(60) if (a[i, :2] < b[j, 2:]).all() and (b[j, :2] < a[i, 2:]).all()]
+    near = {(i, j) for i, j in want if (a[i, :2] <= a[i, 2:]).all() and (b[j, :2] <= b[j, 2:]).all()}
+    got = list(zip(*(x.tolist() for x in pages.meeting(a, b)), strict=True))
+    assert len(got) == len(set(got)) and set(got) <= set(want) and near <= set(got) and near

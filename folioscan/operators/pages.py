@@ -130,44 +130,6 @@ def boxes_of(flat: dict[str, pa.Array]) -> np.ndarray:
     return np.stack([flat[c].to_numpy(zero_copy_only=False).astype(float) for c in COORDS], axis=1)
 
 
-def beside(cells: DataFrame, spans: DataFrame, keys: list[str], ident: str, near: bool, bins: tuple[float, float] | None = BINS) -> DataFrame:
-    """cells (keys, ident, box, text) with _found: the spans (same columns) of their page that overlap them, as (match, iou, b), b the span's text.
-
-    near: those too that share an interval of x and lie at most half the cell's height apart along y. Boxes with unknown
-    sides and pages without a key have none.
-    """
-    names = [ident, *COORDS, "text"]
-    a, b = (packed(x.select(*keys, *names), keys) for x in (cells, spans))
-    kinds = {f.name: f.dataType for f in cells.schema.fields}
-    match = spans.schema[ident].dataType.simpleString()
-    schema = ", ".join(f"{c} {kinds[c].simpleString()}" for c in [*keys, *names]) + f", _found array<struct<match:{match},iou:double,b:string>>"
-
-    def kernel(page: np.ndarray, rows: pa.RecordBatch) -> pa.RecordBatch:
-        piece = np.repeat(np.arange(len(page)), np.diff(rows.column(ident).offsets.to_numpy()))
-        flat = {c: rows.column(c).flatten() for c in names}
-        is_cell = rows.column("_cell").to_numpy(zero_copy_only=False)[piece]
-        with_key = np.logical_and.reduce([rows.column(k).is_valid().to_numpy(zero_copy_only=False) for k in keys])[piece]
-        mine, other = np.flatnonzero(is_cell), np.flatnonzero(~is_cell & with_key)
-        boxes = boxes_of(flat)
-        p, q = boxes[mine], boxes[other]
-        reach = p
-        if near:
-            half = 0.5 * np.maximum(1e-6, p[:, 3] - p[:, 1])
-            reach = np.stack([p[:, 0], p[:, 1] - half - 1e-6, p[:, 2], p[:, 3] + half + 1e-6], axis=1)
-        i, j = meeting(reach, q, bins, (page[piece[mine]], page[piece[other]]))
-        if near:
-            gap = np.maximum(0.0, np.maximum(q[j, 1] - p[i, 3], p[i, 1] - q[j, 3]))
-            i, j = (x[gap <= half[i]] for x in (i, j))
-        met = pa.array(other[j])
-        found = pa.StructArray.from_arrays([flat[ident].take(met), pa.array(iou(p[i], q[j])), flat["text"].take(met)], ["match", "iou", "b"])
-        lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(i, np.arange(len(p) + 1)).astype(np.int32)), found)
-        of, at = pa.array(piece[mine]), pa.array(mine)
-        return pa.RecordBatch.from_arrays([*(rows.column(k).take(of) for k in keys), *(flat[c].take(at) for c in names), lists], [*keys, *names, "_found"])
-
-    both = a.withColumn("_cell", F.lit(True)).unionByName(b.withColumn("_cell", F.lit(False)))
-    return kernels.whole_pages(both, keys, kernel, schema, long=ident)
-
-
 def best(boxes: DataFrame, items: DataFrame, min_iou: float, keys: list[str], ident: str, item: str, bins: tuple[float, float] | None = BINS) -> DataFrame:
     """boxes with the item (sx0, sy0, sx1, sy1) of their page of the largest IoU >= min_iou, the first of equals, and match_iou; null without one. Many pages at a time."""
     sides = ("sx0", "sy0", "sx1", "sy1")
